@@ -24,12 +24,6 @@ def parse_number_es(text: Column) -> Column:
     return F.when(number.rlike(FLOAT_TEXT), number.try_cast("double"))
 
 
-def parse_plain(text: Column) -> Column:
-    """A number in plain notation; anything else is null."""
-    raw = strip(text)
-    return F.when(raw.rlike(FLOAT_TEXT), raw.try_cast("double"))
-
-
 def _spanish(text: Column) -> Column:
     return F.translate(text, ",.", ".,")
 

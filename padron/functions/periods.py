@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from padron.functions.numbers import parse_plain
 from padron.functions.text import strip
 
 
 def year_cast(text: Column) -> Column:
     """A whole number as int; other text is null."""
-    value = parse_plain(text.cast("string"))
-    return F.when((value == F.rint(value)) & (F.abs(value) < 1e9), value.cast("int"))
+    digits = F.regexp_extract(strip(text.cast("string")), r"^\+?(-?[0-9]+)(?:\.0*)?$", 1)
+    return digits.try_cast("int")
 
 
 def month_label(text: Column) -> Column:
