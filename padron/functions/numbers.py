@@ -8,20 +8,17 @@ from pyspark.sql import functions as F
 from padron.functions.text import strip
 
 NBSP = "\xa0"
-FLOAT_TEXT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+FLOAT_TEXT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+# A comma, several dots, or one dot before exactly three digits: dots group thousands.
+GROUPED = r",|\..*\.|^[0-9]+\.[0-9]{3}$"
 
 
 def parse_number_es(text: Column) -> Column:
     """``1.234,5``, ``1.234`` and ``1.234.567`` by Spanish rules; missing or bad is null."""
     raw = F.translate(strip(text), NBSP + " ", "")
-    no_dots = F.replace(raw, F.lit("."), F.lit(""))
-    number = (
-        F.when(F.contains(raw, F.lit(",")), F.replace(no_dots, F.lit(","), F.lit(".")))
-        .when(F.length(raw) - F.length(no_dots) > 1, no_dots)
-        .when(raw.rlike(r"^[0-9]+\.[0-9]{3}$"), no_dots)
-        .otherwise(raw)
-    )
-    return F.when(number.rlike(FLOAT_TEXT), number.try_cast("double"))
+    # A dot without a partner in the target string is deleted.
+    number = F.when(raw.rlike(GROUPED), F.translate(raw, ",.", ".")).otherwise(raw)
+    return F.regexp_extract(number, FLOAT_TEXT, 0).try_cast("double")
 
 
 def _spanish(text: Column) -> Column:
@@ -34,11 +31,6 @@ def format_number_es(value: Column) -> Column:
     return _spanish(F.when(whole, F.format_number(value, 0)).otherwise(F.format_number(value, 2)))
 
 
-def display_total(text: Column) -> Column:
-    """A raw total as shown in a sentence; text that is no number stays as it is."""
-    return F.coalesce(format_number_es(parse_number_es(text)), strip(text))
-
-
 def round_even(value: Column, digits: int) -> Column:
     """Round half to even on the exact binary value, as a double."""
     text = F.format_number(value, digits)

@@ -41,12 +41,18 @@ def _folding() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents; plain ASCII rows skip the table look-up."""
+    """Lower case without accents."""
+    return F.translate(F.lower(text), *_folding())
+
+
+def fold_long(text: Column) -> Column:
+    """``fold`` for long texts: plain ASCII skips the table look-up.
+
+    It mentions its input four times, so keep it in a projection of its own.
+    """
     lowered = F.lower(text)
-    source, target = _folding()
-    return F.when(F.octet_length(lowered) == F.char_length(lowered), lowered).otherwise(
-        F.translate(lowered, source, target)
-    )
+    plain = F.octet_length(lowered) == F.char_length(lowered)
+    return F.when(plain, lowered).otherwise(F.translate(lowered, *_folding()))
 
 
 def fold_text(text: str) -> str:
@@ -56,35 +62,24 @@ def fold_text(text: str) -> str:
     return text.lower().translate(str.maketrans(table))
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def repair_mojibake(text: Column) -> Column:
-    """Undo UTF-8 that was read as Latin-1, unless that adds more damage marks."""
+    """Undo UTF-8 that was read as Latin-1, where the bytes are valid UTF-8.
+
+    No damage count is needed: a repaired ``Ã`` or ``ï`` comes from two bytes
+    of which the first already showed as ``Ã``, so a repair never adds marks.
+    """
     clean = F.replace(F.replace(text, F.lit(BOM), F.lit("")), F.lit(BOM_AS_LATIN1), F.lit(""))
-    # A row of ASCII only is its own repair.
-    damaged = (F.octet_length(clean) != F.char_length(clean)) & ~clean.rlike(r"[^\x{00}-\x{FF}]")
-    bytes_again = F.when(damaged, F.encode(clean, "ISO-8859-1").cast("string"))
-    repaired = F.try_validate_utf8(bytes_again)
-    better = _count_of(repaired, "Ãï") <= _count_of(clean, "Ãï")
-    return strip(F.when(better, repaired).otherwise(clean))
+    as_bytes = F.when(~clean.rlike(r"[^\x{00}-\x{FF}]"), F.encode(clean, "ISO-8859-1"))
+    return strip(F.coalesce(F.try_validate_utf8(as_bytes.cast("string")), clean))
 
 
 def repair_text(text: str) -> str:
     """``repair_mojibake`` for a header name on the driver."""
     clean = text.replace(BOM, "").replace(BOM_AS_LATIN1, "")
-
-    def marks(value: str) -> int:
-        return sum(value.count(ch) for ch in "Ãï")
-
     try:
-        candidate = clean.encode("latin-1").decode("utf-8")
+        return clean.encode("latin-1").decode("utf-8").strip()
     except UnicodeError:
-        candidate = None
-    if candidate is not None and marks(candidate) <= marks(clean):
-        clean = candidate
-    return clean.strip()
+        return clean.strip()
 
 
 def clean_cell(text: Column) -> Column:

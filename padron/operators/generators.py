@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padron.functions.chat import chat_record
-from padron.functions.numbers import display_total
+from padron.functions.numbers import format_number_es, parse_number_es
 from padron.functions.text import strip
 from padron.lookups import CATEGORY_FAMILY, SAMPLE_CAP, SEED, ZONE_COL
 from padron.operators.filters import drop_missing
@@ -37,7 +37,7 @@ class Facts:
 
     @property
     def total(self) -> Column:
-        return display_total(F.col("Total"))
+        return F.col("_shown")
 
 
 def say(*parts: str | Column) -> Column:
@@ -138,6 +138,16 @@ FAMILIES: dict[str, Template] = {
 }
 
 
+def with_shown_total(facts: DataFrame) -> DataFrame:
+    """Facts with a measure, and the measure as shown; text that is no number stays."""
+    shown = F.coalesce(format_number_es(F.col("_value")), strip(F.col("Total")))
+    return (
+        drop_missing(facts, "Total")
+        .withColumn("_value", parse_number_es(F.col("Total")))
+        .withColumn("_shown", shown)
+    )
+
+
 def qa_pairs(
     facts: DataFrame,
     family: str,
@@ -149,7 +159,7 @@ def qa_pairs(
 
     Facts become narrow text first; the sample then moves only survivors.
     """
-    rows = drop_missing(facts, "Total")
+    rows = with_shown_total(facts)
     question, answer = FAMILIES[family](Facts(facts.columns))
     pairs = rows.select(*by, strip(question).alias("question"), strip(answer).alias("answer"))
     return capped_sample(pairs, list(by), ["question", "answer"], cap, seed)
@@ -166,7 +176,7 @@ def lake_pairs(
     routed: dict[str, list[str]] = {}
     for category, family in (families or CATEGORY_FAMILY).items():
         routed.setdefault(family, []).append(category)
-    rows = drop_missing(facts, "Total")
+    rows = with_shown_total(facts)
     choose = Facts(facts.columns)
     texts = {name: FAMILIES[name](choose) for name in routed}
 

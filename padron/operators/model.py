@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from padron.functions.scores import over_threshold
-from padron.functions.text import fold, words
+from padron.functions.text import fold_long, words
 from padron.lookups import TOXIC_THRESHOLD
 from padron.operators.metrics import binary_metrics, confusion_matrix
 
@@ -21,7 +21,7 @@ FEATURES = 1 << 16
 
 
 def _tokens(df: DataFrame, text: str) -> DataFrame:
-    bare = F.regexp_replace(fold(F.col(text)), r"[^\p{L}\p{N}\s]+", " ")
+    bare = F.regexp_replace(fold_long(F.col(text)), r"[^\p{L}\p{N}\s]+", " ")
     return df.withColumn("tokens", words(bare))
 
 

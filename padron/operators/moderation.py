@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padron.functions.scores import over_threshold
-from padron.functions.text import contains_any, fold, matched_terms
+from padron.functions.text import contains_any, fold_long, matched_terms
 from padron.lookups import BLOCKED_EN, BLOCKED_ES, BLOCKED_TERMS, TOXIC_THRESHOLD
 
 
-def lexical_flag(text: Column, terms=BLOCKED_TERMS, mode: str = "word") -> Column:
-    """True for a text with a blocked term; ``substring`` also hits inside other words."""
-    return F.coalesce(contains_any(fold(text), terms, mode), F.lit(False))
+def lexical_flag(folded: Column, terms=BLOCKED_TERMS, mode: str = "word") -> Column:
+    """True for a folded text with a blocked term; ``substring`` also hits inside words."""
+    return F.coalesce(contains_any(folded, terms, mode), F.lit(False))
 
 
-def lexical_hits(text: Column, terms=BLOCKED_TERMS, mode: str = "word") -> Column:
-    return matched_terms(fold(text), terms, mode)
+def lexical_hits(folded: Column, terms=BLOCKED_TERMS, mode: str = "word") -> Column:
+    return matched_terms(folded, terms, mode)
 
 
 def moderated(
@@ -27,12 +27,15 @@ def moderated(
     mode: str = "word",
     threshold: float = TOXIC_THRESHOLD,
 ) -> DataFrame:
-    """Add ``blocked_by``: lexical, score, or null."""
+    """Add ``blocked_by`` (lexical, score, or null) and ``hits``, the terms found."""
     by_score = F.lit(False) if score is None else over_threshold(F.col(score), threshold)
-    rule = F.when(lexical_flag(F.col(text), terms, mode), F.lit("lexical")).when(
+    folded = df.withColumn("_folded", fold_long(F.col(text)))
+    rule = F.when(lexical_flag(F.col("_folded"), terms, mode), F.lit("lexical")).when(
         by_score, F.lit("score")
     )
-    return df.withColumn("blocked_by", rule)
+    return folded.withColumns(
+        {"blocked_by": rule, "hits": lexical_hits(F.col("_folded"), terms, mode)}
+    ).drop("_folded")
 
 
 def blocked_message(lang: Column) -> Column:

@@ -7,6 +7,7 @@ subquery, so prompts are neither shuffled nor joined.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from padron.functions.hashing import seeded_hash
 from padron.functions.numbers import shortest_text
+from padron.functions.scores import over_threshold
 from padron.functions.text import contains_any, fold, fold_text, ws_rejoin
 from padron.lookups import (
     ANSWER_LABELS,
@@ -25,66 +27,65 @@ from padron.lookups import (
     SPEND_COL,
     TOXIC_THRESHOLD,
 )
-from padron.operators.moderation import blocked_message, lexical_flag, over_threshold
+from padron.operators.moderation import blocked_message, lexical_flag
 
-MAX_ALIASES = 1000
+MAX_ALIASES = 200
 FALLBACK_SEED = 0
 
 
-def intent(prompt: Column) -> Column:
-    """max_spend, min_spend or max_licences, tried in this order; null for none."""
-    folded = fold(prompt)
+def intent(folded: Column) -> Column:
+    """max_spend, min_spend or max_licences of a folded prompt, tried in this order."""
     return F.coalesce(
         *[F.when(contains_any(folded, phrases), F.lit(name)) for name, phrases in INTENT_PATTERNS]
     )
 
 
-def _fact_row() -> Column:
-    return F.struct(
-        F.col(REGION_COL).cast("string").alias("region"),
-        F.col(SPEND_COL).cast("double").alias("spend"),
-        F.col(LICENCES_COL).cast("long").alias("licences"),
-    )
-
-
 def facts_digest(
     facts: DataFrame, aliases=REGION_ALIASES, fallback_region: str | None = None
 ) -> DataFrame:
     """One row: ``n``, the extreme rows, the fallback row, and the named regions.
 
-    The map has one entry per distinct name in ``aliases`` at most.
+    Facts are reduced per region first, so copies of a region never meet in
+    one task. The map has one entry per distinct name in ``aliases`` at most.
     """
     if len(aliases) > MAX_ALIASES:
         raise ValueError(f"at most {MAX_ALIASES} aliases, got {len(aliases)}")
-    row, name = _fact_row(), F.col(REGION_COL)
-    spend, licences = F.col(SPEND_COL).cast("double"), F.col(LICENCES_COL).cast("double")
+    row = F.struct(
+        F.col(REGION_COL).cast("string").alias("region"),
+        F.col(SPEND_COL).cast("double").alias("spend"),
+        F.col(LICENCES_COL).cast("long").alias("licences"),
+    )
 
-    def first_by(value: Column, present: Column) -> Column:
-        return F.min_by(row, F.when(present.isNotNull(), F.struct(value, name)))
+    def least(row: Column, by: Column) -> Column:
+        """The row with the smallest ``by``; rows without one do not take part."""
+        return F.min_by(row, F.when(by.isNotNull(), F.struct(by, row["region"])))
 
-    if fallback_region is None:
-        chosen = F.struct(seeded_hash(FALLBACK_SEED, name), name)
-    else:
-        chosen = F.struct((name != F.lit(fallback_region)).cast("int"), name)
-    totals = facts.agg(
+    per_region = facts.select(row.alias("row")).groupBy("row.region").agg(
         F.count(F.lit(1)).alias("n"),
-        first_by(-spend, spend).alias("max_spend"),
-        first_by(spend, spend).alias("min_spend"),
-        first_by(-licences, licences).alias("max_licences"),
-        F.min_by(row, chosen).alias("fallback"),
+        F.min("row").alias("first"),
+        least(F.col("row"), -F.col("row.spend")).alias("high"),
+        least(F.col("row"), F.col("row.spend")).alias("low"),
+        least(F.col("row"), -F.col("row.licences")).alias("most"),
     )
-    named = (
-        facts.filter(name.isin(*dict(map(reversed, aliases))))
-        .groupBy(REGION_COL)
-        .agg(F.min(row).alias("row"))
-        .agg(F.map_from_entries(F.collect_list(F.struct(REGION_COL, "row"))).alias("regions"))
+    if fallback_region is None:
+        choice = seeded_hash(FALLBACK_SEED, F.col("region"))
+    else:
+        choice = (F.col("region") != F.lit(fallback_region)).cast("int")
+    named = F.col("region").isin(*dict(map(reversed, aliases)))
+    return per_region.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        least(F.col("high"), -F.col("high.spend")).alias("max_spend"),
+        least(F.col("low"), F.col("low.spend")).alias("min_spend"),
+        least(F.col("most"), -F.col("most.licences")).alias("max_licences"),
+        least(F.col("first"), choice).alias("fallback"),
+        F.map_from_entries(
+            F.collect_list(F.when(named, F.struct("region", "first")))
+        ).alias("regions"),
     )
-    return totals.withColumn("regions", named.scalar())
 
 
-def region_of(prompt: Column, regions: Column, aliases=REGION_ALIASES) -> Column:
-    """The first alias in the prompt whose official name has a fact; null for none."""
-    folded = fold(prompt)
+def region_of(folded: Column, regions: Column, aliases=REGION_ALIASES) -> Column:
+    """The first alias in a folded prompt whose official name has a fact; null for none."""
     return F.coalesce(
         *[
             F.when(
@@ -97,6 +98,50 @@ def region_of(prompt: Column, regions: Column, aliases=REGION_ALIASES) -> Column
     )
 
 
+# Which template and which value field answers each kind of question.
+KINDS = {
+    "max_spend": "chat_max_spend",
+    "min_spend": "chat_min_spend",
+    "max_licences": "chat_max_lic",
+    "region": "chat_single_region",
+    "fallback": "chat_single_region",
+}
+
+
+def classified(prompts: DataFrame, digest: Column, prompt: str, aliases) -> DataFrame:
+    """Add the folded prompt, the kind of question, and the fact row that answers it.
+
+    Each step is its own projection: a folded prompt is computed once however
+    many patterns look at it.
+    """
+    return (
+        prompts.withColumn("_facts", digest)
+        .withColumn("_folded", fold(F.col(prompt)))
+        .withColumn("_intent", intent(F.col("_folded")))
+        .withColumn(
+            "_named",
+            F.when(
+                F.col("_intent").isNull(),
+                region_of(F.col("_folded"), F.col("_facts.regions"), aliases),
+            ),
+        )
+        .withColumn(
+            "_kind",
+            F.coalesce(
+                "_intent", F.when(F.col("_named").isNotNull(), F.lit("region")), F.lit("fallback")
+            ),
+        )
+        .withColumn(
+            "_row",
+            F.when(F.col("_kind") == "region", F.try_element_at("_facts.regions", "_named"))
+            .when(F.col("_kind") == "max_spend", F.col("_facts.max_spend"))
+            .when(F.col("_kind") == "min_spend", F.col("_facts.min_spend"))
+            .when(F.col("_kind") == "max_licences", F.col("_facts.max_licences"))
+            .otherwise(F.col("_facts.fallback")),
+        )
+    )
+
+
 def render(template: str, **fields: tuple[Column, Column]) -> Column:
     """A format string as an expression; a field is (plain text, text with thousands marks)."""
     parts: list[Column] = []
@@ -109,59 +154,43 @@ def render(template: str, **fields: tuple[Column, Column]) -> Column:
     return F.concat(*parts)
 
 
-def _by_language(lang: Column, labels: dict, key: str, **fields) -> Column:
+def _by_language(lang: Column, labels: dict, text: Callable[[dict], Column]) -> Column:
     """The text in the prompt's language; unknown languages get Spanish."""
-    rendered = {code: render(texts[key], **fields) for code, texts in labels.items()}
-    out = rendered["ES"]
-    for code, text in rendered.items():
+    out = text(labels["ES"])
+    for code, texts in labels.items():
         if code != "ES":
-            out = F.when(lang == code, text).otherwise(out)
+            out = F.when(lang == code, text(texts)).otherwise(out)
     return out
 
 
-def _texts(row: Column) -> dict[str, tuple[Column, Column]]:
-    spend = shortest_text(row["spend"])
-    licences = row["licences"].cast("string")
-    return {
-        "region": (row["region"], row["region"]),
-        "gasto": (spend, spend),
-        "lic": (licences, licences),
-    }
-
-
-def answer_text(
-    prompt: Column, lang: Column, digest: Column, labels: dict = ANSWER_LABELS, aliases=REGION_ALIASES
-) -> Column:
-    """The reply to one prompt, given the digest row."""
-
-    def extreme(name: str, value: str) -> dict:
-        row = digest[name]
-        texts = _texts(row)
-        plain = texts["gasto" if value == "spend" else "lic"][0]
-        return {"region": texts["region"], "value": (plain, F.format_number(row[value], 0))}
-
-    named = digest["regions"]
-    hit = region_of(prompt, named, aliases)
-    one = F.try_element_at(named, hit)
-    kind = intent(prompt)
-    reply = (
-        F.when(kind == "max_spend",
-               _by_language(lang, labels, "chat_max_spend", **extreme("max_spend", "spend")))
-        .when(kind == "min_spend",
-              _by_language(lang, labels, "chat_min_spend", **extreme("min_spend", "spend")))
-        .when(kind == "max_licences",
-              _by_language(lang, labels, "chat_max_lic", **extreme("max_licences", "licences")))
-        .when(hit.isNotNull(), _by_language(lang, labels, "chat_single_region", **_texts(one)))
-        .otherwise(
-            F.concat(
-                _by_language(lang, labels, "chat_analyze"),
-                F.lit(" "),
-                _by_language(lang, labels, "chat_single_region", **_texts(digest["fallback"])),
-            )
-        )
-    )
-    no_data = _by_language(lang, labels, "chat_error_data")
-    return F.when(digest["n"] > 0, F.coalesce(reply, no_data)).otherwise(no_data)
+def _replied(df: DataFrame, lang: Column, labels: dict) -> DataFrame:
+    """Add ``answer`` to classified prompts."""
+    spend, licences = F.col("_spend"), F.col("_licences")
+    region, grouped = F.col("_row.region"), F.format_number("_row.licences", 0)
+
+    def reply(texts: dict) -> Column:
+        one = {"region": (region, region), "gasto": (spend, spend), "lic": (licences, licences)}
+        values = {"max_spend": (spend, spend), "min_spend": (spend, spend)}
+        cases = F.lit(None).cast("string")
+        for kind, key in KINDS.items():
+            value = values.get(kind, (licences, grouped))
+            text = render(texts[key], value=value, **one)
+            if kind == "fallback":
+                text = F.concat(F.lit(texts["chat_analyze"] + " "), text)
+            cases = F.when(F.col("_kind") == kind, text).otherwise(cases)
+        return F.when(F.col("_facts.n") > 0, F.coalesce(cases, F.lit(texts["chat_error_data"])))\
+            .otherwise(F.lit(texts["chat_error_data"]))
+
+    shown = df.withColumns(
+        {
+            "_spend": shortest_text(F.col("_row.spend")),
+            "_licences": F.col("_row.licences").cast("string"),
+        }
+    )
+    return shown.withColumn("answer", _by_language(lang, labels, reply))
+
+
+WORK = ("_facts", "_folded", "_intent", "_named", "_kind", "_row", "_spend", "_licences")
 
 
 def _digest(facts: DataFrame, aliases, fallback_region: str | None) -> Column:
@@ -174,15 +203,14 @@ def answer(
     facts: DataFrame,
     lang: str | Column = "ES",
     prompt: str = "prompt",
-    labels: dict = ANSWER_LABELS,
+    labels: dict | None = None,
     aliases=REGION_ALIASES,
     fallback_region: str | None = None,
 ) -> DataFrame:
-    """Add ``answer`` to each prompt."""
+    """Add ``answer`` to each prompt. ``labels`` maps language to templates."""
     code = F.lit(lang) if isinstance(lang, str) else lang
-    with_facts = prompts.withColumn("_facts", _digest(facts, aliases, fallback_region))
-    text = answer_text(F.col(prompt), code, F.col("_facts"), labels, aliases)
-    return with_facts.withColumn("answer", text).drop("_facts")
+    known = classified(prompts, _digest(facts, aliases, fallback_region), prompt, aliases)
+    return _replied(known, code, labels or ANSWER_LABELS).drop(*WORK)
 
 
 def guarded_answer(
@@ -200,10 +228,13 @@ def guarded_answer(
     """Add ``blocked`` and ``answer``: blocklist first, then the score, then the facts."""
     code = F.lit(lang) if isinstance(lang, str) else lang
     by_score = F.lit(False) if score is None else over_threshold(F.col(score), threshold)
-    blocked = lexical_flag(F.col(prompt), terms, mode) | by_score
-    with_facts = prompts.withColumns(
-        {"_facts": _digest(facts, aliases, fallback_region), "blocked": blocked}
+    known = classified(prompts, _digest(facts, aliases, fallback_region), prompt, aliases)
+    checked = known.withColumn(
+        "blocked", lexical_flag(F.col("_folded"), terms, mode) | by_score
+    )
+    reply = F.when(F.col("blocked"), blocked_message(code)).otherwise(F.col("answer"))
+    return (
+        _replied(checked, code, ANSWER_LABELS)
+        .withColumn("answer", ws_rejoin(reply))
+        .drop(*WORK)
     )
-    text = answer_text(F.col(prompt), code, F.col("_facts"), aliases=aliases)
-    reply = F.when(F.col("blocked"), blocked_message(code)).otherwise(text)
-    return with_facts.withColumn("answer", ws_rejoin(reply)).drop("_facts")

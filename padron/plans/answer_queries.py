@@ -67,7 +67,7 @@ def intent_classify(spark, sf):
     )
     asked = prompts(spark, sf).select("id", "prompt").unionByName(turns)
     return asked.select(
-        "id", F.coalesce(qa.intent(F.col("prompt")), F.lit("other")).alias("intent")
+        "id", F.coalesce(qa.intent(fold(F.col("prompt"))), F.lit("other")).alias("intent")
     )
 
 
@@ -88,9 +88,11 @@ named AS (SELECT p.*, h."CCAA" AS region, h."Gasto_Promedio_Hogar_Eur" AS spend,
 def region_alias_join(spark, sf):
     digest = qa.facts_digest(home(spark, sf), NATION_ALIASES)
     regions = digest.select("regions").scalar()
-    asked = prompts(spark, sf).withColumn("regions", regions)
+    asked = prompts(spark, sf).withColumns(
+        {"regions": regions, "folded": fold(F.col("prompt"))}
+    )
     named = asked.withColumn(
-        "region", qa.region_of(F.col("prompt"), F.col("regions"), NATION_ALIASES)
+        "region", qa.region_of(F.col("folded"), F.col("regions"), NATION_ALIASES)
     ).filter("region IS NOT NULL")
     fact = F.try_element_at("regions", "region")
     return named.select("id", "region", fact["spend"].alias("spend"), fact["licences"].alias("licences"))
@@ -221,6 +223,3 @@ def load_per_minute(spark, sf):
     """The last 20 minutes, which is the panel's range."""
     load = per_minute(table(spark, sf, "events"))
     return load.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
-
-
-__all__ = ["fold"]

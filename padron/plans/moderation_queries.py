@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from padron.functions.numbers import round_even
 from padron.functions.scores import over_threshold, softmax_positive
-from padron.functions.text import fold_text
+from padron.functions.text import fold_long, fold_text
 from padron.lookups import BLOCKED_TERMS, TOXIC_THRESHOLD
 from padron.operators import labels, metrics, model, moderation, sampling
 from padron.plans.record_queries import TRIM
@@ -66,24 +66,28 @@ HITS_SQL = (
 )
 
 
+def folded_texts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", fold_long(F.col("text")).alias("folded"))
+
+
 @register(
     "toxic_lexical",
     f"SELECT doc_id, {SUBSTRING_SQL} AS substring, {WORD_SQL} AS word, {HITS_SQL} AS hits"
     " FROM documents",
 )
 def toxic_lexical(spark, sf):
-    text = F.col("text")
-    return table(spark, sf, "documents").select(
+    folded = F.col("folded")
+    return folded_texts(spark, sf).select(
         "doc_id",
-        moderation.lexical_flag(text, TERMS, "substring").alias("substring"),
-        moderation.lexical_flag(text, TERMS, "word").alias("word"),
-        F.array_join(moderation.lexical_hits(text, TERMS, "substring"), ",").alias("hits"),
+        moderation.lexical_flag(folded, TERMS, "substring").alias("substring"),
+        moderation.lexical_flag(folded, TERMS, "word").alias("word"),
+        F.array_join(moderation.lexical_hits(folded, TERMS, "substring"), ",").alias("hits"),
     )
 
 
 def predicted(spark, sf):
     rows = labelled(spark, sf)
-    flag = moderation.lexical_flag(F.col("text"), TERMS, "word").cast("int")
+    flag = moderation.lexical_flag(fold_long(F.col("text")), TERMS, "word").cast("int")
     return rows.select("label", flag.alias("pred"))
 
 
@@ -152,9 +156,9 @@ FROM (SELECT doc_id, 1.0 / (1.0 + exp(1.0 - 2.0 * len(list_filter([
 )
 def toxic_threshold(spark, sf):
     """Two logits per text: a constant, and two per term found."""
-    hits = F.size(moderation.lexical_hits(F.col("text"), TERMS, "substring"))
+    hits = F.size(moderation.lexical_hits(F.col("folded"), TERMS, "substring"))
     score = softmax_positive(F.lit(1.0), hits * F.lit(2.0))
-    scored = table(spark, sf, "documents").select("doc_id", score.alias("score"))
+    scored = folded_texts(spark, sf).select("doc_id", score.alias("score"))
     return scored.select(
         "doc_id",
         round_even(F.col("score"), 6).alias("score"),

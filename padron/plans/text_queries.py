@@ -18,7 +18,7 @@ TOKENS = r"string_split_regex(trim(text, " + CELL_WS + r"), '\s+')"
     "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents",
 )
 def text_normalize(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", text.fold_long(F.col("text")).alias("folded"))
 
 
 PHRASES = ("idiot", "más", "été", "über")
@@ -32,7 +32,7 @@ PHRASES = ("idiot", "más", "été", "über")
 )
 def contains_any(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", text.contains_any(text.fold(F.col("text")), PHRASES).alias("hit"))
+    return docs.select("doc_id", text.contains_any(text.fold_long(F.col("text")), PHRASES).alias("hit"))
 
 
 @register("contains_filter", "SELECT doc_id, source FROM documents WHERE contains(text, 'idiot')")
