@@ -5,6 +5,7 @@ from __future__ import annotations
 from padron.plans import (  # noqa: F401
     answer_queries,
     indicator_queries,
+    lake_queries,
     moderation_queries,
     record_queries,
     text_queries,

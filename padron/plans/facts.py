@@ -169,6 +169,9 @@ def es(number: str, digits: int = 2) -> str:
     return f"translate(format('{{:,.{digits}f}}', {number}), ',.', '.,')"
 
 
+ROUNDED_MEAN = "CAST(printf('%.2f', mean) AS DOUBLE)"
+
+
 def es_any(number: str) -> str:
     """SQL for Spanish number text, without decimals for whole values."""
     return f"CASE WHEN ({number}) = floor({number}) THEN {es(number, 0)} ELSE {es(number)} END"

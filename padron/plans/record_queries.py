@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from padron.functions import chat
 from padron.functions.hashing import hex_threshold
 from padron.functions.numbers import format_number_es
-from padron.lookups import SAMPLE_CAP, SYSTEM_PROMPT, ZONE_COL
+from padron.lookups import SAMPLE_CAP, SYSTEM_PROMPT
 from padron.operators import conversations, generators, sampling
 from padron.plans.facts import (
     INDICATORS_SQL,
     LINE_MEANS_SQL,
     ORDER_COUNTS_SQL,
+    ROUNDED_MEAN,
     es_any,
     home,
     line_means,
@@ -316,7 +317,7 @@ def qa_pairs_eu(spark, sf):
 MEAN_PAIRS = f"""
 SELECT 'gasto_01.csv' AS file_name,
   '¿Cuál fue el gasto deportivo en ' || n_name || ' en ' || periodo || '?' AS question,
-  'El gasto deportivo en ' || n_name || ' en ' || periodo || ' fue de ' || {es_any('mean')} || '.'
+  'El gasto deportivo en ' || n_name || ' en ' || periodo || ' fue de ' || {es_any(ROUNDED_MEAN)} || '.'
   AS answer FROM line_means"""
 
 UNION_SQL = f"""
@@ -348,5 +349,3 @@ def union_pairs(spark, sf):
     generated = generators.qa_pairs(facts, "spend", ["origin"])
     return generators.union_pairs(general_pairs(spark, sf), generated)
 
-
-__all__ = ["EXCHANGES_SQL", "ZONE_COL", "general_pairs", "template_sql"]

@@ -19,7 +19,9 @@ from padron.operators.columns import coalesce_columns
 
 SEP = ";"
 LINEAGE = ["category", "wave", "file_name", "file_path"]
-CORRUPT = "_corrupt_record"
+# One cell past the header shows an overlong row. The last column is never read,
+# which keeps the reader on its pruned path: cells by position, no error per row.
+EXTRA, UNREAD = "_extra", "_unread"
 
 
 def below_raw(path: Column) -> Column:
@@ -31,7 +33,7 @@ def below_raw(path: Column) -> Column:
 def lineage(path: Column) -> dict[str, Column]:
     """Category, survey wave, file and path; part files count as the file they sit in."""
     inner = below_raw(path)
-    wave = F.regexp_extract(inner, r"/((?:19|20)[0-9]{2}(?:[_-](?:19|20)[0-9]{2})?)/", 1)
+    wave = F.regexp_extract(inner, r"/(?:[^/=]+=)?((?:19|20)[0-9]{2}(?:[_-](?:19|20)[0-9]{2})?)/", 1)
     return {
         "category": path_category(inner),
         "wave": F.nullif(wave, F.lit("")),
@@ -123,29 +125,18 @@ def _no_missing_text(cell: Column) -> Column:
 
 
 def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
-    """All files of one header: text cells, plus a mark on rows with too many cells."""
-    fields = [T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]]
+    """All files of one header: text cells, lineage, and a mark on rows with too many cells."""
+    fields = [T.StructField(c, T.StringType()) for c in [*columns, EXTRA, UNREAD]]
     raw = (
         spark.read.schema(T.StructType(fields))
-        .options(
-            sep=SEP,
-            header=True,
-            encoding="UTF-8",
-            quote='"',
-            escape='"',
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord=CORRUPT,
-        )
+        .options(sep=SEP, header=True, encoding="UTF-8", quote='"', escape='"', mode="PERMISSIVE")
         .csv(paths)
     )
-    unquoted = F.regexp_replace(F.col(CORRUPT), r'"[^"]*"', "")
-    overlong = F.size(F.split(unquoted, SEP)) > len(columns)
-    path = F.col("_metadata.file_path")
-    cells = {f"`{c}`": c for c in columns}
+    path = F.url_decode(F.col("_metadata.file_path"))
     return raw.select(
-        *[_no_missing_text(clean_cell(F.col(q))).alias(c) for q, c in cells.items()],
-        *[expr.alias(name) for name, expr in lineage(F.url_decode(path)).items()],
-        F.coalesce(F.col(CORRUPT).isNotNull() & overlong, F.lit(False)).alias("overlong"),
+        *[_no_missing_text(clean_cell(F.col(f"`{c}`"))).alias(c) for c in columns],
+        *[expr.alias(name) for name, expr in lineage(path).items()],
+        F.col(EXTRA).isNotNull().alias("overlong"),
     )
 
 
