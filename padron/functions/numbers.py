@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from padron.functions.text import strip
 
 NBSP = "\xa0"
-FLOAT_TEXT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
-# A comma, several dots, or one dot before exactly three digits: dots group thousands.
-GROUPED = r",|\..*\.|^[0-9]+\.[0-9]{3}$"
+# Characters of a plain number; Java would also take a type suffix such as ``1d``.
+NUMBER_CHARS = r"^(?:[-+.0-9eE]+|[-+]?(?i:inf|infinity))$"
+# Several dots, or one dot before exactly three digits: dots group thousands.
+GROUPED = r"\..*\.|^[0-9]+\.[0-9]{3}$"
 
 
 def parse_number_es(text: Column) -> Column:
     """``1.234,5``, ``1.234`` and ``1.234.567`` by Spanish rules; missing or bad is null."""
     raw = F.translate(strip(text), NBSP + " ", "")
     # A dot without a partner in the target string is deleted.
-    number = F.when(raw.rlike(GROUPED), F.translate(raw, ",.", ".")).otherwise(raw)
-    return F.regexp_extract(number, FLOAT_TEXT, 0).try_cast("double")
+    ungrouped = F.translate(raw, ",.", ".")
+    number = (
+        F.when(F.contains(raw, F.lit(",")), ungrouped)
+        .when(raw.rlike(GROUPED), ungrouped)
+        .otherwise(raw)
+    )
+    return F.when(number.rlike(NUMBER_CHARS), number.try_cast("double"))
 
 
 def _spanish(text: Column) -> Column:

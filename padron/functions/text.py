@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import operator
 import re
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What str.strip() and str.split() take as white space.
 WHITE = "".join(chr(cp) for cp in range(sys.maxunicode + 1) if chr(cp).isspace())
-WHITE_CLASS = "[" + "".join(rf"\x{{{ord(ch):x}}}" for ch in WHITE) + "]+"
+ASCII_WHITE = r"\t-\r\x{1c}-\x{20}"
+EXOTIC_WHITE = "".join(ch for ch in WHITE if ord(ch) > 0x7F)
 
 BOM = "\ufeff"
 BOM_AS_LATIN1 = "ï»¿"
@@ -87,50 +89,64 @@ def clean_cell(text: Column) -> Column:
     return strip(F.replace(text, F.lit(BOM), F.lit("")))
 
 
+def _plain_spaces(text: Column) -> Column:
+    """Stripped text with ASCII white space only, which a small character class can match."""
+    return F.translate(strip(text), EXOTIC_WHITE, " " * len(EXOTIC_WHITE))
+
+
 def ws_rejoin(text: Column, trailing: bool = True) -> Column:
-    """Words joined by one space; the word-by-word reply keeps a space after the last."""
-    joined = F.regexp_replace(strip(text), WHITE_CLASS, " ")
-    if not trailing:
-        return joined
-    return F.when(joined == "", joined).otherwise(F.concat(joined, F.lit(" ")))
+    """Words joined by one space; the word-by-word reply keeps a space after the last.
+
+    The pattern matches only what changes: a lone space is left alone.
+    """
+    change = rf"[\t-\r\x{{1c}}-\x{{1f}}][{ASCII_WHITE}]*| [{ASCII_WHITE}]+"
+    joined = F.regexp_replace(_plain_spaces(text), change, " ")
+    return F.regexp_replace(joined, r"(?<=[^ ])$", " ") if trailing else joined
 
 
 def words(text: Column) -> Column:
     """White-space tokens of the whole text; an empty text has none."""
-    bare = strip(text)
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(
-        F.split(bare, WHITE_CLASS)
-    )
+    return F.array_remove(F.split(_plain_spaces(text), f"[{ASCII_WHITE}]+"), "")
 
 
 MAX_TERMS = 500
+# Up to here a chain of byte searches beats one pattern with many branches.
+MAX_CHAIN = 64
 
 
 def _checked(terms) -> list[str]:
-    terms = [fold_text(t) for t in terms]
+    terms = list(dict.fromkeys(fold_text(t) for t in terms))
     if not 0 < len(terms) <= MAX_TERMS or any(not t.strip() for t in terms):
         raise ValueError(f"need 1 to {MAX_TERMS} non-blank terms, got {len(terms)}")
     return terms
 
 
+def _any_of(folded: Column, terms: list[str]) -> Column:
+    """Some term occurs; a term that holds a shorter one adds nothing."""
+    core = [t for t in terms if not any(o != t and o in t for o in terms)]
+    if len(core) > MAX_CHAIN:
+        return folded.rlike("|".join(map(re.escape, core)))
+    return reduce(operator.or_, [F.contains(folded, F.lit(t)) for t in core])
+
+
 def contains_any(folded: Column, terms, mode: str = "substring") -> Column:
     """True where a folded text holds one of the terms (folded here).
 
-    ``substring`` hits inside longer words; ``word`` asks for word limits.
+    ``substring`` hits inside longer words; ``word`` asks for word limits and
+    runs its pattern only on texts with a substring hit. The input is
+    mentioned many times: pass a column, not a long expression.
     """
-    body = "|".join(re.escape(t) for t in sorted(_checked(terms), key=len, reverse=True))
+    terms = _checked(terms)
+    found = _any_of(folded, terms)
     if mode == "substring":
-        return folded.rlike(body)
+        return found
     if mode == "word":
-        return folded.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])")
+        body = "|".join(re.escape(t) for t in terms)
+        return found & folded.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])")
     raise ValueError(f"unknown mode {mode!r}")
 
 
 def matched_terms(folded: Column, terms, mode: str = "substring") -> Column:
     """The terms found, in list order."""
-    hits = [
-        F.when(contains_any(folded, [t], mode) if mode == "word" else F.contains(folded, F.lit(t)),
-               F.lit(t))
-        for t in _checked(terms)
-    ]
+    hits = [F.when(contains_any(folded, [t], mode), F.lit(t)) for t in _checked(terms)]
     return F.array_compact(F.array(*hits))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padron.functions.chat import chat_record
+from padron.functions.hashing import SEP
 from padron.functions.numbers import format_number_es, parse_number_es
 from padron.functions.text import strip
 from padron.lookups import CATEGORY_FAMILY, SAMPLE_CAP, SEED, ZONE_COL
@@ -19,16 +20,22 @@ NO_DATA = "N/D"
 
 
 class Facts:
-    """Column access by header, with a default for an absent or empty cell."""
+    """Column access by header, with a default for an absent or empty cell.
+
+    Remembers which headers a template asked for, in order.
+    """
 
     def __init__(self, columns: list[str]):
         self._names = {c.lower(): c for c in columns}
+        self.used: list[str] = []
 
     def maybe(self, name: str) -> Column:
         """The filled cell, else null."""
         column = self._names.get(name.lower())
         if column is None:
             return F.lit(None).cast("string")
+        if column not in self.used:
+            self.used.append(column)
         cell = strip(F.col(f"`{column}`").cast("string"))
         return F.when(cell != "", cell)
 
@@ -138,59 +145,66 @@ FAMILIES: dict[str, Template] = {
 }
 
 
-def with_shown_total(facts: DataFrame) -> DataFrame:
-    """Facts with a measure, and the measure as shown; text that is no number stays."""
+def _shown_total(facts: DataFrame) -> DataFrame:
+    """Add the measure as a sentence shows it; text that is no number stays."""
     shown = F.coalesce(format_number_es(F.col("_value")), strip(F.col("Total")))
-    return (
-        drop_missing(facts, "Total")
-        .withColumn("_value", parse_number_es(F.col("Total")))
-        .withColumn("_shown", shown)
-    )
+    return facts.withColumn("_value", parse_number_es(F.col("Total"))).withColumn("_shown", shown)
 
 
-def qa_pairs(
+def _cells(facts: Facts) -> list[Column]:
+    """What identifies a record: the cells its template shows."""
+    return [F.col(f"`{c}`").cast("string") for c in [*facts.used, "Total"]]
+
+
+def lake_pairs(
     facts: DataFrame,
-    family: str,
     by: list[str] = ("file_path",),
     cap: int = SAMPLE_CAP,
     seed: int = SEED,
+    families: dict[str, str] | None = None,
 ) -> DataFrame:
-    """(``by``, question, answer) of at most ``cap`` facts per source group.
+    """(``by``, question, answer) of at most ``cap`` facts per source group of a lake.
 
-    Facts become narrow text first; the sample then moves only survivors.
+    One pass over all families. The sample is drawn on a hash of the raw cells
+    first, so numbers and sentences are made for the survivors only.
     """
-    rows = with_shown_total(facts)
-    question, answer = FAMILIES[family](Facts(facts.columns))
-    pairs = rows.select(*by, strip(question).alias("question"), strip(answer).alias("answer"))
-    return capped_sample(pairs, list(by), ["question", "answer"], cap, seed)
+    routed: dict[str, list[str]] = {}
+    for category, family in (families or CATEGORY_FAMILY).items():
+        routed.setdefault(family, []).append(category)
+    access = {name: Facts(facts.columns) for name in routed}
+    texts = {name: FAMILIES[name](access[name]) for name in routed}
+
+    def pick(choices: dict[str, Column]) -> Column:
+        return F.coalesce(
+            *[
+                F.when(F.col("category").isin(*categories), choices[name])
+                for name, categories in routed.items()
+            ]
+        )
+
+    key = pick({name: F.concat_ws(SEP, *_cells(access[name])) for name in routed})
+    used = list(dict.fromkeys(c for f in access.values() for c in f.used))
+    rows = drop_missing(facts, "Total").filter(
+        F.col("category").isin(*[c for group in routed.values() for c in group])
+    )
+    narrow = dict.fromkeys([*by, "category", *used, "Total"])
+    keyed = rows.select(*[F.col(f"`{c}`") for c in narrow], key.alias("_key"))
+    sample = _shown_total(capped_sample(keyed, list(by), ["_key"], cap, seed))
+    question = pick({name: strip(texts[name][0]) for name in routed})
+    answer = pick({name: strip(texts[name][1]) for name in routed})
+    return sample.select(*by, question.alias("question"), answer.alias("answer"))
 
 
-def lake_pairs(
+def qa_pairs(
     facts: DataFrame,
+    family: str,
     by: list[str] = ("file_path",),
     cap: int = SAMPLE_CAP,
     seed: int = SEED,
-    families: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Pairs of a whole lake: one pass per family, sampled together."""
-    routed: dict[str, list[str]] = {}
-    for category, family in (families or CATEGORY_FAMILY).items():
-        routed.setdefault(family, []).append(category)
-    rows = with_shown_total(facts)
-    choose = Facts(facts.columns)
-    texts = {name: FAMILIES[name](choose) for name in routed}
-
-    def pick(side: int) -> Column:
-        whens = [
-            F.when(F.col("category").isin(*routed[name]), strip(texts[name][side]))
-            for name in routed
-        ]
-        return F.coalesce(*whens)
-
-    pairs = rows.filter(
-        F.col("category").isin(*[c for group in routed.values() for c in group])
-    ).select(*by, pick(0).alias("question"), pick(1).alias("answer"))
-    return capped_sample(pairs, list(by), ["question", "answer"], cap, seed)
+    """``lake_pairs`` for facts of one family."""
+    one = facts.withColumn("category", F.lit(family))
+    return lake_pairs(one, by, cap, seed, {family: family})
 
 
 def union_pairs(*frames: DataFrame) -> DataFrame:

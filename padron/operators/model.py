@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from padron.functions.scores import over_threshold
 from padron.functions.text import fold_long, words
-from padron.lookups import TOXIC_THRESHOLD
 from padron.operators.metrics import binary_metrics, confusion_matrix
 
 FEATURES = 1 << 16
@@ -36,12 +35,24 @@ def _weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.coalesce(weight, F.lit(1.0)))
 
 
-def featuriser() -> Pipeline:
+def _even(df: DataFrame) -> DataFrame:
+    """Rows spread over all cores: training passes over them many times."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def fit_features(tokens: DataFrame) -> PipelineModel:
+    """Term counts weighted by document frequency."""
     return Pipeline(
         stages=[
             HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES),
             IDF(inputCol="tf", outputCol="features", minDocFreq=1),
         ]
+    ).fit(tokens)
+
+
+def regression(label: str, max_iter: int, reg: float) -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, regParam=reg
     )
 
 
@@ -49,18 +60,24 @@ def train(
     df: DataFrame, text: str = "text", label: str = "label", max_iter: int = 20, reg: float = 0.01
 ) -> PipelineModel:
     """Fit on (text, label). Fitting reduces over the data; no rows reach the driver."""
-    rows = _weights(_tokens(df, text), label).select("tokens", label, "weight")
-    regression = LogisticRegression(
-        labelCol=label, weightCol="weight", maxIter=max_iter, regParam=reg
-    )
-    return Pipeline(stages=[*featuriser().getStages(), regression]).fit(rows)
+    tokens = _tokens(_even(df.select(text, label)), text).select("tokens", label)
+    tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
+    features = None
+    try:
+        fitted = fit_features(tokens)
+        features = _weights(fitted.transform(tokens), label).select("features", label, "weight")
+        features = features.persist(StorageLevel.MEMORY_AND_DISK)
+        return PipelineModel([*fitted.stages, regression(label, max_iter, reg).fit(features)])
+    finally:
+        tokens.unpersist()
+        if features is not None:
+            features.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``score``, the probability of the toxic class."""
     scored = model.transform(_tokens(df, text))
-    probability = vector_to_array("probability")[1]
-    return scored.select(*df.columns, probability.alias("score"))
+    return scored.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 
 def evaluate(scored: DataFrame, label: str = "label", threshold: float = 0.5) -> DataFrame:
@@ -74,27 +91,36 @@ def select_best(
     passes: Iterable[int] = (1, 2, 3, 4, 5),
     text: str = "text",
     label: str = "label",
+    reg: float = 0.01,
 ) -> tuple[PipelineModel, DataFrame]:
-    """The model with the best held-out F1 over a number of passes, and all scores.
+    """The model with the best held-out F1 over a number of passes, and all results.
 
-    Tokens are kept between fits. The earliest pass wins a tie.
+    Features are made once and kept for all fits. The earliest pass wins a tie.
     """
-    training = training.select(text, label).persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = held_out.select(text, label).persist(StorageLevel.MEMORY_AND_DISK)
-    best, best_f1, report = None, -1.0, None
+    spark, level = training.sparkSession, StorageLevel.MEMORY_AND_DISK
+    tokens = _tokens(_even(training.select(text, label)), text).select("tokens", label)
+    kept = [tokens.persist(level)]
     try:
+        fitted = fit_features(tokens)
+        features = _weights(fitted.transform(tokens), label).select("features", label, "weight")
+        other = fitted.transform(_tokens(_even(held_out.select(text, label)), text))
+        kept += [features.persist(level), other.select("features", label).persist(level)]
+        results, best, best_f1 = [], None, -1.0
         for n in passes:
-            model = train(training, text, label, max_iter=n)
-            row = evaluate(score(model, held_out, text), label).withColumn("passes", F.lit(n))
-            result = row.first()
-            if result["f1"] > best_f1:
-                best, best_f1 = model, result["f1"]
-            line = training.sparkSession.createDataFrame([result], row.schema)
-            report = line if report is None else report.unionByName(line)
+            model = regression(label, n, reg).fit(kept[1])
+            scored = model.transform(kept[2]).select(
+                label, vector_to_array("probability")[1].alias("score")
+            )
+            row = evaluate(scored, label).first()
+            results.append((n, *row))
+            if row["f1"] > best_f1:
+                best, best_f1 = PipelineModel([*fitted.stages, model]), row["f1"]
     finally:
-        training.unpersist()
-        held_out.unpersist()
+        for frame in kept:
+            frame.unpersist()
+    schema = (
+        "passes int, tp long, fp long, fn long, tn long,"
+        " accuracy double, precision double, recall double, f1 double"
+    )
+    report = spark.createDataFrame(results, schema)
     return best, report.withColumn("best", F.col("f1") == F.lit(best_f1))
-
-
-__all__ = ["TOXIC_THRESHOLD", "evaluate", "featuriser", "score", "select_best", "train"]

@@ -66,9 +66,8 @@ def intent_classify(spark, sf):
         F.concat(F.lit("m"), "conv_id", F.lit(":"), "turn").alias("id"), F.col("text").alias("prompt")
     )
     asked = prompts(spark, sf).select("id", "prompt").unionByName(turns)
-    return asked.select(
-        "id", F.coalesce(qa.intent(fold(F.col("prompt"))), F.lit("other")).alias("intent")
-    )
+    folded = asked.select("id", fold(F.col("prompt")).alias("folded"))
+    return folded.select("id", F.coalesce(qa.intent(F.col("folded")), F.lit("other")).alias("intent"))
 
 
 # Which region a prompt names, by the same rule as the alias list.

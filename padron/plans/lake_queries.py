@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from padron.functions.chat import chat_template
 from padron.functions.numbers import format_number_es
-from padron.lookups import SAMPLE_CAP
 from padron.operators import generators
 from padron.operators.columns import add_metadata
 from padron.plans.facts import (
@@ -19,7 +18,7 @@ from padron.plans.facts import (
     order_counts,
 )
 from padron.plans.moderation_queries import labelled
-from padron.plans.record_queries import EXCHANGES_SQL, general_pairs, template_sql
+from padron.plans.record_queries import EXCHANGES_SQL, capped_sql, general_pairs, template_sql
 from padron.plans.registry import register, table
 from padron.session import scratch_dir
 from padron.sources import files, lake
@@ -256,16 +255,10 @@ def ingest_report(spark, sf):
     )
 
 
-def _capped(pairs: str) -> str:
-    return (
-        f"SELECT * FROM ({pairs}) QUALIFY row_number() OVER (PARTITION BY origin ORDER BY"
-        f" md5('42:' || question || '|' || answer), question, answer) <= {SAMPLE_CAP}"
-    )
-
-
 def _habits_sql(zone: str, what: str, value: str, wave: str, source: str) -> str:
     year = wave[:4]
-    return f"""SELECT 'habitos_deportivos/{wave}/practica_03.csv' AS origin,
+    return f"""SELECT concat_ws('|', {zone}, {what}, '{year}', {value}) AS k,
+  'habitos_deportivos/{wave}/practica_03.csv' AS origin,
   '¿Cuál fue el porcentaje de ''' || {what} || ''' en ' || {zone} || ' (encuesta {year})?'
     AS question,
   'Según la encuesta de hábitos deportivos de {year}, el indicador ''' || {what} || ''' en '
@@ -274,17 +267,20 @@ def _habits_sql(zone: str, what: str, value: str, wave: str, source: str) -> str
 
 TRAINING_SQL = f"""
 WITH {ORDER_COUNTS_SQL}, {LINE_MEANS_SQL}, {EXCHANGES_SQL},
-federated AS (SELECT 'deporte_federado//federado_01.csv' AS origin,
+federated AS (SELECT concat_ws('|', prioridad, n_name, periodo, estado,
+    {es_any('CAST(n AS DOUBLE)')}) AS k, 'deporte_federado//federado_01.csv' AS origin,
   '¿Cuántos deportistas de ' || prioridad || ' (' || lower(estado) || ') en ' || n_name || ' en '
     || periodo || '?' AS question,
   'El número de deportistas de la federación ' || prioridad || ' en ' || n_name
     || ' en el periodo ' || periodo || ' fue de ' || {es_any('CAST(n AS DOUBLE)')} || '.' AS answer
   FROM order_counts),
-households AS (SELECT 'gasto_hogares//gasto_01.csv' AS origin,
+households AS (SELECT concat_ws('|', 'Gasto medio', n_name, periodo, {es_any('mean')}) AS k,
+  'gasto_hogares//gasto_01.csv' AS origin,
   '¿Cuál fue el gasto medio en ' || n_name || ' en ' || periodo || '?' AS question,
   'El gasto medio en ' || n_name || ' en ' || periodo || ' fue de ' || {es_any(ROUNDED_MEAN)} || '.'
     AS answer FROM line_means),
-companies AS (SELECT 'empresa_deporte//D6F01001.csv' AS origin,
+companies AS (SELECT concat_ws('|', p_type, p_brand, {es_any('p_retailprice')}) AS k,
+  'empresa_deporte//D6F01001.csv' AS origin,
   '¿Qué valor tuvo ''' || p_type || ''' en la actividad ' || p_brand || ' en N/D?' AS question,
   'El indicador ''' || p_type || ''' para la actividad económica ' || p_brand
     || ' en N/D fue de ' || {es_any('p_retailprice')} || '.' AS answer FROM part
@@ -293,9 +289,9 @@ early AS ({_habits_sql('s_name', 's_nationkey', 's_acctbal', '2022', 'supplier')
 late AS ({_habits_sql('c_name', 'c_mktsegment', 'c_acctbal', '2024_2025', 'customer')}),
 pairs AS (
   SELECT 'conv ' || conv_id || ':' || turn AS origin, question, answer FROM exchanges
-  UNION ALL {_capped('FROM federated')} UNION ALL {_capped('FROM households')}
-  UNION ALL {_capped('FROM companies')} UNION ALL {_capped('FROM early')}
-  UNION ALL {_capped('FROM late')})
+  UNION ALL {capped_sql('FROM federated', 'origin')} UNION ALL {capped_sql('FROM households', 'origin')}
+  UNION ALL {capped_sql('FROM companies', 'origin')} UNION ALL {capped_sql('FROM early', 'origin')}
+  UNION ALL {capped_sql('FROM late', 'origin')})
 SELECT row_number() OVER (ORDER BY md5('42:' || origin || '|' || question || '|' || answer),
     origin, question, answer) - 1 AS position, {template_sql('question', 'answer')} AS text
 FROM pairs

@@ -86,8 +86,8 @@ def toxic_lexical(spark, sf):
 
 
 def predicted(spark, sf):
-    rows = labelled(spark, sf)
-    flag = moderation.lexical_flag(fold_long(F.col("text")), TERMS, "word").cast("int")
+    rows = labelled(spark, sf).withColumn("folded", fold_long(F.col("text")))
+    flag = moderation.lexical_flag(F.col("folded"), TERMS, "word").cast("int")
     return rows.select("label", flag.alias("pred"))
 
 

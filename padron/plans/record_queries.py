@@ -160,17 +160,21 @@ def chat_template(spark, sf):
     )
 
 
-def _sample_sql(ctes: str, pairs: str, by: str) -> str:
-    prefix = f"WITH {ctes}, " if ctes else "WITH "
+def capped_sql(pairs: str, by: str) -> str:
+    """SQL for the sample: the smallest hashes of the raw cells, column ``k``."""
     return (
-        f"{prefix}pairs AS ({pairs}) SELECT {by}, question, answer FROM pairs QUALIFY"
-        f" row_number() OVER (PARTITION BY {by} ORDER BY md5('42:' || question || '|' || answer),"
-        f" question, answer) <= {SAMPLE_CAP}"
+        f"SELECT {by}, question, answer FROM ({pairs}) QUALIFY row_number() OVER"
+        f" (PARTITION BY {by} ORDER BY md5('42:' || k), k) <= {SAMPLE_CAP}"
     )
 
 
+def _sample_sql(ctes: str, pairs: str, by: str) -> str:
+    return (f"WITH {ctes} " if ctes else "") + capped_sql(pairs, by)
+
+
 FEDERATED_PAIRS = f"""
-SELECT 'federado_' || periodo || '.csv' AS file_name,
+SELECT concat_ws('|', prioridad, n_name, periodo, estado, {es_any('CAST(n AS DOUBLE)')}) AS k,
+  'federado_' || periodo || '.csv' AS file_name,
   '¿Cuántos deportistas de ' || prioridad || ' (' || lower(estado) || ') en ' || n_name || ' en '
     || periodo || '?' AS question,
   'El número de deportistas de la federación ' || prioridad || ' en ' || n_name
@@ -195,7 +199,8 @@ def qa_pairs_federated(spark, sf):
 
 
 SPEND_PAIRS = f"""
-SELECT p_type AS file_name, '¿Cuál fue el precio medio para ''' || p_brand || ''' en N/D?'
+SELECT concat_ws('|', 'Precio Medio', p_brand, {es_any('p_retailprice')}) AS k,
+  p_type AS file_name, '¿Cuál fue el precio medio para ''' || p_brand || ''' en N/D?'
   AS question,
   'El precio medio para ''' || p_brand || ''' en N/D fue de ' || {es_any('p_retailprice')} || '.'
   AS answer FROM part"""
@@ -213,7 +218,8 @@ def qa_pairs_spend(spark, sf):
 
 
 EMPLOYMENT_PAIRS = f"""
-SELECT c_mktsegment AS file_name,
+SELECT concat_ws('|', 'Saldo', c_nationkey, c_name, c_acctbal) AS k,
+  c_mktsegment AS file_name,
   '¿Cuál fue el valor de ''Saldo'' para ' || c_name || ' en ' || c_nationkey || '?' AS question,
   'El indicador ''Saldo'' para el perfil ' || c_name || ' en ' || c_nationkey
     || ' registró un valor de ' || {es_any('c_acctbal')} || '.' AS answer FROM customer"""
@@ -232,7 +238,8 @@ def qa_pairs_employment(spark, sf):
 
 
 COMPANY_PAIRS = f"""
-SELECT s_nationkey AS file_name, '¿Qué valor tuvo ''empresas deportivas'' en la actividad '
+SELECT concat_ws('|', s_name, s_acctbal) AS k,
+  s_nationkey AS file_name, '¿Qué valor tuvo ''empresas deportivas'' en la actividad '
     || s_name || ' en N/D?' AS question,
   'El indicador ''empresas deportivas'' para la actividad económica ' || s_name
     || ' en N/D fue de ' || {es_any('s_acctbal')} || '.' AS answer FROM supplier"""
@@ -249,7 +256,8 @@ def qa_pairs_company(spark, sf):
 
 
 HABITS_PAIRS = f"""
-SELECT source AS file_name, '¿Cuál fue el porcentaje de ''' || lang || ''' en España (encuesta '
+SELECT concat_ws('|', lang, nullif(anio, 'N/D'), {es_any('CAST(n_chars AS DOUBLE)')}) AS k,
+  source AS file_name, '¿Cuál fue el porcentaje de ''' || lang || ''' en España (encuesta '
     || anio || ')?' AS question,
   'Según la encuesta de hábitos deportivos de ' || anio || ', el indicador ''' || lang
     || ''' en España fue del ' || {es_any('CAST(n_chars AS DOUBLE)')} || '%.' AS answer
@@ -269,7 +277,8 @@ def qa_pairs_habits(spark, sf):
 
 
 AFFILIATION_PAIRS = f"""
-SELECT event_type AS file_name, '¿Cuál fue el indicador de ''' || event_type || ''' para '
+SELECT concat_ws('|', event_type, periodo, nullif(left(sexo, 5), ''), 'usuario ' || user_id, value) AS k,
+  event_type AS file_name, '¿Cuál fue el indicador de ''' || event_type || ''' para '
     || sexo || 'actividad ''usuario ' || user_id || ''' en ' || periodo || '?' AS question,
   'El indicador ''' || event_type || ''' ' || CASE WHEN sexo = '' THEN '' ELSE 'para Total ' END
     || 'en ' || periodo || ' fue de ' || {es_any('value')} || '.' AS answer
@@ -292,7 +301,8 @@ def qa_pairs_affiliation(spark, sf):
 
 
 EU_PAIRS = f"""
-SELECT l_returnflag AS file_name, '¿Cuál fue el valor de ''indicador EU'' en ' || l_returnflag
+SELECT concat_ws('|', l_returnflag, 'pedido ' || l_orderkey, year(l_shipdate), {es_any('l_extendedprice')}) AS k,
+  l_returnflag AS file_name, '¿Cuál fue el valor de ''indicador EU'' en ' || l_returnflag
     || ', pedido ' || l_orderkey || ' (' || year(l_shipdate) || ')?' AS question,
   'El indicador armonizado ''indicador EU'' en ' || l_returnflag || ' para pedido ' || l_orderkey
     || ' en ' || year(l_shipdate) || ' fue de ' || {es_any('l_extendedprice')} || '.' AS answer
@@ -315,15 +325,15 @@ def qa_pairs_eu(spark, sf):
 
 
 MEAN_PAIRS = f"""
-SELECT 'gasto_01.csv' AS file_name,
+SELECT concat_ws('|', n_name, periodo, {es_any('mean')}) AS k,
+  'gasto_01.csv' AS file_name,
   '¿Cuál fue el gasto deportivo en ' || n_name || ' en ' || periodo || '?' AS question,
   'El gasto deportivo en ' || n_name || ' en ' || periodo || ' fue de ' || {es_any(ROUNDED_MEAN)} || '.'
   AS answer FROM line_means"""
 
 UNION_SQL = f"""
 WITH {LINE_MEANS_SQL}, {EXCHANGES_SQL},
-generated AS ({MEAN_PAIRS} QUALIFY row_number() OVER
-  (PARTITION BY file_name ORDER BY md5('42:' || question || '|' || answer)) <= {SAMPLE_CAP}),
+generated AS ({capped_sql(MEAN_PAIRS, 'file_name')}),
 pairs AS (
   SELECT 'conv ' || conv_id || ':' || turn AS origin, question, answer FROM exchanges
   UNION ALL SELECT file_name, question, answer FROM generated)

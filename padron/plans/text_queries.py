@@ -31,8 +31,8 @@ PHRASES = ("idiot", "más", "été", "über")
     + " AS hit FROM (SELECT doc_id, strip_accents(lower(text)) AS f FROM documents)",
 )
 def contains_any(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", text.contains_any(text.fold_long(F.col("text")), PHRASES).alias("hit"))
+    docs = table(spark, sf, "documents").withColumn("folded", text.fold_long(F.col("text")))
+    return docs.select("doc_id", text.contains_any(F.col("folded"), PHRASES).alias("hit"))
 
 
 @register("contains_filter", "SELECT doc_id, source FROM documents WHERE contains(text, 'idiot')")
