@@ -36,8 +36,11 @@ def _weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def _even(df: DataFrame) -> DataFrame:
-    """Rows spread over all cores: training passes over them many times."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows spread over all cores: training passes over them many times.
+
+    ``rebalance`` takes the number of partitions from the measured size.
+    """
+    return df.hint("rebalance")
 
 
 def fit_features(tokens: DataFrame) -> PipelineModel:

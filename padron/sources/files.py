@@ -13,6 +13,8 @@ LABELLED_SCHEMA = "text string, label int"
 
 # Rows per written file, so that one huge partition never becomes one huge file.
 MAX_RECORDS_PER_FILE = 5_000_000
+# Cells with line breaks keep a reader from splitting a file, so these stay small.
+MAX_TEXTS_PER_FILE = 100_000
 
 
 def read_semicolon(spark: SparkSession, path, columns: list[str]) -> DataFrame:
@@ -64,7 +66,7 @@ def write_csv(df: DataFrame, path: str) -> None:
             ignoreLeadingWhiteSpace=False,
             ignoreTrailingWhiteSpace=False,
         )
-        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", MAX_TEXTS_PER_FILE)
         .mode("errorifexists")
         .csv(path)
     )
@@ -76,6 +78,7 @@ def write_semicolon(df: DataFrame, path: str) -> None:
     (
         df.toDF("\ufeff" + first, *rest)
         .write.options(header=True, sep=";", quote='"', escape='"', emptyValue="")
+        .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
         .mode("errorifexists")
         .csv(path)
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,8 +60,12 @@ def _first_line(path: str, chunk: int = 1 << 16) -> bytes:
     """The first line by ranged reads, so a header costs one block at most."""
     from pyarrow import fs
 
-    uri = path if "://" in path else unquote(path.removeprefix("file:"))
-    files, name = fs.FileSystem.from_uri(uri)
+    if path.startswith("file:") or "://" not in path:
+        files, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        scheme, rest = path.split("://", 1)
+        scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+        files, name = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
     head = b""
     with files.open_input_file(name) as handle:
         while b"\n" not in head:
@@ -130,9 +135,10 @@ def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> Da
     raw = (
         spark.read.schema(T.StructType(fields))
         .options(sep=SEP, header=True, encoding="UTF-8", quote='"', escape='"', mode="PERMISSIVE")
-        .csv(paths)
+        .csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
     )
-    path = F.url_decode(F.col("_metadata.file_path"))
+    # The metadata path is percent-encoded, with plus signs left as they are.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return raw.select(
         *[_no_missing_text(clean_cell(F.col(f"`{c}`"))).alias(c) for c in columns],
         *[expr.alias(name) for name, expr in lineage(path).items()],
@@ -189,7 +195,7 @@ def ingest_report(files: DataFrame, facts: DataFrame, cap: int = SAMPLE_CAP) ->
         F.count("total_num").alias("with_total"),
         F.max("overlong").alias("bad"),
     )
-    seen = read_headers(files).withColumn("file_path", F.url_decode("file_path"))
+    seen = read_headers(files)
     names = F.transform(F.split("header", SEP), lambda c: F.trim(c))
     status = (
         F.when(~routed, F.lit("SKIP_CATEGORY"))

@@ -31,6 +31,7 @@ LAKE = {
     "Empresa_Deporte/roto.csv": "Indicador;Actividad económica;periodo;Total\nX;Y;2024;1\nX;Y;2024;2;de más\n",
     "Empresa_Deporte/corto.csv": "Indicador;Actividad económica;periodo;Total\nX;Y;2024;43.829,00\nX;Z\n",
     "Empleo_Deporte/Medias_Anuales/sin.csv": "Indicador;Sexo;periodo\nA;B;2024\n",
+    "Gasto_Hogares/a+b 50%25 [1]{2}.csv": "Indicador;periodo;Total\nGasto raro;2023;1\n",
     "Otros/x.csv": "Indicador;Total\nA;1\n",
 }
 
@@ -108,6 +109,7 @@ def test_lake_pairs(spark, root):
             "El número de deportistas de la federación FÚTBOL en Galicia en el periodo 2023 fue de 1.234.",
         "¿Cuál fue el gasto deportivo en TOTAL en 2023?": "El gasto deportivo en TOTAL en 2023 fue de 492.205.",
         "¿Cuál fue el gasto deportivo en A;B en 2023?": "El gasto deportivo en A;B en 2023 fue de 303.420.",
+        "¿Cuál fue el gasto raro en 2023?": "El gasto raro en 2023 fue de 1.",
         "¿Cuál fue el gasto total en 2023?": "El gasto total en 2023 fue de 6.326.",
         "¿Cuál fue el porcentaje de 'Practican' en TOTAL (encuesta 2022)?":
             "Según la encuesta de hábitos deportivos de 2022, el indicador 'Practican' en TOTAL fue del 57,30%.",
