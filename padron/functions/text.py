@@ -91,7 +91,11 @@ def clean_cell(text: Column) -> Column:
 
 def _plain_spaces(text: Column) -> Column:
     """Stripped text with ASCII white space only, which a small character class can match."""
-    return F.translate(strip(text), EXOTIC_WHITE, " " * len(EXOTIC_WHITE))
+    bare = strip(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, bare).otherwise(
+        F.translate(bare, EXOTIC_WHITE, " " * len(EXOTIC_WHITE))
+    )
 
 
 def ws_rejoin(text: Column, trailing: bool = True) -> Column:
@@ -101,12 +105,17 @@ def ws_rejoin(text: Column, trailing: bool = True) -> Column:
     """
     change = rf"[\t-\r\x{{1c}}-\x{{1f}}][{ASCII_WHITE}]*| [{ASCII_WHITE}]+"
     joined = F.regexp_replace(_plain_spaces(text), change, " ")
-    return F.regexp_replace(joined, r"(?<=[^ ])$", " ") if trailing else joined
+    if not trailing:
+        return joined
+    return F.concat(joined, F.when(strip(text) == "", F.lit("")).otherwise(F.lit(" ")))
 
 
 def words(text: Column) -> Column:
     """White-space tokens of the whole text; an empty text has none."""
-    return F.array_remove(F.split(_plain_spaces(text), f"[{ASCII_WHITE}]+"), "")
+    none = F.array().cast("array<string>")
+    return F.when(strip(text) == "", none).otherwise(
+        F.split(_plain_spaces(text), f"[{ASCII_WHITE}]+")
+    )
 
 
 MAX_TERMS = 500

@@ -15,6 +15,7 @@ from padron.functions.text import strip
 from padron.lookups import CATEGORY_FAMILY, SAMPLE_CAP, SEED, ZONE_COL
 from padron.operators.filters import drop_missing
 from padron.operators.sampling import capped_sample, shuffled
+from padron.session import saved
 
 NO_DATA = "N/D"
 
@@ -213,7 +214,11 @@ def union_pairs(*frames: DataFrame) -> DataFrame:
 
 
 def training_set(pairs: DataFrame, seed: int = SEED) -> DataFrame:
-    """Shuffled chat records. ``origin`` tells equal pairs of different sources apart."""
-    ordered = shuffled(pairs, ["origin", "question", "answer"], seed)
+    """Shuffled chat records. ``origin`` tells equal pairs of different sources apart.
+
+    The shuffle looks at its input twice, so the pairs are saved first: the
+    lake behind them is read once.
+    """
+    ordered = shuffled(saved(pairs, "pairs"), ["origin", "question", "answer"], seed)
     record = chat_record(F.col("question"), F.col("answer"))
     return ordered.select("position", record.alias("messages"))

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from padron.functions.numbers import fixed_text
 from padron.functions.text import strip
+from padron.lookups import SEED
+from padron.operators.sampling import shuffled
+from padron.session import saved
+from padron.sources.files import write_csv, write_jsonl
 
 
 def labelled_text(texts: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
@@ -16,10 +20,11 @@ def labelled_text(texts: DataFrame, labels: DataFrame, key: str, label: str) ->
     return texts.join(labels.select(key, F.col(label).cast("int").alias("label")), key, "inner")
 
 
-def labelled_union(*parts: tuple[DataFrame, int | None]) -> DataFrame:
+def labelled_union(*parts: tuple[DataFrame, int | None], keep: list[str] = ()) -> DataFrame:
     """One (text, label) table from lists; ``None`` keeps a list's own labels."""
     frames = [
         df.select(
+            *keep,
             strip(F.col("text")).alias("text"),
             (F.col("label") if label is None else F.lit(label)).cast("int").alias("label"),
         )
@@ -28,6 +33,16 @@ def labelled_union(*parts: tuple[DataFrame, int | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def write_labelled_set(
+    df: DataFrame, keys: list[str], csv_path: str, jsonl_path: str, seed: int = SEED
+) -> None:
+    """Shuffle labelled texts by their unique ``keys`` and write both formats in that order."""
+    ordered = shuffled(saved(df, "labelled"), keys, seed)
+    rows = ordered.repartitionByRange("position").sortWithinPartitions("position")
+    write_csv(rows.select("text", "label"), csv_path)
+    write_jsonl(rows.select("text", "label"), jsonl_path)
+
+
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows and share of each class, the share with one decimal."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

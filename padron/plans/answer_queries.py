@@ -10,9 +10,10 @@ from padron.operators import qa
 from padron.plans.facts import INDICATORS_SQL, NATION_ALIASES, home
 from padron.plans.moderation_queries import TERMS, WORD_SQL
 from padron.plans.registry import register, table
-from padron.session import scratch_dir
+from padron.session import saved, scratch_dir
 from padron.streaming.answers import read_messages, write_answers
 from padron.streaming.usage import load_per_minute as per_minute
+from padron.streaming.usage import load_stream, write_load
 from padron.streaming.usage import usage_24h as usage
 
 
@@ -184,12 +185,10 @@ def stream_guarded_answer(spark, sf):
     The facts are written once, so a micro-batch reads one small table.
     """
     root = scratch_dir(spark, "answers")
-    inbox, facts = f"{root}/messages", f"{root}/facts"
-    messages(spark, sf).write.parquet(inbox)
-    home(spark, sf).write.parquet(facts)
-    arriving = read_messages(spark, inbox, spark.read.parquet(inbox).schema)
+    inbox, asked = f"{root}/messages", messages(spark, sf)
+    asked.write.parquet(inbox)
     job = write_answers(
-        arriving, spark.read.parquet(facts), f"{root}/out", f"{root}/checkpoint", F.col("lang"),
+        read_messages(spark, inbox, asked.schema), saved(home(spark, sf), "facts"), f"{root}/out", f"{root}/checkpoint", F.col("lang"),
         terms=TERMS, aliases=NATION_ALIASES,
     )
     job.awaitTermination()
@@ -222,3 +221,21 @@ def load_per_minute(spark, sf):
     """The last 20 minutes, which is the panel's range."""
     load = per_minute(table(spark, sf, "events"))
     return load.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
+
+
+@register(
+    "stream_load_per_minute",
+    "SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute, count(*) AS load,"
+    " count(*) FILTER (event_type = 'error') AS failed"
+    " FROM (SELECT *, date_trunc('minute', ts) AS m FROM events)"
+    " WHERE m + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY m",
+)
+def stream_load_per_minute(spark, sf):
+    """Load of every minute that the watermark has closed, from a stream over all events."""
+    root = scratch_dir(spark, "load")
+    events = table(spark, sf, "events")
+    events.write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+    write_load(load_stream(arriving), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    load = spark.read.parquet(f"{root}/out")
+    return load.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "load", "failed")

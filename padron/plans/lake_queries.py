@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from padron.functions.chat import chat_template
 from padron.functions.numbers import format_number_es
-from padron.operators import generators
+from padron.operators import generators, labels
 from padron.operators.columns import add_metadata
 from padron.plans.facts import (
     LINE_MEANS_SQL,
@@ -18,7 +18,13 @@ from padron.plans.facts import (
     order_counts,
 )
 from padron.plans.moderation_queries import labelled
-from padron.plans.record_queries import EXCHANGES_SQL, capped_sql, general_pairs, template_sql
+from padron.plans.record_queries import (
+    EXCHANGES_SQL,
+    TRIM,
+    capped_sql,
+    general_pairs,
+    template_sql,
+)
 from padron.plans.registry import register, table
 from padron.session import scratch_dir
 from padron.sources import files, lake
@@ -94,6 +100,24 @@ def sink_csv(spark, sf):
     return files.read_labelled_csv(spark, path)
 
 
+@register(
+    "labelled_set",
+    f"""WITH rows AS (SELECT {TRIM.format('text')} AS text, toxic AS label
+  FROM documents JOIN labels USING (doc_id))
+SELECT 'csv' AS format, * FROM rows UNION ALL SELECT 'jsonl', * FROM rows""",
+)
+def labelled_set(spark, sf):
+    """The labelled set shuffled and written in both formats, both read back."""
+    path = scratch_dir(spark, "labelled-set")
+    rows = labelled(spark, sf)
+    parts = [(rows.filter(F.col("label") == value), value) for value in (0, 1)]
+    whole = labels.labelled_union(*parts, keep=["doc_id"])
+    labels.write_labelled_set(whole, ["doc_id"], f"{path}/csv", f"{path}/jsonl")
+    as_csv = files.read_labelled_csv(spark, f"{path}/csv").withColumn("format", F.lit("csv"))
+    as_lines = files.read_jsonl(spark, f"{path}/jsonl", files.LABELLED_SCHEMA)
+    return as_csv.unionByName(as_lines.withColumn("format", F.lit("jsonl")))
+
+
 @register(
     "sink_partitioned",
     "SELECT year(o_orderdate) AS anio, 'orders' AS fuente, count(*) AS n,"

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -40,3 +40,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         root = os.path.join(tempfile.gettempdir(), "padron-scratch")
     return f"{root.rstrip('/')}/padron/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder: made once, safe when executors go."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

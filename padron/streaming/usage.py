@@ -75,3 +75,15 @@ def load_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
         )
         .select(F.col("window.start").alias("minute"), "load", "failed", "active_users")
     )
+
+
+def write_load(load: DataFrame, out: str, checkpoint: str, available_now: bool = True):
+    """Start the job; a minute is written once, when the watermark has passed it."""
+    trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}
+    return (
+        load.writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(**trigger)
+        .start(out)
+    )
