@@ -29,14 +29,17 @@ KEYS = ["ccaa_key", "periodo"]
 
 
 def exact_sum(value: Column) -> Column:
-    """A sum that does not depend on the order of addition; 0 without rows."""
-    total = F.sum(value.try_cast("decimal(28,6)")).cast("double")
+    """A sum that does not depend on the order of addition; 0 without rows.
+
+    A value of 1e22 or more fails under ANSI rules; it is not left out.
+    """
+    total = F.sum(value.cast("decimal(28,6)")).cast("double")
     return F.coalesce(total, F.lit(0.0))
 
 
 def exact_mean(value: Column) -> Column:
     """Mean of the non-null values; null without any."""
-    total = F.sum(value.try_cast("decimal(28,6)")).cast("double")
+    total = F.sum(value.cast("decimal(28,6)")).cast("double")
     return F.try_divide(total, F.count(value).cast("double"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,7 +136,7 @@ def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> Da
     raw = (
         spark.read.schema(T.StructType(fields))
         .options(sep=SEP, header=True, encoding="UTF-8", quote='"', escape='"', mode="PERMISSIVE")
-        .csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
+        .csv(paths)
     )
     # The metadata path is percent-encoded, with plus signs left as they are.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -146,20 +147,63 @@ def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> Da
     )
 
 
+def layouts(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Header line -> what to read for it.
+
+    A folder whose files share one header is one entry, so what reaches the
+    driver follows the number of folders. Only folders of mixed headers, or
+    with an unreadable file, are listed by file.
+    """
+    folder = F.regexp_replace("path", r"/[^/]*$", "")
+    listed = read_headers(discover(spark, root).select("path")).withColumn("folder", folder)
+    listed = listed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        low, high, bad = F.min("header"), F.max("header"), F.count("error")
+        folders = listed.groupBy("folder").agg(
+            low.alias("header"), ((low == high) & (bad == 0)).alias("uniform")
+        )
+        rows = folders.collect()
+        # A pattern would also take in a folder that is itself named like a file.
+        nested = {
+            row.folder[: part.start()]
+            for row in rows
+            for part in re.finditer(r"/[^/]*\.csv(?=/|$)", row.folder)
+        }
+        found: dict[str, list[str]] = {}
+        by_file: list[tuple[str]] = []
+        for row in sorted(rows, key=lambda r: r.folder):
+            if row.uniform and row.folder not in nested:
+                found.setdefault(row.header, []).append(_literal(row.folder) + "/*.csv")
+            else:
+                by_file.append((row.folder,))
+        if by_file:
+            wanted = spark.createDataFrame(by_file, "folder string")
+            files = listed.filter("error is null").join(wanted, "folder", "left_semi")
+            for row in files.select("header", "path").orderBy("path").collect():
+                found.setdefault(row.header, []).append(_literal(row.path))
+        return found
+    finally:
+        listed.unpersist()
+
+
+def _literal(path: str) -> str:
+    """A path whose pattern characters mean themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def load_lake(
     spark: SparkSession, root: str, aliases: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """Every file as one table: union of all columns as text, ``total_num``, lineage.
 
     One read per distinct header: the number of reads follows the number of
-    layouts, not of files. Only headers and paths reach the driver, as in any
-    file index. ``overlong`` marks rows with more cells than their header.
+    layouts, not of files. ``overlong`` marks rows with more cells than their
+    header.
     """
-    listed = read_headers(discover(spark, root).select("path")).filter("error is null")
-    layouts = listed.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
     merged: DataFrame | None = None
-    for layout in sorted(layouts.collect(), key=lambda r: r["paths"][0]):
-        part = _read_group(spark, layout["paths"], header_columns(layout["header"]))
+    by_first_path = sorted(layouts(spark, root).items(), key=lambda item: item[1][0])
+    for header, paths in by_first_path:
+        part = _read_group(spark, paths, header_columns(header))
         wanted = {
             canon: names
             for canon, names in (LAKE_HEADERS if aliases is None else aliases).items()

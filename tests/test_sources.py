@@ -81,6 +81,28 @@ def test_load_lake(spark, root):
     assert "roto.csv" not in kept and "corto.csv" in kept
 
 
+def test_layouts_list_uniform_folders_once(spark, tmp_path):
+    base = tmp_path / "raw"
+    for name, header in {
+        "A/same/1.csv": "x;Total", "A/same/2.csv": "x;Total", "A/same/3.csv": "x;Total",
+        "A/mixed/1.csv": "x;Total", "A/mixed/2.csv": "y;Total",
+        "B/1.csv": "x;Total", "B/source.csv/part-0.csv": "z;Total", "B/source.csv/part-1.csv": "z;Total",
+    }.items():
+        path = base / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"{header}\n{name};1\n", encoding="utf-8")
+    found = lake.layouts(spark, str(base))
+    short = {h: [p.split("raw/")[1] for p in paths] for h, paths in found.items()}
+    assert short == {
+        "x;Total": ["A/same/*.csv", "A/mixed/1.csv", "B/1.csv"],
+        "y;Total": ["A/mixed/2.csv"],
+        "z;Total": ["B/source.csv/*.csv"],
+    }
+    facts = lake.load_lake(spark, str(base))
+    seen = [next(v for v in (r.x, r.y, r.z) if v) for r in facts.collect()]
+    assert sorted(seen) == sorted(str(p.relative_to(base)) for p in base.rglob("*.csv") if p.is_file())
+
+
 def test_report(spark, root):
     report = lake.ingest_report(lake.discover(spark, root), lake.load_lake(spark, root)).collect()
     status = {(r.file_name, r.wave): (r.status, r.rows, r.records) for r in report}
