@@ -83,9 +83,10 @@ named AS (SELECT p.*, h."CCAA" AS region, h."Gasto_Promedio_Hogar_Eur" AS spend,
 @register(
     "region_alias_join",
     f"{INDICATORS_SQL}, {PROMPTS_SQL}, {NAMED_SQL}"
-    " SELECT id, region, spend, licences FROM named WHERE region IS NOT NULL",
+    " SELECT id, region, spend, licences FROM named",
 )
 def region_alias_join(spark, sf):
+    """The region each question names, with its facts; null where it names none."""
     digest = qa.facts_digest(home(spark, sf), NATION_ALIASES)
     regions = digest.select("regions").scalar()
     asked = prompts(spark, sf).withColumns(
@@ -93,7 +94,7 @@ def region_alias_join(spark, sf):
     )
     named = asked.withColumn(
         "region", qa.region_of(F.col("folded"), F.col("regions"), NATION_ALIASES)
-    ).filter("region IS NOT NULL")
+    )
     fact = F.try_element_at("regions", "region")
     return named.select("id", "region", fact["spend"].alias("spend"), fact["licences"].alias("licences"))
 
