@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from padron.functions.scores import over_threshold
 from padron.functions.text import fold_long, words
 from padron.operators.metrics import binary_metrics, confusion_matrix
+from padron.session import saved
 
 FEATURES = 1 << 16
 
@@ -35,12 +35,13 @@ def _weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.coalesce(weight, F.lit(1.0)))
 
 
-def _even(df: DataFrame) -> DataFrame:
-    """Rows spread over all cores: training passes over them many times.
+def _even(df: DataFrame, name: str) -> DataFrame:
+    """Rows as a table of even files, whose number follows their measured size.
 
-    ``rebalance`` takes the number of partitions from the measured size.
+    Training passes over its input many times; a table is made once and stays
+    when executors go.
     """
-    return df.hint("rebalance")
+    return saved(df.hint("rebalance"), name)
 
 
 def fit_features(tokens: DataFrame) -> PipelineModel:
@@ -59,22 +60,19 @@ def regression(label: str, max_iter: int, reg: float) -> LogisticRegression:
     )
 
 
+def _features(df: DataFrame, text: str, label: str) -> tuple[PipelineModel, DataFrame]:
+    """Fitted feature stages and the weighted training rows."""
+    tokens = _even(_tokens(df, text).select("tokens", label), "tokens")
+    fitted = fit_features(tokens)
+    return fitted, _weights(fitted.transform(tokens), label).select("features", label, "weight")
+
+
 def train(
     df: DataFrame, text: str = "text", label: str = "label", max_iter: int = 20, reg: float = 0.01
 ) -> PipelineModel:
     """Fit on (text, label). Fitting reduces over the data; no rows reach the driver."""
-    tokens = _tokens(_even(df.select(text, label)), text).select("tokens", label)
-    tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
-    features = None
-    try:
-        fitted = fit_features(tokens)
-        features = _weights(fitted.transform(tokens), label).select("features", label, "weight")
-        features = features.persist(StorageLevel.MEMORY_AND_DISK)
-        return PipelineModel([*fitted.stages, regression(label, max_iter, reg).fit(features)])
-    finally:
-        tokens.unpersist()
-        if features is not None:
-            features.unpersist()
+    fitted, rows = _features(df, text, label)
+    return PipelineModel([*fitted.stages, regression(label, max_iter, reg).fit(rows)])
 
 
 def score(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFrame:
@@ -100,27 +98,21 @@ def select_best(
 
     Features are made once and kept for all fits. The earliest pass wins a tie.
     """
-    spark, level = training.sparkSession, StorageLevel.MEMORY_AND_DISK
-    tokens = _tokens(_even(training.select(text, label)), text).select("tokens", label)
-    kept = [tokens.persist(level)]
-    try:
-        fitted = fit_features(tokens)
-        features = _weights(fitted.transform(tokens), label).select("features", label, "weight")
-        other = fitted.transform(_tokens(_even(held_out.select(text, label)), text))
-        kept += [features.persist(level), other.select("features", label).persist(level)]
-        results, best, best_f1 = [], None, -1.0
-        for n in passes:
-            model = regression(label, n, reg).fit(kept[1])
-            scored = model.transform(kept[2]).select(
-                label, vector_to_array("probability")[1].alias("score")
-            )
-            row = evaluate(scored, label).first()
-            results.append((n, *row))
-            if row["f1"] > best_f1:
-                best, best_f1 = PipelineModel([*fitted.stages, model]), row["f1"]
-    finally:
-        for frame in kept:
-            frame.unpersist()
+    spark = training.sparkSession
+    fitted, rows = _features(training, text, label)
+    rows = saved(rows, "features")
+    other = fitted.transform(_tokens(held_out, text)).select("features", label)
+    other = _even(other, "held-out")
+    results, best, best_f1 = [], None, -1.0
+    for n in passes:
+        model = regression(label, n, reg).fit(rows)
+        scored = model.transform(other).select(
+            label, vector_to_array("probability")[1].alias("score")
+        )
+        row = evaluate(scored, label).first()
+        results.append((n, *row))
+        if row["f1"] > best_f1:
+            best, best_f1 = PipelineModel([*fitted.stages, model]), row["f1"]
     schema = (
         "passes int, tp long, fp long, fn long, tn long,"
         " accuracy double, precision double, recall double, f1 double"
