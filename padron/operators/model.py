@@ -1,4 +1,4 @@
-"""A trained toxicity score: token counts, document frequencies, logistic regression."""
+"""A trained toxicity score: terms, document frequencies, logistic regression."""
 
 from __future__ import annotations
 
@@ -45,18 +45,24 @@ def _even(df: DataFrame, name: str) -> DataFrame:
 
 
 def fit_features(tokens: DataFrame) -> PipelineModel:
-    """Term counts weighted by document frequency."""
+    """Terms present, weighted by document frequency: a long text is no more toxic for it."""
     return Pipeline(
         stages=[
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES),
+            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES, binary=True),
             IDF(inputCol="tf", outputCol="features", minDocFreq=1),
         ]
     ).fit(tokens)
 
 
 def regression(label: str, max_iter: int, reg: float) -> LogisticRegression:
+    """Sparse weights: few of the many terms tell the classes apart."""
     return LogisticRegression(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, regParam=reg
+        featuresCol="features",
+        labelCol=label,
+        weightCol="weight",
+        maxIter=max_iter,
+        regParam=reg,
+        elasticNetParam=1.0,
     )
 
 
