@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from padron.functions.numbers import parse_number_es
 from padron.functions.periods import path_category, path_year
-from padron.functions.text import clean_cell, repair_text
+from padron.functions.text import BOM, clean_cell, repair_text
 from padron.lookups import CATEGORY_FAMILY, LAKE_HEADERS, MISSING_CELLS, SAMPLE_CAP
 from padron.operators.columns import coalesce_columns
 
@@ -100,6 +100,37 @@ def read_headers(files: DataFrame) -> DataFrame:
     return files.mapInPandas(_read_headers, schema)
 
 
+def scan_headers(files: DataFrame) -> DataFrame:
+    """``read_headers`` with Spark's own reader, for stores that tasks reach only through it.
+
+    It reads every line once, so prefer the ranged form where it works.
+    """
+    spark = files.sparkSession
+    roots = [r.root for r in files.select(F.col("root")).distinct().collect()]
+    lines = (
+        spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv")
+        .text(roots)
+        .filter("_metadata.file_block_start = 0")
+        .select(
+            _decoded(F.col("_metadata.file_path")).alias("path"),
+            F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"),
+        )
+    )
+    first = lines.groupBy("path").agg(F.min_by("line.value", "line.at").alias("header"))
+    header = F.rtrim(F.replace("header", F.lit(BOM), F.lit("")), F.lit("\r"))
+    return files.join(first.withColumn("header", header), "path", "left").withColumns(
+        {
+            "header": F.coalesce("header", F.lit("")),
+            "error": F.lit(None).cast("string"),
+        }
+    )
+
+
+def _decoded(path: Column) -> Column:
+    """A metadata path as listed: it is percent-encoded, with plus signs left as they are."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def header_columns(header: str) -> list[str]:
     """Column names of a header line, cleaned; a repeated name gets a number."""
     names: list[str] = []
@@ -138,8 +169,7 @@ def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> Da
         .options(sep=SEP, header=True, encoding="UTF-8", quote='"', escape='"', mode="PERMISSIVE")
         .csv(paths)
     )
-    # The metadata path is percent-encoded, with plus signs left as they are.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = _decoded(F.col("_metadata.file_path"))
     return raw.select(
         *[_no_missing_text(clean_cell(F.col(f"`{c}`"))).alias(c) for c in columns],
         *[expr.alias(name) for name, expr in lineage(path).items()],
@@ -147,22 +177,38 @@ def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> Da
     )
 
 
-def layouts(spark: SparkSession, root: str) -> dict[str, list[str]]:
+def layouts(
+    spark: SparkSession, root: str, ranged: bool = True, skip_unreadable: bool = False
+) -> dict[str, list[str]]:
     """Header line -> what to read for it.
 
+    A file that cannot be read fails the call unless ``skip_unreadable``; the
+    ingest report names it either way. ``ranged=False`` finds the headers with
+    Spark's reader.
+
     A folder whose files share one header is one entry, so what reaches the
     driver follows the number of folders. Only folders of mixed headers, or
     with an unreadable file, are listed by file.
     """
     folder = F.regexp_replace("path", r"/[^/]*$", "")
-    listed = read_headers(discover(spark, root).select("path")).withColumn("folder", folder)
+    files = discover(spark, root).select("path").withColumn("root", F.lit(root))
+    listed = (read_headers if ranged else scan_headers)(files).withColumn("folder", folder)
     listed = listed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         low, high, bad = F.min("header"), F.max("header"), F.count("error")
         folders = listed.groupBy("folder").agg(
-            low.alias("header"), ((low == high) & (bad == 0)).alias("uniform")
+            low.alias("header"),
+            ((low == high) & (bad == 0)).alias("uniform"),
+            bad.alias("bad"),
+            F.min("error").alias("error"),
         )
         rows = folders.collect()
+        unreadable = [row for row in rows if row.bad]
+        if unreadable and not skip_unreadable:
+            raise OSError(
+                f"{sum(r.bad for r in unreadable)} unreadable files, first in "
+                f"{unreadable[0].folder}: {unreadable[0].error}"
+            )
         # A pattern would also take in a folder that is itself named like a file.
         nested = {
             row.folder[: part.start()]
@@ -192,7 +238,11 @@ def _literal(path: str) -> str:
 
 
 def load_lake(
-    spark: SparkSession, root: str, aliases: dict[str, list[str]] | None = None
+    spark: SparkSession,
+    root: str,
+    aliases: dict[str, list[str]] | None = None,
+    ranged: bool = True,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """Every file as one table: union of all columns as text, ``total_num``, lineage.
 
@@ -201,7 +251,9 @@ def load_lake(
     header.
     """
     merged: DataFrame | None = None
-    by_first_path = sorted(layouts(spark, root).items(), key=lambda item: item[1][0])
+    by_first_path = sorted(
+        layouts(spark, root, ranged, skip_unreadable).items(), key=lambda item: item[1][0]
+    )
     for header, paths in by_first_path:
         part = _read_group(spark, paths, header_columns(header))
         wanted = {

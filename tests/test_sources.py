@@ -103,6 +103,21 @@ def test_layouts_list_uniform_folders_once(spark, tmp_path):
     assert sorted(seen) == sorted(str(p.relative_to(base)) for p in base.rglob("*.csv") if p.is_file())
 
 
+def test_headers_by_either_reader(spark, root):
+    assert lake.layouts(spark, root, ranged=False) == lake.layouts(spark, root)
+
+
+def test_unreadable_file_fails_or_is_skipped(spark, root):
+    bad = Path(root) / "Empresa_Deporte" / "latin.csv"
+    bad.write_bytes("Indicador;Año;Total\nA;1;2\n".encode("latin-1"))
+    with pytest.raises(OSError, match="1 unreadable files"):
+        lake.load_lake(spark, root)
+    kept = lake.load_lake(spark, root, skip_unreadable=True)
+    assert "latin.csv" not in {r.file_name for r in kept.select("file_name").distinct().collect()}
+    report = lake.ingest_report(lake.discover(spark, root), kept)
+    assert {r.file_name: r.status for r in report.collect()}["latin.csv"] == "ERROR"
+
+
 def test_report(spark, root):
     report = lake.ingest_report(lake.discover(spark, root), lake.load_lake(spark, root)).collect()
     status = {(r.file_name, r.wave): (r.status, r.rows, r.records) for r in report}
