@@ -32,7 +32,7 @@ MAX_VOCABULARY_BYTES = 64 << 20
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space of the vocabulary's patterns (Unicode White_Space).
-_SPACE = r"[\t-\r \x85\xa0  -     　]"
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Control characters that str.split takes for white space and the patterns do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 

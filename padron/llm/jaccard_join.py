@@ -502,7 +502,6 @@ def near_copies(
         .withColumn("component", F.coalesce("component", "g"))
     )
     last = saved(_frequent_pairs(labelled, percent, forest=False), "last-pairs")
-    tested = links.sparkSession  # noqa: F841
     if last.count():
         links = links.union(_linked(docs, last, words, percent))
         known = components(links)
