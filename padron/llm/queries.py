@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padron.llm import bpe, jaccard_join, line_dedup, quality_rules
+from padron.llm import bpe, jaccard_join, line_dedup, lm, quality_rules
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
