@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padron.llm import bpe, jaccard_join, line_dedup, lm, quality_rules
+from padron.llm import bpe, jaccard_join, line_dedup, lm, quality_rules, secrets
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -70,6 +70,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(docs, words=4, percent=85)
 
 
+@query("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), WORD_BPE)
