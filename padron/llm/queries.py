@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padron.llm import bpe, jaccard_join, line_dedup, lm, quality_rules, secrets
+from padron.llm import bpe, jaccard_join, line_dedup, lm, quality_classifier, quality_rules, secrets
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -75,6 +75,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), WORD_BPE)
