@@ -6,7 +6,16 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padron.llm import bpe, jaccard_join, line_dedup, lm, quality_classifier, quality_rules, secrets
+from padron.llm import (
+    bpe,
+    decontamination,
+    jaccard_join,
+    line_dedup,
+    lm,
+    quality_classifier,
+    quality_rules,
+    secrets,
+)
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -70,6 +79,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(docs, words=4, percent=85)
 
 
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontamination.matches(docs, benchmark)
+
+
 @query("op5_secret_scan")
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
