@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from padron.llm import (
     bpe,
+    chat_format,
     decontamination,
     jaccard_join,
+    licenses,
     line_dedup,
     lm,
     quality_classifier,
@@ -90,6 +92,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_chat_formatting")
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(table(spark, sf_dir, "conversations"))
+
+
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.report(table(spark, sf_dir, "documents"))
@@ -100,6 +107,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 @query("op10_lm_scoring")
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
