@@ -6,11 +6,14 @@
 2. Each document gets the first shingles of its set in that order (its prefix): two sets that
    reach the threshold share one of them. Documents with equal prefixes and sizes form a group,
    which stands for its members until the end.
-3. Rare shingles: groups that share one are paired if sizes allow. Less than ``RARE`` groups
-   hold such a shingle, so that is few pairs. Pairs of groups are expanded to pairs of members.
-4. Frequent shingles only meet documents whose prefix reaches them, that is, documents made of
-   text that many repeat. Those carry a parity bitmap of their set: the number of bits that
-   differ is at most the number of shingles that differ, so it refuses pairs but never a link.
+   A shingle that the counting pass saw once meets nobody and is left out; that is looked up in
+   a bitmap of fixed size (where it is too full, more is carried and nothing is lost).
+3. Rare shingles: groups that share one are paired if their sizes and the shingle's places allow.
+   Less than ``RARE`` groups hold such a shingle, so that is few pairs. Pairs of groups are
+   expanded to pairs of members, and most of those refused by parity bitmaps (see 4).
+4. A parity bitmap of a set has at most as many bits unlike another's as there are shingles in
+   one set alone, so it refuses pairs but never a link. Frequent shingles only meet documents
+   whose prefix reaches them, that is, documents made of text that many repeat.
    First, each shingle's documents yield a forest of possible links, which is checked; then all
    pairs that lie in different components by then. Large groups of near copies so need about as
    many rows as they have members. A shingle held by very many is dealt out in blocks.
@@ -61,6 +64,8 @@ CELL_BITS = 40
 #: Shingles that a task counts before it passes them on; shingles of one range of hashes.
 FLUSH, RANGE = 4_000_000, 4_000_000
 MAX_BITMAP_BITS = 1 << 15
+#: Bits of the map of shingles counted twice or more: 16 MB for any input.
+REPEATED_BITS = 27
 
 _SHIFT = np.uint64(64 - CELL_BITS)
 
@@ -92,9 +97,11 @@ def _shingled(k: int):
 # 1. counts
 
 
-def _frequent(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of frequent shingles, rising, and their counts; at most MAX_FREQUENT."""
+def _frequent(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of frequent shingles, rising (MAX_FREQUENT at most), their counts; the map of
+    shingles counted twice or more."""
     width = CELL_BITS - (ranges - 1).bit_length()
+    slice_bits = (1 << REPEATED_BITS) // ranges
 
     def flush(parts: list[np.ndarray]) -> pd.DataFrame:
         cells, counts = summed(np.concatenate(parts) >> _SHIFT)
@@ -123,29 +130,40 @@ def _frequent(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np.ndar
             np.concatenate([unpack(x) for x in rows["cells"]]),
             np.concatenate([unpack_counts(x) for x in rows["counts"]]),
         )
+        which = int(rows["range"].iat[0])
+        twice = (cells[counts > 1] >> np.uint64(CELL_BITS - REPEATED_BITS)).astype(np.int64)
+        bits = np.zeros(slice_bits, np.uint8)
+        bits[twice - which * slice_bits] = 1
         often = counts >= RARE
-        return pd.DataFrame({"cell": cells[often].astype(np.int64), "n": counts[often]})
+        found = pd.DataFrame({"cell": cells[often].astype(np.int64), "n": counts[often], "bits": None})
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        return pd.concat([found, pd.DataFrame({"cell": [which], "n": [0], "bits": [packed]})])
 
     counted = docs.select("text").mapInPandas(count, "range int, cells binary, counts binary")
-    often = saved(counted.groupBy("range").applyInPandas(add, "cell long, n long"), "frequent")
+    made = saved(
+        counted.groupBy("range").applyInPandas(add, "cell long, n long, bits binary"), "frequent"
+    )
     least = RARE
-    while often.where(F.col("n") >= least).count() > MAX_FREQUENT:
+    while made.where(F.col("n") >= least).count() > MAX_FREQUENT:
         least *= 2
-    found = often.where(F.col("n") >= least).toPandas().sort_values("cell")
-    return found["cell"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
+    found = made.where(F.col("n") >= least).select("cell", "n").toPandas().sort_values("cell")
+    repeated = np.zeros((ranges, slice_bits // 8), np.uint8)
+    for row in made.where("n = 0").select("cell", "bits").collect():
+        repeated[row["cell"]] = np.frombuffer(row["bits"], np.uint8)
+    return found["cell"].to_numpy(np.uint64), found["n"].to_numpy(np.int64), repeated.ravel()
 
 
 # 2. prefixes
 
 _PREFIX = (
-    "doc_id {id}, n int, d1 long, d2 long, p1 long, p2 long, n_frequent int,"
-    " prefix binary, bitmap binary"
+    "doc_id string, n int, d1 long, d2 long, p1 long, p2 long, n_frequent int,"
+    " tokens binary, places binary, bitmap binary"
 )
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parities of the set's shingles by their low bits; four bits or more a shingle."""
-    bits = min(MAX_BITMAP_BITS, max(64, 1 << (4 * len(shingles) - 1).bit_length()))
+def bitmap(shingles: np.ndarray, per: int) -> bytes:
+    """Parities of the set's shingles by their low bits; ``per`` bits or more a shingle."""
+    bits = min(MAX_BITMAP_BITS, max(64, 1 << (per * len(shingles) - 1).bit_length()))
     parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
 
@@ -155,19 +173,24 @@ def _digest(numbers: np.ndarray) -> tuple[int, int]:
     return int(value[0]), int(value[1])
 
 
+def _in(repeated: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    at = shingles >> np.uint64(64 - REPEATED_BITS)
+    return (repeated[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _prefixes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingled = _shingled(k)
-        cells, counts = sent.value
+        cells, counts, repeated = sent.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 own = np.unique(shingled(text))
                 n = len(own)
                 if not n:
-                    rows.append((doc_id, 0, 0, 0, 0, 0, 0, b"", None))
+                    rows.append((doc_id, 0, 0, 0, 0, 0, 0, None, None, None))
                     continue
                 size = probe_length(n, percent)
                 first, n_frequent = own[:size], 0
@@ -182,17 +205,20 @@ def _prefixes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                         order = np.lexsort((last, counts[at[common]]))
                         n_frequent = size - len(first)
                         first = np.concatenate([first, last[order[:n_frequent]]])
+                places = np.flatnonzero(_in(repeated, first))
                 rows.append(
-                    (doc_id, n, *_digest(own), *_digest(first), n_frequent, first.tobytes())
-                    + (bitmap(own) if n_frequent else None,)
+                    (doc_id, n, *_digest(own), *_digest(first), n_frequent)
+                    + (first[places].tobytes(), places.astype(np.int32).tobytes())
+                    + (bitmap(own, 4 if n_frequent else 1),)
                 )
             yield pd.DataFrame(
                 rows,
-                columns="doc_id n d1 d2 p1 p2 n_frequent prefix bitmap".split(),
-            ).astype({"doc_id": batch["doc_id"].dtype})
+                columns="doc_id n d1 d2 p1 p2 n_frequent tokens places bitmap".split(),
+            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, _PREFIX.format(id=kind))
+    # Ids go through pandas as text: with nulls among them they would become floats.
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, _PREFIX)
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
@@ -214,8 +240,9 @@ def _groups(prefixes: DataFrame) -> DataFrame:
             F.min("doc_id").alias("g"),
             F.collect_set(F.struct("d1", "d2")).alias("members"),
             F.any_value("n_frequent").alias("n_frequent"),
-            F.any_value("prefix").alias("prefix"),
-            F.any_value("bitmap").alias("bitmap"),
+            F.any_value("tokens").alias("tokens"),
+            F.any_value("places").alias("places"),
+            F.any_value(F.when(alone, F.col("bitmap"))).alias("bitmap"),
         )
         .drop("p1", "p2", "s1", "s2")
     )
@@ -225,31 +252,33 @@ def _groups(prefixes: DataFrame) -> DataFrame:
 
 
 def _rare_entries(groups: DataFrame, percent: int) -> DataFrame:
-    """(token, g, m): m is the size doubled, plus 1 where the place is in the index part."""
+    """(token, g, n, place) for the rare part of prefixes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            tokens, owners, sizes = [], [], []
-            for g, n, n_frequent, prefix in zip(
-                batch["g"], batch["n"], batch["n_frequent"], batch["prefix"], strict=True
-            ):
-                own = np.frombuffer(prefix, np.int64)
-                own = own[: len(own) - n_frequent]
-                tokens.append(own)
-                owners.append(np.full(len(own), g))
-                sizes.append(2 * n + (np.arange(len(own)) < index_length(n, percent)))
+            tokens, owners, sizes, places = [], [], [], []
+            for g, n, n_frequent, own, at in batch[
+                ["g", "n", "n_frequent", "tokens", "places"]
+            ].itertuples(index=False):
+                at = np.frombuffer(at, np.int32)
+                rare = at < probe_length(n, percent) - n_frequent
+                tokens.append(np.frombuffer(own, np.int64)[rare])
+                places.append(at[rare])
+                owners.append(np.full(len(places[-1]), g))
+                sizes.append(np.full(len(places[-1]), n))
             if tokens:
                 yield pd.DataFrame(
                     {
                         "token": np.concatenate(tokens),
                         "g": np.concatenate(owners),
-                        "m": np.concatenate(sizes).astype(np.int32),
+                        "n": np.concatenate(sizes).astype(np.int32),
+                        "place": np.concatenate(places),
                     }
                 )
 
     kind = groups.schema["g"].dataType.simpleString()
-    return groups.select("g", "n", "n_frequent", "prefix").mapInPandas(
-        run, f"token long, g {kind}, m int"
+    return groups.select("g", "n", "n_frequent", "tokens", "places").mapInPandas(
+        run, f"token long, g {kind}, n int, place int"
     )
 
 
@@ -263,23 +292,54 @@ def _rare_pairs(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in runs(batches, ["token"]):
             token, g = batch["token"].to_numpy(), batch["g"].to_numpy()
-            n, indexed = batch["m"].to_numpy() >> 1, (batch["m"].to_numpy() & 1).astype(bool)
+            n, place = batch["n"].to_numpy(np.int64), batch["place"].to_numpy(np.int64)
             left, right, step = [], [], 1
             at = np.arange(len(token))
             while len(at := at[at < len(token) - step]):
                 at = at[token[at] == token[at + step]]
-                fits = at[indexed[at] & (100 * n[at].astype(np.int64) >= percent * n[at + step])]
-                left.append(g[fits])
-                right.append(g[fits + step])
+                x, y = at, at + step
+                # What comes before the first shared shingle is not shared.
+                most = np.minimum(n[x] - place[x], n[y] - place[y])
+                fits = most >= _ceil(percent * (n[x] + n[y]), 100 + percent)
+                left.append(g[x[fits]])
+                right.append(g[y[fits]])
                 step += 1
             if left:
                 yield _pair_frame(np.concatenate(left), np.concatenate(right))
 
     kind = entries.schema["g"].dataType.simpleString()
-    dealt = entries.repartition("token").sortWithinPartitions("token", "m", "g")
+    dealt = entries.repartition("token").sortWithinPartitions("token", "n", "g")
     return dealt.mapInPandas(run, f"a {kind}, b {kind}")
 
 
+def _not_refused(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps are alike enough."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [
+                apart(x, y) <= most_apart(int(m) + int(n), percent)
+                for x, y, m, n in batch[["x", "y", "m", "n"]].itertuples(index=False)
+            ]
+            yield batch.loc[keep, ["a", "b"]]
+
+    kind = prefixes.schema["doc_id"].dataType.simpleString()
+    sets = prefixes.where("n > 0").select("doc_id", "bitmap", "n")
+    return (
+        pairs.join(sets.toDF("a", "x", "m"), "a")
+        .join(sets.toDF("b", "y", "n"), "b")
+        .mapInPandas(run, f"a {kind}, b {kind}")
+    )
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits that differ, the longer bitmap folded to the shorter one's size."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 # 4. frequent shingles
 
 
@@ -300,18 +360,18 @@ def _frequent_entries(groups: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for g, n, n_frequent, prefix, bits in batch[
-                ["g", "n", "n_frequent", "prefix", "bitmap"]
+            for g, n, n_frequent, own, at, bits in batch[
+                ["g", "n", "n_frequent", "tokens", "places", "bitmap"]
             ].itertuples(index=False):
-                own = np.frombuffer(prefix, np.int64)
-                place = np.arange(len(own))[len(own) - n_frequent :]
-                for part in np.array_split(place, 1 + len(place) * len(bits) // (8 << 20)):
+                own, at = np.frombuffer(own, np.int64), np.frombuffer(at, np.int32)
+                last = np.flatnonzero(at >= probe_length(n, percent) - n_frequent)
+                for part in np.array_split(last, 1 + len(last) * len(bits) // (8 << 20)):
                     yield pd.DataFrame(
                         {
                             "token": own[part],
                             "g": g,
                             "n": n,
-                            "indexed": part < index_length(n, percent),
+                            "indexed": at[part] < index_length(n, percent),
                             "bitmap": [bits] * len(part),
                         }
                     )
@@ -319,7 +379,7 @@ def _frequent_entries(groups: DataFrame, percent: int) -> DataFrame:
     kind = groups.schema["g"].dataType.simpleString()
     return (
         groups.where("n_frequent > 0")
-        .select("g", "n", "n_frequent", "prefix", "bitmap")
+        .select("g", "n", "n_frequent", "tokens", "places", "bitmap")
         .mapInPandas(run, f"token long, g {kind}, n int, indexed boolean, bitmap binary")
     )
 
@@ -411,7 +471,7 @@ def _frequent_pairs(entries: DataFrame, percent: int, forest: bool) -> DataFrame
 # 5. verification
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int, repeated_ids: bool) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     pairs = saved(pairs.where("a <> b").distinct(), "pairs")
     ids = saved(pairs.select("a").union(pairs.select("b")).distinct(), "pair-ids")
@@ -436,9 +496,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
             yield batch.loc[keep, ["a", "b"]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = saved(
-        rows.mapInPandas(sets, f"doc_id {kind}, own binary").dropDuplicates(), "pair-sets"
-    )
+    held = rows.mapInPandas(sets, f"doc_id {kind}, own binary")
+    held = saved(held.dropDuplicates() if repeated_ids else held, "pair-sets")
     with_sets = pairs.join(held.withColumnsRenamed({"doc_id": "a", "own": "x"}), "a").join(
         held.withColumnsRenamed({"doc_id": "b", "own": "y"}), "b"
     )
@@ -465,7 +524,8 @@ def near_copies(
     groups = saved(_groups(prefixes), "groups")
 
     rare = _rare_pairs(_rare_entries(groups, percent), percent).distinct()
-    pairs = rare
+    ids = prefixes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    repeated_ids = not ids.where("c > 1").isEmpty()
     several = groups.where(F.size("members") > 1).select("g", F.explode("members").alias("d"))
     members = saved(
         several.select("g", "d.d1", "d.d2").join(classes, ["d1", "d2"]).select("g", "rep"), "members"
@@ -481,7 +541,7 @@ def near_copies(
         .where("a < b")
         .select("a", "b")
     )
-    pairs = expanded.union(inside)
+    pairs = _not_refused(expanded.union(inside).distinct(), prefixes, percent)
 
     entries = _frequent_entries(groups, percent)
     held = entries.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
@@ -495,7 +555,7 @@ def near_copies(
         "frequent-entries",
     )
     forest = _frequent_pairs(entries.withColumn("component", F.col("g")), percent, forest=True)
-    links = _linked(docs, pairs.union(forest), words, percent)
+    links = _linked(docs, pairs.union(forest), words, percent, repeated_ids)
     known = components(links)
     labelled = (
         entries.join(known.withColumnRenamed("node", "g"), "g", "left")
@@ -503,7 +563,7 @@ def near_copies(
     )
     last = saved(_frequent_pairs(labelled, percent, forest=False), "last-pairs")
     if last.count():
-        links = links.union(_linked(docs, last, words, percent))
+        links = links.union(_linked(docs, last, words, percent, repeated_ids))
         known = components(links)
 
     named = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -513,3 +573,29 @@ def near_copies(
     return prefixes.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select(
         F.col("doc_id").alias(key), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id")
     )
+
+
+def first_of_copies(
+    df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85
+) -> DataFrame:
+    """The rows of ``df`` with the smallest id of their component, all columns.
+
+    Of rows of one id one stays. Rows without id are left as they are.
+    """
+    found = near_copies(df, key, text, words, percent).where(F.col(key).isNotNull())
+    found = saved(found.select(F.col(key).alias("_id"), "component_id"), "copies")
+    gone = found.where("component_id < _id").select("_id").distinct()
+    several = found.groupBy("_id").count().where("count > 1").select("_id")
+    several = several.join(gone, "_id", "left_anti")
+    out = _without(df, key, gone.union(several))
+    if not several.isEmpty():
+        again = df.join(several.withColumnRenamed("_id", key), key, "left_semi")
+        out = out.unionByName(again.dropDuplicates([key]).select(*df.columns))
+    return out.select(*df.columns)
+
+
+def _without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose id is not in ``ids`` (a broadcast where they are few)."""
+    ids = saved(ids.select(F.col("_id").alias(key)), "gone")
+    few = ids.count() <= MAX_BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti")
