@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from padron.llm.words import as_text, with_key
+
 #: Words whose encoding a worker remembers, twice over.
 REMEMBERED = 200_000
 _PLACE = (1 << 32) - 1
@@ -247,9 +249,5 @@ def token_digest(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
             out.insert(0, "key", batch["key"].array)
             yield out
 
-    kind = df.schema[key].dataType.simpleString()
-    return (
-        df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .mapInPandas(run, f"key {kind}, {SCHEMA}")
-        .withColumnRenamed("key", key)
-    )
+    rows = df.select(as_text(key), F.col(text).alias("text"))
+    return with_key(rows.mapInPandas(run, f"key string, {SCHEMA}"), key, df.schema[key].dataType)

@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 from pyspark.sql.window import Window
 
 from padron.llm.words import runs
@@ -98,7 +99,7 @@ def transcript_rows(
 
 
 def sorted_lines(rows: DataFrame) -> DataFrame:
-    """(name, key, chunk, seq, line, symbol, state): lines in order, written.
+    """(name, chunk, seq, line, symbol, state): lines in order, written. ``name`` is the key as text.
 
     ``seq`` rises along the whole table; a chunk is a stretch of one file part. Rows are dealt
     out by range, so a long conversation lies in several parts.
@@ -111,13 +112,13 @@ def sorted_lines(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        rows.select(name.alias("name"), "key", "order", known.alias("begin"), "raw")
+        rows.select(name.alias("name"), "order", known.alias("begin"), "raw")
         .withColumn("tie", F.monotonically_increasing_id())
         .repartitionByRange(parts, "name", "order", "tie")
         .sortWithinPartitions("name", "order", "tie")
         .withColumn("row", F.monotonically_increasing_id())
     )
-    exploded = placed.select("name", "key", "row", "begin", F.posexplode(lines).alias("at", "line"))
+    exploded = placed.select("name", "row", "begin", F.posexplode(lines).alias("at", "line"))
     exploded = exploded.withColumn("seq", F.monotonically_increasing_id())
     chunk = F.expr(f"(seq >> 33) * {1 << 33} + (seq & {(1 << 33) - 1}) div {CHUNK}")
     written = saved(exploded.withColumn("chunk", chunk), "chat-lines")
@@ -127,7 +128,7 @@ def sorted_lines(rows: DataFrame) -> DataFrame:
     state = F.col("begin") + (F.col("at") > 0).cast("int")
     return saved(
         written.select(
-            "name", "key", "chunk", "seq", "line",
+            "name", "chunk", "seq", "line",
             _symbol(F.col("line"), after_blank).alias("symbol"), state.alias("state"),
         ),
         "chat-symbols",
@@ -259,7 +260,7 @@ def _borders(lines: DataFrame, model: Model) -> DataFrame:
 
 
 def labelled(lines: DataFrame, model: Model) -> DataFrame:
-    """(name, key, chunk, seq, line, found, nth): decoded states; ``nth`` turns begin in the chunk so far."""
+    """(name, chunk, seq, line, found, nth): decoded states; ``nth`` turns begin in the chunk so far."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in runs(batches, ["name", "chunk"]):
@@ -274,21 +275,20 @@ def labelled(lines: DataFrame, model: Model) -> DataFrame:
                 begins = np.array(states) % 2 == 0
                 begins[0] |= first
                 found.append((states, np.cumsum(begins)))
-            yield batch[["name", "key", "chunk", "seq", "line"]].assign(
+            yield batch[["name", "chunk", "seq", "line"]].assign(
                 found=np.concatenate([f[0] for f in found]), nth=np.concatenate([f[1] for f in found])
             )
 
-    kind = lines.schema["key"].dataType.simpleString()
     joined = lines.join(_borders(lines, model), ["name", "chunk"], "left")
     return (
-        joined.select("name", "key", "chunk", "seq", "line", "symbol", "entry", "exit")
+        joined.select("name", "chunk", "seq", "line", "symbol", "entry", "exit")
         .repartition("name", "chunk")
         .sortWithinPartitions("name", "chunk", "seq")
-        .mapInPandas(decode, f"name string, key {kind}, chunk long, seq long, line string, found int, nth long")
+        .mapInPandas(decode, "name string, chunk long, seq long, line string, found int, nth long")
     )
 
 
-def turns(lines: DataFrame, model: Model) -> DataFrame:
+def turns(lines: DataFrame, model: Model, kind: DataType) -> DataFrame:
     """(key, turn, role, text, rendered) of each recovered turn, numbered from 0."""
     states = saved(labelled(lines, model), "chat-states")
     counts = states.groupBy("name", "chunk").agg(F.max("nth").alias("begun"))
@@ -303,13 +303,13 @@ def turns(lines: DataFrame, model: Model) -> DataFrame:
         states.join(offsets, ["name", "chunk"])
         .withColumn("turn", F.col("nth") + F.col("before") - 1)
         .groupBy("name", "turn")
-        .agg(F.any_value("key").alias("key"), ordered.alias("lines"))
+        .agg(ordered.alias("lines"))
     )
     joined = F.array_join(F.transform("lines", lambda x: x["body"]), "\n")
     text = F.regexp_replace(joined, r"^\n+|\n+$", "")
     rendered = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>"))
     return (
-        grouped.select("key", "turn", F.get("lines", F.lit(0))["role"].alias("role"), text.alias("text"))
+        grouped.select(F.nullif("name", F.lit("\0")).cast(kind).alias("key"), "turn", F.get("lines", F.lit(0))["role"].alias("role"), text.alias("text"))
         .withColumn("rendered", rendered)
     )
 
@@ -323,4 +323,4 @@ def report(df: DataFrame) -> DataFrame:
 def parsed(rows: DataFrame) -> DataFrame:
     """Turns of transcript rows (key, order, role or null, raw)."""
     lines = sorted_lines(rows)
-    return turns(lines, learned(lines))
+    return turns(lines, learned(lines), rows.schema["key"].dataType)

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from padron.llm.words import as_text, with_key
+
 # Notices of licence families, as they are worded in public.
 TEMPLATES = {
     "Apache": (
@@ -314,7 +316,6 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model
             out.insert(0, "key", batch["key"].array)
             yield out
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    shape = f"key {kind}, families string, n_found long, n_unknown long, findings string"
-    return rows.mapInPandas(run, shape).withColumnRenamed("key", key)
+    rows = df.select(as_text(key), F.col(text).alias("text"))
+    shape = "key string, families string, n_found long, n_unknown long, findings string"
+    return with_key(rows.mapInPandas(run, shape), key, df.schema[key].dataType)

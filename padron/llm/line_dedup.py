@@ -38,10 +38,13 @@ def _hash(value: Column) -> list[Column]:
 
 
 def _marked(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows with ``_id`` and ``_row``, which tells texts of one id apart."""
+    """(_all, _id, _row, _text): whole rows, and what tells texts of one id apart."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns(
-        {"_id": F.col(key), "_row": F.xxhash64(F.lit("row"), body), "_text": body}
+    return df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_all"),
+        F.col(key).alias("_id"),
+        F.xxhash64(F.lit("row"), body).alias("_row"),
+        body.alias("_text"),
     )
 
 
@@ -93,8 +96,9 @@ def deduplicated(
 ) -> DataFrame:
     """The rows and columns of ``df`` with the kept lines as ``text``."""
     joined, kept, n_dropped = _with_places(df, key, text, min_chars, min_docs)
-    whole = F.when(n_dropped == 0, F.col(text)).otherwise(kept)
-    return joined.select(*[whole.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    column = {c: F.col("_all")[c] for c in df.columns}
+    column[text] = F.when(n_dropped == 0, column[text]).otherwise(kept)
+    return joined.select(*[column[c].alias(c) for c in df.columns])
 
 
 def line_report(
@@ -104,7 +108,7 @@ def line_report(
     rows = df.select(F.col(key), F.col(text))
     joined, kept, n_dropped = _with_places(rows, key, text, min_chars, min_docs)
     return joined.select(
-        F.col(key),
+        F.col("_id").alias(key),
         F.size(lines_of(F.col("_text"))).cast("long").alias("n_lines"),
         n_dropped.alias("n_dropped"),
         F.sha2(kept, 256).alias("kept_sha256"),

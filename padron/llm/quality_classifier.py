@@ -194,7 +194,7 @@ def trained_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray
     """Logistic regression on soft labels; both classes weigh the same. The last weight is the bias."""
     size = 1 << BITS
     weights, slow = np.zeros(size + 1), np.full(size + 1, 1e-6)
-    lengths = [len(b) for b, _ in rows]
+    lengths = np.array([len(b) for b, _ in rows], int)
     buckets = np.concatenate([b for b, _ in rows]) if rows else np.zeros(0, np.int64)
     values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
     owner = np.repeat(np.arange(len(rows)), lengths)

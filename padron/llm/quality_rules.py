@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from padron.llm.words import WordMemory, shingle_hashes, word_hash
+from padron.llm.words import WordMemory, as_text, shingle_hashes, with_key, word_hash
 from padron.session import saved
 
 # Frequent function words of each language.
@@ -134,9 +134,8 @@ def measured(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
             out.insert(0, "key", batch["key"].array)
             yield out
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    return rows.mapInPandas(run, f"key {kind}, lang string, {_COUNTS}")
+    rows = df.select(as_text(key), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    return rows.mapInPandas(run, f"key string, lang string, {_COUNTS}")
 
 
 def references(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -209,6 +208,8 @@ def report(
         for batch in batches:
             yield judged(batch, models, limits)
 
-    kind = df.schema[key].dataType.simpleString()
-    shape = f"key {kind}, {_COUNTS.split(', classes')[0]}, base_failed boolean, kept boolean, char_distance double, word_distance double"
-    return rows.mapInPandas(run, shape).withColumnRenamed("key", key)
+    shape = (
+        f"key string, {_COUNTS.split(', classes')[0]}, base_failed boolean, kept boolean,"
+        " char_distance double, word_distance double"
+    )
+    return with_key(rows.mapInPandas(run, shape), key, df.schema[key].dataType)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from padron.llm.words import WordMemory
+from padron.llm.words import WordMemory, as_text, with_key
 
 # The patterns of the base scan.
 ASSIGN = re.compile(
@@ -480,7 +480,6 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text", model: Field
             out.insert(0, "key", batch["key"].array)
             yield out
 
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    shape = f"key {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return rows.mapInPandas(run, shape).withColumnRenamed("key", key)
+    rows = df.select(as_text(key), F.col(text).alias("text"))
+    shape = "key string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return with_key(rows.mapInPandas(run, shape), key, df.schema[key].dataType)

@@ -1,4 +1,4 @@
-"""Words, word hashes and packed number lists, shared by the operators' Python tasks.
+"""Ids, words, word hashes and packed number lists, shared by the operators' Python tasks.
 
 A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage
 return; bytes.split and bytes.lower work by exactly these and by A-Z.
@@ -12,11 +12,25 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 #: Entries of one worker's word memory.
 REMEMBERED = 400_000
 
 
+def as_text(key: str) -> Column:
+    """An id as text: nulls and large numbers pass unchanged through pandas."""
+    return F.col(key).cast("string").alias("key")
+
+
+def with_key(rows: DataFrame, key: str, kind: DataType) -> DataFrame:
+    """``rows`` with the column ``key`` under its own name and type again."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != "key"]
+    return rows.select(F.col("key").cast(kind).alias(key), *rest)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words with A-Z lowered."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
