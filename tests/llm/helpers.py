@@ -50,7 +50,12 @@ def empty(spark):
 
 
 def rows(df) -> pd.DataFrame:
-    return pd.DataFrame([r.asDict() for r in df.collect()], columns=df.columns)
+    """All rows; ids as they are, since pandas would turn integers beside nulls into floats."""
+    found = df.collect()
+    out = pd.DataFrame([r.asDict() for r in found], columns=df.columns)
+    for name in {"doc_id", "conv_id"} & set(df.columns):
+        out[name] = pd.Series([r[name] for r in found], dtype=object)
+    return out
 
 
 def ids(df) -> list:
