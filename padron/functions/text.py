@@ -118,15 +118,14 @@ def words(text: Column) -> Column:
     )
 
 
-MAX_TERMS = 500
 # Up to here a chain of byte searches beats one pattern with many branches.
 MAX_CHAIN = 64
 
 
 def _checked(terms) -> list[str]:
     terms = list(dict.fromkeys(fold_text(t) for t in terms))
-    if not 0 < len(terms) <= MAX_TERMS or any(not t.strip() for t in terms):
-        raise ValueError(f"need 1 to {MAX_TERMS} non-blank terms, got {len(terms)}")
+    if not terms or any(not t.strip() for t in terms):
+        raise ValueError("need one or more terms, none of them blank")
     return terms
 
 
@@ -150,12 +149,26 @@ def contains_any(folded: Column, terms, mode: str = "substring") -> Column:
     if mode == "substring":
         return found
     if mode == "word":
-        body = "|".join(re.escape(t) for t in terms)
-        return found & folded.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])")
+        return found & as_words(folded, terms)
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def as_words(folded: Column, terms) -> Column:
+    """One of the terms stands between word limits."""
+    body = "|".join(re.escape(t) for t in _checked(terms))
+    return folded.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{body})(?![\p{{L}}\p{{N}}])")
+
+
 def matched_terms(folded: Column, terms, mode: str = "substring") -> Column:
     """The terms found, in list order."""
-    hits = [F.when(contains_any(folded, [t], mode), F.lit(t)) for t in _checked(terms)]
-    return F.array_compact(F.array(*hits))
+    terms = _checked(terms)
+    if len(terms) <= MAX_CHAIN:
+        hits = [F.when(contains_any(folded, [t], mode), F.lit(t)) for t in terms]
+        return F.array_compact(F.array(*hits))
+    # A long list is a literal array that one expression walks.
+    found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(folded, t))
+    if mode == "substring":
+        return found
+    limits = "(?<![\\p{L}\\p{N}])", "(?![\\p{L}\\p{N}])"
+    quoted = lambda t: F.concat(F.lit(limits[0] + "\\Q"), t, F.lit("\\E" + limits[1]))
+    return F.filter(found, lambda t: F.rlike(folded, quoted(t)))

@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_TURNS = 256
+def ordered_messages(df: DataFrame) -> DataFrame:
+    """(conv_id, position, role, text), sorted within range partitions.
+
+    A session of any length is a stretch of rows in one or more partitions.
+    """
+    rows = df.select("conv_id", F.col("turn").alias("position"), "role", "text")
+    return rows.repartitionByRange("conv_id", "position").sortWithinPartitions("conv_id", "position")
 
 
-def assemble(df: DataFrame, block: int = BLOCK_TURNS) -> DataFrame:
-    """Ordered message arrays, one row per session and block of ``block`` turns.
+def assemble(df: DataFrame, block: int | None = None) -> DataFrame:
+    """Ordered message arrays, one row per session.
 
-    A turn number occurs once per session, so a row holds at most ``block``
-    messages. A session of any length spreads over many rows and tasks, and
-    its rows in ``block`` order are the whole session.
+    ``block``: rows of at most so many turns instead, for sessions that one
+    row can't hold; they add a ``block`` number, by which they are in order.
     """
+    messages = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("messages")
+    if block is None:
+        return df.groupBy("conv_id").agg(messages)
     part = F.floor(F.col("turn") / F.lit(block)).cast("long").alias("block")
-    messages = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    return df.groupBy("conv_id", part).agg(messages.alias("messages"))
+    return df.groupBy("conv_id", part).agg(messages)
 
 
 def exchanges(df: DataFrame) -> DataFrame:

@@ -46,11 +46,15 @@ def containing(df: DataFrame, column: str, part: str) -> DataFrame:
     return df.filter(F.contains(F.col(column), F.lit(part)))
 
 
+def _domain(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values, so that a handful of rows per task meets the other side."""
+    return df.select(column).filter(F.col(column).isNotNull()).distinct()
+
+
 def year_domain(left: DataFrame, right: DataFrame, column: str = "periodo") -> DataFrame:
     """Years that both sources cover, latest first."""
     return (
-        left.select(column).intersect(right.select(column)).filter(F.col(column).isNotNull())
-        .orderBy(F.col(column).desc())
+        _domain(left, column).intersect(_domain(right, column)).orderBy(F.col(column).desc())
     )
 
 

@@ -159,16 +159,22 @@ def _cells(facts: Facts) -> list[Column]:
 
 def lake_pairs(
     facts: DataFrame,
-    by: list[str] = ("file_path",),
+    by: list[str] | None = None,
     cap: int = SAMPLE_CAP,
     seed: int = SEED,
     families: dict[str, str] | None = None,
 ) -> DataFrame:
-    """(``by``, question, answer) of at most ``cap`` facts per source group of a lake.
+    """(``by``, question, answer) of at most ``cap`` facts per source of a lake.
+
+    ``by`` names the source unless given: ``source_path``, that is, a file or the folder that a
+    writer filled with part files. Files of one name in different folders are different sources,
+    part files of one folder are not. Facts without that column go by ``file_path``.
 
     One pass over all families. The sample is drawn on a hash of the raw cells
     first, so numbers and sentences are made for the survivors only.
     """
+    if by is None:
+        by = ["source_path" if "source_path" in facts.columns else "file_path"]
     routed: dict[str, list[str]] = {}
     for category, family in (families or CATEGORY_FAMILY).items():
         routed.setdefault(family, []).append(category)
@@ -199,7 +205,7 @@ def lake_pairs(
 def qa_pairs(
     facts: DataFrame,
     family: str,
-    by: list[str] = ("file_path",),
+    by: list[str] | None = None,
     cap: int = SAMPLE_CAP,
     seed: int = SEED,
 ) -> DataFrame:

@@ -28,19 +28,14 @@ from padron.operators.regions import harmonise, region_key
 KEYS = ["ccaa_key", "periodo"]
 
 
-def exact_sum(value: Column) -> Column:
-    """A sum that does not depend on the order of addition; 0 without rows.
-
-    A value of 1e22 or more fails under ANSI rules; it is not left out.
-    """
-    total = F.sum(value.cast("decimal(28,6)")).cast("double")
-    return F.coalesce(total, F.lit(0.0))
+def total_of(value: Column) -> Column:
+    """Sum as doubles; 0 without rows. The last digits may follow the order of addition."""
+    return F.coalesce(F.sum(value.cast("double")), F.lit(0.0))
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean of the non-null values; null without any."""
-    total = F.sum(value.cast("decimal(28,6)")).cast("double")
-    return F.try_divide(total, F.count(value).cast("double"))
+def mean_of(value: Column) -> Column:
+    """Mean of the non-null values as doubles; null without any."""
+    return F.avg(value.cast("double"))
 
 
 def _in_years(df: DataFrame, years: Iterable[int] | None) -> DataFrame:
@@ -62,13 +57,28 @@ def _cleaned(df: DataFrame, headers: dict[str, list[str]], source_file: str | No
     ).filter(F.col("ccaa_limpia").isNotNull())
 
 
-def _one_reading(side: DataFrame, value: str, *more: Column) -> DataFrame:
-    """One row per key. Copies merge before the shuffle; a contradiction fails the query."""
-    low, high = F.min(value), F.max(value)
-    clash = F.raise_error(
-        F.concat_ws(" ", F.lit(f"two values of {value} for"), F.col(KEYS[0]), F.col(KEYS[1]))
+def _distinct_readings(side: DataFrame, value: str, *more: Column) -> DataFrame:
+    """One row per key and value: copies merge before the shuffle, contradictions stay apart.
+
+    A key with two values so gives two rows, here and in a join; ``contradictions`` names it.
+    """
+    return side.groupBy(*KEYS, value).agg(F.count(F.lit(1)).alias("_copies"), *more).drop("_copies")
+
+
+def contradictions(side: DataFrame, value: str) -> DataFrame:
+    """Keys of a licence or spend side with more than one value: how many, lowest, highest.
+
+    A missing value beside a number is no contradiction.
+    """
+    return (
+        side.groupBy(*KEYS)
+        .agg(
+            F.count_distinct(value).alias("values"),
+            F.min(value).alias("lowest"),
+            F.max(value).alias("highest"),
+        )
+        .filter("values > 1")
     )
-    return side.groupBy(*KEYS).agg(F.when(low != high, clash).otherwise(high).alias(value), *more)
 
 
 def licence_side(
@@ -89,7 +99,7 @@ def licence_side(
         F.col("comunidad_autonoma").alias(REGION_COL),
         F.col("total_num").alias(LICENCES_COL),
     )
-    return _one_reading(side, LICENCES_COL, F.min(REGION_COL).alias(REGION_COL))
+    return _distinct_readings(side, LICENCES_COL, F.min(REGION_COL).alias(REGION_COL))
 
 
 def spend_side(
@@ -105,7 +115,7 @@ def spend_side(
     side = rows.select(
         F.col("ccaa_limpia").alias(KEYS[0]), KEYS[1], F.col("total_num").alias(SPEND_COL)
     )
-    return _one_reading(side, SPEND_COL)
+    return _distinct_readings(side, SPEND_COL)
 
 
 def indicators_by_year(
@@ -135,8 +145,8 @@ def yearly_report(indicators: DataFrame) -> DataFrame:
     """
     return indicators.groupBy("periodo").agg(
         F.count(F.lit(1)).alias("n_regions"),
-        exact_mean(F.col(SPEND_COL)).alias("avg_spend"),
-        exact_sum(F.col(LICENCES_COL)).alias("sum_licences"),
+        mean_of(F.col(SPEND_COL)).alias("avg_spend"),
+        total_of(F.col(LICENCES_COL)).alias("sum_licences"),
         F.sort_array(F.collect_list(REGION_COL)).alias("regions"),
     )
 
@@ -145,8 +155,8 @@ def kpis(indicators: DataFrame) -> DataFrame:
     """Mean spend, licences and areas with their card texts; no row for no data."""
     return (
         indicators.agg(
-            exact_mean(F.col(SPEND_COL)).alias("avg_spend"),
-            exact_sum(F.col(LICENCES_COL)).alias("sum_licences"),
+            mean_of(F.col(SPEND_COL)).alias("avg_spend"),
+            total_of(F.col(LICENCES_COL)).alias("sum_licences"),
             F.count(F.lit(1)).alias("n_regions"),
         )
         .filter("n_regions > 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,14 +15,28 @@ from pyspark.sql import functions as F
 from padron.functions.scores import over_threshold
 from padron.functions.text import fold_long, words
 from padron.operators.metrics import binary_metrics, confusion_matrix
+from padron.operators.moderation import lexical_flag
 from padron.session import saved
 
-FEATURES = 1 << 16
+# Hashed terms; terms that share a number share a weight. Raise it for a larger vocabulary.
+FEATURES = 1 << 18
 
+# Terms of fewer documents have no weight: chance would give them one.
+MIN_DOCS = 3
+# Penalty on the sum of absolute weights.
+REG = 0.002
 
-def _tokens(df: DataFrame, text: str) -> DataFrame:
-    bare = F.regexp_replace(fold_long(F.col(text)), r"[^\p{L}\p{N}\s]+", " ")
-    return df.withColumn("tokens", words(bare))
+
+def _tokens(df: DataFrame, text: str, terms: Iterable[str] = ()) -> DataFrame:
+    """Words of the text, and one more token where a blocked term is among them."""
+    folded = df.withColumn("_folded", fold_long(F.col(text)))
+    bare = F.regexp_replace("_folded", r"[^\p{L}\p{N}\s]+", " ")
+    found = words(bare)
+    if terms:
+        blocked = lexical_flag(F.col("_folded"), terms, "word")
+        mark = F.when(blocked, F.array(F.lit("# blocked"))).otherwise(F.array().cast("array<string>"))
+        found = F.concat(found, mark)
+    return folded.withColumn("tokens", found).drop("_folded")
 
 
 def _weights(df: DataFrame, label: str) -> DataFrame:
@@ -44,12 +59,12 @@ def _even(df: DataFrame, name: str) -> DataFrame:
     return saved(df.hint("rebalance"), name)
 
 
-def fit_features(tokens: DataFrame) -> PipelineModel:
+def fit_features(tokens: DataFrame, features: int = FEATURES) -> PipelineModel:
     """Terms present, weighted by document frequency: a long text is no more toxic for it."""
     return Pipeline(
         stages=[
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=FEATURES, binary=True),
-            IDF(inputCol="tf", outputCol="features", minDocFreq=1),
+            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features, binary=True),
+            IDF(inputCol="tf", outputCol="features", minDocFreq=MIN_DOCS),
         ]
     ).fit(tokens)
 
@@ -66,24 +81,36 @@ def regression(label: str, max_iter: int, reg: float) -> LogisticRegression:
     )
 
 
-def _features(df: DataFrame, text: str, label: str) -> tuple[PipelineModel, DataFrame]:
+def _features(
+    df: DataFrame, text: str, label: str, terms: Iterable[str]
+) -> tuple[PipelineModel, DataFrame]:
     """Fitted feature stages and the weighted training rows."""
-    tokens = _even(_tokens(df, text).select("tokens", label), "tokens")
+    tokens = _even(_tokens(df, text, terms).select("tokens", label), "tokens")
     fitted = fit_features(tokens)
     return fitted, _weights(fitted.transform(tokens), label).select("features", label, "weight")
 
 
 def train(
-    df: DataFrame, text: str = "text", label: str = "label", max_iter: int = 20, reg: float = 0.01
+    df: DataFrame,
+    text: str = "text",
+    label: str = "label",
+    max_iter: int = 40,
+    reg: float = REG,
+    terms: Iterable[str] = (),
 ) -> PipelineModel:
-    """Fit on (text, label). Fitting reduces over the data; no rows reach the driver."""
-    fitted, rows = _features(df, text, label)
+    """Fit on (text, label). Fitting reduces over the data; no rows reach the driver.
+
+    ``terms``: a blocklist whose hits are one more feature; give the same to ``score``.
+    """
+    fitted, rows = _features(df, text, label, terms)
     return PipelineModel([*fitted.stages, regression(label, max_iter, reg).fit(rows)])
 
 
-def score(model: PipelineModel, df: DataFrame, text: str = "text") -> DataFrame:
+def score(
+    model: PipelineModel, df: DataFrame, text: str = "text", terms: Iterable[str] = ()
+) -> DataFrame:
     """Add ``score``, the probability of the toxic class."""
-    scored = model.transform(_tokens(df, text))
+    scored = model.transform(_tokens(df, text, terms))
     return scored.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 
@@ -95,33 +122,37 @@ def evaluate(scored: DataFrame, label: str = "label", threshold: float = 0.5) ->
 def select_best(
     training: DataFrame,
     held_out: DataFrame,
-    passes: Iterable[int] = (1, 2, 3, 4, 5),
+    passes: Iterable[int] = (5, 10, 20, 40, 80),
     text: str = "text",
     label: str = "label",
-    reg: float = 0.01,
+    reg: float = REG,
+    terms: Iterable[str] = (),
 ) -> tuple[PipelineModel, DataFrame]:
-    """The model with the best held-out F1 over a number of passes, and all results.
+    """The model with the best held-out F1 over a number of solver steps, and all results.
 
-    Features are made once and kept for all fits. The earliest pass wins a tie.
+    Features are made once and kept for all fits. The least number of steps
+    wins a tie. A winner that finds nothing is reported as a warning.
     """
     spark = training.sparkSession
-    fitted, rows = _features(training, text, label)
+    fitted, rows = _features(training, text, label, terms)
     rows = saved(rows, "features")
-    other = fitted.transform(_tokens(held_out, text)).select("features", label)
+    other = fitted.transform(_tokens(held_out, text, terms)).select("features", label)
     other = _even(other, "held-out")
-    results, best, best_f1 = [], None, -1.0
-    for n in passes:
-        model = regression(label, n, reg).fit(rows)
+    results, best, best_f1, best_steps = [], None, -1.0, None
+    for steps in passes:
+        model = regression(label, steps, reg).fit(rows)
         scored = model.transform(other).select(
             label, vector_to_array("probability")[1].alias("score")
         )
         row = evaluate(scored, label).first()
-        results.append((n, *row))
+        results.append((steps, *row))
         if row["f1"] > best_f1:
-            best, best_f1 = PipelineModel([*fitted.stages, model]), row["f1"]
+            best, best_f1, best_steps = PipelineModel([*fitted.stages, model]), row["f1"], steps
+    if best_f1 <= 0:
+        warnings.warn("no model finds a positive held-out row", stacklevel=2)
     schema = (
         "passes int, tp long, fp long, fn long, tn long,"
         " accuracy double, precision double, recall double, f1 double"
     )
     report = spark.createDataFrame(results, schema)
-    return best, report.withColumn("best", F.col("f1") == F.lit(best_f1))
+    return best, report.withColumn("best", F.col("passes") == F.lit(best_steps))

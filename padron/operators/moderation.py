@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padron.functions.scores import over_threshold
-from padron.functions.text import contains_any, fold_long, matched_terms
+from padron.functions.text import as_words, contains_any, fold_long, matched_terms
 from padron.lookups import BLOCKED_EN, BLOCKED_ES, BLOCKED_TERMS, TOXIC_THRESHOLD
 
 
@@ -19,6 +19,16 @@ def lexical_hits(folded: Column, terms=BLOCKED_TERMS, mode: str = "word") -> Col
     return matched_terms(folded, terms, mode)
 
 
+def flags_and_hits(df: DataFrame, folded: str, terms=BLOCKED_TERMS) -> DataFrame:
+    """Add ``hits`` (terms found anywhere), ``substring`` and ``word``.
+
+    The terms are searched for once; word limits are only looked at where one was found.
+    """
+    found = df.withColumn("hits", matched_terms(F.col(folded), terms, "substring"))
+    some = F.coalesce(F.size("hits") > 0, F.lit(False))
+    return found.withColumns({"substring": some, "word": some & as_words(F.col(folded), terms)})
+
+
 def moderated(
     df: DataFrame,
     text: str = "text",
@@ -30,12 +40,9 @@ def moderated(
     """Add ``blocked_by`` (lexical, score, or null) and ``hits``, the terms found."""
     by_score = F.lit(False) if score is None else over_threshold(F.col(score), threshold)
     folded = df.withColumn("_folded", fold_long(F.col(text)))
-    rule = F.when(lexical_flag(F.col("_folded"), terms, mode), F.lit("lexical")).when(
-        by_score, F.lit("score")
-    )
-    return folded.withColumns(
-        {"blocked_by": rule, "hits": lexical_hits(F.col("_folded"), terms, mode)}
-    ).drop("_folded")
+    found = folded.withColumn("hits", lexical_hits(F.col("_folded"), terms, mode))
+    rule = F.when(F.size("hits") > 0, F.lit("lexical")).when(by_score, F.lit("score"))
+    return found.withColumn("blocked_by", rule).drop("_folded")
 
 
 def blocked_message(lang: Column) -> Column:

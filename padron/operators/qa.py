@@ -28,8 +28,10 @@ from padron.lookups import (
     TOXIC_THRESHOLD,
 )
 from padron.operators.moderation import blocked_message, lexical_flag
+from padron.operators.regions import spelling_key, spelling_text
 
-MAX_ALIASES = 200
+# Up to here a chain of conditions; a longer list is a literal array that one expression walks.
+MAX_CHAIN = 200
 FALLBACK_SEED = 0
 
 
@@ -46,10 +48,9 @@ def facts_digest(
     """One row: ``n``, the extreme rows, the fallback row, and the named regions.
 
     Facts are reduced per region first, so copies of a region never meet in
-    one task. The map has one entry per distinct name in ``aliases`` at most.
+    one task. The map has one entry per distinct name in ``aliases`` at most;
+    its keys are spelling keys, its rows show the facts' own spelling.
     """
-    if len(aliases) > MAX_ALIASES:
-        raise ValueError(f"at most {MAX_ALIASES} aliases, got {len(aliases)}")
     row = F.struct(
         F.col(REGION_COL).cast("string").alias("region"),
         F.col(SPEND_COL).cast("double").alias("spend"),
@@ -60,7 +61,9 @@ def facts_digest(
         """The row with the smallest ``by``; rows without one do not take part."""
         return F.min_by(row, F.when(by.isNotNull(), F.struct(by, row["region"])))
 
-    per_region = facts.select(row.alias("row")).groupBy("row.region").agg(
+    spelt = facts.select(row.alias("row"), spelling_key(F.col(REGION_COL)).alias("key"))
+    per_region = spelt.groupBy("key").agg(
+        F.min("row.region").alias("region"),
         F.count(F.lit(1)).alias("n"),
         F.min("row").alias("first"),
         least(F.col("row"), -F.col("row.spend")).alias("high"),
@@ -71,7 +74,7 @@ def facts_digest(
         choice = seeded_hash(FALLBACK_SEED, F.col("region"))
     else:
         choice = (F.col("region") != F.lit(fallback_region)).cast("int")
-    named = F.col("region").isin(*dict(map(reversed, aliases)))
+    named = F.col("key").isin(*{spelling_text(official) for _, official in aliases})
     return per_region.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         least(F.col("high"), -F.col("high.spend")).alias("max_spend"),
@@ -79,23 +82,22 @@ def facts_digest(
         least(F.col("most"), -F.col("most.licences")).alias("max_licences"),
         least(F.col("first"), choice).alias("fallback"),
         F.map_from_entries(
-            F.collect_list(F.when(named, F.struct("region", "first")))
+            F.collect_list(F.when(named, F.struct("key", "first")))
         ).alias("regions"),
     )
 
 
 def region_of(folded: Column, regions: Column, aliases=REGION_ALIASES) -> Column:
-    """The first alias in a folded prompt whose official name has a fact; null for none."""
-    return F.coalesce(
-        *[
-            F.when(
-                F.contains(folded, F.lit(fold_text(alias)))
-                & F.map_contains_key(regions, F.lit(official)),
-                F.lit(official),
-            )
-            for alias, official in aliases
-        ]
-    )
+    """The spelling key of the first alias in a folded prompt that has a fact; null for none."""
+    keyed = [(F.lit(fold_text(a)), F.lit(spelling_text(official))) for a, official in aliases]
+
+    def told(alias: Column, key: Column) -> Column:
+        return F.contains(folded, alias) & F.map_contains_key(regions, key)
+
+    if len(keyed) <= MAX_CHAIN:
+        return F.coalesce(*[F.when(told(alias, key), key) for alias, key in keyed])
+    pairs = F.array(*[F.struct(alias.alias("alias"), key.alias("key")) for alias, key in keyed])
+    return F.get(F.filter(pairs, lambda p: told(p["alias"], p["key"])), F.lit(0))["key"]
 
 
 # Which template and which value field answers each kind of question.

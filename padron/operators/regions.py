@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def spelling_key(name: Column) -> Column:
     return F.regexp_replace(comma_to_parens(region_key(name)), r" *- *", "-")
 
 
+def spelling_text(name: str) -> str:
+    """``spelling_key`` of a fixed name."""
+    return re.sub(r" *- *", "-", re.sub(r"^(.+), (.+)$", r"\1 (\2)", fold_text(name)))
+
+
 def canonical_region(name: Column) -> Column:
     """The official name for any spelling; null for a name that is no territory."""
     plain = {fold_text(r).replace(" - ", "-"): r for r in REGIONS}

@@ -19,7 +19,9 @@ def capped_sample(
     """At most ``cap`` rows per group: those with the smallest hash of ``keys``.
 
     A rank filter is planned as a per-task limit before the shuffle, so a group
-    of any size sends at most ``cap`` rows per task.
+    of any size sends at most ``cap`` rows per task. Spark does so up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); beyond it, a group is
+    sorted in one task, so raise that setting with the cap.
     """
     hashed = df.withColumn("_order", seeded_hash(seed, *[F.col(k) for k in keys]))
     window = W.partitionBy(*by).orderBy("_order", *keys)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from padron.functions.text import fold
-from padron.lookups import ANSWER_LABELS, BLOCKED_EN, BLOCKED_ES
+from padron.lookups import ANSWER_LABELS, BLOCKED_EN, BLOCKED_ES, REGION_COL, TOXIC_THRESHOLD
 from padron.operators import qa
+from padron.operators.regions import comma_to_parens
 from padron.plans.facts import INDICATORS_SQL, NATION_ALIASES, home
 from padron.plans.moderation_queries import TERMS, WORD_SQL
 from padron.plans.registry import register, table
 from padron.session import saved, scratch_dir
 from padron.streaming.answers import read_messages, write_answers
 from padron.streaming.usage import load_per_minute as per_minute
-from padron.streaming.usage import load_stream, write_load
+from padron.streaming.usage import load_stream, with_tail, write_load
 from padron.streaming.usage import usage_24h as usage
 
 
@@ -83,20 +84,25 @@ named AS (SELECT p.*, h."CCAA" AS region, h."Gasto_Promedio_Hogar_Eur" AS spend,
 @register(
     "region_alias_join",
     f"{INDICATORS_SQL}, {PROMPTS_SQL}, {NAMED_SQL}"
-    " SELECT id, region, spend, licences FROM named",
+    " SELECT id, CASE WHEN regexp_matches(region, '[02468],') THEN"
+    " regexp_replace(region, '^(.+), (.+)$', '\\1 (\\2)') ELSE region END AS region,"
+    " spend, licences FROM named",
 )
 def region_alias_join(spark, sf):
     """The region each question names, with its facts; null where it names none."""
-    digest = qa.facts_digest(home(spark, sf), NATION_ALIASES)
+    # Every other region in the other spelling, as sources differ.
+    spelling = F.when(F.col(REGION_COL).rlike("[02468],"), comma_to_parens(F.col(REGION_COL)))
+    facts = home(spark, sf).withColumn(REGION_COL, F.coalesce(spelling, F.col(REGION_COL)))
+    digest = qa.facts_digest(facts, NATION_ALIASES)
     regions = digest.select("regions").scalar()
     asked = prompts(spark, sf).withColumns(
         {"regions": regions, "folded": fold(F.col("prompt"))}
     )
     named = asked.withColumn(
-        "region", qa.region_of(F.col("folded"), F.col("regions"), NATION_ALIASES)
+        "key", qa.region_of(F.col("folded"), F.col("regions"), NATION_ALIASES)
     )
-    fact = F.try_element_at("regions", "region")
-    return named.select("id", "region", fact["spend"].alias("spend"), fact["licences"].alias("licences"))
+    fact = F.try_element_at("regions", "key")
+    return named.select("id", fact["region"].alias("region"), fact["spend"].alias("spend"), fact["licences"].alias("licences"))
 
 
 def _label(code: str, key: str, **fields: str) -> str:
@@ -159,13 +165,18 @@ def messages(spark, sf):
             F.col("text").alias("prompt"),
             F.lit("FR").alias("lang"),
         )
+    ).withColumn(
+        # A given score: the last digit of a customer's number, none for turns.
+        "score", (F.substring("id", 2, 20).try_cast("long") % 10) / F.lit(10.0)
     )
 
 
 GUARDED_SQL = f"""{INDICATORS_SQL}, {PROMPTS_SQL.replace('prompts AS', 'customers AS')},
 prompts AS (SELECT * FROM customers UNION ALL
   SELECT 'm' || conv_id || ':' || turn, text, 'FR' FROM conversations WHERE role = 'user'),
-{NAMED_SQL}, checked AS (SELECT *, {WORD_SQL.replace('text', 'prompt')} AS blocked FROM named)
+{NAMED_SQL}, checked AS (SELECT *, {WORD_SQL.replace('text', 'prompt')}
+  OR coalesce(TRY_CAST(id[2:] AS BIGINT) % 10 / 10.0 >= {TOXIC_THRESHOLD}, false) AS blocked
+  FROM named)
 SELECT id, blocked, CASE WHEN blocked THEN
   CASE WHEN lang = 'ES' THEN '{BLOCKED_ES}' ELSE '{BLOCKED_EN}' END
   ELSE {ANSWER_SQL} END || ' ' AS answer FROM checked"""
@@ -174,8 +185,9 @@ SELECT id, blocked, CASE WHEN blocked THEN
 @register("guarded_answer", GUARDED_SQL)
 def guarded_answer(spark, sf):
     answers = qa.guarded_answer(
-        messages(spark, sf), home(spark, sf), F.col("lang"), terms=TERMS, aliases=NATION_ALIASES
-    )
+        messages(spark, sf), home(spark, sf), F.col("lang"), score="score", terms=TERMS,
+        aliases=NATION_ALIASES,
+    )
     return answers.select("id", "blocked", "answer")
 
 
@@ -190,7 +202,7 @@ def stream_guarded_answer(spark, sf):
     asked.write.parquet(inbox)
     job = write_answers(
         read_messages(spark, inbox, asked.schema), saved(home(spark, sf), "facts"), f"{root}/out", f"{root}/checkpoint", F.col("lang"),
-        terms=TERMS, aliases=NATION_ALIASES,
+        score="score", terms=TERMS, aliases=NATION_ALIASES,
     )
     job.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("id", "blocked", "answer")
@@ -228,15 +240,14 @@ def load_per_minute(spark, sf):
     "stream_load_per_minute",
     "SELECT strftime(m, '%Y-%m-%d %H:%M') AS minute, count(*) AS load,"
     " count(*) FILTER (event_type = 'error') AS failed"
-    " FROM (SELECT *, date_trunc('minute', ts) AS m FROM events)"
-    " WHERE m + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY m",
+    " FROM (SELECT *, date_trunc('minute', ts) AS m FROM events) GROUP BY m",
 )
 def stream_load_per_minute(spark, sf):
-    """Load of every minute that the watermark has closed, from a stream over all events."""
+    """Load of every minute: written by a stream as the watermark closes it, the rest at the end."""
     root = scratch_dir(spark, "load")
     events = table(spark, sf, "events")
     events.write.parquet(f"{root}/in")
     arriving = spark.readStream.schema(events.schema).parquet(f"{root}/in")
     write_load(load_stream(arriving), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    load = spark.read.parquet(f"{root}/out")
+    load = with_tail(spark.read.parquet(f"{root}/out"), spark.read.parquet(f"{root}/in"))
     return load.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "load", "failed")

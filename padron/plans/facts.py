@@ -7,7 +7,12 @@ The two sides spell a region differently, as the real sources do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import operator
+from collections.abc import Iterable
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from padron.functions.numbers import format_number_es
@@ -30,7 +35,16 @@ NATIONS = 25
 NATION_ALIASES = tuple((f"nación {n} ", f"NATION_{n}, Región de") for n in range(NATIONS))
 
 
-def order_counts(spark: SparkSession, sf: str) -> DataFrame:
+def in_years(column: str, years: Iterable[int] | None) -> Column:
+    """Times of the years as ranges, which the scan can use to skip data."""
+    if years is None:
+        return F.lit(True)
+    day = lambda year: F.lit(datetime(year, 1, 1))
+    ranges = [(F.col(column) >= day(y)) & (F.col(column) < day(y + 1)) for y in years]
+    return reduce(operator.or_, ranges, F.lit(False))
+
+
+def order_counts(spark: SparkSession, sf: str, years: Iterable[int] | None = None) -> DataFrame:
     """Orders per nation, year, priority and status.
 
     Orders are counted per customer before the join, so a customer with very
@@ -38,6 +52,7 @@ def order_counts(spark: SparkSession, sf: str) -> DataFrame:
     """
     per_customer = (
         table(spark, sf, "orders")
+        .filter(in_years("o_orderdate", years))
         .groupBy(
             "o_custkey",
             F.year("o_orderdate").alias("periodo"),
@@ -66,9 +81,14 @@ order_counts AS (
 """
 
 
-def licences(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw licence table: every priority and TOTAL, every region and TOTAL, as text."""
-    counts = order_counts(spark, sf)
+def licences(
+    spark: SparkSession, sf: str, years: Iterable[int] | None = None, year_type: str = "string"
+) -> DataFrame:
+    """Raw licence table: every priority and TOTAL, every region and TOTAL, as text.
+
+    A year kept as a number needs no parsing per row.
+    """
+    counts = order_counts(spark, sf, years)
     cells = counts.groupingSets(
         [
             [F.col("periodo"), F.col("prioridad"), F.col("n_name")],
@@ -84,23 +104,24 @@ def licences(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(F.concat("n_name", F.lit(", Región de")), F.lit("TOTAL")).alias(
             "Comunidad autónoma"
         ),
-        F.col("periodo").cast("string").alias("periodo"),
+        F.col("periodo").cast(year_type).alias("periodo"),
         format_number_es(F.col("n").cast("double")).alias("Total"),
         F.lit(LICENCE_FILE).alias("archivo_origen"),
     )
 
 
-def line_means(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean line price per supplier nation and ship year, summed exactly.
+def line_means(spark: SparkSession, sf: str, years: Iterable[int] | None = None) -> DataFrame:
+    """Mean line price per supplier nation and ship year.
 
     Lines are summed per supplier and year before the join.
     """
     per_supplier = (
         table(spark, sf, "lineitem")
+        .filter(in_years("l_shipdate", years))
         .groupBy("l_suppkey", F.year("l_shipdate").alias("periodo"))
         .agg(
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("total"),
-            F.count(F.lit(1)).alias("n"),
+            F.sum("l_extendedprice").alias("total"),
+            F.count("l_extendedprice").alias("n"),
         )
     )
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
@@ -113,7 +134,7 @@ def line_means(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             "n_name",
             "periodo",
-            (F.col("total").cast("double") / F.col("n").cast("double")).alias("mean"),
+            F.try_divide("total", F.col("n").cast("double")).alias("mean"),
         )
     )
 
@@ -121,18 +142,20 @@ def line_means(spark: SparkSession, sf: str) -> DataFrame:
 LINE_MEANS_SQL = """
 line_means AS (
   SELECT n_name, year(l_shipdate) AS periodo,
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean
+         avg(l_extendedprice) AS mean
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   GROUP BY ALL)
 """
 
 
-def spend(spark: SparkSession, sf: str) -> DataFrame:
+def spend(
+    spark: SparkSession, sf: str, years: Iterable[int] | None = None, year_type: str = "string"
+) -> DataFrame:
     """Raw spend table, as text, with two decimals."""
-    return line_means(spark, sf).select(
+    return line_means(spark, sf, years).select(
         F.lit(SPEND_INDICATOR).alias("Indicador"),
         F.concat("n_name", F.lit(" (Región de)")).alias("Comunidad autónoma"),
-        F.col("periodo").cast("string").alias("periodo"),
+        F.col("periodo").cast(year_type).alias("periodo"),
         format_number_es(F.col("mean")).alias("Total"),
         F.lit(SPEND_FILE).alias("archivo_origen"),
     )
@@ -141,8 +164,8 @@ def spend(spark: SparkSession, sf: str) -> DataFrame:
 def indicators(spark: SparkSession, sf: str, years=None) -> DataFrame:
     """Region, year, licences and spend."""
     return indicators_by_year(
-        licences(spark, sf),
-        spend(spark, sf),
+        licences(spark, sf, years, "int"),
+        spend(spark, sf, years, "int"),
         years,
         mapping=comma_to_parens(F.col("ccaa_limpia")),
     )

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from padron.functions.numbers import round_even
 from padron.lookups import LICENCES_COL, REGION_COL, SPEND_COL, SPEND_INDICATOR
 from padron.operators import columns, contracts, filters, indicators, regions
 from padron.plans import facts
 from padron.plans.facts import INDICATORS_SQL, LINE_MEANS_SQL, ORDER_COUNTS_SQL, YEAR, es_any
 from padron.plans.registry import register, table
 
+# Means are compared to six decimals: the last digits of a sum follow the order of addition.
+R6 = "CAST(printf('%.6f', {}) AS DOUBLE)"
 BOTH_SQL = f"WITH {ORDER_COUNTS_SQL}, {LINE_MEANS_SQL}"
 
 
@@ -41,18 +44,22 @@ def add_metadata(spark, sf):
 
 @register(
     "contract_checks",
-    "SELECT count(*) AS n_rows, true AS has_columns, true AS rows_ok, true AS anio_constant,"
-    " true AS anio_ok, true AS fuente_constant, true AS fuente_ok,"
+    "SELECT count(*) AS n_rows, true AS has_columns, count(*) = 10 * (SELECT count(*) FROM customer)"
+    " AS rows_ok, count(*) = 1 + 10 * (SELECT count(*) FROM customer) AS other_rows_ok,"
+    " true AS anio_constant, true AS anio_ok, min(o_custkey) = max(o_custkey) AS o_custkey_constant,"
+    " bool_and(o_custkey = 1) AS o_custkey_ok, true AS fuente_constant, true AS fuente_ok,"
     " count(DISTINCT o_orderpriority) AS priorities FROM orders",
 )
 def contract_checks(spark, sf):
     orders = columns.add_metadata(table(spark, sf, "orders"))
+    expected = 10 * table(spark, sf, "customer").count()
     checks = contracts.contract_checks(
-        orders, ["o_orderkey", "o_totalprice", "anio", "fuente"], None,
-        {"anio": columns.SOURCE_YEAR, "fuente": columns.SOURCE_NAME},
+        orders, ["o_orderkey", "o_totalprice", "anio", "fuente"], expected,
+        {"anio": columns.SOURCE_YEAR, "fuente": columns.SOURCE_NAME, "o_custkey": 1},
     )
+    other = contracts.contract_checks(orders, [], expected + 1, {}).select("rows_ok")
     distinct = contracts.distinct_counts(orders, ["o_orderpriority"])
-    return checks.withColumn("priorities", distinct.scalar())
+    return checks.withColumns({"priorities": distinct.scalar(), "other_rows_ok": other.scalar()})
 
 
 @register(
@@ -63,7 +70,7 @@ def contract_checks(spark, sf):
 )
 def home_filters(spark, sf):
     kept = filters.equal_all(
-        facts.licences(spark, sf),
+        facts.licences(spark, sf, [YEAR]),
         periodo=str(YEAR), archivo_origen="federado_01.csv", Federación="TOTAL",
     ).filter(filters.not_in(F.col("Comunidad autónoma")))
     return kept.select(
@@ -102,14 +109,15 @@ def home_indicators(spark, sf):
 @register(
     "yearly_report",
     f"""{INDICATORS_SQL} SELECT periodo, count(*) AS n_regions,
-    CAST(sum(CAST("{SPEND_COL}" AS DECIMAL(28,6))) AS DOUBLE) / count("{SPEND_COL}") AS avg_spend,
-    CAST(sum(CAST("{LICENCES_COL}" AS DECIMAL(28,6))) AS DOUBLE) AS sum_licences,
+    {R6.format(f'avg("{SPEND_COL}")')} AS avg_spend, sum("{LICENCES_COL}") AS sum_licences,
     string_agg("{REGION_COL}", '|' ORDER BY "{REGION_COL}") AS regions
     FROM indicators GROUP BY periodo""",
 )
 def yearly_report(spark, sf):
     report = indicators.yearly_report(facts.indicators(spark, sf))
-    return report.withColumn("regions", F.array_join("regions", "|"))
+    return report.withColumns(
+        {"regions": F.array_join("regions", "|"), "avg_spend": round_even(F.col("avg_spend"), 6)}
+    )
 
 
 @register(
@@ -147,21 +155,21 @@ def territory_domain(spark, sf):
 
 
 KPI_SQL = f"""
-CAST(sum(CAST("{SPEND_COL}" AS DECIMAL(28,6))) AS DOUBLE) / count("{SPEND_COL}") AS avg_spend,
-CAST(sum(CAST("{LICENCES_COL}" AS DECIMAL(28,6))) AS DOUBLE) AS sum_licences,
+{R6.format(f'avg("{SPEND_COL}")')} AS avg_spend, sum("{LICENCES_COL}") AS sum_licences,
 count(*) AS n_regions"""
 
 
-@register(
-    "kpi_summary",
-    f"""{INDICATORS_SQL} SELECT *, '€ ' || printf('%.0f', avg_spend) AS spend_card,
+KPI_SUMMARY_SQL = f"""{INDICATORS_SQL} SELECT *, '€ ' || printf('%.0f', avg_spend) AS spend_card,
     CASE WHEN sum_licences > 1e5 THEN printf('%.1f', sum_licences / 1e6) || 'M'
          ELSE format('{{:,.0f}}', sum_licences) END AS licences_card,
     CAST(n_regions AS VARCHAR) AS regions_card
-    FROM (SELECT {KPI_SQL} FROM home) WHERE n_regions > 0""",
-)
+    FROM (SELECT {KPI_SQL} FROM home) WHERE n_regions > 0"""
+
+
+@register("kpi_summary", KPI_SUMMARY_SQL)
 def kpi_summary(spark, sf):
-    return indicators.kpis(facts.home(spark, sf))
+    cards = indicators.kpis(facts.home(spark, sf))
+    return cards.withColumn("avg_spend", round_even(F.col("avg_spend"), 6))
 
 
 def _extreme(name: str, column: str, largest: bool) -> None:

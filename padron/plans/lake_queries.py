@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from padron.functions.chat import chat_template
-from padron.functions.numbers import format_number_es
-from padron.operators import generators, labels
+from padron.functions.numbers import format_number_es, round_even
+from padron.functions.periods import year_cast
+from padron.lookups import LICENCE_FILE, SPEND_FILE
+from padron.operators import generators, indicators, labels
 from padron.operators.columns import add_metadata
+from padron.operators.regions import comma_to_parens
 from padron.plans.facts import (
     LINE_MEANS_SQL,
     ORDER_COUNTS_SQL,
     ROUNDED_MEAN,
+    YEAR,
     es_any,
     line_means,
     order_counts,
 )
+from padron.plans.facts import licences as raw_licences
+from padron.plans.facts import spend as raw_spend
+from padron.plans.indicator_queries import KPI_SUMMARY_SQL
 from padron.plans.moderation_queries import labelled
 from padron.plans.record_queries import (
     EXCHANGES_SQL,
@@ -140,15 +147,9 @@ def sink_partitioned(spark, sf):
     )
 
 
-_LAKES: dict[tuple[str, str], str] = {}
-
-
 def lake_root(spark: SparkSession, sf: str) -> str:
-    """A lake of differing layouts, written once per application and table folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LAKES:
-        _LAKES[key] = write_lake(spark, sf, scratch_dir(spark, "lake") + "/raw")
-    return _LAKES[key]
+    """A lake of differing layouts, written for the query that asks for it."""
+    return write_lake(spark, sf, scratch_dir(spark, "lake") + "/raw")
 
 
 def write_lake(spark: SparkSession, sf: str, root: str) -> str:
@@ -272,8 +273,9 @@ def schema_profile(spark, sf):
 )
 def ingest_report(spark, sf):
     """Status per source; its part files are summed."""
-    found = lake.discover(spark, lake_root(spark, sf))
-    report = lake.ingest_report(found, facts(spark, sf))
+    root = lake_root(spark, sf)
+    listed = lake.manifest(spark, root)
+    report = lake.ingest_report(listed, lake.load_lake(spark, root, listed=listed))
     return report.groupBy("category", "wave", "file_name", "status").agg(
         F.sum("rows").alias("n"), F.sum("with_total").alias("with_total")
     )
@@ -282,7 +284,7 @@ def ingest_report(spark, sf):
 def _habits_sql(zone: str, what: str, value: str, wave: str, source: str) -> str:
     year = wave[:4]
     return f"""SELECT concat_ws('|', {zone}, {what}, '{year}', {value}) AS k,
-  'habitos_deportivos/{wave}/practica_03.csv' AS origin,
+  'raw/Habitos_Deportivos/{wave}/Practica_Deportiva/practica_03.csv' AS origin,
   '¿Cuál fue el porcentaje de ''' || {what} || ''' en ' || {zone} || ' (encuesta {year})?'
     AS question,
   'Según la encuesta de hábitos deportivos de {year}, el indicador ''' || {what} || ''' en '
@@ -292,19 +294,19 @@ def _habits_sql(zone: str, what: str, value: str, wave: str, source: str) -> str
 TRAINING_SQL = f"""
 WITH {ORDER_COUNTS_SQL}, {LINE_MEANS_SQL}, {EXCHANGES_SQL},
 federated AS (SELECT concat_ws('|', prioridad, n_name, periodo, estado,
-    {es_any('CAST(n AS DOUBLE)')}) AS k, 'deporte_federado//federado_01.csv' AS origin,
+    {es_any('CAST(n AS DOUBLE)')}) AS k, 'raw/Deporte_Federado/federado_01.csv' AS origin,
   '¿Cuántos deportistas de ' || prioridad || ' (' || lower(estado) || ') en ' || n_name || ' en '
     || periodo || '?' AS question,
   'El número de deportistas de la federación ' || prioridad || ' en ' || n_name
     || ' en el periodo ' || periodo || ' fue de ' || {es_any('CAST(n AS DOUBLE)')} || '.' AS answer
   FROM order_counts),
 households AS (SELECT concat_ws('|', 'Gasto medio', n_name, periodo, {es_any('mean')}) AS k,
-  'gasto_hogares//gasto_01.csv' AS origin,
+  'raw/Gasto_Hogares/gasto_01.csv' AS origin,
   '¿Cuál fue el gasto medio en ' || n_name || ' en ' || periodo || '?' AS question,
   'El gasto medio en ' || n_name || ' en ' || periodo || ' fue de ' || {es_any(ROUNDED_MEAN)} || '.'
     AS answer FROM line_means),
 companies AS (SELECT concat_ws('|', p_type, p_brand, {es_any('p_retailprice')}) AS k,
-  'empresa_deporte//D6F01001.csv' AS origin,
+  'raw/Empresa_Deporte/D6F01001.csv' AS origin,
   '¿Qué valor tuvo ''' || p_type || ''' en la actividad ' || p_brand || ' en N/D?' AS question,
   'El indicador ''' || p_type || ''' para la actividad económica ' || p_brand
     || ' en N/D fue de ' || {es_any('p_retailprice')} || '.' AS answer FROM part
@@ -325,9 +327,31 @@ FROM pairs
 @register("training_set", TRAINING_SQL)
 def training_set(spark, sf):
     """The whole factory: lake, generators, general pairs, shuffle, records."""
-    source = F.concat_ws("/", "category", F.coalesce("wave", F.lit("")), "file_name")
-    rows = lake.good_files(facts(spark, sf)).withColumn("origin", source)
-    generated = generators.lake_pairs(rows, ["origin"])
+    # The cap holds per source; its place below the lake names it in every run alike.
+    origin = lake.below_raw(F.col("source_path"))
+    rows = lake.good_files(facts(spark, sf)).withColumn("origin", origin)
+    generated = generators.lake_pairs(rows, ["source_path", "origin"])
     pairs = generators.union_pairs(general_pairs(spark, sf), generated)
     records = generators.training_set(pairs)
     return records.select("position", chat_template(F.col("messages")).alias("text"))
+
+
+@register("lake_home", KPI_SUMMARY_SQL)
+def lake_home(spark, sf):
+    """From CSV files to the cards: load, write two clean tables by year, read one year, join."""
+    root = scratch_dir(spark, "lake-home")
+    for name, df in {
+        f"Deporte_Federado/{LICENCE_FILE}": raw_licences(spark, sf).drop("archivo_origen"),
+        f"Gasto_Hogares/{SPEND_FILE}": raw_spend(spark, sf).drop("archivo_origen"),
+    }.items():
+        files.write_semicolon(df, f"{root}/raw/{name}")
+    tables = lake.indicator_tables(lake.load_lake(spark, f"{root}/raw"))
+    clean = []
+    for name, df in zip(("licences", "spend"), tables, strict=True):
+        by_year = df.withColumn("anio", year_cast(F.col("periodo")))
+        files.write_partitioned(by_year, f"{root}/{name}", "anio")
+        read = files.read_parquet(spark, f"{root}/{name}").filter(F.col("anio") == YEAR)
+        clean.append(read.drop("anio"))
+    mapping = comma_to_parens(F.col("ccaa_limpia"))
+    cards = indicators.kpis(indicators.home_indicators(*clean, YEAR, mapping))
+    return cards.withColumn("avg_spend", round_even(F.col("avg_spend"), 6))

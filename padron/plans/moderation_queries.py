@@ -76,19 +76,29 @@ def folded_texts(spark, sf):
     " FROM documents",
 )
 def toxic_lexical(spark, sf):
-    folded = F.col("folded")
-    return folded_texts(spark, sf).select(
-        "doc_id",
-        moderation.lexical_flag(folded, TERMS, "substring").alias("substring"),
-        moderation.lexical_flag(folded, TERMS, "word").alias("word"),
-        F.array_join(moderation.lexical_hits(folded, TERMS, "substring"), ",").alias("hits"),
+    found = moderation.flags_and_hits(folded_texts(spark, sf), "folded", TERMS)
+    return found.select("doc_id", "substring", "word", F.array_join("hits", ",").alias("hits"))
+
+
+@register(
+    "moderated",
+    f"""SELECT doc_id, CASE WHEN {WORD_SQL} THEN 'lexical' WHEN score >= {TOXIC_THRESHOLD}
+  THEN 'score' END AS blocked_by FROM (SELECT *, doc_id % 10 / 10.0 AS score FROM documents)""",
+)
+def moderated(spark, sf):
+    """Blocklist first, then a given score."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "text", (F.col("doc_id") % 10 / F.lit(10.0)).alias("score")
     )
+    return moderation.moderated(docs, score="score", terms=TERMS).select("doc_id", "blocked_by")
 
 
 def predicted(spark, sf):
-    rows = labelled(spark, sf).withColumn("folded", fold_long(F.col("text")))
+    """Texts are reduced to a flag before they meet the labels."""
     flag = moderation.lexical_flag(F.col("folded"), TERMS, "word").cast("int")
-    return rows.select("label", flag.alias("pred"))
+    flags = folded_texts(spark, sf).select("doc_id", flag.alias("pred"))
+    truth = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return flags.join(truth, "doc_id").select("label", "pred")
 
 
 PREDICTED_SQL = (
@@ -170,15 +180,16 @@ def toxic_threshold(spark, sf):
 def toxic_classifier(spark, sf):
     """Train on four fifths of the labelled texts, score all of them."""
     rows = sampling.with_split(labelled(spark, sf), ["doc_id"], test_share=0.2)
-    fitted = model.train(rows.filter("split = 'train'"))
-    scored = model.score(fitted, rows)
+    fitted = model.train(rows.filter("split = 'train'"), terms=TERMS)
+    scored = model.score(fitted, rows, terms=TERMS)
     flag = over_threshold(F.col("score"), TOXIC_THRESHOLD).alias("toxic")
     return scored.select("doc_id", "split", "label", "score", flag)
 
 
 @register("toxic_model_select")
 def toxic_model_select(spark, sf):
-    """Held-out quality after one to five passes, the best marked."""
+    """Held-out quality after 5 to 80 solver steps, the best marked."""
     rows = sampling.with_split(labelled(spark, sf), ["doc_id"], test_share=0.2)
-    _, report = model.select_best(rows.filter("split = 'train'"), rows.filter("split = 'test'"))
+    train, test = (rows.filter(F.col("split") == side) for side in ("train", "test"))
+    _, report = model.select_best(train, test, terms=TERMS)
     return report

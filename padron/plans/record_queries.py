@@ -99,19 +99,26 @@ def fallback_fact(spark, sf):
 
 @register(
     "chat_messages",
-    "SELECT conv_id, turn // 256 AS block, count(*) AS n,"
+    "SELECT conv_id, count(*) AS n,"
     " string_agg(turn || ':' || role || ':' || text, chr(30) ORDER BY turn) AS messages"
-    " FROM conversations GROUP BY conv_id, turn // 256",
+    " FROM conversations GROUP BY conv_id",
 )
 def chat_messages(spark, sf):
-    blocks = conversations.assemble(table(spark, sf, "conversations"))
+    sessions = conversations.assemble(table(spark, sf, "conversations"))
     line = lambda m: F.concat_ws(":", m["turn"].cast("string"), m["role"], m["text"])
-    return blocks.select(
-        "conv_id", "block", F.size("messages").cast("long").alias("n"),
+    return sessions.select(
+        "conv_id", F.size("messages").cast("long").alias("n"),
         F.array_join(F.transform("messages", line), "\x1e").alias("messages"),
     )
 
 
+@register(
+    "ordered_messages", "SELECT conv_id, turn AS position, role, text FROM conversations"
+)
+def ordered_messages(spark, sf):
+    return conversations.ordered_messages(table(spark, sf, "conversations"))
+
+
 TRIM = "trim({}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
 EXCHANGES_SQL = f"""
 exchanges AS (SELECT u.conv_id, u.turn, {TRIM.format('u.text')} AS question,

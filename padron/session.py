@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -31,6 +32,7 @@ def build_session(app: str = "padron", master: str | None = None, **conf: str) -
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder that the cluster names.
 
+    The folders of a process are removed when it ends, or earlier by ``discard``.
     Every executor must see the folder, so a machine-local one is made up only
     for a local master without the setting (tests, laptops).
     """
@@ -39,7 +41,28 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         root = os.path.join(tempfile.gettempdir(), "padron-scratch")
-    return f"{root.rstrip('/')}/padron/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/padron/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove every folder that this process has made by ``scratch_dir``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = hadoop(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _discard_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        discard(spark)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

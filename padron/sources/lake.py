@@ -3,12 +3,7 @@
 from __future__ import annotations
 
 import csv
-import re
-from collections.abc import Iterator
-from urllib.parse import quote
 
-import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,14 +11,22 @@ from pyspark.sql import types as T
 from padron.functions.numbers import parse_number_es
 from padron.functions.periods import path_category, path_year
 from padron.functions.text import BOM, clean_cell, repair_text
-from padron.lookups import CATEGORY_FAMILY, LAKE_HEADERS, MISSING_CELLS, SAMPLE_CAP
-from padron.operators.columns import coalesce_columns
+from padron.lookups import (
+    CATEGORY_FAMILY,
+    LAKE_HEADERS,
+    LICENCE_FILE,
+    MISSING_CELLS,
+    SAMPLE_CAP,
+    SPEND_FILE,
+)
+from padron.operators.columns import alias_candidates
+from padron.session import saved
 
 SEP = ";"
-LINEAGE = ["category", "wave", "file_name", "file_path"]
-# One cell past the header shows an overlong row. The last column is never read,
-# which keeps the reader on its pruned path: cells by position, no error per row.
-EXTRA, UNREAD = "_extra", "_unread"
+LINEAGE = ["category", "wave", "file_name", "file_path", "source_path"]
+# The last column is never read, which keeps the reader on its pruned path: cells by
+# position, no error for a row that is shorter or longer than the widest header.
+UNREAD = "_unread"
 
 
 def below_raw(path: Column) -> Column:
@@ -41,11 +44,13 @@ def lineage(path: Column) -> dict[str, Column]:
         "wave": F.nullif(wave, F.lit("")),
         "file_name": F.regexp_extract(inner, r"([^/]+?\.csv)(?:/|$)", 1),
         "file_path": path,
+        # The source: a file, or the folder that a writer filled with part files.
+        "source_path": F.regexp_extract(path, r"^(.*?/[^/]+?\.csv)(?:/|$)", 1),
     }
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """Every CSV below ``root`` with its lineage. Lists files only; no content is read."""
+    """Every CSV below ``root`` with its lineage, but for files of no bytes. No content is read."""
     listed = (
         spark.read.format("binaryFile")
         .options(recursiveFileLookup=True, pathGlobFilter="*.csv")
@@ -57,75 +62,6 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _first_line(path: str, chunk: int = 1 << 16) -> bytes:
-    """The first line by ranged reads, so a header costs one block at most."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or "://" not in path:
-        files, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    else:
-        scheme, rest = path.split("://", 1)
-        scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-        files, name = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
-    head = b""
-    with files.open_input_file(name) as handle:
-        while b"\n" not in head:
-            more = handle.read(chunk)
-            if not more:
-                break
-            head += more
-    return head.split(b"\n", 1)[0].rstrip(b"\r")
-
-
-def _read_headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        headers, errors = [], []
-        for path in frame["path"]:
-            try:
-                line = _first_line(path)
-                headers.append(line.decode("utf-8-sig"))
-                errors.append(None)
-            except (OSError, ValueError) as problem:
-                headers.append(None)
-                errors.append(f"{type(problem).__name__}: {problem}")
-        yield frame.assign(header=headers, error=errors)
-
-
-def read_headers(files: DataFrame) -> DataFrame:
-    """Add ``header`` and ``error`` to a file listing; tasks read first blocks only."""
-    schema = T.StructType(
-        files.schema.fields
-        + [T.StructField("header", T.StringType()), T.StructField("error", T.StringType())]
-    )
-    return files.mapInPandas(_read_headers, schema)
-
-
-def scan_headers(files: DataFrame) -> DataFrame:
-    """``read_headers`` with Spark's own reader, for stores that tasks reach only through it.
-
-    It reads every line once, so prefer the ranged form where it works.
-    """
-    spark = files.sparkSession
-    roots = [r.root for r in files.select(F.col("root")).distinct().collect()]
-    lines = (
-        spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.csv")
-        .text(roots)
-        .filter("_metadata.file_block_start = 0")
-        .select(
-            _decoded(F.col("_metadata.file_path")).alias("path"),
-            F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"),
-        )
-    )
-    first = lines.groupBy("path").agg(F.min_by("line.value", "line.at").alias("header"))
-    header = F.rtrim(F.replace("header", F.lit(BOM), F.lit("")), F.lit("\r"))
-    return files.join(first.withColumn("header", header), "path", "left").withColumns(
-        {
-            "header": F.coalesce("header", F.lit("")),
-            "error": F.lit(None).cast("string"),
-        }
-    )
-
-
 def _decoded(path: Column) -> Column:
     """A metadata path as listed: it is percent-encoded, with plus signs left as they are."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
@@ -144,132 +80,143 @@ def header_columns(header: str) -> list[str]:
     return names
 
 
-def schema_profile(spark: SparkSession, root: str) -> DataFrame:
-    """The header of each category's first file, or why it cannot be read."""
-    first = discover(spark, root).groupBy("category").agg(F.min("path").alias("path"))
-    profile = read_headers(first)
-    names = F.transform(F.split("header", SEP), lambda c: F.trim(c))
-    return profile.select(
-        "category",
-        F.coalesce(F.array_join(names, ", "), F.concat(F.lit("error: "), F.col("error"))).alias(
-            "columns"
-        ),
+def _headers(spark: SparkSession, root: str) -> DataFrame:
+    """(path, header): the first line of each file, by Spark's own text reader."""
+    lines = (
+        spark.read.options(
+            recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreCorruptFiles=True
+        )
+        .text(root)
+        .filter("_metadata.file_block_start = 0")
+        .select(
+            _decoded(F.col("_metadata.file_path")).alias("path"),
+            F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"),
+        )
     )
+    first = lines.groupBy("path").agg(F.min_by("line.value", "line.at").alias("header"))
+    plain = F.rtrim(F.replace("header", F.lit(BOM), F.lit("")), F.lit("\r"))
+    return first.withColumn("header", plain)
 
 
-def _no_missing_text(cell: Column) -> Column:
-    return F.when(~cell.isin(*MISSING_CELLS), cell)
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Every CSV below ``root``: lineage, header, ``columns``, or the ``error`` that bars it.
 
+    A file that can't be read or is not UTF-8 has an error and no columns; loads go on without
+    it. What reaches the driver are the distinct headers. The table is written once.
+    """
+    found = discover(spark, root).join(_headers(spark, root), "path", "left")
+    error = (
+        F.when(~F.is_valid_utf8("header"), F.lit("not UTF-8"))
+        .when(F.col("header").isNull() & (F.col("bytes") > 0), F.lit("unreadable"))
+    )
+    listed = saved(
+        found.withColumns({"error": error, "header": F.coalesce("header", F.lit(""))}), "manifest"
+    )
+    headers = listed.filter("error IS NULL").select("header").distinct().collect()
+    parsed = [(r.header, header_columns(r.header)) for r in headers]
+    names = spark.createDataFrame(parsed, "header string, columns array<string>")
+    named = listed.join(names, "header", "left")
+    return named.withColumn("columns", F.when(F.col("error").isNull(), F.col("columns")))
 
-def _read_group(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
-    """All files of one header: text cells, lineage, and a mark on rows with too many cells."""
-    fields = [T.StructField(c, T.StringType()) for c in [*columns, EXTRA, UNREAD]]
-    raw = (
-        spark.read.schema(T.StructType(fields))
-        .options(sep=SEP, header=True, encoding="UTF-8", quote='"', escape='"', mode="PERMISSIVE")
-        .csv(paths)
+
+def schema_profile(spark: SparkSession, root: str) -> DataFrame:
+    """The columns of each category's first file, or why it cannot be read."""
+    first = manifest(spark, root).groupBy("category").agg(
+        F.min_by(F.struct("columns", "error"), "path").alias("first")
     )
-    path = _decoded(F.col("_metadata.file_path"))
-    return raw.select(
-        *[_no_missing_text(clean_cell(F.col(f"`{c}`"))).alias(c) for c in columns],
-        *[expr.alias(name) for name, expr in lineage(path).items()],
-        F.col(EXTRA).isNotNull().alias("overlong"),
+    return first.select(
+        "category",
+        F.coalesce(
+            F.array_join("first.columns", ", "), F.concat(F.lit("error: "), F.col("first.error"))
+        ).alias("columns"),
     )
 
 
-def layouts(
-    spark: SparkSession, root: str, ranged: bool = True, skip_unreadable: bool = False
-) -> dict[str, list[str]]:
-    """Header line -> what to read for it.
+def _no_missing_text(cell: Column) -> Column:
+    return F.when(~cell.isin(*MISSING_CELLS), cell)
+
 
-    A file that cannot be read fails the call unless ``skip_unreadable``; the
-    ingest report names it either way. ``ranged=False`` finds the headers with
-    Spark's reader.
+def _places(columns: list[str], aliases: dict[str, list[str]]) -> dict[str, list[int]]:
+    """For each output column the places of its cells in a row: the first one filled counts.
 
-    A folder whose files share one header is one entry, so what reaches the
-    driver follows the number of folders. Only folders of mixed headers, or
-    with an unreadable file, are listed by file.
+    Keys are in lower case, since column names are told apart without it.
     """
-    folder = F.regexp_replace("path", r"/[^/]*$", "")
-    files = discover(spark, root).select("path").withColumn("root", F.lit(root))
-    listed = (read_headers if ranged else scan_headers)(files).withColumn("folder", folder)
-    listed = listed.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        low, high, bad = F.min("header"), F.max("header"), F.count("error")
-        folders = listed.groupBy("folder").agg(
-            low.alias("header"),
-            ((low == high) & (bad == 0)).alias("uniform"),
-            bad.alias("bad"),
-            F.min("error").alias("error"),
-        )
-        rows = folders.collect()
-        unreadable = [row for row in rows if row.bad]
-        if unreadable and not skip_unreadable:
-            raise OSError(
-                f"{sum(r.bad for r in unreadable)} unreadable files, first in "
-                f"{unreadable[0].folder}: {unreadable[0].error}"
-            )
-        # A pattern would also take in a folder that is itself named like a file.
-        nested = {
-            row.folder[: part.start()]
-            for row in rows
-            for part in re.finditer(r"/[^/]*\.csv(?=/|$)", row.folder)
-        }
-        found: dict[str, list[str]] = {}
-        by_file: list[tuple[str]] = []
-        for row in sorted(rows, key=lambda r: r.folder):
-            if row.uniform and row.folder not in nested:
-                found.setdefault(row.header, []).append(_literal(row.folder) + "/*.csv")
-            else:
-                by_file.append((row.folder,))
-        if by_file:
-            wanted = spark.createDataFrame(by_file, "folder string")
-            files = listed.filter("error is null").join(wanted, "folder", "left_semi")
-            for row in files.select("header", "path").orderBy("path").collect():
-                found.setdefault(row.header, []).append(_literal(row.path))
-        return found
-    finally:
-        listed.unpersist()
-
-
-def _literal(path: str) -> str:
-    """A path whose pattern characters mean themselves."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    places = {name.lower(): [at] for at, name in enumerate(columns)}
+    for canon, names in aliases.items():
+        if canon.lower() not in places:
+            candidates = alias_candidates(columns, names)
+            if candidates:
+                places[canon.lower()] = [columns.index(c) for c in candidates]
+    return places
 
 
 def load_lake(
     spark: SparkSession,
     root: str,
     aliases: dict[str, list[str]] | None = None,
-    ranged: bool = True,
-    skip_unreadable: bool = False,
+    multi_line: bool = True,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
-    """Every file as one table: union of all columns as text, ``total_num``, lineage.
+    """Every readable file as one table: union of all columns as text, ``total_num``, lineage.
 
-    One read per distinct header: the number of reads follows the number of
-    layouts, not of files. ``overlong`` marks rows with more cells than their
-    header.
+    One scan for all layouts: cells are read by position and named through the manifest, a row
+    per file. ``overlong`` marks rows with more cells than their header. Cells may hold line
+    breaks; a file is then one task, so ``multi_line=False`` suits files of many gigabytes whose
+    cells have none. ``listed``: the lake's manifest, if it is at hand.
     """
-    merged: DataFrame | None = None
-    by_first_path = sorted(
-        layouts(spark, root, ranged, skip_unreadable).items(), key=lambda item: item[1][0]
+    listed = manifest(spark, root) if listed is None else listed
+    readable = listed.filter("error IS NULL AND header <> ''")
+    heads = readable.groupBy("header").agg(
+        F.min("path").alias("first"), F.any_value("columns").alias("columns")
     )
-    for header, paths in by_first_path:
-        part = _read_group(spark, paths, header_columns(header))
-        wanted = {
-            canon: names
-            for canon, names in (LAKE_HEADERS if aliases is None else aliases).items()
-            if canon not in part.columns
-        }
-        part = coalesce_columns(part, wanted)
-        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    if merged is None:
+    found = sorted(heads.collect(), key=lambda r: r.first)  # one row a layout
+    if not found:
         raise FileNotFoundError(f"no readable CSV below {root}")
-    if "Total" not in merged.columns:
-        merged = merged.withColumn("Total", F.lit(None).cast("string"))
-    dims = [c for c in merged.columns if c not in {*LINEAGE, "overlong"}]
-    return merged.select(
-        *[F.col(f"`{c}`") for c in dims],
+    wanted = LAKE_HEADERS if aliases is None else aliases
+    layouts = [(r.header, len(r.columns), _places(r.columns, wanted)) for r in found]
+    spelt = [n for r in found for n in r.columns] + list(wanted) + ["Total"]
+    used = {n for _, _, places in layouts for n in places} | {"total"}
+    first: dict[str, str] = {}
+    for name in spelt:
+        if name.lower() in used:
+            first.setdefault(name.lower(), name)
+    names = list(first.values())
+    width = max(n for _, n, _ in layouts) + 1
+    shape = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
+    raw = (
+        spark.read.schema(T.StructType([*shape, T.StructField(UNREAD, T.StringType())]))
+        .options(
+            sep=SEP, header=True, encoding="UTF-8", quote='"', escape='"', mode="PERMISSIVE",
+            multiLine=multi_line, recursiveFileLookup=True, pathGlobFilter="*.csv",
+            ignoreCorruptFiles=True,
+        )
+        .csv(root)
+    )
+    cells = F.array(*[_no_missing_text(clean_cell(F.col(c.name))) for c in shape])
+    rows = raw.select(
+        _decoded(F.col("_metadata.file_path")).alias("path"),
+        cells.alias("_cells"),
+        F.array(*[F.col(c.name).isNotNull() for c in shape]).alias("_filled"),
+    )
+    by_header = spark.createDataFrame(
+        layouts, "header string, _width int, _places map<string, array<int>>"
+    )
+    placed = rows.join(readable.select("path", "header").join(by_header, "header"), "path")
+
+    def cell(name: str) -> Column:
+        places = F.try_element_at("_places", F.lit(name.lower()))
+        filled = F.filter(
+            F.transform(places, lambda at: F.get("_cells", at)), lambda x: x.isNotNull()
+        )
+        return F.get(filled, F.lit(0)).alias(name)
+
+    named = placed.select(
+        *[cell(n) for n in names],
+        *[expr.alias(name) for name, expr in lineage(F.col("path")).items()],
+        F.coalesce(F.get("_filled", F.col("_width")), F.lit(False)).alias("overlong"),
+    )
+    return named.select(
+        *[F.col(f"`{c}`") for c in names],
         parse_number_es(F.col("Total")).alias("total_num"),
         path_year(below_raw(F.col("file_path"))).alias("path_year"),
         *LINEAGE,
@@ -278,29 +225,31 @@ def load_lake(
 
 
 def good_files(facts: DataFrame) -> DataFrame:
-    """Facts without the files that hold an overlong row: a bad file brings nothing."""
-    bad = facts.filter("overlong").select("file_path").distinct()
+    """Facts without the files that hold an overlong row: a bad file brings nothing.
+
+    The bad files are found once and written; they are few, so the facts need not be dealt out
+    by file to leave them out.
+    """
+    bad = saved(facts.filter("overlong").select("file_path").distinct(), "bad-files")
     return facts.join(bad, "file_path", "left_anti")
 
 
-def ingest_report(files: DataFrame, facts: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
-    """One row per file: OK with its record count, SKIP with the reason, or ERROR."""
+def ingest_report(listed: DataFrame, facts: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
+    """One row per file of a manifest: OK with its record count, SKIP with the reason, or ERROR."""
     routed = F.col("category").isin(*CATEGORY_FAMILY)
     per_file = facts.groupBy("file_path").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("total_num").alias("with_total"),
         F.max("overlong").alias("bad"),
     )
-    seen = read_headers(files)
-    names = F.transform(F.split("header", SEP), lambda c: F.trim(c))
     status = (
         F.when(~routed, F.lit("SKIP_CATEGORY"))
         .when(F.col("error").isNotNull(), F.lit("ERROR"))
-        .when(~F.array_contains(names, "Total"), F.lit("SKIP_NO_TOTAL"))
+        .when(~F.array_contains("columns", F.lit("Total")), F.lit("SKIP_NO_TOTAL"))
         .when(F.coalesce(F.col("bad"), F.lit(False)), F.lit("ERROR"))
         .otherwise(F.lit("OK"))
     )
-    return seen.join(per_file, "file_path", "left").select(
+    return listed.join(per_file, "file_path", "left").select(
         "category",
         "wave",
         "file_name",
@@ -312,3 +261,16 @@ def ingest_report(files: DataFrame, facts: DataFrame, cap: int = SAMPLE_CAP) ->
         .otherwise(F.lit(0))
         .alias("records"),
     )
+
+
+def indicator_tables(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The licence and the spend table of a lake, as the indicators read them."""
+
+    def table(category: str, file_name: str, dims: list[str]) -> DataFrame:
+        rows = facts.filter((F.col("category") == category) & (F.col("file_name") == file_name))
+        return rows.select(*dims, "periodo", "Total", F.col("file_name").alias("archivo_origen"))
+
+    return (
+        table("deporte_federado", LICENCE_FILE, ["Federación", "Comunidad autónoma"]),
+        table("gasto_hogares", SPEND_FILE, ["Indicador", "Comunidad autónoma"]),
+    )

@@ -10,22 +10,24 @@ from padron.functions.numbers import fixed_text
 FAILED = "error"
 
 
-def _since(events: DataFrame, span: str) -> Column:
-    """``span`` before the latest event, as one value that filters reach the scan with."""
+def _since(events: DataFrame, span: str, now: Column | None = None) -> Column:
+    """``span`` before now or else the latest event, as a value that filters reach the scan with."""
+    if now is not None:
+        return now - F.expr(f"interval {span}")
     return events.agg((F.max("ts") - F.expr(f"interval {span}")).alias("since")).scalar()
 
 
-def usage_24h(events: DataFrame) -> DataFrame:
+def usage_24h(events: DataFrame, now: Column | None = None) -> DataFrame:
     """Active users and failures of the last 24 hours, the change on the day before, all queries.
 
-    "Now" is the latest event. Only two days of events are read in full; the
+    "Now" is the latest event unless given, which saves a look at all times. Only two days of events are read in full; the
     count of all queries needs no column. Users are reduced to one row each
     before they are counted, so no task holds a set of users.
     """
-    recent = F.col("ts") > _since(events, "24 hours")
+    recent = F.col("ts") > _since(events, "24 hours", now)
     failed = F.col("event_type") == FAILED
     per_user = (
-        events.filter(F.col("ts") > _since(events, "48 hours"))
+        events.filter(F.col("ts") > _since(events, "48 hours", now))
         .withColumn("recent", recent)
         .groupBy("user_id")
         .agg(
@@ -77,6 +79,24 @@ def load_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
+def with_tail(written: DataFrame, events: DataFrame) -> DataFrame:
+    """Written minutes, and those of a finished input that the watermark never closed."""
+    closed = written.agg(F.max("minute").alias("closed")).scalar()
+    minute = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    rest = events.filter((minute > closed) | closed.isNull())
+    tail = load_per_minute(rest, None)
+    return written.select("minute", "load", "failed").unionByName(tail)
+
+
+def dropped_rows(query) -> int:
+    """Rows of a streaming query that came too late for the watermark, so far as it reports."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
+    )
+
+
 def write_load(load: DataFrame, out: str, checkpoint: str, available_now: bool = True):
     """Start the job; a minute is written once, when the watermark has passed it."""
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 minute"}

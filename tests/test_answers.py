@@ -8,6 +8,7 @@ from padron.operators import qa
 from padron.streaming.answers import read_messages, write_answers
 from padron.streaming.usage import load_per_minute, load_stream, usage_24h
 
+# Labels, facts and answers of the golden test.
 LABELS = {
     "ES": {
         "chat_error_data": "Sin datos.",
@@ -141,3 +142,38 @@ def test_load_stream(spark, tmp_path):
     job.awaitTermination()
     got = {str(r.minute): (r.load, r.active_users) for r in spark.table("load_stream_test").collect()}
     assert got["2024-01-03 12:00:00"] == (2, 2) and len(got) == 5
+
+
+def test_region_answers_in_either_spelling(spark):
+    for name in ("Castilla-La Mancha", "Castilla - La Mancha"):
+        facts = spark.createDataFrame(
+            [(name, 1.0, 5), ("Galicia", 2.0, 6)],
+            "CCAA string, Gasto_Promedio_Hogar_Eur double, Licencias_Federadas long",
+        )
+        asked = spark.createDataFrame([("datos de la mancha",), ("y castilla-la mancha?",)], "prompt string")
+        answers = [r.answer for r in qa.answer(asked, facts, labels=LABELS).collect()]
+        assert answers == [f"{name}: gasto 1.0, licencias 5"] * 2
+
+
+def test_long_lists_of_aliases_and_terms(spark):
+    aliases = [(f"zona {i} ", f"Z{i}, Región de") for i in range(1000)]
+    facts = spark.createDataFrame(
+        [("Z777 (Región de)", 1.0, 5), ("Galicia", 2.0, 6)],
+        "CCAA string, Gasto_Promedio_Hogar_Eur double, Licencias_Federadas long",
+    )
+    asked = spark.createDataFrame([("datos de zona 777 ya",), ("zona 778 ya",)], "prompt string")
+    first, second = [
+        r.answer for r in qa.answer(asked, facts, labels=LABELS, aliases=aliases, fallback_region="Galicia").collect()
+    ]
+    assert first.startswith("Z777 (Región de)") and second.startswith("Analizado. Galicia")
+    from padron.functions.text import contains_any, matched_terms
+
+    terms = [f"malo{i}" for i in range(900)]
+    df = spark.createDataFrame([("es malo7 y malo899",), ("malo9x",), ("bien",)], "t string")
+    got = df.select(
+        contains_any(F.col("t"), terms, "word").alias("w"), matched_terms(F.col("t"), terms, "word").alias("h"),
+        matched_terms(F.col("t"), terms).alias("s"),
+    ).collect()
+    assert [r.w for r in got] == [True, False, False]
+    assert [r.h for r in got] == [["malo7", "malo899"], [], []]
+    assert got[0].s == ["malo7", "malo8", "malo89", "malo899"] and got[1].s == ["malo9"]

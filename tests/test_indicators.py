@@ -1,7 +1,6 @@
 """Columns, filters, regions, and the home indicators."""
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from padron.lookups import EXCLUDED_REGIONS, REGIONS, SPEND_INDICATOR
@@ -67,14 +66,44 @@ def test_damaged_headers_and_cells_give_the_same_home(spark, sources):
     assert sorted(indicators.home_indicators(*broken, 2023).collect()) == good
 
 
-def test_copies_merge_and_contradictions_fail(spark, sources):
+def test_copies_merge_and_contradictions_are_named(spark, sources):
     licences, spend = sources
     copied = licences.unionByName(licences).unionByName(licences)
     once = sorted(indicators.home_indicators(licences, spend, 2023).collect())
     assert sorted(indicators.home_indicators(copied, spend, 2023).collect()) == once
     other = licences.filter("`Comunidad autónoma` = 'Galicia'").withColumn("Total", F.lit("1"))
-    with pytest.raises(PySparkException, match="two values of Licencias_Federadas"):
-        indicators.home_indicators(licences.unionByName(other), spend, 2023).collect()
+    mixed = licences.unionByName(other)
+    rows = indicators.home_indicators(mixed, spend, 2023).collect()
+    assert len(rows) == len(once) + 1 and set(once) < set(rows)
+    side = indicators.licence_side(mixed, [2023])
+    found = indicators.contradictions(side, "Licencias_Federadas").collect()
+    assert [(r.periodo, r["values"], r.lowest) for r in found] == [(2023, 2, 1.0)]
+    clean = indicators.contradictions(indicators.licence_side(licences), "Licencias_Federadas")
+    assert clean.isEmpty()
+
+
+def test_sums_keep_small_and_large_values(spark):
+    df = spark.createDataFrame([(1e-7,), (3e-7,), (None,)], "v double")
+    assert df.agg(indicators.mean_of(F.col("v")).alias("m")).first().m == pytest.approx(2e-7)
+    big = spark.createDataFrame([(1e22,), (2e30,)], "v double")
+    assert big.agg(indicators.total_of(F.col("v")).alias("t")).first().t == pytest.approx(2e30)
+    none = spark.createDataFrame([], "v double")
+    assert none.agg(indicators.total_of(F.col("v")).alias("t")).first().t == 0.0
+
+
+def test_year_domain_meets_as_distinct_years(spark):
+    left = spark.range(1000).select((F.col("id") % 5 + 2000).alias("periodo"))
+    right = spark.range(1000).select((F.col("id") % 3 + 2002).alias("periodo"))
+    found = filters.year_domain(left, right)
+    assert [r.periodo for r in found.collect()] == [2004, 2003, 2002]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = filters.year_domain(left, right)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    below = plan[plan.index("Join LeftSemi") :]
+    assert below.count("Aggregate [periodo") == 2
 
 
 def test_yearly_report(sources):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from padron.functions.hashing import hex_threshold
 from padron.operators import conversations, generators, labels, sampling
+from padron.sources import files, lake
 from padron.sources.files import split_manifest
 
 
@@ -129,16 +130,43 @@ def test_training_set_is_whole_and_stable(spark, partitions):
     assert Counter(q for _, q in results[0])["q"] == 35
 
 
-def test_long_session_is_split_and_whole(spark):
-    df = spark.range(2000).select(
+def test_long_session_is_one_sequence(spark):
+    df = spark.range(600).select(
         F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
         F.concat(F.lit("t"), "id").alias("text"),
     )
+    whole = conversations.assemble(df.repartition(8)).collect()
+    assert [[m.turn for m in r.messages] for r in whole] == [list(range(600))]
+    rows = conversations.ordered_messages(df.repartition(8)).collect()
+    assert [(r.conv_id, r.position, r.text) for r in rows] == [(7, i, f"t{i}") for i in range(600)]
     blocks = conversations.assemble(df.repartition(8), block=256).orderBy("block").collect()
-    assert [len(b.messages) for b in blocks] == [256] * 7 + [208]
-    assert [m.turn for b in blocks for m in b.messages] == list(range(2000))
-    assert conversations.exchanges(df).count() == 1000
+    assert [len(b.messages) for b in blocks] == [256, 256, 88]
+    assert conversations.exchanges(df).count() == 300
+
+
+def test_cap_is_per_source(spark, tmp_path):
+    """Equal names in two folders are two sources; part files of one folder are one."""
+    header = "Indicador;Actividad económica;periodo;Total\n"
+    for folder in ("2022/A", "2022/B"):
+        path = tmp_path / "raw" / "Empresa_Deporte" / folder / "x.csv"
+        path.parent.mkdir(parents=True)
+        path.write_text(header + "".join(f"{folder} {i};Y;2024;{i}\n" for i in range(60)), encoding="utf-8")
+    facts = lake.good_files(lake.load_lake(spark, str(tmp_path / "raw")))
+    assert generators.lake_pairs(facts).count() == 80
+    written = spark.range(90).select(
+        F.concat(F.lit("I"), "id").alias("Indicador"), F.lit("Y").alias("Actividad económica"),
+        F.lit("2024").alias("periodo"), F.col("id").cast("string").alias("Total"),
+    )
+    files.write_semicolon(written.repartition(3), str(tmp_path / "w" / "raw" / "Empresa_Deporte" / "y.csv"))
+    facts = lake.load_lake(spark, str(tmp_path / "w" / "raw"))
+    assert facts.select("file_path").distinct().count() == 3
+    assert generators.lake_pairs(facts).count() == 40
+
+
+def test_cap_over_the_limit_of_the_plan(spark):
+    df = spark.range(5000).select(F.lit(1).alias("key"), "id")
+    assert sampling.capped_sample(df, ["key"], ["id"], cap=1500).count() == 1500
 
 
 def test_labelled_union_and_balance(spark):

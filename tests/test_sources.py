@@ -1,6 +1,7 @@
 """Readers, writers and the lake on small files."""
 
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,7 @@ from padron.lookups import ZONE_COL
 from padron.operators import generators
 from padron.operators.columns import add_metadata
 from padron.operators.contracts import contract_checks
-from padron.session import scratch_dir
+from padron.session import discard, saved, scratch_dir
 from padron.sources import files, lake
 
 BOM = "﻿"
@@ -81,45 +82,56 @@ def test_load_lake(spark, root):
     assert "roto.csv" not in kept and "corto.csv" in kept
 
 
-def test_layouts_list_uniform_folders_once(spark, tmp_path):
+def scans(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count(" csv")
+
+
+def test_any_number_of_layouts_is_one_scan(spark, tmp_path):
     base = tmp_path / "raw"
-    for name, header in {
-        "A/same/1.csv": "x;Total", "A/same/2.csv": "x;Total", "A/same/3.csv": "x;Total",
-        "A/mixed/1.csv": "x;Total", "A/mixed/2.csv": "y;Total",
-        "B/1.csv": "x;Total", "B/source.csv/part-0.csv": "z;Total", "B/source.csv/part-1.csv": "z;Total",
-    }.items():
-        path = base / name
+    for n in range(40):
+        path = base / f"F{n % 7}" / f"{n}.csv"
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(f"{header}\n{name};1\n", encoding="utf-8")
-    found = lake.layouts(spark, str(base))
-    short = {h: [p.split("raw/")[1] for p in paths] for h, paths in found.items()}
-    assert short == {
-        "x;Total": ["A/same/*.csv", "A/mixed/1.csv", "B/1.csv"],
-        "y;Total": ["A/mixed/2.csv"],
-        "z;Total": ["B/source.csv/*.csv"],
-    }
+        path.write_text(f"col{n};Total\nv{n};{n}\n", encoding="utf-8")
+    (base / "F0" / "source.csv").mkdir()
+    (base / "F0" / "source.csv" / "part-0.csv").write_text("col0;Total\npart;7\n")
     facts = lake.load_lake(spark, str(base))
-    seen = [next(v for v in (r.x, r.y, r.z) if v) for r in facts.collect()]
-    assert sorted(seen) == sorted(str(p.relative_to(base)) for p in base.rglob("*.csv") if p.is_file())
-
-
-def test_headers_by_either_reader(spark, root):
-    assert lake.layouts(spark, root, ranged=False) == lake.layouts(spark, root)
-
-
-def test_unreadable_file_fails_or_is_skipped(spark, root):
+    assert scans(facts) == 1
+    rows = facts.collect()
+    seen = {next(r[f"col{n}"] for n in range(40) if r[f"col{n}"]) for r in rows}
+    assert seen == {f"v{n}" for n in range(40)} | {"part"} and len(rows) == 41
+    assert sum(r.total_num for r in rows) == sum(range(40)) + 7
+    sources = {r.source_path.rsplit("/", 1)[1] for r in rows}
+    assert "source.csv" in sources and "part-0.csv" not in sources
+
+
+def test_quoted_header_and_cells_with_line_breaks(spark, tmp_path):
+    path = tmp_path / "raw" / "Empresa_Deporte" / "q.csv"
+    path.parent.mkdir(parents=True)
+    path.write_text('"Indicador";"Actividad; dos";"Total"\n"a\nb";Z;3\nc;Y;4\n', encoding="utf-8")
+    root = str(tmp_path / "raw")
+    rows = lake.load_lake(spark, root).collect()
+    assert sorted((r.Indicador, r["Actividad; dos"], r.total_num) for r in rows) == [("a\nb", "Z", 3.0), ("c", "Y", 4.0)]
+    report = lake.ingest_report(lake.manifest(spark, root), lake.load_lake(spark, root)).first()
+    assert (report.status, report.with_total) == ("OK", 2)
+    assert lake.schema_profile(spark, root).first()["columns"] == "Indicador, Actividad; dos, Total"
+
+
+def test_unreadable_file_is_named_and_the_load_goes_on(spark, root):
     bad = Path(root) / "Empresa_Deporte" / "latin.csv"
     bad.write_bytes("Indicador;Año;Total\nA;1;2\n".encode("latin-1"))
-    with pytest.raises(OSError, match="1 unreadable files"):
-        lake.load_lake(spark, root)
-    kept = lake.load_lake(spark, root, skip_unreadable=True)
-    assert "latin.csv" not in {r.file_name for r in kept.select("file_name").distinct().collect()}
-    report = lake.ingest_report(lake.discover(spark, root), kept)
-    assert {r.file_name: r.status for r in report.collect()}["latin.csv"] == "ERROR"
+    (Path(root) / "Empresa_Deporte" / "leer.csv").write_text("")
+    listed = lake.manifest(spark, root)
+    facts = lake.load_lake(spark, root, listed=listed)
+    names = {r.file_name for r in facts.select("file_name").distinct().collect()}
+    assert "latin.csv" not in names and "corto.csv" in names
+    report = {r.file_name: r.status for r in lake.ingest_report(listed, facts).collect()}
+    assert report["latin.csv"] == "ERROR" and "leer.csv" not in report  # no bytes, no file
+    with pytest.raises(FileNotFoundError):
+        lake.load_lake(spark, str(Path(root) / "Otros" / "none"), listed=listed.filter("false"))
 
 
 def test_report(spark, root):
-    report = lake.ingest_report(lake.discover(spark, root), lake.load_lake(spark, root)).collect()
+    report = lake.ingest_report(lake.manifest(spark, root), lake.load_lake(spark, root)).collect()
     status = {(r.file_name, r.wave): (r.status, r.rows, r.records) for r in report}
     assert status[("federado_01.csv", None)] == ("OK", 2, 1)
     assert status[("roto.csv", None)] == ("ERROR", 2, 0)
@@ -133,9 +145,24 @@ def test_profile_and_headers(spark, root):
     assert profile["gasto_hogares"] == "Indicador, periodo, Total"
     assert profile["deporte_federado"].startswith("Federación, ")
     assert lake.header_columns('"a;b";x;X;comunidad autÃ³noma') == ["a;b", "x", "X_1", "comunidad autónoma"]
-    gone = spark.createDataFrame([(root + "/no.csv",)], "path string")
-    row = lake.read_headers(gone).first()
-    assert row.header is None and row.error.startswith("FileNotFoundError")
+
+
+def test_lake_to_cards_for_all_regions(spark, tmp_path):
+    """Files with the licence side's spelling meet the spend side's through the fixed map."""
+    from padron.lookups import LICENCE_FILE, REGIONS, SPEND_FILE, SPEND_INDICATOR
+    from padron.operators import indicators
+
+    base = tmp_path / "raw"
+    for folder, name, head, line in (
+        ("Deporte_Federado", LICENCE_FILE, "Federación;Comunidad autónoma;periodo;Total", "TOTAL;{r};2023;1.000"),
+        ("Gasto_Hogares", SPEND_FILE, "Indicador;Comunidad autónoma;periodo;Total", SPEND_INDICATOR + ";{s};2023;250,5"),
+    ):
+        (base / folder).mkdir(parents=True)
+        lines = [line.format(r=r, s=re.sub("^(.+), (.+)$", r"\1 (\2)", r)) for r in REGIONS]
+        (base / folder / name).write_text("\n".join([head, *lines]) + "\n", encoding="utf-8")
+    licences, spend = lake.indicator_tables(lake.load_lake(spark, str(base)))
+    card = indicators.kpis(indicators.home_indicators(licences, spend, 2023)).first()
+    assert (card.n_regions, card.avg_spend, card.sum_licences) == (17, 250.5, 17000.0)
 
 
 def test_lake_pairs(spark, root):
@@ -222,3 +249,17 @@ def test_scratch_dir_follows_the_session():
     with pytest.raises(RuntimeError):
         scratch_dir(FakeSession("yarn"), "x")
     assert scratch_dir(FakeSession("local[2]"), "x")
+
+
+def test_scratch_folders_are_removed(spark):
+    from padron import session
+
+    kept = saved(spark.range(3), "gone").inputFiles()
+    path = Path(kept[0].removeprefix("file:")).parent
+    assert path.exists() and any(str(path).endswith(p.rsplit("/", 1)[1]) for p in session._MADE)
+    session_made = [p for p in session._MADE if p.rsplit("/", 1)[1] == path.name]
+    others = [p for p in session._MADE if p not in session_made]
+    session._MADE[:] = session_made
+    discard(spark)
+    session._MADE[:] = others
+    assert not path.exists()
