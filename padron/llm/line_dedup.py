@@ -63,6 +63,9 @@ def dropped_places(
         .agg(F.count_distinct("_id").alias("_docs"), F.max("_id").alias("_keeper"))
         .where(F.col("_docs") >= min_docs)
         .select("_k1", "_k2", "_keeper")
+        # Dealt out anew: both sides of the join are then plain shuffles, and adaptive execution
+        # may split the rows of a line that very many documents hold.
+        .hint("rebalance")
     )
     lost = ~F.col("_id").eqNullSafe(F.col("_keeper"))
     return (
