@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from padron.llm.words import as_text, with_key
 
 #: Words whose encoding a worker remembers, twice over.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _PLACE = (1 << 32) - 1
 _RANK = ~_PLACE
 #: A vocabulary is sent to every worker, so its file has a size limit.

@@ -216,11 +216,14 @@ def reduced(symbols: list[int], model: Model, entry: bool) -> np.ndarray:
 
 def _borders(lines: DataFrame, model: Model) -> DataFrame:
     """(name, chunk, entry, exit) for conversations of several chunks."""
+    # A row per chunk: a conversation's lines never meet in one task.
+    chunks = lines.select("name", "chunk").distinct()
     several = (
-        lines.groupBy("name")
+        chunks.groupBy("name")
         .agg(F.min("chunk").alias("head"), F.max("chunk").alias("tail"))
         .where("head <> tail")
     )
+    marked = chunks.join(several, "name").select("name", "chunk", "head")
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in runs(batches, ["name", "chunk"]):
@@ -248,7 +251,7 @@ def _borders(lines: DataFrame, model: Model) -> DataFrame:
             {"name": rows["name"], "chunk": rows["chunk"], "entry": [-1, *ends[:-1]], "exit": ends}
         )
 
-    parts = lines.join(several, "name").select("name", "chunk", "seq", "symbol", "head")
+    parts = lines.join(marked, ["name", "chunk"]).select("name", "chunk", "seq", "symbol", "head")
     matrices = (
         parts.repartition("name", "chunk")
         .sortWithinPartitions("name", "chunk", "seq")

@@ -286,9 +286,11 @@ def judged(df: DataFrame, model: Classifier, text: str = "text") -> Column:
     @F.pandas_udf("posterior double, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         memory, classifier = _memory(), sent.value
-        rows = [seen(t, memory) for t in texts]
-        p = classifier.labels.posterior(np.array([votes(d) for d in rows]).reshape(len(rows), -1))
-        return pd.DataFrame({"posterior": p, "score": [classifier.score(d) for d in rows]})
+        found, scores = np.zeros((len(texts), len(RULES)), np.int64), np.zeros(len(texts))
+        for at, text in enumerate(texts):  # a document's words are held one document at a time
+            doc = seen(text, memory)
+            found[at], scores[at] = votes(doc), classifier.score(doc)
+        return pd.DataFrame({"posterior": classifier.labels.posterior(found), "score": scores})
 
     return judge(F.col(text))
 
