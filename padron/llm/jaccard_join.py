@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,8 +179,8 @@ def _in(repeated: np.ndarray, shingles: np.ndarray) -> np.ndarray:
     return (repeated[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _prefixes(docs: DataFrame, k: int, percent: int, sent: Broadcast) -> DataFrame:
+    """``sent``: the result of ``_frequent``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingled = _shingled(k)
@@ -514,8 +515,9 @@ def near_copies(
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     ranges = 1 << max(4, (chars // 5 // RANGE).bit_length())
-    frequent = _frequent(docs, words, ranges)
-    prefixes = saved(_prefixes(docs, words, percent, frequent), "prefixes")
+    sent = spark.sparkContext.broadcast(_frequent(docs, words, ranges))
+    prefixes = saved(_prefixes(docs, words, percent, sent), "prefixes")
+    sent.destroy()  # the prefixes are written
     classes = (
         prefixes.where("n > 0")
         .groupBy("d1", "d2")
