@@ -1,13 +1,16 @@
 """Quality rules by distribution divergence.
 
 A document's character classes and common words are two histograms. Each is compared, by
-Jensen-Shannon distance (base 2, so 0 to 1), with that of its language: the mean histogram of
-all documents of the language in the same table. Short texts stray further by chance alone, so
-the distance allowed falls with the length, and below a minimum length a test is not made.
+Jensen-Shannon distance (base 2, so 0 to 1), with that of its language in the same table. Short
+texts stray further by chance alone, so the distance allowed falls with the length, and below a
+minimum length a test is not made.
 
-One pass over the texts makes a small row of counts per document, which is written. The
-references are means over all these rows (five at most, one per language of ``COMMON`` and one
-for the rest); they are sent to the second pass, which reads the counts alone.
+One pass over the texts makes a small row of counts per document, which is written. References are
+counted over all these rows but those that fail the base rules: first the median of each bin, which
+rows unlike the rest hardly move while they are fewer than half of the language, then ``PASSES``
+times the mean of the rows that the reference before does not reject. There are five at most, one
+per language of ``COMMON`` and one for the rest; they are sent to the last pass. All but the first
+read the counts alone. Where junk is the larger part of a language, it is the reference.
 
 Defined results: a null or empty text has no words and fails the base rules. A row whose
 language is null or not listed is held against the nearest reference. Each row gives one row,
@@ -66,6 +69,9 @@ def _byte_classes() -> np.ndarray:
 _TABLE = _byte_classes()
 _WORDS = sorted({w for words in COMMON.values() for w in words.split()})
 _PLACE = {w.encode(): i + 1 for i, w in enumerate(_WORDS)}
+BINS = CLASSES + len(_WORDS) + 1
+#: Steps of a share's square root, for medians; passes of means after them.
+LEVELS, PASSES = 500, 2
 _SHIFT = 7  # the low bits of a remembered word hold its place among common words
 _EDGES = ".,;:!?'\"()-".encode()
 
@@ -138,31 +144,110 @@ def measured(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return rows.mapInPandas(run, f"key string, lang string, {_COUNTS}")
 
 
-def references(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms of classes and common words per listed language, and of the rest."""
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    language = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
-    means = [F.avg(F.get("classes", F.lit(i)) / F.col("n_chars")).alias(f"c{i}") for i in range(CLASSES)]
-    means += [F.avg(F.get("places", F.lit(i)) / F.col("n_words")).alias(f"w{i}") for i in range(len(_WORDS) + 1)]
+Reference = tuple[np.ndarray, np.ndarray]
+
+
+def _histograms(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    classes = np.array(batch["classes"].tolist(), float).reshape(len(batch), CLASSES)
+    places = np.array(batch["places"].tolist(), float).reshape(len(batch), len(_WORDS) + 1)
+    return classes, places
+
+
+def _shares(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(rows.sum(1, keepdims=True), 1e-300)
+
+
+def base_failed(batch: pd.DataFrame) -> np.ndarray:
+    n_words = batch["n_words"].to_numpy()
+    return (n_words < 50) | (100 * batch["n_repeat_words"].to_numpy() > 50 * n_words)
+
+
+def medians(rows: DataFrame) -> dict[str, Reference]:
+    """Median of each bin per listed language, and of the rest."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times: dict[str, np.ndarray] = {}
+        for batch in batches:
+            batch = batch[~base_failed(batch)]
+            level = np.rint(np.sqrt(np.hstack([*map(_shares, _histograms(batch))])) * LEVELS).astype(np.int64)
+            for name, at in _by_language(batch):
+                own = times.setdefault(name, np.zeros((BINS, LEVELS + 1), np.int64))
+                flat = (level[at] + np.arange(BINS) * (LEVELS + 1)).ravel()
+                own += np.bincount(flat, minlength=own.size).reshape(own.shape)
+        for name, own in times.items():
+            bins, levels = np.nonzero(own)
+            yield pd.DataFrame({"language": name, "bin": bins, "level": levels, "n": own[bins, levels]})
+
+    # A row per language, bin and level at most.
     found = (
-        rows.withColumn("n_chars", chars)
-        .where("n_words > 0")
-        .groupBy(language.alias("language"))
-        .agg(*means)
-        .collect()
+        rows.mapInPandas(part, "language string, bin long, level long, n long")
+        .groupBy("language", "bin", "level")
+        .agg(F.sum("n").alias("n"))
+        .toPandas()
     )
-    return {
-        r["language"]: (
-            np.array([r[f"c{i}"] for i in range(CLASSES)]),
-            np.array([r[f"w{i}"] for i in range(len(_WORDS) + 1)]),
-        )
-        for r in found
-    }
+    out = {}
+    for name, own in found.groupby("language"):
+        times = np.zeros((BINS, LEVELS + 1))
+        times[own["bin"], own["level"]] = own["n"]
+        below = times.cumsum(1)
+        middle = (below >= below[:, -1:] / 2).argmax(1) / LEVELS
+        out[name] = _reference(middle * middle)
+    return out
+
+
+def means(rows: DataFrame, models: dict[str, Reference], limits: Limits) -> dict[str, Reference]:
+    """Mean histograms of the rows that their language's reference does not reject."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            batch = batch[~base_failed(batch)]
+            classes, places = _histograms(batch)
+            share = np.hstack([_shares(classes), _shares(places)])
+            for name, at in _by_language(batch):
+                if name in models:
+                    chars, words = models[name]
+                    char_js, word_js = distance(classes[at], chars), distance(places[at], words)
+                    near = ~far(batch[at], classes[at].sum(1), char_js, word_js, limits)
+                    sums[name] = sums.get(name, 0) + share[at][near].sum(0)
+        for name, own in sums.items():
+            yield pd.DataFrame({"language": name, "bin": np.arange(BINS), "total": own})
+
+    found = (
+        rows.mapInPandas(part, "language string, bin long, total double")
+        .groupBy("language", "bin")
+        .agg(F.sum("total").alias("total"))
+        .toPandas()
+    )
+    out = dict(models)
+    for name, own in found.groupby("language"):
+        if own["total"].sum() > 0:
+            out[name] = _reference(own.sort_values("bin")["total"].to_numpy())
+    return out
+
+
+def _by_language(batch: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+    language = batch["lang"].where(batch["lang"].isin(list(COMMON)), "")
+    for name in language.unique():
+        yield name, (language == name).to_numpy()
+
+
+def _reference(bins: np.ndarray) -> Reference:
+    chars, words = bins[:CLASSES], bins[CLASSES:]
+    return chars / max(chars.sum(), 1e-300), words / max(words.sum(), 1e-300)
+
+
+def references(rows: DataFrame, limits: Limits) -> dict[str, Reference]:
+    """Histograms of classes and common words that most rows of a language are near to."""
+    models = medians(rows)
+    for _ in range(PASSES):
+        models = means(rows, models, limits)
+    return models
 
 
 def distance(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of each row's histogram from the reference."""
-    p = rows / np.maximum(rows.sum(1, keepdims=True), 1e-300)
+    p = _shares(rows)
     m = (p + reference) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.where(p > 0, p * np.log2(p / m), 0.0).sum(1)
@@ -170,12 +255,21 @@ def distance(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
+def far(
+    batch: pd.DataFrame, n_chars: np.ndarray, char_js: np.ndarray, word_js: np.ndarray, limits: Limits
+) -> np.ndarray:
+    """Rows over one of the distances allowed at their length."""
+    n_words = batch["n_words"].to_numpy()
+    char_limit = limits.char_floor + limits.char_slope / np.sqrt(np.maximum(n_chars, 1))
+    word_limit = limits.word_floor + limits.word_slope / np.sqrt(np.maximum(n_words, 1))
+    return ((n_chars >= limits.char_least) & (char_js > char_limit)) | (
+        (n_words >= limits.word_least) & (word_js > word_limit)
+    )
+
+
 def judged(batch: pd.DataFrame, models: dict, limits: Limits) -> pd.DataFrame:
     """Distances from the own or nearest reference, and the verdict."""
-    classes = np.array(batch["classes"].tolist(), float).reshape(len(batch), CLASSES)
-    places = np.array(batch["places"].tolist(), float).reshape(len(batch), len(_WORDS) + 1)
-    n_words = batch["n_words"].to_numpy()
-    n_chars = classes.sum(1)
+    classes, places = _histograms(batch)
     char_js, word_js = np.ones(len(batch)), np.ones(len(batch))
     nearest = ~batch["lang"].isin([x for x in models if x]).to_numpy()
     for name, (char_reference, word_reference) in models.items():
@@ -183,13 +277,10 @@ def judged(batch: pd.DataFrame, models: dict, limits: Limits) -> pd.DataFrame:
         if at.any():
             char_js[at] = np.minimum(char_js[at], distance(classes[at], char_reference))
             word_js[at] = np.minimum(word_js[at], distance(places[at], word_reference))
-    failed = (n_words < 50) | (100 * batch["n_repeat_words"].to_numpy() > 50 * n_words)
-    char_limit = limits.char_floor + limits.char_slope / np.sqrt(np.maximum(n_chars, 1))
-    word_limit = limits.word_floor + limits.word_slope / np.sqrt(np.maximum(n_words, 1))
-    far = (n_chars >= limits.char_least) & (char_js > char_limit)
-    far |= (n_words >= limits.word_least) & (word_js > word_limit)
+    failed = base_failed(batch)
+    kept = ~failed & ~far(batch, classes.sum(1), char_js, word_js, limits)
     return batch.drop(columns=["lang", "classes", "places"]).assign(
-        base_failed=failed, kept=~failed & ~far, char_distance=char_js, word_distance=word_js
+        base_failed=failed, kept=kept, char_distance=char_js, word_distance=word_js
     )
 
 
@@ -202,7 +293,7 @@ def report(
 ) -> DataFrame:
     """Per row: id, counts, base_failed, kept, and the two distances."""
     rows = saved(measured(df, key, text, lang), "quality-counts")
-    models = references(rows)
+    models = references(rows, limits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

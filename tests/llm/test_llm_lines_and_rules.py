@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from helpers import ALL_IDS, COLUMNS, docs, empty, ids, lines, odd, prose, rows
+from pyspark.sql import functions as F
 
 from padron.llm import line_dedup, quality_rules
 from padron.llm.words import WordMemory
@@ -109,6 +110,20 @@ def test_rules_keep_clean_and_reject_junk(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.15
 
 
+@pytest.mark.parametrize("lang", ["en", "de"])
+def test_junk_does_not_drag_the_reference_away(spark, lang):
+    """A third of a language's rows is one kind of junk that passes the base rules."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id")
+    df = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("lang") == lang)
+    clean = [r.text for r in df.join(labels, "doc_id").collect() if len(r.text.split()) >= 100]
+    rng = random.Random(lang)
+    junk = [" ".join(f"{rng.choice('#*$%')}{rng.randrange(10**6)}" for _ in range(300)) for _ in range(len(clean) // 2)]
+    got = rows(quality_rules.report(docs(spark, clean + junk, lang=lang))).sort_values("doc_id")
+    assert len(clean) > 30 and not got.base_failed[-len(junk) :].any()
+    assert got.kept[: len(clean)].mean() > 0.99 and not got.kept[-len(junk) :].any()
+
+
 def test_rules_odd_and_empty(spark):
     got = rows(quality_rules.report(odd(spark)))
     assert len(got) == len(ALL_IDS) and set(got.doc_id.dropna()) == {i for i in ALL_IDS if i is not None}
