@@ -2,14 +2,14 @@
 
 Multinomial logistic regression over words and word pairs of the templates tells licence families
 from each other and from other text. It is trained here on the templates with words dropped,
-swapped in and put around them, and on a bounded sample of paragraphs of the corpus, chosen by a
-hash of the id. A temperature and a threshold are set on examples held back from training
+swapped in and put around them, and on a bounded sample of windows of the corpus, chosen by a
+hash of the id; those that hold a notice, and their neighbours, are left out of it. A temperature and a threshold are set on examples held back from training
 (calibration); below the threshold a paragraph that speaks of a licence is "unknown". A family is
 confirmed if the paragraph holds enough of one of its templates, in word pairs; otherwise it is
 "unknown", too.
 
 Paragraphs are lines; lines of over ``LONG`` words are read in overlapping windows. A paragraph
-without any anchor (a template word that other text hardly uses) is other text.
+without any anchor (a template word that is not in ``PLAIN``) is other text.
 
 Defined results: a null or empty text has no licence. Each row gives one row, repeated or not; of
 equal findings in several windows of a line, one is kept. Other columns are not looked at.
@@ -18,7 +18,6 @@ equal findings in several windows of a line, one is kept. Other columns are not
 from __future__ import annotations
 
 import random
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,6 +107,13 @@ HARMLESS = (
     "Please use the file as the person in charge permits.",
 )
 
+# Words of the templates that any text may hold.
+PLAIN = frozenset(
+    b"a all an and any are as at be by can following for found free general in is it may met must no not of"
+    b" on or other our own part person that the their these this to under use used version was with without work"
+    b" you your".split()
+)
+
 OTHER, UNKNOWN = "other", "unknown"
 LONG, STEP = 60, 30
 SAMPLE_DOCS, SAMPLE_LINES = 1500, 3
@@ -154,7 +160,7 @@ class Model:
         return p / p.sum()
 
     def verdict(self, found: list[bytes]) -> tuple[str, float, float] | None:
-        """(family, probability, share of the template) of a paragraph, or nothing."""
+        """(family, probability, share of the template) of a window, or nothing."""
         if self.anchors.isdisjoint(found):
             return None
         p = self.probabilities(found)
@@ -162,8 +168,7 @@ class Model:
         family = self.families[best]
         if family == OTHER:
             return None
-        own = set(grams(found))
-        share = max((len(own & t) / len(t) for t in _PAIRS.get(family, ())), default=0.0)
+        share = held(found, family)[0]
         if family == UNKNOWN or p[best] < self.least or share < CONFIRM:
             return UNKNOWN, float(1 - p[self.families.index(OTHER)]), share
         return family, float(p[best]), share
@@ -174,13 +179,43 @@ _PAIRS = {
 }
 
 
-def windows(line: str) -> list[list[bytes]]:
-    found = words(line)
+def held(found: list[bytes], family: str) -> tuple[float, set[bytes]]:
+    """Share of a template's word pairs in a window, and these pairs: the most of a confirmed template, or else the largest share."""
+    own = set(grams(found))
+    every = [(len(own & t) / len(t), own & t) for t in _PAIRS.get(family, ())]
+    return max(every, default=(0.0, set()), key=lambda x: (x[0] >= CONFIRM, len(x[1]) if x[0] >= CONFIRM else x[0]))
+
+
+def windows(found: list) -> list[list]:
     if len(found) <= LONG:
         return [found]
     return [found[a : a + LONG] for a in range(0, len(found) - STEP, STEP)]
 
 
+def paragraphs(text: str) -> list[list[tuple[int, bytes]]]:
+    """(line, word) of each run of lines with words."""
+    out, rest = [], []
+    for at, line in enumerate(text.split("\n")):
+        found = words(line)
+        if found:
+            rest += [(at, w) for w in found]
+        elif rest:
+            out.append(rest)
+            rest = []
+    return [*out, rest] if rest else out
+
+
+def other(text: str) -> list[list[bytes]]:
+    """Windows of a text that hold no notice and are not next to one."""
+    listed = {b"license", b"licence", b"licensed", b"copyright", b"spdx"}
+    out = []
+    for paragraph in paragraphs(text):
+        parts = windows([w for _, w in paragraph])
+        notice = [not listed.isdisjoint(p) or any(held(p, f)[0] >= CONFIRM for f in TEMPLATES) for p in parts]
+        out += [p for at, p in enumerate(parts) if not any(notice[max(0, at - 1) : at + 2])]
+    return out
+
+
 def examples(lines: list[str], rng: random.Random) -> list[tuple[list[bytes], str]]:
     """Templates with noise, and other text."""
     prose = [w for line in lines for w in words(line)[:40]] or [b"and", b"so", b"on"]
@@ -198,7 +233,7 @@ def examples(lines: list[str], rng: random.Random) -> list[tuple[list[bytes], st
                     found = around[:cut] + found + around[cut:]
                 if found:
                     out.append((found, family))
-    out += [(found, OTHER) for line in lines for found in windows(line)[:1] if found]
+    out += [(found, OTHER) for line in lines for found in other(line)[:1]]
     for _ in range(400):  # template words in no order are no licence
         text = words(rng.choice(rng.choice(list(TEMPLATES.values()))))
         out.append(([rng.choice(prose) for _ in range(8)] + rng.sample(text, min(2, len(text))), OTHER))
@@ -213,9 +248,8 @@ def fitted(lines: list[str], seed: int = 11) -> Model:
     families = [*TEMPLATES, UNKNOWN, OTHER]
     vocabulary = sorted({g for texts in [*TEMPLATES.values(), UNLISTED, HARMLESS] for t in texts for g in grams(words(t))})
     names = {g: i for i, g in enumerate(vocabulary)}
-    used = Counter(w for line in lines for w in set(words(line)))
     of_templates = {w for texts in TEMPLATES.values() for t in texts for w in words(t)}
-    anchors = frozenset(w for w in of_templates if used[w] <= max(1, len(lines)) * 0.002 and len(w) > 1)
+    anchors = frozenset(w for w in of_templates if w not in PLAIN and len(w) > 1)
     model = Model(families, names, np.zeros((len(names), len(families))), np.zeros(len(families)), anchors)
     cut = len(made) * 4 // 5
     x = np.zeros((len(made), len(names)))
@@ -253,7 +287,7 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def trained(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int = SAMPLE_DOCS) -> Model:
-    """A model whose other text comes from a few lines each of about ``docs`` documents."""
+    """A model whose other text comes from a few windows each of about ``docs`` documents."""
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
     share = min(1.0, docs / max(1, rows.count()))
     chosen = F.pmod(F.xxhash64(F.coalesce("key", F.lit(""))), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -262,18 +296,13 @@ def trained(df: DataFrame, key: str = "doc_id", text: str = "text", docs: int =
         for batch in batches:
             out = []
             for k, x in zip(batch["key"], batch["text"], strict=True):
-                lines = [line for line in (x or "").split("\n") if line.strip()]
-                picked = random.Random(str(k)).sample(lines, min(SAMPLE_LINES, len(lines)))
-                out += [(k or "", " ".join(line.split()[:LONG])) for line in picked]
+                parts = other(x or "")
+                picked = random.Random(str(k)).sample(parts, min(SAMPLE_LINES, len(parts)))
+                out += [(k or "", b" ".join(p).decode("utf-8", "surrogatepass")) for p in picked]
             yield pd.DataFrame(out, columns=["key", "line"])
 
     found = rows.where(chosen).limit(2 * docs).mapInPandas(run, "key string, line string").toPandas()
-    listed = {w for w in ("license", "licence", "licensed", "copyright", "spdx")}
-    lines = [
-        line for line in found.sort_values(["key", "line"])["line"]
-        if not any(w in line.lower() for w in listed)  # other text is text that names no licence
-    ]
-    return fitted(lines)
+    return fitted(list(found.sort_values(["key", "line"])["line"]))
 
 
 def scan(text: str | None, model: Model) -> list[tuple[int, str, float, float]]:
@@ -283,7 +312,7 @@ def scan(text: str | None, model: Model) -> list[tuple[int, str, float, float]]:
     out = []
     for at, line in enumerate(text.split("\n")):
         best: dict[str, tuple] = {}
-        for found in windows(line):
+        for found in windows(words(line)):
             hit = model.verdict(found)
             if hit and hit[1:] > best.get(hit[0], (0.0, 0.0)):
                 best[hit[0]] = hit[1:]

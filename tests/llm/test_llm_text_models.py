@@ -218,6 +218,16 @@ def test_licences_of_the_table(spark):
     assert {i: r.families for i, r in found.items()} == wanted and any(wanted.values())
 
 
+def test_notices_of_a_third_of_the_documents_are_found(spark):
+    """Notices that the corpus itself repeats."""
+    notices = {"MIT": licenses.TEMPLATES["MIT"][1], "BSD": licenses.TEMPLATES["BSD"][0]}
+    texts = [prose(f"t{i}", 40) for i in range(300)]
+    for i in range(0, 300, 3):
+        texts[i] += "".join(f"\n\n{notices[f]}" for f in notices)
+    found = {r.doc_id: r.families for r in licenses.report(docs(spark, texts)).collect()}
+    assert found == {i + 1: "" if i % 3 else "BSD,MIT" for i in range(300)}
+
+
 def test_licences_odd_and_empty(spark):
     got = rows(licenses.report(odd(spark)))
     assert len(got) == len(ALL_IDS) and (got.n_found == 0).all()
