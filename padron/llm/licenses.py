@@ -8,11 +8,17 @@ hash of the id; those that hold a notice, and their neighbours, are left out of
 confirmed if the paragraph holds enough of one of its templates, in word pairs; otherwise it is
 "unknown", too.
 
-Paragraphs are lines; lines of over ``LONG`` words are read in overlapping windows. A paragraph
-without any anchor (a template word that is not in ``PLAIN``) is other text.
+Paragraphs are runs of lines that have words, so that lines of comment marks alone end them. Each
+line is read by itself, and each paragraph across its line breaks; what has over ``LONG`` words is
+read in overlapping windows. A window without any anchor (a template word that is not in ``PLAIN``)
+is other text.
+
+A finding's place is the first line of the shortest run of words that holds what is found of the
+template. Of findings that share words, that with the most word pairs of its template is kept;
+an unknown one is kept where no confirmed one has a line of it.
 
 Defined results: a null or empty text has no licence. Each row gives one row, repeated or not; of
-equal findings in several windows of a line, one is kept. Other columns are not looked at.
+equal findings that start in one line, one is kept. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -192,6 +198,19 @@ def windows(found: list) -> list[list]:
     return [found[a : a + LONG] for a in range(0, len(found) - STEP, STEP)]
 
 
+def shortest(found: list[bytes], pairs: set[bytes]) -> tuple[int, int]:
+    """The shortest run of words that holds all the pairs."""
+    best, last = (0, len(found)), {}
+    for at, pair in enumerate(map(b" ".join, zip(found, found[1:], strict=False))):
+        if pair in pairs:
+            last.pop(pair, None)
+            last[pair] = at  # the first key is the pair seen longest ago
+            first = next(iter(last.values()))
+            if len(last) == len(pairs) and at + 2 - first < best[1] - best[0]:
+                best = first, at + 2
+    return best
+
+
 def paragraphs(text: str) -> list[list[tuple[int, bytes]]]:
     """(line, word) of each run of lines with words."""
     out, rest = [], []
@@ -309,17 +328,47 @@ def scan(text: str | None, model: Model) -> list[tuple[int, str, float, float]]:
     """(line, family, probability, share) of each finding, in order."""
     if not text or model.anchors.isdisjoint(words(text)):
         return []
-    out = []
-    for at, line in enumerate(text.split("\n")):
-        best: dict[str, tuple] = {}
-        for found in windows(words(line)):
-            hit = model.verdict(found)
-            if hit and hit[1:] > best.get(hit[0], (0.0, 0.0)):
-                best[hit[0]] = hit[1:]
-        if len(best) > 1:
-            best.pop(UNKNOWN, None)
-        out += [(at, family, p, share) for family, (p, share) in sorted(best.items())]
-    return out
+    return [hit for paragraph in paragraphs(text) for hit in _findings(paragraph, model)]
+
+
+def _findings(paragraph: list[tuple[int, bytes]], model: Model) -> list[tuple[int, str, float, float]]:
+    lines = [at for at, _ in paragraph]
+    found = [w for _, w in paragraph]
+    starts = [0, *(i for i in range(1, len(lines)) if lines[i] != lines[i - 1]), len(lines)]
+    cuts = {(0, len(lines)), *zip(starts, starts[1:], strict=False)}
+    hits = set()
+    for a, b in cuts:
+        for part in windows(range(a, b)):
+            mine = found[part.start : part.stop]
+            if model.anchors.isdisjoint(mine):
+                continue
+            hit = model.verdict(mine)
+            if hit and hit[0] == UNKNOWN:
+                at = [i for i, w in enumerate(mine) if w in model.anchors]
+                hits.add((part.start + at[0], part.start + at[-1] + 1, *hit, 0))
+            for family in TEMPLATES:  # a window may hold several notices
+                share, pairs = held(mine, family)
+                if share < CONFIRM:
+                    continue
+                first, end = shortest(mine, pairs)
+                alone = model.verdict(mine[first:end])
+                best = max((h for h in (hit, alone) if h and h[0] == family), default=None)
+                if best:
+                    hits.add((part.start + first, part.start + end, *best, len(pairs)))
+    kept: list[tuple] = []
+    for hit in sorted(hits, key=lambda h: (-h[5], -h[3], h[0], h[1], h[2], h[4])):  # unknown ones have no pairs
+        first, end, family = hit[:3]
+        own = range(lines[first], lines[end - 1] + 1)
+        for a, b, before, *_ in kept:
+            if first < b and a < end:
+                break
+            if family == UNKNOWN and own.start <= lines[b - 1] and lines[a] < own.stop:
+                break
+            if family == before and lines[a] == own.start:
+                break
+        else:
+            kept.append(hit)
+    return sorted((lines[first], family, p, share) for first, _, family, p, share, _ in kept)
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:

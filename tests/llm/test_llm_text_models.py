@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -228,6 +229,26 @@ def test_notices_of_a_third_of_the_documents_are_found(spark):
     assert found == {i + 1: "" if i % 3 else "BSD,MIT" for i in range(300)}
 
 
+@pytest.mark.parametrize("width", [40, 72, 79])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices_are_found_at_their_first_line(scanner, width, mark):
+    for family, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            wrapped = textwrap.wrap(text, width)
+            comment = "\n".join(mark + line for line in wrapped)
+            for before, place in (("", 0), (f"{prose(text, 40)}\n{mark}\n", 2), (f"{prose(text, 25)}\n", 1)):
+                found = licenses.scan(f"{before}{comment}\n{mark}\n{prose(family, 30)}", scanner)
+                assert [(at, f) for at, f, _, _ in found] == [(place, family)]
+
+
+def test_notices_next_to_each_other_are_all_found(scanner):
+    notices = [(f, textwrap.wrap(max(licenses.TEMPLATES[f], key=len), 60)) for f in ("Apache", "MIT", "LGPL")]
+    text = "\n".join(line for _, lines in notices for line in lines)
+    at = [0, len(notices[0][1]), len(notices[0][1]) + len(notices[1][1])]
+    found = licenses.scan(text, scanner)
+    assert [(a, f) for a, f, _, _ in found] == list(zip(at, ("Apache", "MIT", "LGPL"), strict=True))
+
+
 def test_licences_odd_and_empty(spark):
     got = rows(licenses.report(odd(spark)))
     assert len(got) == len(ALL_IDS) and (got.n_found == 0).all()
