@@ -82,6 +82,30 @@ def test_recall_against_brute_force(planted):
     assert truth and len(truth & got) >= 0.9 * len(truth)
 
 
+def test_recall_on_a_full_block(spark):
+    """2,048 items of 5 to 60 words; documents with one each, 0 to 35 % of its words changed."""
+    rng = random.Random(8)
+    items = [(i, prose(f"full{i}", 5 + i % 56, 40_000)) for i in range(decontamination.BLOCK)]
+    texts, wanted = [], set()
+    for i in range(0, len(items), 4):
+        body, own = prose(f"held{i}", 200, 40_000).split(), items[i][1].split()
+        words = list(own)
+        for at in rng.sample(range(len(words)), int(len(words) * rng.choice([0, 0.1, 0.25, 0.35]))):
+            words[at] = f"other{rng.randrange(9999)}"
+        share = plain_subsequence(own, words) / len(own)
+        answer = own[-decontamination.ANSWER_WORDS :]
+        if share >= 0.8 or plain_subsequence(answer, words) >= 0.5 * len(answer):
+            wanted.add((len(texts) + 1, i))
+        at = rng.randrange(len(body))
+        body[at:at] = words
+        texts.append(" ".join(body))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.matches(docs(spark, texts), benchmark).collect()}
+    short = {w for w in wanted if len(items[w[1]][1].split()) <= 20}
+    assert len(wanted) > 400 and len(short) > 100
+    assert len(short & found) >= 0.99 * len(short) and len(wanted & found) >= 0.99 * len(wanted)
+
+
 def test_space_holds_the_passages(spark):
     """With full rank the latent product is the plain one."""
     rng = np.random.default_rng(0)
