@@ -125,6 +125,14 @@ def test_blocks_of_items(planted, monkeypatch):
     assert len(found & set(wanted.items())) >= 0.95 * len(wanted)
 
 
+def test_items_of_null_and_text_ids_are_searched_for(spark):
+    a, b = prose("null id", 30), prose("text id", 30)
+    df = docs(spark, [f"{prose(1, 50)} {a}", f"{prose(2, 50)} {b}", prose(3, 80)])
+    items = spark.createDataFrame([(None, a), ("b-2", b)], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(df, items).collect()} == {(1, None), (2, "b-2")}
+    assert ids(decontamination.decontaminated(df, items)) == [3]
+
+
 def test_decontamination_odd_and_empty(spark, planted):
     df, items = odd(spark), planted[1]
     assert ids(decontamination.decontaminated(df, items)) == ALL_IDS
