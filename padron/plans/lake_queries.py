@@ -355,3 +355,65 @@ def lake_home(spark, sf):
     mapping = comma_to_parens(F.col("ccaa_limpia"))
     cards = indicators.kpis(indicators.home_indicators(*clean, YEAR, mapping))
     return cards.withColumn("avg_spend", round_even(F.col("avg_spend"), 6))
+
+
+def write_raw(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """``;`` files whose cells are written as they are, well-formed or not."""
+    df.write.options(header=True, sep=";", quote="", encoding=encoding).csv(path)
+
+
+@register(
+    "lake_quarantine",
+    """SELECT 'latin.csv' AS file_name, 'not UTF-8' AS reason,
+  c_name || ';Nataci' || chr(65533) || 'n' AS content
+  FROM customer WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'largo.csv', 'more cells than the header', s_name || ';' || s_nationkey || ';de más'
+  FROM supplier WHERE s_nationkey < 5
+UNION ALL SELECT 'abierto.csv', 'quote never closed', '"' || n_name || ';0'
+  FROM nation WHERE n_nationkey = 7""",
+)
+def lake_quarantine(spark, sf):
+    """Rows that bar or mark their files: Latin-1 bytes, surplus cells, an open quote."""
+    root = scratch_dir(spark, "quarantine") + "/raw"
+    sport = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("Natación")).otherwise(F.lit("Remo"))
+    latin = table(spark, sf, "customer").select(
+        F.col("c_name").alias("Indicador"), sport.alias("Total")
+    )
+    more = F.when(F.col("s_nationkey") < 5, F.lit(";de más")).otherwise(F.lit(""))
+    longer = table(spark, sf, "supplier").select(
+        F.col("s_name").alias("Indicador"),
+        F.concat(F.col("s_nationkey").cast("string"), more).alias("Total"),
+    )
+    quote = F.when(F.col("n_nationkey") == 7, F.lit('"')).otherwise(F.lit(""))
+    opened = table(spark, sf, "nation").select(
+        F.concat(quote, F.col("n_name")).alias("Indicador"), F.lit("0").alias("Total")
+    )
+    write_raw(latin, f"{root}/Gasto_Hogares/latin.csv", "ISO-8859-1")
+    write_raw(longer, f"{root}/Gasto_Hogares/largo.csv")
+    write_raw(opened, f"{root}/Gasto_Hogares/abierto.csv")
+    files.write_semicolon(latin, f"{root}/Gasto_Hogares/sano.csv")
+    named = lake.lineage(F.col("file_path"))["file_name"]
+    return lake.quarantine(spark, root).select(named.alias("file_name"), "reason", "content")
+
+
+@register(
+    "lake_line_breaks",
+    f"""SELECT doc_id, length(t) AS n_chars, length(t) - length(replace(t, chr(10), '')) AS breaks,
+  md5(t) AS digest FROM (SELECT doc_id, {TRIM.format('text')} AS t FROM documents
+  WHERE text NOT LIKE '%' || chr(13) || '%')""",
+)
+def lake_line_breaks(spark, sf):
+    """Whole texts as cells under a header with a line break, through the lake and back."""
+    root = scratch_dir(spark, "breaks") + "/raw"
+    texts = table(spark, sf, "documents").where(~F.contains("text", F.lit("\r")))
+    named = texts.select(
+        F.col("text").alias("Texto\nlargo"), F.col("doc_id").cast("string").alias("Total")
+    )
+    files.write_semicolon(named, f"{root}/Gasto_Hogares/textos.csv")
+    cell = F.col("Texto\nlargo")
+    return lake.load_lake(spark, root).select(
+        F.col("Total").cast("long").alias("doc_id"),
+        F.char_length(cell).cast("long").alias("n_chars"),
+        (F.char_length(cell) - F.char_length(F.replace(cell, F.lit("\n"), F.lit("")))).cast("long").alias("breaks"),
+        F.md5(cell).alias("digest"),
+    )

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import csv
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from padron.functions.numbers import parse_number_es
 from padron.functions.periods import path_category, path_year
-from padron.functions.text import BOM, clean_cell, repair_text
+from padron.functions.text import clean_cell, repair_text
 from padron.lookups import (
     CATEGORY_FAMILY,
     LAKE_HEADERS,
@@ -20,9 +21,10 @@ from padron.lookups import (
     SPEND_FILE,
 )
 from padron.operators.columns import alias_candidates
-from padron.session import saved
+from padron.session import saved, scratch_dir
+from padron.sources import records
+from padron.sources.records import SEP, decoded_path
 
-SEP = ";"
 LINEAGE = ["category", "wave", "file_name", "file_path", "source_path"]
 # The last column is never read, which keeps the reader on its pruned path: cells by
 # position, no error for a row that is shorter or longer than the widest header.
@@ -49,7 +51,7 @@ def lineage(path: Column) -> dict[str, Column]:
     }
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
+def discover(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Every CSV below ``root`` with its lineage, but for files of no bytes. No content is read."""
     listed = (
         spark.read.format("binaryFile")
@@ -62,11 +64,6 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _decoded(path: Column) -> Column:
-    """A metadata path as listed: it is percent-encoded, with plus signs left as they are."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-
-
 def header_columns(header: str) -> list[str]:
     """Column names of a header line, cleaned; a repeated name gets a number."""
     names: list[str] = []
@@ -80,55 +77,166 @@ def header_columns(header: str) -> list[str]:
     return names
 
 
-def _headers(spark: SparkSession, root: str) -> DataFrame:
-    """(path, header): the first line of each file, by Spark's own text reader."""
-    lines = (
-        spark.read.options(
-            recursiveFileLookup=True, pathGlobFilter="*.csv", ignoreCorruptFiles=True
-        )
-        .text(root)
-        .filter("_metadata.file_block_start = 0")
-        .select(
-            _decoded(F.col("_metadata.file_path")).alias("path"),
-            F.struct(F.monotonically_increasing_id().alias("at"), "value").alias("line"),
-        )
+NOT_UTF8, UNREADABLE, OPEN_QUOTE = "not UTF-8", "unreadable", "quote never closed"
+
+
+def _survey(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path, split, lines, first, faults, widest): a row per split, from one scan of all lines.
+
+    ``faults``: which of two things some line has: bytes that are no UTF-8, a cell left open.
+    """
+    line = F.col("line")
+    fault = F.when(~F.is_valid_utf8(line), F.lit(NOT_UTF8)).when(
+        records.leaves_open(line), F.lit(OPEN_QUOTE)
+    )
+    found = records.read_lines(spark, root).groupBy("path", "split").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.min_by(F.when(F.col("split") == 0, line), "id").alias("first"),
+        F.collect_set(fault).alias("faults"),
+        F.max(records.n_cells(line)).alias("widest"),
     )
-    first = lines.groupBy("path").agg(F.min_by("line.value", "line.at").alias("header"))
-    plain = F.rtrim(F.replace("header", F.lit(BOM), F.lit("")), F.lit("\r"))
-    return first.withColumn("header", plain)
+    return saved(found, "survey")
 
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
+def _folded(spark: SparkSession, root: str | list[str], files: DataFrame) -> str | None:
+    """The folder of the records of those files whose lines are not records, if there are any."""
+    several = files.where(F.col("folds")).select("path")
+    if several.isEmpty():
+        return None
+    lines = records.read_lines(spark, root).join(several, "path", "left_semi")
+    folder = scratch_dir(spark, "records")
+    first = F.col("number") == 1
+    records.fold_lines(lines).withColumn("is_header", first).write.parquet(folder)
+    return folder
+
+
+def manifest(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Every CSV below ``root``: lineage, header, ``columns``, or the ``error`` that bars it.
 
-    A file that can't be read or is not UTF-8 has an error and no columns; loads go on without
-    it. What reaches the driver are the distinct headers. The table is written once.
+    A file that can't be read, has a byte that is not UTF-8 anywhere, or a quote that is never
+    closed has an error and no columns; loads go on without it. ``overlong``: some row has more
+    cells than the header. A header may hold line breaks in quotes. All this comes from one scan,
+    and one more of those files where a cell holds line breaks (their records are written to
+    ``records``, a folder). What reaches the driver are the distinct headers. Lines end with \\n
+    or \\r\\n.
     """
-    found = discover(spark, root).join(_headers(spark, root), "path", "left")
+    survey = _survey(spark, root)
+    per_file = survey.groupBy("path").agg(
+        F.max("first").alias("header"),
+        F.max(F.array_contains("faults", F.lit(NOT_UTF8))).alias("undecodable"),
+        F.max(F.array_contains("faults", F.lit(OPEN_QUOTE))).alias("folds"),
+        F.max("widest").alias("widest"),
+    )
+    per_file = per_file.withColumn("folds", F.col("folds") & ~F.col("undecodable"))
+    folder = _folded(spark, root, per_file)
+    if folder is not None:
+        own = (
+            spark.read.parquet(folder)
+            .groupBy("path")
+            .agg(
+                F.max(F.when(F.col("is_header"), F.col("record"))).alias("whole_header"),
+                F.max("open").alias("unclosed"),
+                F.max(records.n_cells(F.col("record"))).alias("widest_record"),
+            )
+        )
+        per_file = (
+            per_file.join(own, "path", "left")
+            .withColumn("header", F.coalesce("whole_header", "header"))
+            .withColumn("widest", F.coalesce("widest_record", "widest"))
+        )
+    else:
+        per_file = per_file.withColumn("unclosed", F.lit(False))
     error = (
-        F.when(~F.is_valid_utf8("header"), F.lit("not UTF-8"))
-        .when(F.col("header").isNull() & (F.col("bytes") > 0), F.lit("unreadable"))
+        F.when(F.col("undecodable"), F.lit(NOT_UTF8))
+        .when(F.col("unclosed"), F.lit(OPEN_QUOTE))
+        .when(F.col("header").isNull() & (F.col("bytes") > 0), F.lit(UNREADABLE))
     )
-    listed = saved(
-        found.withColumns({"error": error, "header": F.coalesce("header", F.lit(""))}), "manifest"
+    listed = discover(spark, root).join(per_file, "path", "left").withColumns(
+        {
+            "error": error,
+            "header": F.coalesce("header", F.lit("")),
+            "records": F.when(F.col("folds"), F.lit(folder).cast("string")),
+        }
     )
+    listed = saved(listed.drop("undecodable", "folds", "unclosed", "whole_header", "widest_record"), "manifest")
     headers = listed.filter("error IS NULL").select("header").distinct().collect()
     parsed = [(r.header, header_columns(r.header)) for r in headers]
     names = spark.createDataFrame(parsed, "header string, columns array<string>")
     named = listed.join(names, "header", "left")
-    return named.withColumn("columns", F.when(F.col("error").isNull(), F.col("columns")))
+    return named.withColumns(
+        {
+            "columns": F.when(F.col("error").isNull(), F.col("columns")),
+            "overlong": F.coalesce(F.col("error").isNull() & (F.col("widest") > F.size("columns")), F.lit(False)),
+        }
+    ).drop("widest")
+
+
+def quarantine(spark: SparkSession, root: str, listed: DataFrame | None = None) -> DataFrame:
+    """(file_path, line, reason, content): the rows for which a manifest bars or marks a file.
+
+    One row per line that is not UTF-8 (content decoded with replacement marks), per record with
+    more cells than the header, and per quote that is never closed (its first line). ``line`` counts
+    from 1. Only files that the manifest names are looked at again; nothing is read if there are
+    none.
+    """
+    listed = manifest(spark, root) if listed is None else listed
+    named = listed.where((F.col("error") == NOT_UTF8) | F.col("overlong"))
+    wanted = named.where("records IS NULL").select("path", "error", F.size("columns").alias("width"))
+    shape = "file_path string, line long, reason string, content string"
+    found = spark.createDataFrame([], shape)
+    line, is_bad = F.col("line"), F.col("error") == NOT_UTF8
+    too_long = F.lit("more cells than the header")
+    if not wanted.isEmpty():
+        lines = records.read_lines(spark, root).join(wanted, "path")
+        in_split = Window.partitionBy("path", "split").orderBy("id")
+        placed = saved(lines.withColumn("place", F.row_number().over(in_split)), "barred-lines")
+        above = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+        splits = placed.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n")).select(
+            "path", "split", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above")
+        )
+        reason = F.when(is_bad & ~F.is_valid_utf8(line), F.lit(NOT_UTF8)).when(
+            ~F.coalesce(is_bad, F.lit(False)) & (records.n_cells(line) > F.col("width")), too_long
+        )
+        rows = placed.join(splits, ["path", "split"]).select(
+            F.col("path").alias("file_path"),
+            (F.col("above") + F.col("place")).alias("line"),
+            reason.alias("reason"),
+            F.make_valid_utf8(line).alias("content"),
+        )
+        found = found.unionByName(rows.where("reason IS NOT NULL"))
+    for folder in _record_folders(listed):
+        files = listed.where("records IS NOT NULL").select("path", F.size("columns").alias("width"))
+        reason = F.when(F.col("open"), F.lit(OPEN_QUOTE)).when(
+            records.n_cells(F.col("record")) > F.col("width"), too_long
+        )
+        rows = spark.read.parquet(folder).join(files, "path").select(
+            F.col("path").alias("file_path"),
+            F.col("number").alias("line"),
+            reason.alias("reason"),
+            F.col("record").alias("content"),
+        )
+        found = found.unionByName(rows.where("reason IS NOT NULL"))
+    return found
+
+
+def _record_folders(listed: DataFrame) -> list[str]:
+    """Where the manifest's files with line breaks in cells have their records: one folder, if any."""
+    return [r.records for r in listed.where("records IS NOT NULL").select("records").distinct().collect()]
 
 
 def schema_profile(spark: SparkSession, root: str) -> DataFrame:
-    """The columns of each category's first file, or why it cannot be read."""
-    first = manifest(spark, root).groupBy("category").agg(
-        F.min_by(F.struct("columns", "error"), "path").alias("first")
-    )
-    return first.select(
-        "category",
-        F.coalesce(
-            F.array_join("first.columns", ", "), F.concat(F.lit("error: "), F.col("first.error"))
-        ).alias("columns"),
+    """The columns of each category's first file, or why it cannot be read.
+
+    Files are listed; of their content, that of one file per category is read.
+    """
+    first = discover(spark, root).groupBy("category").agg(F.min("path").alias("path"))
+    # A row per category reaches the driver. Marks of patterns in a path stand for themselves.
+    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in first.collect()]
+    if not paths:
+        return spark.createDataFrame([], "category string, columns string")
+    error = F.concat(F.lit("error: "), F.col("error"))
+    return manifest(spark, paths).select(
+        "category", F.coalesce(F.array_join("columns", ", "), error).alias("columns")
     )
 
 
@@ -154,15 +262,15 @@ def load_lake(
     spark: SparkSession,
     root: str,
     aliases: dict[str, list[str]] | None = None,
-    multi_line: bool = True,
     listed: DataFrame | None = None,
 ) -> DataFrame:
     """Every readable file as one table: union of all columns as text, ``total_num``, lineage.
 
     One scan for all layouts: cells are read by position and named through the manifest, a row
-    per file. ``overlong`` marks rows with more cells than their header. Cells may hold line
-    breaks; a file is then one task, so ``multi_line=False`` suits files of many gigabytes whose
-    cells have none. ``listed``: the lake's manifest, if it is at hand.
+    per file. A cell is cleaned once it is chosen, so columns that nobody asks for cost nothing.
+    Files whose cells hold line breaks come from the records that the manifest has made of them;
+    files of any size are many tasks. ``overlong`` marks rows with more cells than their header,
+    ``bad_file`` all rows of a file that has such a row. ``listed``: the manifest, if at hand.
     """
     listed = manifest(spark, root) if listed is None else listed
     readable = listed.filter("error IS NULL AND header <> ''")
@@ -183,37 +291,43 @@ def load_lake(
     names = list(first.values())
     width = max(n for _, n, _ in layouts) + 1
     shape = [T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
+    options = {"sep": SEP, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     raw = (
         spark.read.schema(T.StructType([*shape, T.StructField(UNREAD, T.StringType())]))
         .options(
-            sep=SEP, header=True, encoding="UTF-8", quote='"', escape='"', mode="PERMISSIVE",
-            multiLine=multi_line, recursiveFileLookup=True, pathGlobFilter="*.csv",
-            ignoreCorruptFiles=True,
+            header=True, encoding="UTF-8", recursiveFileLookup=True, pathGlobFilter="*.csv",
+            ignoreCorruptFiles=True, **options,
         )
         .csv(root)
     )
-    cells = F.array(*[_no_missing_text(clean_cell(F.col(c.name))) for c in shape])
-    rows = raw.select(
-        _decoded(F.col("_metadata.file_path")).alias("path"),
-        cells.alias("_cells"),
-        F.array(*[F.col(c.name).isNotNull() for c in shape]).alias("_filled"),
-    )
+    whole = [c.name for c in shape]
     by_header = spark.createDataFrame(
         layouts, "header string, _width int, _places map<string, array<int>>"
     )
-    placed = rows.join(readable.select("path", "header").join(by_header, "header"), "path")
+    about = readable.select("path", "header", "records", F.col("overlong").alias("bad_file")).join(
+        by_header, "header"
+    )
+    plain = raw.select(
+        decoded_path(F.col("_metadata.file_path")).alias("path"), F.array(*whole).alias("_cells")
+    ).join(about.where("records IS NULL"), "path")
+    for folder in _record_folders(listed):
+        rows = spark.read.parquet(folder).where("NOT is_header AND NOT open AND trim(record) <> ''")
+        parsed = F.from_csv("record", ", ".join(f"{c} string" for c in whole), options)
+        cells = rows.select("path", parsed.alias("_row")).select(
+            "path", F.array(*[F.col(f"_row.{c}") for c in whole]).alias("_cells")
+        )
+        plain = plain.unionByName(cells.join(about.where("records IS NOT NULL"), "path"))
 
     def cell(name: str) -> Column:
         places = F.try_element_at("_places", F.lit(name.lower()))
-        filled = F.filter(
-            F.transform(places, lambda at: F.get("_cells", at)), lambda x: x.isNotNull()
-        )
-        return F.get(filled, F.lit(0)).alias(name)
+        cleaned = F.transform(places, lambda at: _no_missing_text(clean_cell(F.get("_cells", at))))
+        return F.get(F.filter(cleaned, lambda x: x.isNotNull()), F.lit(0)).alias(name)
 
-    named = placed.select(
+    named = plain.select(
         *[cell(n) for n in names],
         *[expr.alias(name) for name, expr in lineage(F.col("path")).items()],
-        F.coalesce(F.get("_filled", F.col("_width")), F.lit(False)).alias("overlong"),
+        F.get("_cells", F.col("_width")).isNotNull().alias("overlong"),
+        "bad_file",
     )
     return named.select(
         *[F.col(f"`{c}`") for c in names],
@@ -221,17 +335,16 @@ def load_lake(
         path_year(below_raw(F.col("file_path"))).alias("path_year"),
         *LINEAGE,
         "overlong",
+        "bad_file",
     )
 
 
 def good_files(facts: DataFrame) -> DataFrame:
     """Facts without the files that hold an overlong row: a bad file brings nothing.
 
-    The bad files are found once and written; they are few, so the facts need not be dealt out
-    by file to leave them out.
+    The manifest knows them, so the lake is not parsed for it.
     """
-    bad = saved(facts.filter("overlong").select("file_path").distinct(), "bad-files")
-    return facts.join(bad, "file_path", "left_anti")
+    return facts.filter(~F.col("bad_file"))
 
 
 def ingest_report(listed: DataFrame, facts: DataFrame, cap: int = SAMPLE_CAP) -> DataFrame:
@@ -240,13 +353,12 @@ def ingest_report(listed: DataFrame, facts: DataFrame, cap: int = SAMPLE_CAP) ->
     per_file = facts.groupBy("file_path").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("total_num").alias("with_total"),
-        F.max("overlong").alias("bad"),
     )
     status = (
         F.when(~routed, F.lit("SKIP_CATEGORY"))
         .when(F.col("error").isNotNull(), F.lit("ERROR"))
         .when(~F.array_contains("columns", F.lit("Total")), F.lit("SKIP_NO_TOTAL"))
-        .when(F.coalesce(F.col("bad"), F.lit(False)), F.lit("ERROR"))
+        .when(F.col("overlong"), F.lit("ERROR"))
         .otherwise(F.lit("OK"))
     )
     return listed.join(per_file, "file_path", "left").select(
