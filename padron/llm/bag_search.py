@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from padron.llm.words import slices
 from padron.session import saved
 
 #: Ranks that are reported.
@@ -71,7 +72,7 @@ def _item_terms(items: DataFrame, key: str, text: str) -> DataFrame:
     """(item, term), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [list(set(terms(t))) for t in _texts(batch)]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays(
@@ -91,7 +92,7 @@ def _bags_by_broadcast(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             sizes, ends, ids, counts = [], [0], [], []
             for text in _texts(batch):
                 found = terms(text)
@@ -115,7 +116,7 @@ def _bags_by_join(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, n, bag): the documents' distinct terms meet the vocabulary in a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [terms(t) for t in _texts(batch)]
             for at, own in enumerate(found):
                 counted = Counter(own)

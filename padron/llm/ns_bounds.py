@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from padron.llm.words import slices
 from padron.session import saved
 
 DIMS, SCALE, CENTROIDS, ROUNDS = 64, 1024, 8, 10
@@ -111,10 +112,9 @@ def _vectors(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """Vectors as integers of four bytes, evaluated against the first centroids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield _state_batch(batch.column("vec"), x, evaluated(x, centroids))
+        for batch in slices(batches):
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield _state_batch(batch.column("vec"), x, evaluated(x, centroids))
 
     return rows.mapInArrow(run, _STATE)
 
@@ -148,9 +148,7 @@ def _renewed(state: DataFrame, then: np.ndarray, now: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved = displacement(then, now)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             x, cluster, upper, lower = _read(batch, dims, k)
             failed = upper + moved[cluster] >= (lower - moved).min(1)
             # What is not rescanned gets its own distance anew, which tightens most.
@@ -169,9 +167,7 @@ def _sums(state: DataFrame, then: np.ndarray, now: np.ndarray) -> tuple[np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total, rescanned = np.zeros(k, np.int64), np.zeros((k, dims), np.int64), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             x, cluster, upper, lower = _read(batch, dims, k)
             nearest, failed = reassigned(x, cluster, upper, lower, then, now)
             rescanned += int(failed.sum())
@@ -211,9 +207,7 @@ def _final(state: DataFrame, then: np.ndarray, now: np.ndarray) -> DataFrame:
     k, dims = now.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             x, cluster, upper, lower = _read(batch, dims, k)
             nearest, _ = reassigned(x, cluster, upper, lower, then, now)
             apart = ((x - now[nearest]) ** 2).sum(1)
