@@ -11,24 +11,24 @@ strings of special tokens in a text become those tokens, as the vocabulary file
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from padron.llm.words import as_text, with_key
+from padron.llm.words import as_text, slices, with_key
 
-#: Words whose encoding a worker remembers, twice over.
-REMEMBERED = 100_000
+#: Words and pieces of words whose encoding a worker remembers, twice over.
+WORDS, PIECES = 250_000, 100_000
 _PLACE = (1 << 32) - 1
-_RANK = ~_PLACE
 #: A vocabulary is sent to every worker, so its file has a size limit.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -52,15 +52,15 @@ def _byte_letters() -> list[str]:
 class Memory(dict):
     """Results by key: when full, only what was used since the last time it was full is kept."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, size: int) -> None:
         super().__init__()
-        self._make, self._old = make, {}
+        self._make, self._size, self._old = make, size, {}
 
     def __missing__(self, key):
         found = self._old.get(key)
         if found is None:
             found = self._make(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self._size:
             self._old = dict(self)
             self.clear()
         self[key] = found
@@ -76,13 +76,16 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in {**self.ids, **self.special}.items()}
+        self.numbers = {i: str(i) for i in self.strings}
+        self._left_nothing = False
         self.end = model["end_of_word_suffix"] or ""
-        # Pair -> rank and merged symbol, each packed into one integer, which is quick to compare.
-        self.ranks = {}
+        # Pair, packed into one integer, -> rank; rank -> the symbol that the pair becomes.
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            merged = self.ids[left + right]
-            self.ranks[self.ids[left] << 32 | self.ids[right]] = rank << 32 | merged
+            self.ranks[self.ids[left] << 32 | self.ids[right]] = rank
+            self.merged.append(self.ids[left + right])
         letters = _byte_letters()
         self._first = [self.ids[x] for x in letters]
         self._last = [self.ids[x + self.end] for x in letters]
@@ -91,48 +94,46 @@ class Vocabulary:
         )["pattern"]["Regex"]
         self._pieces = regex.compile(split.replace(r"\s", _SPACE[1:-1])).findall
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self._words, self._known = Memory(self._encoded_word), Memory(self.merge)
+        self._words, self._known = Memory(self._encoded_word, WORDS), Memory(self.merge, PIECES)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: lowest rank first, leftmost among equals."""
         data = piece.encode("utf-8", "surrogatepass")
         symbols = [self._first[b] for b in data]
         symbols[-1] = self._last[data[-1]]
-        n, rank_of = len(symbols), self.ranks.get
-        queue, left = [], symbols[0]
-        for at in range(1, n):
-            right = symbols[at]
-            found = rank_of(left << 32 | right)
-            if found is not None:
-                queue.append((found & _RANK) + at - 1)
-            left = right
+        n, rank_of, merged_of = len(symbols), self.ranks.get, self.merged
+        # Entries are rank and place; ``current`` is the entry that holds for a place now.
+        ranks = [rank_of(a << 32 | b) for a, b in zip(symbols, symbols[1:], strict=False)]
+        current = [-1 if r is None else r << 32 | at for at, r in enumerate(ranks)]
+        queue = [entry for entry in current if entry >= 0]
         if not queue:
             return symbols
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heapq.heapify(queue)
-        pop, push = heapq.heappop, heapq.heappush
+        current.append(-1)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heapify(queue)
         while queue:
-            entry = pop(queue)
+            entry = heappop(queue)
             at = entry & _PLACE
-            right = after[at]
-            if right >= n or symbols[at] < 0:
-                continue
-            found = rank_of(symbols[at] << 32 | symbols[right])
-            if found is None or found & _RANK != entry & _RANK:
+            if current[at] != entry:
                 continue  # stale: one of the two has been merged meanwhile
-            merged = found & _PLACE
+            right, merged = after[at], merged_of[entry >> 32]
             symbols[at], symbols[right] = merged, -1
+            current[at] = current[right] = -1
             after[at] = beyond = after[right]
             if beyond < n:
                 before[beyond] = at
-                found = rank_of(merged << 32 | symbols[beyond])
-                if found is not None:
-                    push(queue, (found & _RANK) + at)
+                rank = rank_of(merged << 32 | symbols[beyond])
+                if rank is not None:
+                    current[at] = entry = rank << 32 | at
+                    heappush(queue, entry)
             left = before[at]
             if left >= 0:
-                found = rank_of(symbols[left] << 32 | merged)
-                if found is not None:
-                    push(queue, (found & _RANK) + left)
+                rank = rank_of(symbols[left] << 32 | merged)
+                if rank is None:
+                    current[left] = -1
+                else:
+                    current[left] = entry = rank << 32 | left
+                    heappush(queue, entry)
         return [s for s in symbols if s >= 0]
 
     def word_ids(self, word: str) -> list[int]:
@@ -145,9 +146,12 @@ class Vocabulary:
             out += self._known[piece]
         return out
 
-    def _encoded_word(self, word: str) -> tuple[int, str, str]:
+    def _encoded_word(self, word: str) -> tuple[str, str]:
+        """A word's ids and its decoded text."""
         ids = self.word_ids(word)
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        if not ids:
+            self._left_nothing = True
+        return " ".join([self.numbers[i] for i in ids]), " ".join([self.strings[i] for i in ids])
 
     def _parts(self, text: str) -> Iterator[tuple[bool, str]]:
         """Special tokens (True) and the words between them, in order."""
@@ -176,13 +180,15 @@ class Vocabulary:
             found = [known[w] for w in text.split()]
         else:
             found = [
-                (1, str(self.special[w]), w) if special else known[w]
+                (self.numbers[self.special[w]], w) if special else known[w]
                 for special, w in self._parts(text or "")
             ]
-        counts, ids, strings = zip(*found, strict=True) if found else ((), (), ())
-        if 0 in counts:  # a word that the normaliser left nothing of
-            ids, strings = filter(None, ids), filter(None, strings)
-        return sum(counts), _sha256(" ".join(ids)), _sha256(" ".join(strings))
+        if self._left_nothing:  # the normaliser may leave nothing of a word
+            found = [word for word in found if word[0]]
+        if not found:
+            return 0, _sha256(""), _sha256("")
+        ids, strings = map(" ".join, zip(*found, strict=True))
+        return ids.count(" ") + 1, _sha256(ids), _sha256(strings)
 
 
 def _sha256(text: str) -> str:
@@ -241,13 +247,15 @@ def token_digest(df: DataFrame, path: str, text: str = "text", key: str = "doc_i
     """
     raw = _broadcast(df, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _loaded(raw.value)
-        for batch in batches:
-            rows = [vocabulary.summary(t) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "key", batch["key"].array)
-            yield out
+        for batch in slices(batches):
+            rows = [vocabulary.summary(t) for t in batch.column("text").to_pylist()]
+            counts, ids, texts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)],
+                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     rows = df.select(as_text(key), F.col(text).alias("text"))
-    return with_key(rows.mapInPandas(run, f"key string, {SCHEMA}"), key, df.schema[key].dataType)
+    return with_key(rows.mapInArrow(run, f"key string, {SCHEMA}"), key, df.schema[key].dataType)

@@ -4,12 +4,14 @@ A transcript is rows (key, order, text). Each line has a symbol: the kind of spe
 begins with, whether it follows a blank line, its length, and whether it asks. States are a role
 and whether the line begins a turn or goes on. Start, transition and symbol probabilities are
 counted in Spark over rows whose role is known; Viterbi gives the most probable states; a turn is
-a begin line and what follows it, without marker and outer blank lines.
+a begin line without its marker and what follows it as it is, without outer blank lines. The
+query knows the roles of half of the conversations, by a hash of the key, and recovers all.
 
 A conversation may be longer than a task can hold. Lines are sorted into chunks of at most
 ``CHUNK`` lines. Chunks of a conversation that has several are first reduced to a matrix (best
 score from each state before to each state at the end); the matrices fix the states at the chunks'
-borders, and then all chunks are decoded by themselves. The path is the one of the whole.
+borders, and then all chunks are decoded by themselves. What the line before a chunk was is carried
+over its border, a row per chunk. So counts and path are those of the whole.
 
 Defined results: a null text is one blank line; a null key is a conversation of its own; a null
 order comes first. Rows of equal key and order keep the order they are read in. Blank-only turns
@@ -99,9 +101,9 @@ def transcript_rows(
 
 
 def sorted_lines(rows: DataFrame) -> DataFrame:
-    """(name, chunk, seq, line, symbol, state): lines in order, written. ``name`` is the key as text.
+    """(name, chunk, seq, line, symbol, before, state): lines in order, written.
 
-    ``seq`` rises along the whole table; a chunk is a stretch of one file part. Rows are dealt
+    ``name`` is the key as text, ``before`` the state of the line before. ``seq`` rises along the whole table; a chunk is a stretch of one file part. Rows are dealt
     out by range, so a long conversation lies in several parts.
     """
     known = F.lit(None).cast("int")
@@ -122,14 +124,24 @@ def sorted_lines(rows: DataFrame) -> DataFrame:
     exploded = exploded.withColumn("seq", F.monotonically_increasing_id())
     chunk = F.expr(f"(seq >> 33) * {1 << 33} + (seq & {(1 << 33) - 1}) div {CHUNK}")
     written = saved(exploded.withColumn("chunk", chunk), "chat-lines")
-    inside = Window.partitionBy("name", "chunk").orderBy("seq")
-    before = F.lag("line").over(inside)
-    after_blank = before.isNull() | (F.btrim(before) == "")
     state = F.col("begin") + (F.col("at") > 0).cast("int")
+    own = F.struct((F.btrim("line") == "").alias("blank"), state.alias("state"))
+    told = written.withColumn("own", own)
+    inside = Window.partitionBy("name", "chunk").orderBy("seq")
+    # The last line of the chunk before, for conversations of several chunks.
+    ends = told.groupBy("name", "chunk").agg(F.max_by("own", "seq").alias("last"))
+    carried = ends.withColumn("last", F.lag("last").over(Window.partitionBy("name").orderBy("chunk")))
+    told = told.join(carried.where("last IS NOT NULL"), ["name", "chunk"], "left")
+    before = F.coalesce(F.lag("own").over(inside), F.col("last"))
+    told = told.withColumn("line_before", before)
+    after_blank = F.coalesce(F.col("line_before.blank"), F.lit(True))
     return saved(
-        written.select(
+        told.select(
             "name", "chunk", "seq", "line",
-            _symbol(F.col("line"), after_blank).alias("symbol"), state.alias("state"),
+            _symbol(F.col("line"), after_blank).alias("symbol"),
+            F.col("line_before").isNull().alias("first"),
+            F.col("line_before.state").alias("before"),
+            F.col("own.state").alias("state"),
         ),
         "chat-symbols",
     )
@@ -163,17 +175,15 @@ def believed() -> Model:
 
 
 def learned(lines: DataFrame) -> Model:
-    """Probabilities from all lines whose state is known."""
+    """Probabilities from all lines whose state is known; a step needs both of its states."""
     model = believed()
     labelled = lines.where("state IS NOT NULL")
     for row in labelled.groupBy("state", "symbol").count().collect():
         model.emits[row["state"], row["symbol"]] += row["count"]
-    inside = Window.partitionBy("name", "chunk").orderBy("seq")
-    steps = lines.withColumn("before", F.lag("state").over(inside)).where("state IS NOT NULL")
-    for row in steps.groupBy("before", "state").count().collect():
-        if row["before"] is None:
+    for row in labelled.groupBy("first", "before", "state").count().collect():
+        if row["first"]:
             model.start[row["state"]] += row["count"]
-        else:
+        elif row["before"] is not None:
             model.moves[row["before"], row["state"]] += row["count"]
     return Model(
         np.log(model.start / model.start.sum()),
@@ -299,7 +309,8 @@ def turns(lines: DataFrame, model: Model, kind: DataType) -> DataFrame:
     offsets = counts.select(
         "name", "chunk", F.coalesce(F.sum("begun").over(earlier), F.lit(0)).alias("before")
     )
-    body = without_marker(F.col("line"))
+    begins = F.col("found") % 2 == 0
+    body = F.when(begins, without_marker(F.col("line"))).otherwise(F.col("line"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.shiftright("found", 1) + 1).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("seq", body.alias("body"), role.alias("role"))))
     grouped = (
@@ -317,9 +328,15 @@ def turns(lines: DataFrame, model: Model, kind: DataType) -> DataFrame:
     )
 
 
+def learned_from(key: Column) -> Column:
+    """Whether a conversation is of the half whose roles the query knows."""
+    return F.pmod(F.xxhash64(F.lit("learn"), key), F.lit(2)) == 0
+
+
 def report(df: DataFrame) -> DataFrame:
-    """Turns recovered from transcripts of a conversation table."""
-    found = parsed(transcript_rows(df))
+    """Turns recovered from transcripts of a conversation table, roles of one half being known."""
+    rows = transcript_rows(df)
+    found = parsed(rows.withColumn("role", F.when(learned_from(F.col("key")), F.col("role"))))
     return found.withColumnRenamed("key", "conv_id")
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from padron.llm import (
@@ -25,9 +24,8 @@ from padron.llm import (
 QUERIES = {}
 SQL: dict[str, str] = {}
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: The public vocabulary file that the encoder's queries use.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None):

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from helpers import ALL_IDS, CLASHING, docs, empty, ids, odd, prose, rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from padron.llm import bpe, chat_format, licenses, lm, quality_classifier
@@ -39,23 +40,43 @@ def turns_of(df):
 
 
 def test_roles_are_recovered(spark):
-    df = conversations(spark)
-    wanted, got = turns_of(df), turns_of(chat_format.report(df))
-    assert sum(got.get(k) == v for k, v in wanted.items()) >= 0.98 * len(wanted)
-    table = spark.read.parquet(f"{SF}/conversations.parquet")
-    wanted, got = turns_of(table), turns_of(chat_format.report(table))
-    assert sum(got.get(k) == v for k, v in wanted.items()) >= 0.98 * len(wanted)
-
-
-def test_chunks_do_not_change_the_path(spark, monkeypatch):
-    df = conversations(spark, 6, 30)
+    """Also, by themselves, in conversations that were not learned from."""
+    for df in (conversations(spark), spark.read.parquet(f"{SF}/conversations.parquet")):
+        half = df.where(~chat_format.learned_from(F.col("conv_id")))
+        found = turns_of(chat_format.report(df))
+        for wanted in (turns_of(df), turns_of(half)):
+            assert sum(found.get(k) == v for k, v in wanted.items()) >= 0.95 * len(wanted) > 20
+
+
+def test_chunks_do_not_change_turns(spark, monkeypatch, partitions):
+    """Learning included, whatever the chunks and partitions; also where blank lines are missing."""
+    rows_ = conversations(spark, 8, 24).collect()
+    df = spark.createDataFrame([(c, t, r, x.replace("\n", "\n\n") if t % 3 else x) for c, t, r, x in rows_], CONVERSATION)
     whole = turns_of(chat_format.report(df))
-    monkeypatch.setattr(chat_format, "CHUNK", 4)
-    # The counts of transitions differ at borders only; the model is kept the same.
-    monkeypatch.setattr(chat_format, "learned", lambda lines, m=chat_format.believed(): _logs(m))
-    small = turns_of(chat_format.report(df))
-    monkeypatch.setattr(chat_format, "CHUNK", 10_000)
-    assert small == turns_of(chat_format.report(df)) and len(whole) == 180
+    for chunk, parts in ((3, 8), (7, 2), (7, 40)):
+        monkeypatch.setattr(chat_format, "CHUNK", chunk)
+        partitions(parts)
+        assert turns_of(chat_format.report(df)) == whole
+    assert len(whole) > 150
+
+
+def test_markers_inside_a_turn_stay(spark):
+    listed = "Which one?\nA: red\nB: blue\nModel: T"
+    rows_ = [r if r.turn != 3 else (r.conv_id, 3, r.role, listed) for r in conversations(spark).collect()]
+    found = turns_of(chat_format.report(spark.createDataFrame(rows_, CONVERSATION)))
+    texts = "\n".join(text for _, text in found.values())
+    assert texts.count("Which one?") == 40
+    kept = sum(text.endswith(listed) for _, text in found.values())
+    assert kept >= 20  # the others were read as turns of their own, which such lines can be
+    states = [(0, 0, 0, "A: red", 2, 1), (0, 0, 1, "A: blue\n", 3, 1)]
+    lines = spark.createDataFrame(states, "name string, chunk long, seq long, line string, found int, nth long")
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(chat_format, "labelled", lambda *_: lines)
+    try:
+        row = chat_format.turns(None, None, T.LongType()).first()
+    finally:
+        monkey.undo()
+    assert (row.role, row.text) == ("user", "red\nA: blue")
 
 
 def _logs(m):
@@ -165,12 +186,15 @@ def test_digests_and_columns(spark, vocabulary):
 
 
 def test_memory_forgets_and_stays_right(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    monkeypatch.setattr(bpe, "PIECES", 50)
     with open(WORD_BPE, "rb") as file:
         small = bpe.Vocabulary(file.read())
     text = prose(4, 2000)
     assert small.encode(text) == Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
     assert len(small._known) <= 50
+    assert small.summary(text) == bpe.Vocabulary(open(WORD_BPE, "rb").read()).summary(text)
+    assert len(small._words) <= 50
 
 
 def test_encoding_odd_and_empty(spark):
