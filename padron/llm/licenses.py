@@ -237,7 +237,7 @@ def other(text: str) -> list[list[bytes]]:
 
 def examples(lines: list[str], rng: random.Random) -> list[tuple[list[bytes], str]]:
     """Templates with noise, and other text."""
-    prose = [w for line in lines for w in words(line)[:40]] or [b"and", b"so", b"on"]
+    prose = [w for line in lines for w in words(line)] or [b"and", b"so", b"on"]
     out = []
     wanted = [*TEMPLATES.items(), (UNKNOWN, UNLISTED), (OTHER, HARMLESS)]
     for family, texts in wanted:
@@ -252,7 +252,10 @@ def examples(lines: list[str], rng: random.Random) -> list[tuple[list[bytes], st
                     found = around[:cut] + found + around[cut:]
                 if found:
                     out.append((found, family))
-    out += [(found, OTHER) for line in lines for found in other(line)[:1]]
+    for line in lines:  # one window of each, drawn from all of its text
+        found = other(line)
+        if found:
+            out.append((rng.choice(found), OTHER))
     for _ in range(400):  # template words in no order are no licence
         text = words(rng.choice(rng.choice(list(TEMPLATES.values()))))
         out.append(([rng.choice(prose) for _ in range(8)] + rng.sample(text, min(2, len(text))), OTHER))

@@ -193,7 +193,10 @@ _NUMBERS = "range int, ids binary, total binary, n1 binary, n2 binary, n3 binary
 
 
 def _count_pairs(docs: DataFrame, vocabulary: Words, n_docs: int, shards: int, width: int) -> DataFrame:
-    """Write the pairs; (shard's counts of counts, and sums by number in ranges of ``width``)."""
+    """Write the pairs; (a shard's counts of counts, and sums by number in ranges of ``width``).
+
+    A shard's own row has the range -1 - shard.
+    """
     folder, total = vocabulary.folder, float(vocabulary.tokens + n_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +217,8 @@ def _count_pairs(docs: DataFrame, vocabulary: Words, n_docs: int, shards: int, w
             np.concatenate([unpack(x) for x in rows["keys"]]),
             np.concatenate([unpack_counts(x) for x in rows["counts"]]),
         )
-        _store(folder, f"pairs-{shard}", key=key, count=n.astype(np.uint32))
+        wide = n.max(initial=0) >= 1 << 32
+        _store(folder, f"pairs-{shard}", key=key, count=n if wide else n.astype(np.uint32))
         first, at = np.unique(key >> _WORD, return_inverse=True)
         sums = [np.bincount(at, weights=w).astype(np.int64) for w in (n, n == 1, n == 2, n > 2)]
         second, preceding = summed(key & _LOW)
@@ -228,7 +232,7 @@ def _count_pairs(docs: DataFrame, vocabulary: Words, n_docs: int, shards: int, w
             (int(r), pack(ids[a:b]), *(pack_counts(x[a:b]) for x in full), 0, 0, 0, 0, 0)
             for r, a, b in _segments((ids // np.uint64(width)).astype(np.int64))
         ]
-        out.append((-1, *[None] * 6, *map(int, times[1:5]), len(key)))
+        out.append((-1 - shard, *[None] * 6, *map(int, times[1:5]), len(key)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in shape.split(", ")])
 
     shape = _NUMBERS + ", m1 long, m2 long, m3 long, m4 long, pairs long"
@@ -273,7 +277,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 class Model:
     """What a worker needs to score: the mapped arrays' places and a few numbers."""
 
-    def __init__(self, vocabulary: Words, docs: int, shards: int, width: int, pair_d, word_d, pairs, more) -> None:
+    def __init__(
+        self, vocabulary: Words, docs: int, shards: int, width: int, pair_d, word_d, pairs, more, written
+    ) -> None:
+        """``written``: ranges of numbers, and -1 - shard of pairs, that have arrays."""
+        self.written = written
         self.words, self.docs, self.shards, self.width = vocabulary, docs, shards, width
         self.pair_d, self.word_d = np.array([0.0, *pair_d]), np.array([0.0, *word_d])
         self.pairs = pairs
@@ -289,10 +297,9 @@ class Model:
         return out
 
     def _array(self, which: int, kind: str) -> np.ndarray:
-        try:
-            return _load(self.words.folder, f"numbers-{which}", kind)
-        except FileNotFoundError:  # nothing was learned in this range
+        if which not in self.written:  # nothing was learned in this range
             return np.zeros(self.width, np.int64)
+        return _load(self.words.folder, f"numbers-{which}", kind)
 
     def _pair_counts(self, key, number, count, before) -> np.ndarray:
         """Counts of distinct pairs, given by places."""
@@ -306,10 +313,9 @@ class Model:
         order = np.lexsort((wanted, shard))
         for s, a, b in _segments(shard[order]):
             at = order[a:b]
-            try:
-                known = _load(self.words.folder, f"pairs-{s}", "key")
-            except FileNotFoundError:  # an empty shard
+            if -1 - s not in self.written:  # an empty shard
                 continue
+            known = _load(self.words.folder, f"pairs-{s}", "key")
             place = np.searchsorted(known, wanted[at])
             place[place == len(known)] = 0
             hit = known[place] == wanted[at]
@@ -357,9 +363,11 @@ def learned(df: DataFrame, text: str = "text") -> Model:
     counts = [found[c] or 0 for c in ("m1", "m2", "m3", "m4")]
     by_word = _sum_numbers(rows, folder, width)
     words_by = [by_word[c] or 0 for c in ("m1", "m2", "m3", "m4")]
+    # A number per array, so that one that is missing is an error and not an empty one.
+    written = frozenset(r["range"] for r in rows.select("range").distinct().collect())
     return Model(
         vocabulary, size["n"], shards, width, discounts(*counts), discounts(*words_by),
-        found["pairs"] or 0, (words_by[0], words_by[1], by_word["more"] or 0),
+        found["pairs"] or 0, (words_by[0], words_by[1], by_word["more"] or 0), written,
     )
 
 

@@ -46,6 +46,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Documents whose windows the field is trained on, and words of a window.
 SAMPLE_DOCS, WINDOW = 500, 24
+#: Windows about secrets that one sampled document gives, drawn from all of its secrets.
+SPANS = 4
 ROUNDS, RATE, DECAY = 100, 0.2, 1e-3
 OUT, BEGIN, INSIDE = 0, 1, 2
 
@@ -200,8 +202,8 @@ def training_windows(key: str, text: str | None) -> list[tuple[list[bytes], list
     rng = random.Random(f"{key}:{len(text or '')}")
     text = text or ""
     marks = list(_WORD.finditer(text))
-    odd = sum(_odd(_own(m.group().encode("utf-8", "surrogatepass"))) for m in marks[:2000])
-    file = _file(odd / max(1, min(len(marks), 2000)))
+    odd = sum(_odd(_own(m.group().encode("utf-8", "surrogatepass"))) for m in marks)
+    file = _file(odd / max(1, len(marks)))
     spans = base_spans(text, text.encode("utf-8", "surrogatepass"))
     values = [(ASSIGN.match(text, a).start(2) if k == 0 else a, b) for a, b, k in spans]
     tags = [OUT] * len(marks)
@@ -213,7 +215,8 @@ def training_windows(key: str, text: str | None) -> list[tuple[list[bytes], list
                 break
             tags[at] = BEGIN if at == first else INSIDE
     found = [m.group().encode("utf-8", "surrogatepass") for m in marks]
-    places = [i for i, t in enumerate(tags) if t == BEGIN][:4]
+    places = [i for i, t in enumerate(tags) if t == BEGIN]
+    places = rng.sample(places, min(SPANS, len(places)))
     places += [rng.randrange(len(found)) for _ in range(2) if found]
     out = []
     for at in places:

@@ -92,11 +92,15 @@ def shingle_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
         return mixed(out)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of eight bytes, byte by byte of equal weight, which compresses small ones well."""
+    planes = numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Rising numbers as compressed differences, byte by byte of equal weight."""
-    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
-    planes = steps.view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _planes(np.diff(numbers.astype(np.uint64), prepend=np.uint64(0)))
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -106,11 +110,12 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype(np.uint32).tobytes())
+    return _planes(counts)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
