@@ -385,9 +385,16 @@ def _frequent_entries(groups: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _folded(bits: np.ndarray) -> np.ndarray:
-    half = bits.shape[1] // 2
-    return bits[:, :half] ^ bits[:, half:]
+def folds(bits: list[bytes]) -> tuple[np.ndarray, dict, dict]:
+    """Lengths of bitmaps in words; for each length all of it or more, folded to it, and their places."""
+    length = np.array([len(b) for b in bits]) // 8
+    folded, place = {}, {}
+    for size in np.unique(length):
+        at = np.flatnonzero(length >= size)
+        rows = [np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, size), axis=0) for i in at]
+        folded[size], place[size] = np.stack(rows), np.full(len(bits), -1)
+        place[size][at] = np.arange(len(at))
+    return length, folded, place
 
 
 def possible_links(
@@ -406,30 +413,19 @@ def possible_links(
     """
     left, right = [], []
     label = label.copy()
-    sizes = np.array([len(b) for b in bitmaps])
     two = block.min() != block.max()
-    own, folded, start = {}, {}, {}
-    for size in np.unique(sizes):
-        at = np.flatnonzero(sizes == size)
-        rows = np.frombuffer(b"".join(bitmaps[i] for i in at), np.uint64).reshape(len(at), -1)
-        own[size], start[size] = rows, at[0]
-        if rows.shape[1] > 1:
-            folded[size // 2] = _folded(rows)
+    length, folded, place = folds(bitmaps)
     for x in range(len(n) - 1):
         if not indexed[x]:
             continue
         stop = int(np.searchsorted(n, 100 * int(n[x]) // percent, "right"))
         y = np.arange(x + 1, stop)
         y = y[(label[y] != label[x]) & (block[y] != block[x] if two else True)]
-        size = sizes[x]
-        mine = own[size][x - start[size]]
-        found = []
-        for rows, width in ((own[size], size), (folded.get(size), 2 * size)):
-            other = y[sizes[y] == width]
-            if rows is not None and len(other):
-                apart = np.bitwise_count(rows[other - start[width]] ^ mine).sum(1)
-                found.append(other[apart <= most_apart(n[other] + int(n[x]), percent)])
-        if found and len(y := np.concatenate(found)):
+        if len(y):
+            rows, at = folded[length[x]], place[length[x]]
+            unlike = np.bitwise_count(rows[at[y]] ^ rows[at[x]]).sum(1)
+            y = y[unlike <= most_apart(n[y] + int(n[x]), percent)]
+        if len(y):
             if forest:
                 kinds, first = np.unique(label[y], return_index=True)
                 y = y[first]

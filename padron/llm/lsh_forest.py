@@ -1,7 +1,8 @@
 """Near copies by an LSH forest: sorted signature orders, common prefixes, confirmed on whole sets.
 
-1. One pass gives each document its number of shingles, a digest of the set and a signature: 16
-   bits of each of ``DEPTH`` x trees minhashes. Equal sets are one class from here on.
+1. One pass gives each document its number of shingles, a digest of the set, a parity bitmap and
+   a signature: 16 bits of each of ``DEPTH`` x trees minhashes. Equal sets are one class from here
+   on.
 2. A tree sorts the classes by its own order of the signature: its first ``DEPTH`` values, then
    those of the next tree. Classes that agree in the first ``DEPTH`` values are a region. The
    sort is by ranges of the whole order, so a large region is spread over many tasks; the last
@@ -10,14 +11,17 @@
    where a region is dense, shallow where it is sparse. The neighbours of the first trees are
    confirmed and joined to components; then, over all trees, neighbours that are still apart.
    Large groups of near copies so become one component by about as many pairs as members.
-4. What lies in one region but in different components by then is paired in full: regions are
-   dealt out in blocks, a task compares two blocks, pairs whose signatures are too unlike are
-   refused, the rest is confirmed. So no neighbour limit loses a link.
+4. What lies in one region but in different components by then is compared in full: regions are
+   dealt out in blocks and a task compares two blocks by their bitmaps. Those of two sets have at
+   most as many unlike bits as there are shingles in one set alone, so a bitmap refuses pairs but
+   never a link. First each task names a forest of possible links, one pair where it can join two
+   components, and these are confirmed beside the neighbours of 3; then all pairs that are still
+   apart. So no neighbour limit loses a link, and links inside a component are not asked for.
 5. A pair is confirmed on both whole sets. Components are those of the confirmed links.
 
-What can be lost: a pair that shares no region in any tree, or is refused by its signatures. The
-number of trees follows the threshold so that the first has a chance below ``MISS`` (1e-7) for a
-pair just at the threshold, the second is seven standard deviations off; both fall steeply above.
+What can be lost: a pair that shares no region in any tree. The number of trees follows the
+threshold so that this has a chance below ``MISS`` (1e-7) for a pair just at the threshold, and
+less above it.
 
 Defined results: without words a document has size 0 and is linked with nothing. Documents with
 equal sets have one component, whatever their ids; a row without id has the component of its
@@ -38,7 +42,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from padron.llm.components import components
-from padron.llm.words import WordMemory, hashes, mixed, runs, shingle_hashes, word_hash, words
+from padron.llm.jaccard_join import apart, bitmap, folds, most_apart
+from padron.llm.words import WordMemory, hashes, mixed, runs, shingle_hashes, slices, word_hash, words
 from padron.session import saved
 
 #: Signature values in which the members of a region agree.
@@ -49,6 +54,8 @@ MISS = 1e-7
 FIRST_TREES = 2
 #: Classes of one block of a region.
 BLOCK = 256
+#: Bits of a bitmap for each shingle, at least.
+BITS = 4
 #: Most rows to broadcast for fetching texts; beyond it, the tables are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 #: Hashes times signature values that are worked on at once.
@@ -60,12 +67,6 @@ def trees_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** DEPTH))
 
 
-def least_equal(values: int, percent: int) -> int:
-    """Equal signature values below which a pair is refused: seven deviations under the mean."""
-    share = percent / 100
-    return max(0, math.floor(values * share - 7 * math.sqrt(values * share * (1 - share))))
-
-
 class Minhash:
     """Signatures of sets of 64-bit hashes; the functions follow from their number alone."""
 
@@ -98,12 +99,12 @@ def _digest(own: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(docs: DataFrame, k: int, trees: int) -> DataFrame:
-    """(id, n, d1, d2, signature) per row; no signature without words."""
+    """(id, n, d1, d2, signature, bits) per row; no signature and no bitmap without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_of, minhash = _set_maker(k), Minhash(DEPTH * trees)
-        for batch in batches:
-            n, d1, d2, signatures = [], [], [], []
+        for batch in slices(batches):
+            n, d1, d2, signatures, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = set_of(text)
                 first, second = _digest(own)
@@ -111,6 +112,7 @@ def _signed(docs: DataFrame, k: int, trees: int) -> DataFrame:
                 d1.append(first)
                 d2.append(second)
                 signatures.append(minhash(own).tobytes() if len(own) else None)
+                bits.append(bitmap(own, BITS) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -118,18 +120,22 @@ def _signed(docs: DataFrame, k: int, trees: int) -> DataFrame:
                     pa.array(d1, pa.int64()),
                     pa.array(d2, pa.int64()),
                     pa.array(signatures, pa.binary()),
+                    pa.array(bits, pa.binary()),
                 ],
-                ["id", "n", "d1", "d2", "signature"],
+                ["id", "n", "d1", "d2", "signature", "bits"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n int, d1 long, d2 long, signature binary")
+    return docs.mapInArrow(run, f"id {kind}, n int, d1 long, d2 long, signature binary, bits binary")
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    """(node, d1, d2, n, id, signature): a row per distinct set, numbered, with its smallest id."""
+    """(node, d1, d2, n, id, signature, bits): a row per distinct set, with its smallest id."""
     found = signed.where("n > 0").groupBy("d1", "d2").agg(
-        F.any_value("n").alias("n"), F.min("id").alias("id"), F.any_value("signature").alias("signature")
+        F.any_value("n").alias("n"),
+        F.min("id").alias("id"),
+        F.any_value("signature").alias("signature"),
+        F.any_value("bits").alias("bits"),
     )
     return saved(found.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -255,26 +261,21 @@ def _neighbours(forest: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and signatures allow a link."""
+    """Pairs whose sizes and bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-                for c in ("x", "y")
-            )
-            keep = (x == y).sum(1) >= least_equal(x.shape[1], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            sides = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "total")), strict=True)
+            keep = [apart(x, y) <= most_apart(total, percent) for x, y, total in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sides = classes.select("node", "n", "signature")
+    sides = classes.select("node", "n", "bits")
     return (
         pairs.select("a", "b")
         .join(sides.toDF("a", "na", "x"), "a")
         .join(sides.toDF("b", "nb", "y"), "b")
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b", "x", "y")
+        .select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("total"))
         .mapInArrow(run, "a long, b long")
     )
 
@@ -291,7 +292,7 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_of = _set_maker(k)
-        for batch in batches:
+        for batch in slices(batches):
             found = [set_of(t) for t in batch.column("text").to_pylist()]
             found = [own for own in found if len(own)]
             digests = [_digest(own) for own in found]
@@ -352,35 +353,80 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 # 4. regions of several components
 
 
-def _across(forest: DataFrame, classes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of one region and different components that signatures do not refuse."""
-    least = least_equal(DEPTH * trees_for(percent), percent)
+def possible_links(
+    n: np.ndarray, block: np.ndarray, component: np.ndarray, bits: list[bytes], percent: int, forest: bool
+) -> tuple[list[int], list[int]]:
+    """Places of pairs of different components that may be linked; rows rise by size.
+
+    ``forest``: a pair joins its components, so there are less pairs than rows. Rows of two
+    blocks are only paired across, those of one block with each other.
+    """
+    label = np.unique(component, return_inverse=True)[1]
+    two = block.min() != block.max()
+    length, folded, place = folds(bits)
+    left, right = [], []
+    for x in range(len(n) - 1):
+        stop = int(np.searchsorted(n, 100 * int(n[x]) // percent, "right"))
+        y = np.arange(x + 1, stop)
+        y = y[(label[y] != label[x]) & ((block[y] != block[x]) if two else True)]
+        if not len(y):
+            continue
+        rows, at = folded[length[x]], place[length[x]]
+        unlike = np.bitwise_count(rows[at[y]] ^ rows[at[x]]).sum(1)
+        y = y[unlike <= most_apart(n[y] + int(n[x]), percent)]
+        if forest and len(y):
+            kinds, first = np.unique(label[y], return_index=True)
+            y = y[first]
+            label[np.isin(label, kinds)] = label[x]
+        left += [x] * len(y)
+        right += y.tolist()
+    return left, right
+
+
+def _across(
+    forest: DataFrame, classes: DataFrame, known: DataFrame, percent: int, thin: bool
+) -> DataFrame:
+    """Pairs (a, b) of one region and different components that bitmaps do not refuse.
+
+    ``thin``: for each task a forest of them only.
+    """
     labelled = (
         forest.select("region", "node")
         .join(known, "node", "left")
         .select("region", "node", F.coalesce("component", "node").alias("component"))
     )
+    # The component that holds most of a region is not compared with itself: its rows go to the
+    # blocks of the others only, so a region of one large and some small ones grows by rows.
+    held = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("held"))
+    blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
     mixed_regions = (
-        labelled.groupBy("region")
-        .agg(
-            F.count(F.lit(1)).alias("held"),
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
+        held.groupBy("region")
+        .agg(F.max(F.struct("held", "component")).alias("main"), F.sum("held").alias("held"))
+        .withColumn("held", F.col("held") - F.col("main.held"))
+        .where("held > 0")
+        .select(
+            "region",
+            F.col("main.component").alias("main"),
+            blocks.alias("others"),
+            F.ceil(F.col("main.held") / F.lit(BLOCK)).cast("int").alias("mains"),
         )
-        .where("low < high")
-        .select("region", F.ceil(F.col("held") / F.lit(BLOCK)).cast("int").alias("blocks"))
     )
-    rows = labelled.join(mixed_regions, "region").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    is_main = F.col("component") == F.col("main")
+    place = F.xxhash64("node")
+    own = F.when(is_main, F.pmod(place, F.col("mains"))).otherwise(
+        F.col("mains") + F.pmod(place, F.col("others"))
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = labelled.join(mixed_regions, "region").withColumn("block", own.cast("int"))
+    # Blocks 0 to mains - 1 hold the main component, those from there on the others.
+    first = F.when(is_main, F.col("mains")).otherwise(F.lit(0))
+    other = F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1))
     dealt = (
         rows.withColumn("other", other)
         .select(
             "region", "node", "component", "block",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         )
-        .join(classes.select("node", "n", "signature"), "node")
+        .join(classes.select("node", "n", "bits"), "node")
         .repartition("region", "i", "j")
         .sortWithinPartitions("region", "i", "j", "n", "node")
     )
@@ -389,20 +435,13 @@ def _across(forest: DataFrame, classes: DataFrame, known: DataFrame, percent: in
         keys = ["region", "i", "j"]
         for batch in runs(batches, keys):
             for _, rows in batch.groupby(keys, sort=False):
-                component = rows["component"].to_numpy()
+                component, block = rows["component"].to_numpy(), rows["block"].to_numpy()
                 if len(rows) < 2 or (component == component[0]).all():
                     continue
-                node, n, block = (rows[c].to_numpy() for c in ("node", "n", "block"))
-                two = rows["i"].iat[0] != rows["j"].iat[0]
-                values = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(rows), -1)
-                left, right = [], []
-                for x in range(len(rows) - 1):
-                    stop = int(np.searchsorted(n, 100 * int(n[x]) // percent, "right"))
-                    y = np.arange(x + 1, stop)
-                    y = y[(component[y] != component[x]) & ((block[y] != block[x]) if two else True)]
-                    y = y[(values[y] == values[x]).sum(1) >= least]
-                    left += [x] * len(y)
-                    right += y.tolist()
+                if rows["i"].iat[0] != rows["j"].iat[0] and block.min() == block.max():
+                    continue
+                node, n = rows["node"].to_numpy(), rows["n"].to_numpy(np.int64)
+                left, right = possible_links(n, block, component, rows["bits"].tolist(), percent, thin)
                 if left:
                     pairs = node[left], node[right]
                     yield pd.DataFrame({"a": np.minimum(*pairs), "b": np.maximum(*pairs)})
@@ -421,15 +460,21 @@ def near_duplicates(
     forest = _sorted_forest(_orders(classes, trees))
     neighbours = _neighbours(forest)
 
-    links = _confirmed(docs, classes, neighbours.where(F.col("tree") < FIRST_TREES), words, percent)
-    known = saved(components(links), "components")
-    others = neighbours.where(F.col("tree") >= FIRST_TREES)
-    links = links.union(_confirmed(docs, classes, _apart(others, known), words, percent))
+    first = neighbours.where(F.col("tree") < FIRST_TREES)
+    links = _confirmed(docs, classes, first, words, percent)
     known = saved(components(links), "components")
-    rest = saved(_across(forest, classes, known, percent), "across")
-    if not rest.isEmpty():
-        links = links.union(_confirmed(docs, classes, rest, words, percent))
-        known = saved(components(links), "components")
+    others = _apart(neighbours.where(F.col("tree") >= FIRST_TREES), known)
+    rest = saved(others.union(_across(forest, classes, known, percent, thin=True)).distinct(), "apart")
+    # The last round names all that is left apart, so there is none after it.
+    for last in (False, True):
+        if rest.isEmpty():
+            break
+        found = _confirmed(docs, classes, rest, words, percent)
+        if not found.isEmpty():
+            links = links.union(found)
+            known = saved(components(links), "components")
+        if not last:
+            rest = saved(_across(forest, classes, known, percent, thin=False), "across")
 
     labelled = classes.join(known, "node", "left").select(
         "d1", "d2", "id", F.coalesce("component", "node").alias("component")
