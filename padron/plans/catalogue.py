@@ -8,6 +8,7 @@ from padron.plans import (  # noqa: F401
     lake_queries,
     moderation_queries,
     record_queries,
+    stream_queries,
     text_queries,
 )
 from padron.plans.registry import QUERIES, SQL, Query
