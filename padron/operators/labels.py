@@ -20,6 +20,22 @@ def labelled_text(texts: DataFrame, labels: DataFrame, key: str, label: str) ->
     return texts.join(labels.select(key, F.col(label).cast("int").alias("label")), key, "inner")
 
 
+#: Most ids to send to all workers; beyond it texts are not moved for the sake of a filter.
+MAX_SENT_IDS = 1_000_000
+
+
+def only_labelled(texts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Texts that have a label, before anything dear is done with them.
+
+    Labels of known, small number are sent to the texts. More of them would move the texts
+    through a shuffle, which costs more than it saves: then all texts are returned, and the
+    join with the labels comes after the texts are reduced.
+    """
+    if labels.count() > MAX_SENT_IDS:
+        return texts
+    return texts.join(F.broadcast(labels.select(key)), key, "left_semi")
+
+
 def labelled_union(*parts: tuple[DataFrame, int | None], keep: list[str] = ()) -> DataFrame:
     """One (text, label) table from lists; ``None`` keeps a list's own labels."""
     frames = [

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from padron.operators.metrics import binary_metrics, confusion_matrix
 from padron.operators.moderation import lexical_flag
 from padron.session import saved
 
-# Hashed terms; terms that share a number share a weight. Raise it for a larger vocabulary.
+# Most terms with a weight of their own; beyond it, the most frequent ones have one.
 FEATURES = 1 << 18
 
 # Terms of fewer documents have no weight: chance would give them one.
@@ -27,7 +26,7 @@ MIN_DOCS = 3
 REG = 0.002
 
 
-def _tokens(df: DataFrame, text: str, terms: Iterable[str] = ()) -> DataFrame:
+def tokens_of(df: DataFrame, text: str, terms: Iterable[str] = ()) -> DataFrame:
     """Words of the text, and one more token where a blocked term is among them."""
     folded = df.withColumn("_folded", fold_long(F.col(text)))
     bare = F.regexp_replace("_folded", r"[^\p{L}\p{N}\s]+", " ")
@@ -36,10 +35,11 @@ def _tokens(df: DataFrame, text: str, terms: Iterable[str] = ()) -> DataFrame:
         blocked = lexical_flag(F.col("_folded"), terms, "word")
         mark = F.when(blocked, F.array(F.lit("# blocked"))).otherwise(F.array().cast("array<string>"))
         found = F.concat(found, mark)
-    return folded.withColumn("tokens", found).drop("_folded")
+    none = F.array().cast("array<string>")
+    return folded.withColumn("tokens", F.coalesce(found, none)).drop("_folded")
 
 
-def _weights(df: DataFrame, label: str) -> DataFrame:
+def balanced(df: DataFrame, label: str) -> DataFrame:
     """Give both classes the same total weight."""
     stats = df.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")
@@ -60,13 +60,14 @@ def _even(df: DataFrame, name: str) -> DataFrame:
 
 
 def fit_features(tokens: DataFrame, features: int = FEATURES) -> PipelineModel:
-    """Terms present, weighted by document frequency: a long text is no more toxic for it."""
-    return Pipeline(
-        stages=[
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features, binary=True),
-            IDF(inputCol="tf", outputCol="features", minDocFreq=MIN_DOCS),
-        ]
-    ).fit(tokens)
+    """Terms present, weighted by document frequency: a long text is no more toxic for it.
+
+    Terms are counted and numbered, so the solver is as wide as the kept terms.
+    """
+    kept = CountVectorizer(
+        inputCol="tokens", outputCol="tf", minDF=float(MIN_DOCS), vocabSize=features, binary=True
+    )
+    return Pipeline(stages=[kept, IDF(inputCol="tf", outputCol="features")]).fit(tokens)
 
 
 def regression(label: str, max_iter: int, reg: float) -> LogisticRegression:
@@ -85,9 +86,9 @@ def _features(
     df: DataFrame, text: str, label: str, terms: Iterable[str]
 ) -> tuple[PipelineModel, DataFrame]:
     """Fitted feature stages and the weighted training rows."""
-    tokens = _even(_tokens(df, text, terms).select("tokens", label), "tokens")
+    tokens = _even(tokens_of(df, text, terms).select("tokens", label), "tokens")
     fitted = fit_features(tokens)
-    return fitted, _weights(fitted.transform(tokens), label).select("features", label, "weight")
+    return fitted, balanced(fitted.transform(tokens), label).select("features", label, "weight")
 
 
 def train(
@@ -110,49 +111,10 @@ def score(
     model: PipelineModel, df: DataFrame, text: str = "text", terms: Iterable[str] = ()
 ) -> DataFrame:
     """Add ``score``, the probability of the toxic class."""
-    scored = model.transform(_tokens(df, text, terms))
+    scored = model.transform(tokens_of(df, text, terms))
     return scored.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
 
 def evaluate(scored: DataFrame, label: str = "label", threshold: float = 0.5) -> DataFrame:
     predicted = scored.withColumn("pred", over_threshold(F.col("score"), threshold).cast("int"))
     return binary_metrics(confusion_matrix(predicted, "pred", label))
-
-
-def select_best(
-    training: DataFrame,
-    held_out: DataFrame,
-    passes: Iterable[int] = (5, 10, 20, 40, 80),
-    text: str = "text",
-    label: str = "label",
-    reg: float = REG,
-    terms: Iterable[str] = (),
-) -> tuple[PipelineModel, DataFrame]:
-    """The model with the best held-out F1 over a number of solver steps, and all results.
-
-    Features are made once and kept for all fits. The least number of steps
-    wins a tie. A winner that finds nothing is reported as a warning.
-    """
-    spark = training.sparkSession
-    fitted, rows = _features(training, text, label, terms)
-    rows = saved(rows, "features")
-    other = fitted.transform(_tokens(held_out, text, terms)).select("features", label)
-    other = _even(other, "held-out")
-    results, best, best_f1, best_steps = [], None, -1.0, None
-    for steps in passes:
-        model = regression(label, steps, reg).fit(rows)
-        scored = model.transform(other).select(
-            label, vector_to_array("probability")[1].alias("score")
-        )
-        row = evaluate(scored, label).first()
-        results.append((steps, *row))
-        if row["f1"] > best_f1:
-            best, best_f1, best_steps = PipelineModel([*fitted.stages, model]), row["f1"], steps
-    if best_f1 <= 0:
-        warnings.warn("no model finds a positive held-out row", stacklevel=2)
-    schema = (
-        "passes int, tp long, fp long, fn long, tn long,"
-        " accuracy double, precision double, recall double, f1 double"
-    )
-    report = spark.createDataFrame(results, schema)
-    return best, report.withColumn("best", F.col("passes") == F.lit(best_steps))

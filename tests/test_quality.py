@@ -73,11 +73,3 @@ def test_model_learns(spark, texts):
     probe = spark.createDataFrame([("¡IDIOTA!",), ("datos de liga",)], "text string")
     high, low = [r.score for r in model.score(fitted, probe).collect()]
     assert high > low
-
-
-def test_select_best(texts):
-    best, report = model.select_best(texts.filter("id < 240"), texts.filter("id >= 240"), passes=(1, 3))
-    rows = report.collect()
-    assert [r.passes for r in rows] == [1, 3]
-    assert max(r.f1 for r in rows) == [r.f1 for r in rows if r.best][0]
-    assert model.evaluate(model.score(best, texts.filter(F.col("id") >= 240))).first().f1 == max(r.f1 for r in rows)
