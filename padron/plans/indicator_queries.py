@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from padron.functions.numbers import round_even
 from padron.lookups import LICENCES_COL, REGION_COL, SPEND_COL, SPEND_INDICATOR
-from padron.operators import columns, contracts, filters, indicators, regions
+from padron.operators import columns, contracts, filters, indicators, regions, sampling
 from padron.plans import facts
 from padron.plans.facts import INDICATORS_SQL, LINE_MEANS_SQL, ORDER_COUNTS_SQL, YEAR, es_any
 from padron.plans.registry import register, table
+from padron.session import scratch_dir
+from padron.sources.files import write_partitioned
 
 # Means are compared to six decimals: the last digits of a sum follow the order of addition.
 R6 = "CAST(printf('%.6f', {}) AS DOUBLE)"
@@ -51,15 +53,35 @@ def add_metadata(spark, sf):
     " count(DISTINCT o_orderpriority) AS priorities FROM orders",
 )
 def contract_checks(spark, sf):
+    """All checks in one pass; the expected number of rows is a scalar of another table."""
     orders = columns.add_metadata(table(spark, sf, "orders"))
-    expected = 10 * table(spark, sf, "customer").count()
+    expected = table(spark, sf, "customer").agg((10 * F.count(F.lit(1))).alias("n")).scalar()
     checks = contracts.contract_checks(
         orders, ["o_orderkey", "o_totalprice", "anio", "fuente"], expected,
         {"anio": columns.SOURCE_YEAR, "fuente": columns.SOURCE_NAME, "o_custkey": 1},
-    )
-    other = contracts.contract_checks(orders, [], expected + 1, {}).select("rows_ok")
-    distinct = contracts.distinct_counts(orders, ["o_orderpriority"])
-    return checks.withColumns({"priorities": distinct.scalar(), "other_rows_ok": other.scalar()})
+        distinct={"o_orderpriority": "priorities"},
+    )
+    return checks.withColumn("other_rows_ok", F.col("n_rows") == expected + 1)
+
+
+@register(
+    "contract_on_write",
+    "SELECT count(*) AS n_rows, true AS has_columns, true AS rows_ok, true AS anio_constant,"
+    " true AS anio_ok, min(o_custkey) = max(o_custkey) AS o_custkey_constant,"
+    " bool_and(o_custkey = 1) AS o_custkey_ok,"
+    " count(*) FILTER (substr(md5('42:' || o_orderkey), 1, 8) < '33333333') AS test_examples,"
+    " count(*) FILTER (substr(md5('42:' || o_orderkey), 1, 8) >= '33333333') AS train_examples"
+    " FROM orders",
+)
+def contract_on_write(spark, sf):
+    """Contract and manifest of a written table, gathered while it is written."""
+    folder = scratch_dir(spark, "contract")
+    rows = sampling.with_split(columns.add_metadata(table(spark, sf, "orders")), ["o_orderkey"], 0.2)
+    return contracts.written_checked(
+        rows, lambda df: write_partitioned(df, folder, "split"), ["o_orderkey", "anio"], None,
+        {"anio": columns.SOURCE_YEAR, "o_custkey": 1},
+        {f"{side}_examples": F.col("split") == side for side in ("test", "train")},
+    )
 
 
 @register(

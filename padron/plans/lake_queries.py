@@ -358,8 +358,9 @@ def lake_home(spark, sf):
 
 
 def write_raw(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """``;`` files whose cells are written as they are, well-formed or not."""
-    df.write.options(header=True, sep=";", quote="", encoding=encoding).csv(path)
+    """``;`` files whose cells are written as they are, well-formed or not: a line is one cell."""
+    line = F.concat_ws(lake.SEP, *[F.col(c) for c in df.columns]).alias(lake.SEP.join(df.columns))
+    df.select(line).write.options(header=True, sep="\t", quote="", encoding=encoding).csv(path)
 
 
 @register(

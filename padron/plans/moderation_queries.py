@@ -8,7 +8,7 @@ from padron.functions.numbers import round_even
 from padron.functions.scores import over_threshold, softmax_positive
 from padron.functions.text import fold_long, fold_text
 from padron.lookups import BLOCKED_TERMS, TOXIC_THRESHOLD
-from padron.operators import labels, metrics, model, moderation, sampling
+from padron.operators import epochs, labels, metrics, model, moderation, sampling, term_index
 from padron.plans.record_queries import TRIM
 from padron.plans.registry import register, table
 
@@ -80,6 +80,59 @@ def toxic_lexical(spark, sf):
     return found.select("doc_id", "substring", "word", F.array_join("hits", ",").alias("hits"))
 
 
+#: Words 4 to 6 of each text: a list as long as the table.
+_NORMAL = "regexp_replace(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+LONG_LIST_SQL = f"""
+WITH texts AS (SELECT doc_id, ' ' || {_NORMAL.format('text')} || ' ' AS body FROM documents),
+listed AS (SELECT doc_id AS place, trim(array_to_string(string_split_regex(trim({_NORMAL.format('text')}),
+    ' ')[4:6], ' ')) AS term FROM documents),
+terms AS (SELECT term, min(place) AS place FROM listed WHERE term <> '' GROUP BY term)"""
+
+
+def long_list(spark, sf):
+    """(term, place): three words of each text, the first place of each."""
+    body = F.array_join(term_index.plain_words(F.col("folded")), " ")
+    words = F.slice(F.split(body, " "), 4, 3)
+    listed = folded_texts(spark, sf).select(F.array_join(words, " ").alias("term"), "doc_id")
+    first = listed.where("term <> ''").groupBy("term").agg(F.min("doc_id").alias("place"))
+    return term_index.term_list(first, "term", keep=["place"])
+
+
+def normal_texts(spark, sf):
+    body = F.array_join(term_index.plain_words(F.col("folded")), " ")
+    return folded_texts(spark, sf).select("doc_id", body.alias("body"))
+
+
+@register(
+    "long_term_list",
+    f"""{LONG_LIST_SQL} SELECT doc_id, count(*) AS hits, min(place) AS first_place
+FROM texts JOIN terms ON contains(body, ' ' || term || ' ') GROUP BY doc_id""",
+)
+def long_term_list(spark, sf):
+    """Hits of a list of one term per document, through an index on the rarest word."""
+    terms = long_list(spark, sf)
+    hits = term_index.listed_hits(normal_texts(spark, sf), "doc_id", "body", terms)
+    return (
+        hits.join(terms, "term")
+        .groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("hits"), F.min("place").alias("first_place"))
+    )
+
+
+@register(
+    "long_alias_list",
+    f"""{LONG_LIST_SQL} SELECT doc_id, min_by(term, place) AS alias, 'Z' || min(place) AS official
+FROM texts JOIN terms ON contains(body, ' ' || term || ' ') GROUP BY doc_id""",
+)
+def long_alias_list(spark, sf):
+    """The first of many aliases that a text names, with its official name."""
+    aliases = long_list(spark, sf).withColumn(
+        "official", F.concat(F.lit("Z"), F.col("place").cast("string"))
+    )
+    found = term_index.first_listed(normal_texts(spark, sf), "doc_id", "body", aliases)
+    return found.withColumnRenamed("term", "alias")
+
+
 @register(
     "moderated",
     f"""SELECT doc_id, CASE WHEN {WORD_SQL} THEN 'lexical' WHEN score >= {TOXIC_THRESHOLD}
@@ -94,11 +147,12 @@ def moderated(spark, sf):
 
 
 def predicted(spark, sf):
-    """Texts are reduced to a flag before they meet the labels."""
-    flag = moderation.lexical_flag(F.col("folded"), TERMS, "word").cast("int")
-    flags = folded_texts(spark, sf).select("doc_id", flag.alias("pred"))
+    """Only texts with a label are folded and searched, where the labels are few enough to send."""
     truth = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return flags.join(truth, "doc_id").select("label", "pred")
+    texts = labels.only_labelled(table(spark, sf, "documents").select("doc_id", "text"), truth, "doc_id")
+    folded = texts.select("doc_id", fold_long(F.col("text")).alias("folded"))
+    flag = moderation.lexical_flag(F.col("folded"), TERMS, "word").cast("int")
+    return folded.select("doc_id", flag.alias("pred")).join(truth, "doc_id").select("label", "pred")
 
 
 PREDICTED_SQL = (
@@ -188,8 +242,8 @@ def toxic_classifier(spark, sf):
 
 @register("toxic_model_select")
 def toxic_model_select(spark, sf):
-    """Held-out quality after 5 to 80 solver steps, the best marked."""
+    """Held-out quality after 5 to 80 passes of one solver, the best marked."""
     rows = sampling.with_split(labelled(spark, sf), ["doc_id"], test_share=0.2)
     train, test = (rows.filter(F.col("split") == side) for side in ("train", "test"))
-    _, report = model.select_best(train, test, terms=TERMS)
+    _, report = epochs.select_best(train, test, terms=TERMS)
     return report

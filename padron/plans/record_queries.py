@@ -34,6 +34,18 @@ def capped_sample(spark, sf):
     return sampling.capped_sample(docs, ["source"], ["doc_id"])
 
 
+@register(
+    "capped_sample_large",
+    "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem QUALIFY row_number() OVER"
+    " (PARTITION BY l_returnflag ORDER BY md5('42:' || l_orderkey || '|' || l_linenumber),"
+    " l_orderkey, l_linenumber) <= 5000",
+)
+def capped_sample_large(spark, sf):
+    """A cap beyond what ranks are limited to before a shuffle."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return sampling.capped_sample(lines, ["l_returnflag"], ["l_orderkey", "l_linenumber"], cap=5000)
+
+
 @register(
     "seeded_shuffle",
     "SELECT o_orderkey, o_totalprice,"
@@ -61,6 +73,19 @@ def train_test_split(spark, sf):
     )
 
 
+@register(
+    "exact_split",
+    "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('42:' || o_orderkey))"
+    " <= ceil((SELECT count(*) FROM orders) * 0.1) THEN 'test' ELSE 'train' END AS split"
+    " FROM orders",
+)
+def exact_split(spark, sf):
+    """Sides of exact sizes, nine to one."""
+    return sampling.with_exact_split(
+        table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], test_share=0.1
+    )
+
+
 @register(
     "shard_assign",
     "SELECT o_orderkey, CAST(CAST('0x' || substr(md5('42:' || o_orderkey), 1, 8) AS BIGINT) % 4"
