@@ -206,3 +206,56 @@ MISSING_CELLS = (
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
     "n/a", "nan", "null",
 )
+
+# The sentences of question-answer records, by family. A name in braces stands for a
+# value, or for an optional clause of ``CLAUSES`` that is left out where its value is missing.
+SENTENCES = {
+    "federated": (
+        "¿Cuántos {asked}{sex}{where} en {period}?",
+        "El número de {named}{where} en el periodo {period} fue de {total}.",
+    ),
+    "spend": (
+        "¿Cuál fue el {what}{where}{kind}{when}?",
+        "El {what}{where}{kind}{when} fue de {total}.",
+    ),
+    "employment": (
+        "¿Cuál fue el valor de '{what}'{profile_asked} en {period}?",
+        "El indicador '{what}'{profile_told} en {period} registró un valor de {total}.",
+    ),
+    "company": (
+        "¿Qué valor tuvo '{what}'{activity_asked} en {period}?",
+        "El indicador '{what}'{activity_told} en {period} fue de {total}.",
+    ),
+    "habits": (
+        "¿Cuál fue el porcentaje de '{what}' en {zone} (encuesta {year})?",
+        "Según la encuesta de hábitos deportivos de {year}, el indicador '{what}' en {zone} fue del"
+        " {total}%.",
+    ),
+    "affiliation": (
+        "¿Cuál fue el indicador de '{kind}' para {sex_asked}actividad '{activity}' en {period}?",
+        "El indicador '{kind}' {sex_told}en {period} fue de {total}.",
+    ),
+    "eu": (
+        "¿Cuál fue el valor de '{what}' en {country}{profile_asked} ({period})?",
+        "El indicador armonizado '{what}' en {country}{profile_told} en {period} fue de {total}.",
+    ),
+}
+CLAUSES = {
+    "federated": {
+        "asked": "deportistas de {}", "named": "deportistas de la federación {}",
+        "sex": " ({})", "where": " en {}",
+    },
+    "spend": {"where": " en {}", "kind": " para '{}'", "when": " en {}"},
+    "employment": {"profile_asked": " para {}", "profile_told": " para el perfil {}"},
+    "company": {
+        "activity_asked": " en la actividad {}", "activity_told": " para la actividad económica {}",
+    },
+    "affiliation": {"sex_asked": "{}, ", "sex_told": "para {} "},
+    "eu": {"profile_asked": ", {}", "profile_told": " para {}"},
+}
+# What stands for a missing value.
+SENTENCE_DEFAULTS = {
+    "asked": "deportistas federados", "named": "deportistas", "spend": "gasto deportivo",
+    "employment": "empleo deportivo", "company": "empresas deportivas", "zone": "España",
+    "habits": "hábito deportivo", "affiliation": "afiliación", "eu": "indicador EU",
+}

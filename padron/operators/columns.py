@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
-from itertools import filterfalse
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from padron.functions.periods import year_cast
-from padron.functions.text import clean_cell, repair_text
+from padron.functions.text import clean_cell, fold_text, repair_text
 from padron.lookups import TABLE_LABELS
 
 SOURCE_YEAR = 2023
@@ -58,8 +55,7 @@ def clean_strings(df: DataFrame) -> DataFrame:
 
 def header_key(name: str) -> str:
     """A header name repaired, in lower case, without accents."""
-    parts = unicodedata.normalize("NFKD", repair_text(name).lower())
-    return "".join(filterfalse(unicodedata.combining, parts))
+    return fold_text(repair_text(name))
 
 
 def alias_candidates(columns: list[str], aliases: list[str]) -> list[str]:

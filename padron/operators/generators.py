@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,15 @@ from padron.functions.chat import chat_record
 from padron.functions.hashing import SEP
 from padron.functions.numbers import format_number_es, parse_number_es
 from padron.functions.text import strip
-from padron.lookups import CATEGORY_FAMILY, SAMPLE_CAP, SEED, ZONE_COL
+from padron.lookups import (
+    CATEGORY_FAMILY,
+    CLAUSES,
+    SAMPLE_CAP,
+    SEED,
+    SENTENCE_DEFAULTS,
+    SENTENCES,
+    ZONE_COL,
+)
 from padron.operators.filters import drop_missing
 from padron.operators.sampling import capped_sample, shuffled
 from padron.session import saved
@@ -48,13 +57,26 @@ class Facts:
         return F.col("_shown")
 
 
-def say(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def filled(sentence: str, values: dict[str, Column]) -> Column:
+    """A sentence with its names in braces replaced; null if one of them is."""
+    parts = []
+    for words, name, _, _ in Formatter().parse(sentence):
+        parts += [F.lit(words)] if words else []
+        parts += [values[name]] if name is not None else []
+    return F.concat(*parts)
 
 
-def clause(before: str, cell: Column, after: str = "") -> Column:
-    """An optional clause: empty without its cell."""
-    return F.coalesce(say(before, cell, after), F.lit(""))
+def told(family: str, **values: Column) -> tuple[Column, Column]:
+    """Question and answer of a family; a clause without its value is a default or left out."""
+    clauses = CLAUSES.get(family, {})
+    whole = {
+        name: F.coalesce(filled(clauses[name], {"": value}), F.lit(SENTENCE_DEFAULTS.get(name, "")))
+        if name in clauses
+        else value
+        for name, value in values.items()
+    }
+    question, answer = SENTENCES[family]
+    return filled(question, whole), filled(answer, whole)
 
 
 Template = Callable[[Facts], tuple[Column, Column]]
@@ -62,77 +84,51 @@ Template = Callable[[Facts], tuple[Column, Column]]
 
 def federated(f: Facts) -> tuple[Column, Column]:
     fed, place, period = f.maybe("Federación"), f.maybe("Comunidad autónoma"), f.get("periodo")
-    asked = F.coalesce(say("deportistas de ", fed), F.lit("deportistas federados"))
-    named = F.coalesce(say("deportistas de la federación ", fed), F.lit("deportistas"))
-    sex = clause(" (", F.lower(f.maybe("Sexo")), ")")
-    where = clause(" en ", place)
-    return (
-        say("¿Cuántos ", asked, sex, where, " en ", period, "?"),
-        say("El número de ", named, where, " en el periodo ", period, " fue de ", f.total, "."),
-    )
+    sex = F.lower(f.maybe("Sexo"))
+    return told("federated", asked=fed, named=fed, sex=sex, where=place, period=period, total=f.total)
 
 
 def spend(f: Facts) -> tuple[Column, Column]:
-    what = F.lower(f.get("Indicador", "gasto deportivo"))
-    where = clause(" en ", f.maybe("Comunidad autónoma"))
-    kind = clause(" para '", f.maybe("Tipo de bienes y servicios"), "'")
-    when = say(" en ", f.get("periodo"))
-    return (
-        say("¿Cuál fue el ", what, where, kind, when, "?"),
-        say("El ", what, where, kind, when, " fue de ", f.total, "."),
-    )
+    what = F.lower(f.get("Indicador", SENTENCE_DEFAULTS["spend"]))
+    where, kind = f.maybe("Comunidad autónoma"), f.maybe("Tipo de bienes y servicios")
+    return told("spend", what=what, where=where, kind=kind, when=f.get("periodo"), total=f.total)
 
 
 def employment(f: Facts) -> tuple[Column, Column]:
-    what, period = f.get("Indicador", "empleo deportivo"), f.get("periodo")
+    what, period = f.get("Indicador", SENTENCE_DEFAULTS["employment"]), f.get("periodo")
     profile = f.maybe("Sexo, grupo de edad y nivel de estudios")
-    return (
-        say("¿Cuál fue el valor de '", what, "'", clause(" para ", profile), " en ", period, "?"),
-        say("El indicador '", what, "'", clause(" para el perfil ", profile), " en ", period,
-            " registró un valor de ", f.total, "."),
-    )
+    return told(
+        "employment", what=what, profile_asked=profile, profile_told=profile, period=period, total=f.total
+    )
 
 
 def company(f: Facts) -> tuple[Column, Column]:
-    what, period = f.get("Indicador", "empresas deportivas"), f.get("periodo")
+    what, period = f.get("Indicador", SENTENCE_DEFAULTS["company"]), f.get("periodo")
     act = f.maybe("Actividad económica")
-    return (
-        say("¿Qué valor tuvo '", what, "'", clause(" en la actividad ", act), " en ", period, "?"),
-        say("El indicador '", what, "'", clause(" para la actividad económica ", act), " en ",
-            period, " fue de ", f.total, "."),
-    )
+    return told("company", what=what, activity_asked=act, activity_told=act, period=period, total=f.total)
 
 
 def habits(f: Facts) -> tuple[Column, Column]:
-    zone, what = f.get(ZONE_COL, "España"), f.get("Indicador", "hábito deportivo")
-    year = f.get("path_year")
-    return (
-        say("¿Cuál fue el porcentaje de '", what, "' en ", zone, " (encuesta ", year, ")?"),
-        say("Según la encuesta de hábitos deportivos de ", year, ", el indicador '", what, "' en ",
-            zone, " fue del ", f.total, "%."),
-    )
+    zone = f.get(ZONE_COL, SENTENCE_DEFAULTS["zone"])
+    what = f.get("Indicador", SENTENCE_DEFAULTS["habits"])
+    return told("habits", zone=zone, what=what, year=f.get("path_year"), total=f.total)
 
 
 def affiliation(f: Facts) -> tuple[Column, Column]:
-    kind, period, sex = f.get("Tipo de indicador", "afiliación"), f.get("Periodo"), f.maybe("Sexo")
+    kind = f.get("Tipo de indicador", SENTENCE_DEFAULTS["affiliation"])
+    period, sex = f.get("Periodo"), f.maybe("Sexo")
     act = f.get("Actividad económica", "")
-    return (
-        say("¿Cuál fue el indicador de '", kind, "' para ", clause("", sex, ", "), "actividad '",
-            act, "' en ", period, "?"),
-        say("El indicador '", kind, "' ", clause("para ", sex, " "), "en ", period, " fue de ",
-            f.total, "."),
-    )
+    return told(
+        "affiliation", kind=kind, sex_asked=sex, sex_told=sex, activity=act, period=period, total=f.total
+    )
 
 
 def eu(f: Facts) -> tuple[Column, Column]:
-    country, what = f.get("País"), f.get("Indicador", "indicador EU")
+    country, what = f.get("País"), f.get("Indicador", SENTENCE_DEFAULTS["eu"])
     profile, period = f.maybe("Sexo y nivel de estudios"), f.get("periodo")
-    return (
-        say("¿Cuál fue el valor de '", what, "' en ", country, clause(", ", profile), " (", period,
-            ")?"),
-        say("El indicador armonizado '", what, "' en ", country, clause(" para ", profile), " en ",
-            period, " fue de ", f.total, "."),
-    )
+    return told(
+        "eu", what=what, country=country, profile_asked=profile, profile_told=profile, period=period, total=f.total
+    )
 
 
 FAMILIES: dict[str, Template] = {

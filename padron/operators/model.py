@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from padron.functions.scores import over_threshold
 from padron.functions.text import fold_long, words
 from padron.operators.metrics import binary_metrics, confusion_matrix
 from padron.operators.moderation import lexical_flag
-from padron.session import saved
+from padron.session import saved, scratch_dir
 
 # Most terms with a weight of their own; beyond it, the most frequent ones have one.
 FEATURES = 1 << 18
@@ -104,7 +104,17 @@ def train(
     ``terms``: a blocklist whose hits are one more feature; give the same to ``score``.
     """
     fitted, rows = _features(df, text, label, terms)
-    return PipelineModel([*fitted.stages, regression(label, max_iter, reg).fit(rows)])
+    return PipelineModel([*fitted.stages, _stored(regression(label, max_iter, reg).fit(rows), df)])
+
+
+def _stored(model: LogisticRegressionModel, df: DataFrame) -> LogisticRegressionModel:
+    """The model as written and read again: weights without the summary of their training.
+
+    A summary holds the session, which tasks that score would have to carry.
+    """
+    path = scratch_dir(df.sparkSession, "model")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def score(

@@ -149,3 +149,12 @@ def test_contract_of_partitioned_and_empty_writes(spark, tmp_path):
         rows.limit(0), lambda df: df.write.parquet(str(tmp_path / "b")), ["id"], 0, {"part": 0}
     ).first()
     assert (none.n_rows, none.rows_ok, none.part_ok) == (0, True, False)
+
+
+def test_models_score_after_an_observed_write(spark, tmp_path):
+    """What observes a write stays in the session; a trained model must not carry the session."""
+    from padron.operators import model
+
+    contracts.written_checked(spark.range(5), lambda df: df.write.parquet(str(tmp_path / "o")), ["id"], 5, {})
+    texts = spark.createDataFrame([("sol mar", 0), ("idiota mar", 1)] * 10, "text string, label int")
+    assert model.score(model.train(texts), texts).count() == 20
