@@ -9,7 +9,8 @@
    A shingle that the counting pass saw once meets nobody and is left out; that is looked up in
    a bitmap of fixed size (where it is too full, more is carried and nothing is lost).
 3. Rare shingles: groups that share one are paired if their sizes and the shingle's places allow.
-   Less than ``RARE`` groups hold such a shingle, so that is few pairs. Pairs of groups are
+   Less than ``RARE`` groups hold such a shingle, so that is few pairs (where the list of frequent
+   shingles is full, those that more groups hold are treated as in 4). Pairs of groups are
    expanded to pairs of members, and most of those refused by parity bitmaps (see 4).
 4. A parity bitmap of a set has at most as many bits unlike another's as there are shingles in
    one set alone, so it refuses pairs but never a link. Frequent shingles only meet documents
@@ -98,9 +99,11 @@ def _shingled(k: int):
 # 1. counts
 
 
-def _frequent(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(
+    docs: DataFrame, k: int, ranges: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Cells of frequent shingles, rising (MAX_FREQUENT at most), their counts; the map of
-    shingles counted twice or more."""
+    shingles counted twice or more; whether all frequent ones are listed."""
     width = CELL_BITS - (ranges - 1).bit_length()
     slice_bits = (1 << REPEATED_BITS) // ranges
 
@@ -151,7 +154,8 @@ def _frequent(docs: DataFrame, k: int, ranges: int) -> tuple[np.ndarray, np.ndar
     repeated = np.zeros((ranges, slice_bits // 8), np.uint8)
     for row in made.where("n = 0").select("cell", "bits").collect():
         repeated[row["cell"]] = np.frombuffer(row["bits"], np.uint8)
-    return found["cell"].to_numpy(np.uint64), found["n"].to_numpy(np.int64), repeated.ravel()
+    cells, counts = found["cell"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
+    return cells, counts, repeated.ravel(), least == RARE
 
 
 # 2. prefixes
@@ -180,7 +184,7 @@ def _in(repeated: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, sent: Broadcast) -> DataFrame:
-    """``sent``: the result of ``_frequent``."""
+    """``sent``: cells, counts and map of ``_frequent``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingled = _shingled(k)
@@ -465,6 +469,33 @@ def _frequent_pairs(entries: DataFrame, percent: int, forest: bool) -> DataFrame
     return dealt.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
+# Where the list of frequent shingles is full, others have many documents, too.
+
+
+def _without_crowded(entries: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of shingles that ``RARE`` groups hold at most; all others, with those that stand
+    for groups of many sets. The latter are dealt with like frequent shingles, by bitmaps and blocks.
+    """
+    entries = saved(entries, "rare-entries")
+    many = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE).select("token")
+    many = saved(many, "crowded")
+    large = groups.where(F.size("members") > RARE).select(
+        F.xxhash64(F.lit("group"), F.col("g")).alias("token"), "g", "n", F.lit(0).alias("place")
+    )
+    return entries.join(many, "token", "left_anti"), entries.join(many, "token").unionByName(large)
+
+
+def _crowded_entries(
+    crowded: DataFrame, members: DataFrame, prefixes: DataFrame, percent: int
+) -> DataFrame:
+    """(token, g, n, indexed, bitmap) of each member of the groups of ``crowded``."""
+    each = crowded.join(members, "g", "left").withColumn("g", F.coalesce("rep", "g"))
+    bitmaps = prefixes.where("n > 0").select(F.col("doc_id").alias("g"), "bitmap")
+    n = F.col("n").cast("long")
+    indexed = F.col("place") < n - F.ceil(2 * percent * n / (100 + percent)) + 1
+    return each.join(bitmaps, "g").select("token", "g", "n", indexed.alias("indexed"), "bitmap")
+
+
 # 5. verification
 
 
@@ -511,7 +542,8 @@ def near_copies(
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     ranges = 1 << max(4, (chars // 5 // RANGE).bit_length())
-    sent = spark.sparkContext.broadcast(_frequent(docs, words, ranges))
+    *lists, all_listed = _frequent(docs, words, ranges)
+    sent = spark.sparkContext.broadcast(tuple(lists))
     prefixes = saved(_prefixes(docs, words, percent, sent), "prefixes")
     sent.destroy()  # the prefixes are written
     classes = (
@@ -521,7 +553,10 @@ def near_copies(
     )
     groups = saved(_groups(prefixes), "groups")
 
-    rare = _rare_pairs(_rare_entries(groups, percent), percent).distinct()
+    rare_entries, crowded = _rare_entries(groups, percent), None
+    if not all_listed:
+        rare_entries, crowded = _without_crowded(rare_entries, groups)
+    rare = _rare_pairs(rare_entries, percent).distinct()
     ids = prefixes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
     repeated_ids = not ids.where("c > 1").isEmpty()
     several = groups.where(F.size("members") > 1).select("g", F.explode("members").alias("d"))
@@ -533,15 +568,21 @@ def near_copies(
         .join(members.withColumnsRenamed({"g": "b", "rep": "y"}), "b", "left")
         .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     )
+    small = members
+    if crowded is not None:
+        large = members.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE).select("g")
+        small = members.join(large, "g", "left_anti")
     inside = (
-        members.withColumnRenamed("rep", "a")
-        .join(members.withColumnRenamed("rep", "b"), "g")
+        small.withColumnRenamed("rep", "a")
+        .join(small.withColumnRenamed("rep", "b"), "g")
         .where("a < b")
         .select("a", "b")
     )
     pairs = _not_refused(expanded.union(inside).distinct(), prefixes, percent)
 
     entries = _frequent_entries(groups, percent)
+    if crowded is not None:
+        entries = entries.unionByName(_crowded_entries(crowded, members, prefixes, percent))
     held = entries.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
     entries = saved(

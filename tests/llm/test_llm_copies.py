@@ -99,6 +99,27 @@ def test_prefix_lengths_meet():
                 assert b - least + 1 <= jaccard_join.probe_length(b, percent)
 
 
+@pytest.mark.parametrize("rare", [16, 3])
+def test_a_full_list_of_frequent_shingles_loses_nothing(spark, monkeypatch, rare):
+    """Shingles that are not listed, and groups of many sets, go through bitmaps and blocks."""
+    monkeypatch.setattr(jaccard_join, "MAX_FREQUENT", 5)
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    texts = corpus(8)
+    found = jaccard_join.near_copies(docs(spark, list(texts.values()), list(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == plain_components(texts, 4, 85)
+
+
+def test_low_thresholds_link_sets_of_very_different_sizes(spark):
+    """Bitmaps of sizes that are several powers of two apart are folded to each other."""
+    passage = prose("common", 60)
+    texts = {i: f"{passage} {prose(i, 5 * i)}" for i in range(1, 41)}
+    found = jaccard_join.near_copies(docs(spark, list(texts.values()), list(texts)), percent=25)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got == plain_components(texts, 4, 25)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)]
