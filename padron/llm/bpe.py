@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from padron.llm.words import as_text, slices, with_key
 
-#: Words and pieces of words whose encoding a worker remembers, twice over.
-WORDS, PIECES = 250_000, 100_000
+#: Words and pieces of words whose encoding a worker remembers, twice over; some 330 bytes each.
+WORDS, PIECES = 100_000, 100_000
 _PLACE = (1 << 32) - 1
 #: A vocabulary is sent to every worker, so its file has a size limit.
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -70,7 +70,7 @@ class Memory(dict):
 class Vocabulary:
     """A vocabulary file (lower case, white space dropped, word ends marked) ready to encode."""
 
-    def __init__(self, raw: bytes) -> None:
+    def __init__(self, raw: bytes, words: int = WORDS) -> None:
         spec = json.loads(raw)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -94,7 +94,7 @@ class Vocabulary:
         )["pattern"]["Regex"]
         self._pieces = regex.compile(split.replace(r"\s", _SPACE[1:-1])).findall
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self._words, self._known = Memory(self._encoded_word, WORDS), Memory(self.merge, PIECES)
+        self._words, self._known = Memory(self._encoded_word, words), Memory(self.merge, PIECES)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: lowest rank first, leftmost among equals."""
@@ -138,7 +138,10 @@ class Vocabulary:
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of a word without white space."""
-        if not word.isascii():
+        if word.isascii():
+            if word.isalpha():  # one piece
+                return self._known[word.lower()]
+        else:
             # Letter by letter: the form of a letter does not depend on its neighbours.
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")
         out: list[int] = []
@@ -195,15 +198,15 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-_LOADED: dict[str, Vocabulary] = {}
+_LOADED: dict[tuple[str, int], Vocabulary] = {}
 
 
-def _loaded(raw: bytes) -> Vocabulary:
+def _loaded(raw: bytes, words: int = WORDS) -> Vocabulary:
     """One vocabulary per worker process, whose memory of words outlives a task."""
-    key = hashlib.sha256(raw).hexdigest()
+    key = hashlib.sha256(raw).hexdigest(), words
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Vocabulary(raw)
+        _LOADED[key] = Vocabulary(raw, words)
     return _LOADED[key]
 
 
@@ -240,15 +243,17 @@ def decoded(df: DataFrame, path: str, ids: str) -> Column:
     return texts(F.col(ids))
 
 
-def token_digest(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def token_digest(
+    df: DataFrame, path: str, text: str = "text", key: str = "doc_id", words: int = WORDS
+) -> DataFrame:
     """``key`` with the number of ids, their digest and the digest of the decoded text.
 
-    Ids and decoded texts stay in the task that makes them; a row of fixed size leaves it.
+    ``words``: how many words a worker remembers, which only changes time and memory. Ids and decoded texts stay in the task that makes them; a row of fixed size leaves it.
     """
     raw = _broadcast(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _loaded(raw.value)
+        vocabulary = _loaded(raw.value, words)
         for batch in slices(batches):
             rows = [vocabulary.summary(t) for t in batch.column("text").to_pylist()]
             counts, ids, texts = zip(*rows, strict=True)

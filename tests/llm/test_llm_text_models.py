@@ -186,10 +186,9 @@ def test_digests_and_columns(spark, vocabulary):
 
 
 def test_memory_forgets_and_stays_right(monkeypatch):
-    monkeypatch.setattr(bpe, "WORDS", 50)
     monkeypatch.setattr(bpe, "PIECES", 50)
     with open(WORD_BPE, "rb") as file:
-        small = bpe.Vocabulary(file.read())
+        small = bpe.Vocabulary(file.read(), 50)
     text = prose(4, 2000)
     assert small.encode(text) == Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids
     assert len(small._known) <= 50
