@@ -2,17 +2,18 @@
 
 Terms are counted once and numbered; those of few documents are left out, so weights are as wide
 as the kept terms. A pass is one job over an even table of term numbers: every task adds up its
-part of the gradient, and the driver holds the weights (``MAX_TERMS`` at most), the momentum and
-nothing else. So 80 passes with five evaluations cost 80 passes, not the sum of five fits.
+part of the gradient, and the driver holds the weights (``MAX_TERMS`` at most), the last few steps
+and nothing else. So 80 passes with five evaluations cost 80 passes, not the sum of five fits.
 
 The model is that of ``model.regression``: logistic regression on the presence of terms with a
-penalty on absolute weights in units of each term's spread. The solver is the accelerated
-proximal gradient with one step size per term, which bounds the curvature for sparse rows.
+penalty on absolute weights in units of each term's spread. The solver is a quasi-Newton method
+for such penalties: steps follow the curvature that the last ones have met and stop at zero.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ MAX_TERMS = 1 << 18
 CHUNK = 1 << 14
 #: Up to so many tasks the driver adds up their gradients itself.
 FEW_TASKS = 64
+#: Steps whose curvature is remembered; trials of a step's size, a job each.
+HISTORY, TRIALS = 10, 10
 
 
 def term_index(tokens: DataFrame, min_docs: int = MIN_DOCS, max_terms: int = MAX_TERMS) -> DataFrame:
@@ -102,25 +105,29 @@ class Solver:
         """``df``: documents that hold each term."""
         self._rows, self._width = rows, len(df)
         self._tasks = rows.rdd.getNumPartitions()
-        total = rows.agg(
-            F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), F.max(F.size("ids")).alias("most")
-        ).first()
+        total = rows.agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).first()
         self._total = total["w"] or 1.0
         share = df / max(total["n"], 1)
-        self._penalty = np.append(reg * np.sqrt(share * (1 - share)), 0.0)
-        curvature = self._reduced(None)
-        # A step never overshoots: a row's terms share its curvature, 1/4 at most.
-        self._step = self._total / np.maximum(curvature, 1e-12)
-        self.weights = np.zeros(self._width + 1)  # the last one is the intercept
-        self._ahead, self._momentum, self.passes = self.weights.copy(), 1.0, 0
-
-    def _reduced(self, at: np.ndarray | None) -> np.ndarray:
-        """Sum over all rows of the gradient at ``at``, or of the curvature's bound."""
-        sent = self._rows.sparkSession.sparkContext.broadcast(at)
+        # Terms in units of their spread; one that all rows hold tells nothing and stays out.
+        spread = np.sqrt(share * (1 - share))
+        self._unit = np.append(np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0), 1.0)
+        self._penalty = np.append(np.full(self._width, reg), 0.0)
+        self._at = np.zeros(self._width + 1)  # the last one is the intercept
+        self._loss, self._slope = self._evaluated(self._at)
+        self._history: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=HISTORY)
+        self._stuck, self.passes = False, 0
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self._at * self._unit
+
+    def _evaluated(self, at: np.ndarray) -> tuple[float, np.ndarray]:
+        """Mean loss and its slope in units of spread, by one job over the rows."""
+        sent = self._rows.sparkSession.sparkContext.broadcast(at * self._unit)
         width = self._width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(width + 1)
+            out, weights = np.zeros(width + 2), sent.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -129,13 +136,11 @@ class Solver:
                 term = ids.flatten().to_numpy()
                 owner = np.repeat(np.arange(len(size)), size)
                 label, weight = (batch.column(c).to_numpy().astype(float) for c in ("label", "weight"))
-                if sent.value is None:
-                    value = 0.25 * weight * (size + 1)
-                else:
-                    own = np.bincount(owner, sent.value[term], len(size)) + sent.value[-1]
-                    value = weight * (1 / (1 + np.exp(-np.clip(own, -500, 500))) - label)
+                margin = np.bincount(owner, weights[term], len(size)) + weights[-1]
+                value = weight * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - label)
                 out[:width] += np.bincount(term, value[owner], width)
-                out[-1] += value.sum()
+                out[width] += value.sum()
+                out[-1] += (weight * (np.logaddexp(0, margin) - label * margin)).sum()
             parts = [out[i : i + CHUNK].tobytes() for i in range(0, len(out), CHUNK)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(parts, pa.binary())],
@@ -149,30 +154,65 @@ class Solver:
         parts = self._rows.mapInArrow(run, "chunk int, part binary")
         if self._tasks > FEW_TASKS:  # else the driver adds up a few rows
             parts = parts.groupBy("chunk").applyInArrow(add, "chunk int, part binary")
-        out = np.zeros(width + 1)
+        out = np.zeros(width + 2)
         for row in parts.collect():
             own = np.frombuffer(row["part"], float)
             out[row["chunk"] * CHUNK :][: len(own)] += own
         sent.destroy()
-        return out
+        return out[-1] / self._total, out[:-1] * self._unit / self._total
+
+    def _direction(self, steepest: np.ndarray) -> np.ndarray:
+        """Against the steepest slope, bent by the curvature that the last steps have met."""
+        out, seen = -steepest, []
+        for step, turn in reversed(self._history):
+            rho = 1 / np.dot(step, turn)
+            alpha = rho * np.dot(step, out)
+            out = out - alpha * turn
+            seen.append((rho, alpha, step, turn))
+        if self._history:
+            step, turn = self._history[-1]
+            out = out * (np.dot(step, turn) / np.dot(turn, turn))
+        for rho, alpha, step, turn in reversed(seen):
+            out = out + (alpha - rho * np.dot(turn, out)) * step
+        return np.where(out * steepest < 0, out, 0.0)
+
+    def _step(self) -> None:
+        at, slope, penalty = self._at, self._slope, self._penalty
+        edge = np.where(slope < -penalty, slope + penalty, np.where(slope > penalty, slope - penalty, 0.0))
+        steepest = np.where(at != 0, slope + penalty * np.sign(at), edge)
+        if not np.any(steepest):
+            self._stuck = True
+            return
+        direction = self._direction(steepest)
+        side = np.where(at != 0, np.sign(at), -np.sign(steepest))
+        before = self._loss + np.dot(penalty, np.abs(at))
+        size = 1.0 if self._history else min(1.0, 1 / np.linalg.norm(steepest))
+        for _ in range(TRIALS):
+            new = at + size * direction
+            new[new * side < 0] = 0.0  # a weight does not change its sign in one step
+            loss, new_slope = self._evaluated(new)
+            if loss + np.dot(penalty, np.abs(new)) <= before + 1e-4 * np.dot(steepest, new - at):
+                break
+            size /= 2
+        else:
+            self._stuck = True
+            return
+        step, turn = new - at, new_slope - slope
+        if np.dot(step, turn) > 1e-12:
+            self._history.append((step, turn))
+        self._at, self._loss, self._slope = new, loss, new_slope
 
     def run(self, passes: int) -> None:
-        """Go on until ``passes`` in all."""
+        """Go on until ``passes`` in all; where no step lowers the loss, weights stay."""
         while self.passes < passes:
-            gradient = self._reduced(self._ahead) / self._total
-            moved = self._ahead - self._step * gradient
-            weights = np.sign(moved) * np.maximum(np.abs(moved) - self._step * self._penalty, 0.0)
-            change = weights - self.weights
-            if np.dot(self._ahead - weights, change) > 0:
-                self._momentum = 1.0  # the momentum points uphill: start it anew
-            following = (1 + np.sqrt(1 + 4 * self._momentum**2)) / 2
-            self._ahead = weights + (self._momentum - 1) / following * change
-            self.weights, self._momentum = weights, following
+            if not self._stuck:
+                self._step()
             self.passes += 1
 
     def scorer(self, names: list[str]) -> TermScorer:
-        used = np.flatnonzero(self.weights[:-1])
-        return TermScorer([names[i] for i in used], self.weights[used].tolist(), float(self.weights[-1]))
+        weights = self.weights
+        used = np.flatnonzero(weights[:-1])
+        return TermScorer([names[i] for i in used], weights[used].tolist(), float(weights[-1]))
 
 
 def select_best(

@@ -77,7 +77,7 @@ def test_solver_reaches_the_plain_optimum(spark, monkeypatch, few):
     names, x, y, weight = plain_matrix(tokens.collect())
     solver, found = solver_of(spark, tokens, 0.01)
     assert found == names
-    solver.run(150 if few else 10)
+    solver.run(60 if few else 10)
     own = objective(x, y, weight, solver.weights[:-1], solver.weights[-1], 0.01)
     start = objective(x, y, weight, np.zeros(len(names)), 0.0, 0.01)
     assert own < start
@@ -98,11 +98,11 @@ def test_passes_go_on_where_they_stopped(spark):
 
 def test_passes_cost_one_fit(spark, monkeypatch):
     calls = []
-    reduced = epochs.Solver._reduced
-    monkeypatch.setattr(epochs.Solver, "_reduced", lambda self, at: calls.append(1) or reduced(self, at))
+    evaluated = epochs.Solver._evaluated
+    monkeypatch.setattr(epochs.Solver, "_evaluated", lambda self, at: calls.append(1) or evaluated(self, at))
     texts = made(spark, noise=0.1)
     epochs.select_best(texts.filter("id < 240"), texts.filter("id >= 240"), passes=(2, 4, 8))
-    assert len(calls) == 1 + 8  # the bound of the curvature, and each pass once
+    assert 1 + 8 <= len(calls) <= 1 + 8 + 4  # the start, each pass once, and some trials of a size
 
 
 def test_select_best_returns_the_best_pass(spark):
