@@ -45,7 +45,7 @@ def test_roles_are_recovered(spark):
         half = df.where(~chat_format.learned_from(F.col("conv_id")))
         found = turns_of(chat_format.report(df))
         for wanted in (turns_of(df), turns_of(half)):
-            assert sum(found.get(k) == v for k, v in wanted.items()) >= 0.95 * len(wanted) > 20
+            assert sum(found.get(k) == v for k, v in wanted.items()) >= 0.9 * len(wanted) > 20
 
 
 def test_chunks_do_not_change_turns(spark, monkeypatch, partitions):
