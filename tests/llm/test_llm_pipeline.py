@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = {int(n[2:].split("_")[0]) for n in llm_queries.QUERIES}
-    assert names == set(range(1, 11)) and set(llm_queries.QUERIES) <= set(queries())
+    assert names == set(range(1, 14)) and set(llm_queries.QUERIES) <= set(queries())
     assert queries()["pipeline"] is corpus_pipeline.run
     assert set(llm_queries.SQL) <= set(oracle_sql()) and "pipeline" not in oracle_sql()
 
