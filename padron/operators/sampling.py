@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from padron.functions.hashing import below_share, hash_number, seeded_hash
 from padron.lookups import SAMPLE_CAP, SEED
+from padron.session import saved
 
 # Hash prefix length of the shuffle buckets: 16**4 of them, whatever the data.
 BUCKET_DIGITS = 4
 # Spark limits ranks before a shuffle up to this cap
 # (spark.sql.optimizer.windowGroupLimitThreshold, unless it is raised).
 RANKED_CAP = 1000
+# Most groups above a larger cap to send to all rows; more of them have a billion rows at least.
+MAX_SENT_GROUPS = 1_000_000
 
 
 def capped_sample(
@@ -44,34 +47,38 @@ def _capped_by_counts(hashed: DataFrame, by: list[str], keys: list[str], cap: in
 
     Groups above the cap are counted per hash bucket. Running counts name the bucket in which
     the cap falls: rows of lower buckets stay, those of that one bucket are ranked (a
-    65,536th of the group), the others go. Other groups stay as they are.
+    65,536th of the group), the others go. Other groups stay as they are. Groups above the cap
+    are sent to the rows, so that only the ranked rows move and no task gets a group.
     """
-    counts = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    large = counts.where(F.col("_rows") > cap).select(*by)
-    named = large.withColumnsRenamed({b: f"_by_{i}" for i, b in enumerate(by)})
     match = reduce(operator.and_, [F.col(b).eqNullSafe(F.col(f"_by_{i}")) for i, b in enumerate(by)])
-    small = hashed.join(named, match, "left_anti")
-    bucket = F.substring("_order", 1, BUCKET_DIGITS)
-    rows = hashed.join(named, match, "left_semi").withColumn("_bucket", bucket)
+    named = [F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)]
+    counts = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    large = saved(counts.where(F.col("_rows") > cap).select(*named), "large-groups")
+    few = large.count() <= MAX_SENT_GROUPS
+    rows = hashed.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     upto = W.partitionBy(*by).orderBy("_bucket")
-    per_bucket = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    per_bucket = (
+        rows.join(F.broadcast(large) if few else large, match, "left_semi")
+        .groupBy(*by, "_bucket")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
     border = (
         per_bucket.withColumn("_upto", F.sum("_rows").over(upto))
         .where((F.col("_upto") >= cap) & (F.col("_upto") - F.col("_rows") < cap))
         .select(
-            *[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)],
+            *named,
             F.col("_bucket").alias("_border"),
             (cap - F.col("_upto") + F.col("_rows")).alias("_left"),
         )
     )
-    placed = rows.join(border, match).drop(*[f"_by_{i}" for i in range(len(by))])
-    lower = placed.where(F.col("_bucket") < F.col("_border"))
+    border = saved(border, "borders")  # a row per large group
+    placed = rows.join(F.broadcast(border) if few else border, match, "left").drop(*[f"_by_{i}" for i in range(len(by))])
+    whole = placed.where(F.col("_border").isNull() | (F.col("_bucket") < F.col("_border")))
     ranked = placed.where(F.col("_bucket") == F.col("_border")).withColumn(
         "_rank", F.row_number().over(W.partitionBy(*by, "_bucket").orderBy("_order", *keys))
     )
     at_border = ranked.where(F.col("_rank") <= F.col("_left"))
-    kept = [part.select(*hashed.columns) for part in (small, lower, at_border)]
-    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+    return whole.select(*hashed.columns).unionByName(at_border.select(*hashed.columns))
 
 
 def shuffled(df: DataFrame, keys: list[str], seed: int = SEED) -> DataFrame:

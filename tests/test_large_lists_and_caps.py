@@ -44,6 +44,16 @@ def test_caps_with_repeated_keys_and_no_rows(spark, monkeypatch):
     assert sampling.capped_sample(df.limit(0), ["g"], ["id"], 5).count() == 0
 
 
+def test_a_group_above_a_large_cap_is_not_moved(spark):
+    """Only rows of the border bucket change tasks: no join deals rows out by their group."""
+    df = spark.range(30_000).select(F.when(F.col("id") % 30 < 29, F.lit("hot")).alias("g"), "id")
+    kept = sampling.capped_sample(df, ["g"], ["id"], cap=2000)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(g#" in plan
+    assert all("_bucket" in part for part in re.findall(r"hashpartitioning\((.*?)\)", plan))
+    assert {r["g"]: r["count"] for r in kept.groupBy("g").count().collect()} == {"hot": 2000, None: 1000}
+
+
 # splits
 
 
@@ -107,6 +117,22 @@ def test_terms_are_filed_under_their_rarest_word(spark):
     assert got == {("casa", "de casa"), ("de", "de de")}
 
 
+def test_terms_of_common_words_name_no_more_than_the_places_of_the_texts(spark, monkeypatch):
+    """A list that grows with the texts, all of words that every text holds."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    bodies = [" ".join(rng.sample(words, 30)) for _ in range(300)]
+    terms = sorted({" ".join(b.split()[a : a + n]) for b in bodies for a, n in ((3, 3), (7, 2), (9, 6), (20, 1))})
+    texts = spark.createDataFrame(list(enumerate(bodies)), "id long, body string")
+    listed = term_index.term_list(spark.createDataFrame([(t,) for t in terms], "t string"), "t")
+    expected = {(i, t) for i, b in enumerate(bodies) for t in terms if f" {t} " in f" {b} "}
+    for sent in (1 << 21, 40):  # hashes, and remainders of hashes that several share
+        monkeypatch.setattr(term_index, "MAX_SENT_RUNS", sent)
+        named = term_index.named_terms(texts, listed)
+        assert named.count() < 1.2 * len(expected) < 0.2 * len(bodies) * len(terms)
+        assert {(r["id"], r["term"]) for r in term_index.listed_hits(texts, "id", "body", listed).collect()} == expected
+
+
 def test_first_alias_by_place(spark):
     aliases = spark.createDataFrame([("la mancha", "CLM", 2), ("mancha", "M", 1), ("leon", "CL", 0)], "term string, official string, place int")
     texts = spark.createDataFrame([(1, "datos de la mancha"), (2, "leon y mancha"), (3, "manchas")], "id long, body string")
