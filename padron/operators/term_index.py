@@ -1,9 +1,11 @@
 """Lists of many terms, found through an index instead of a search per term.
 
-A term that stands between word limits in a text has each of its words as a whole word of that
-text. So each term is filed under one of its words, the rarest in the texts; texts' distinct
-words meet that index in a join, and only the terms that it names are looked for in the text.
-Cost follows the words of the texts and the names of the index, not texts times terms.
+A term that stands between word limits in a text has its words in that text, whole and in a row.
+So each term is filed under the hash of its words, a longer one under that of its rarest run of
+``RUN`` words. Texts' runs of words meet that index in a join, and only the terms that it names are
+looked for in the text. A text has at most ``RUN`` times as many runs as words, so cost follows the
+words of the texts and the terms that they hold, not texts times terms: a list that grows with the
+texts, all of common words, names no more terms than there are places in the texts.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from padron.functions.text import fold
 from padron.session import saved
 
 _LETTER = r"\p{L}\p{N}"
+#: Most words of a run.
+RUN = 3
+#: Most hashes of runs that are sent to the texts; of more, as many remainders of twice the number.
+MAX_SENT_RUNS = 1 << 21
 
 
 def plain_words(folded: Column) -> Column:
@@ -23,6 +29,17 @@ def plain_words(folded: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def word_runs(hashes: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words, given by their ``word_hashes``; none if they are fewer."""
+    starts = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n))
+    found = F.transform(starts, lambda at: F.xxhash64(*[F.get(hashes, at + i) for i in range(n)]))
+    return F.coalesce(found, F.array().cast("array<bigint>"))
+
+
 def stands_in(folded: Column, term: Column) -> Column:
     """The term occurs between word limits."""
     quoted = F.concat(F.lit(rf"(?<![{_LETTER}])\Q"), term, F.lit(rf"\E(?![{_LETTER}])"))
@@ -35,13 +52,14 @@ def term_list(df: DataFrame, term: str, *, keep: list[str] = ()) -> DataFrame:
     return folded.where(F.size(plain_words(F.col("term"))) > 0).distinct()
 
 
-def filed(terms: DataFrame, text_words: DataFrame) -> DataFrame:
-    """(word, term): each term under that of its words that the fewest texts hold.
+def filed(terms: DataFrame, text_words: DataFrame, parts: Column | None = None) -> DataFrame:
+    """(word, term): each term under that of its ``parts`` that the fewest texts hold.
 
-    ``text_words``: (id, word), each once. A term with a word that no text holds is left out: it
-    occurs nowhere.
+    ``parts``: an array made of the column ``term``; without it, the plain words. ``text_words``: (id, word),
+    each once. A term with a part that no text holds is left out: it occurs nowhere.
     """
-    each = terms.select("term").distinct().select("term", F.explode(F.array_distinct(plain_words(F.col("term")))).alias("word"))
+    parts = plain_words(F.col("term")) if parts is None else parts
+    each = terms.select("term").distinct().select("term", F.explode(F.array_distinct(parts)).alias("word"))
     asked = each.select("word").distinct()
     spread = text_words.join(asked, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("best")
@@ -49,22 +67,56 @@ def filed(terms: DataFrame, text_words: DataFrame) -> DataFrame:
     return least.where("best.n > 0").select("best.word", "term")
 
 
+def _held_runs(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, word): the runs of each text that may be among ``asked`` (word, n), before any shuffle.
+
+    What is sent to the texts has a bound; runs that only share a remainder are refused later.
+    """
+    slot = F.col("word")
+    if asked.count() > MAX_SENT_RUNS:
+        slot = F.pmod(slot, F.lit(2 * MAX_SENT_RUNS))
+    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most RUN
+    none = F.array().cast("array<bigint>")
+    hashes = rows.select("id", word_hashes(plain_words(F.col("body"))).alias("hashes"))
+    each = hashes.select("id", F.concat(none, *[word_runs(F.col("hashes"), n) for n in sizes]).alias("runs"))
+    # Not ``explode``: its filter of empty arrays would be pushed below and make them once more.
+    runs = each.select("id", F.explode_outer("runs").alias("word")).withColumn("slot", slot)
+    sent = asked.select(slot.alias("slot")).distinct()
+    return runs.join(F.broadcast(sent), "slot", "left_semi").select("id", "word").distinct()
+
+
+def named_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term): the terms to look for in each of ``rows`` (id, body), each once.
+
+    Terms are written first: filters on their words would be pushed into what makes them.
+    """
+    terms = saved(terms.select("term").distinct(), "listed")
+    hashes = word_hashes(plain_words(F.col("term")))
+    size = F.least(F.size(hashes), F.lit(RUN))
+    runs = F.when(size == RUN, word_runs(hashes, RUN))
+    for n in range(1, RUN):
+        runs = runs.when(size == n, word_runs(hashes, n))
+    each = terms.select(F.explode(runs).alias("word"), size.alias("n"))
+    asked = saved(each.distinct(), "asked-runs")
+    held = saved(_held_runs(rows, asked), "held-runs")
+    index = saved(filed(terms, held, runs), "term-index")
+    return held.join(index, "word").select("id", "term").distinct()
+
+
 def listed_hits(texts: DataFrame, key: str, folded: str, terms: DataFrame) -> DataFrame:
     """(key, term) for each term that stands in a text between word limits.
 
     ``terms``: ``term_list``. Rows of one key are one text for the result. Null texts hold nothing.
     """
     rows = saved(
-        texts.select(F.col(key).alias("id"), F.col(folded).alias("body")).where("body IS NOT NULL"), "folded"
-    )
-    words = rows.select("id", F.explode(F.array_distinct(plain_words(F.col("body")))).alias("word"))
-    words = words.distinct()
-    index = saved(filed(terms, words), "term-index")
-    named = words.withColumnRenamed("id", "_id").join(index, "word").groupBy("_id").agg(
-        F.collect_set("term").alias("terms")
+        texts.select(F.col(key).alias("key"), F.col(folded).alias("body"))
+        .where("body IS NOT NULL")
+        .withColumn("id", F.monotonically_increasing_id()),
+        "folded",
     )
-    hits = rows.join(named, F.col("id").eqNullSafe(F.col("_id"))).select(
-        F.col("id").alias(key),
+    named = named_terms(rows.select("id", "body"), terms).groupBy("id").agg(F.collect_set("term").alias("terms"))
+    hits = rows.join(named, "id").select(
+        F.col("key").alias(key),
         F.explode(F.filter("terms", lambda t: stands_in(F.col("body"), t))).alias("term"),
     )
     return hits.distinct()
