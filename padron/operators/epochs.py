@@ -31,8 +31,8 @@ from padron.session import saved
 MAX_TERMS = 1 << 18
 #: Numbers of a gradient that travel in one row.
 CHUNK = 1 << 14
-#: Up to so many tasks the driver adds up their gradients itself.
-FEW_TASKS = 64
+#: Up to so many chunks of all tasks the driver adds up gradients itself; beyond it, tasks do.
+FEW_TASKS = 16
 #: Steps whose curvature is remembered; trials of a step's size, a job each.
 HISTORY, TRIALS = 10, 10
 
@@ -152,7 +152,7 @@ class Solver:
             return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": [np.sum(rows, 0).tobytes()]})
 
         parts = self._rows.mapInArrow(run, "chunk int, part binary")
-        if self._tasks > FEW_TASKS:  # else the driver adds up a few rows
+        if self._tasks * -(-(width + 2) // CHUNK) > FEW_TASKS:  # else the driver adds up a few rows
             parts = parts.groupBy("chunk").applyInArrow(add, "chunk int, part binary")
         out = np.zeros(width + 2)
         for row in parts.collect():

@@ -135,3 +135,16 @@ def test_labels_that_are_too_many_to_send_move_no_text(spark, monkeypatch):
     assert only_labelled(texts, wanted, "id").count() == 5
     monkeypatch.setattr("padron.operators.labels.MAX_SENT_IDS", 3)
     assert only_labelled(texts, wanted, "id").count() == 20
+
+
+def test_the_driver_gets_one_gradient_a_pass(spark, monkeypatch):
+    """However many tasks there are, wide gradients are added up by tasks."""
+    monkeypatch.setattr(epochs, "CHUNK", 8)
+    rows = spark.createDataFrame([([i % 200, 200], i % 2, 1.0) for i in range(600)], "ids array<int>, label int, weight double")
+    got = []
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: got.append(collect(self)) or got[-1])
+    solver = epochs.Solver(rows.repartition(12).cache(), np.full(201, 3.0), 0.01)
+    solver.run(1)
+    sums = [r for r in got if r and "chunk" in r[0].asDict()]
+    assert sums and all(len(r) == -(-203 // 8) for r in sums)
