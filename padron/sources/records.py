@@ -17,6 +17,8 @@ from padron.session import saved
 SEP = ";"
 #: A record of more lines is an open quote that swallows the file, not a cell.
 MAX_LINES = 10_000
+#: Most splits whose states are sent to the lines; beyond it, lines move to them.
+MAX_SENT_SPLITS = 100_000
 
 # Complete cells from the start of a line, each with its separator.
 _CELLS = r'\G(?:"[^"]*+(?:""[^"]*+)*+"[^;]*+|[^";][^;]*+|);'
@@ -94,7 +96,8 @@ def fold_lines(lines: DataFrame) -> DataFrame:
 
     ``id`` rises with the place in a split; ``number`` is the line it starts with, from 1.
     ``open``: its quote is never closed, or only after ``MAX_LINES``; then ``record`` is its first
-    line. The lines are written once with their states.
+    line. The lines are written once, with both states that they may start in; the states of
+    splits are sent to them.
     """
     in_split = ["path", "split"]
     shut, opened = leaves_open(F.col("line")), stays_open(F.col("line"))
@@ -117,12 +120,15 @@ def fold_lines(lines: DataFrame) -> DataFrame:
         *in_split, F.col("if_shut").alias("inside"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("above")
     )
 
+    splits = saved(splits, "splits")
+    sent = F.broadcast if splits.count() <= MAX_SENT_SPLITS else lambda rows: rows
+
     before = F.when(F.col("inside"), F.col("if_open")).otherwise(F.col("if_shut"))
-    stated = found.join(splits, in_split).withColumn("before", before)
+    stated = found.join(sent(splits), in_split).withColumn("before", before)
     stated = stated.withColumn(
         "after", F.when(F.col("before"), F.col("a_open")).otherwise(F.col("a_shut"))
     ).withColumn("number", F.col("above") + F.col("place"))
-    stated = saved(stated.select(*in_split, "id", "line", "number", "before", "after"), "lines-stated")
+    stated = stated.select(*in_split, "id", "line", "number", "before", "after")
 
     single = stated.where(~F.col("before") & ~F.col("after")).select(
         "path", "id", "number", F.col("line").alias("record"), F.lit(1).cast("long").alias("lines"),
@@ -135,17 +141,18 @@ def fold_lines(lines: DataFrame) -> DataFrame:
     last = parts.where(~F.col("before")).groupBy(*in_split).agg(F.max(F.struct("number", "id")).alias("s"))
     every = parts.select(*in_split).distinct().join(last, in_split, "left")
     carried = every.select(*in_split, F.last("s", ignorenulls=True).over(upto).alias("carried"))
-    started = started.join(carried, in_split).withColumn("start", F.coalesce("start", "carried"))
-    record = ["path", "start"]
-    sizes = started.groupBy(*record).agg(
-        F.count(F.lit(1)).alias("lines"), F.max_by("after", "number").alias("unclosed")
-    )
-    sizes = sizes.withColumn("open", F.col("unclosed") | (F.col("lines") > MAX_LINES)).drop("unclosed")
-    sized = started.join(sizes, record).where(~F.col("open") | ~F.col("before"))
+    carried = saved(carried, "carried")  # a row per split at most
+    started = started.join(sent(carried), in_split).withColumn("start", F.coalesce("start", "carried"))
     # At most MAX_LINES lines of a record meet in one group.
-    whole = sized.groupBy(*record, "lines", "open").agg(
-        F.sort_array(F.collect_list(F.struct("number", "line")))["line"].alias("found")
+    near = F.col("number") < F.col("start.number") + MAX_LINES
+    whole = started.groupBy("path", "start").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.max_by("after", "number").alias("unclosed"),
+        F.sort_array(F.collect_list(F.when(near, F.struct("number", "line")))).alias("found"),
     )
+    is_open = F.col("unclosed") | (F.col("lines") > MAX_LINES)
+    kept = F.when(is_open, F.slice("found", 1, 1)).otherwise(F.col("found"))
+    whole = whole.select("path", "start", "lines", is_open.alias("open"), kept["line"].alias("found"))
     longer = whole.select(
         "path", "start.id", "start.number", F.array_join("found", "\n").alias("record"), "lines", "open"
     )

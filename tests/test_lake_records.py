@@ -174,3 +174,17 @@ def test_profile_reads_one_file_a_category(spark, tmp_path):
     root = write(tmp_path, "Otros/b.csv", b"\xff\xfe;1\n")
     found = {r.category: r["columns"] for r in lake.schema_profile(spark, root).collect()}
     assert found == {"gasto_hogares": "x, Total", "otros": "error: not UTF-8"}
+
+
+def test_lines_are_written_once_and_move_for_order_only(spark, tmp_path, monkeypatch):
+    """States of splits are sent to the lines; no join deals the lines out."""
+    body = "Indicador;uno;Total\n" + "".join(f'{i};"sol\nmar";1\n' for i in range(60)) + '1;"open\n\n'
+    root = write(tmp_path, "Empresa_Deporte/a.csv", body)
+    names = []
+    made = records.saved
+    monkeypatch.setattr(records, "saved", lambda df, name: names.append((name, "line" in df.columns)) or made(df, name))
+    found = records.fold_lines(records.read_lines(spark, root))
+    assert sum(lines for _, lines in names) == 1
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r.number: (r.record, r.lines, r.open) for r in found.collect()}
+    assert rows[2] == ('0;"sol\nmar";1', 2, False) and rows[122][0] == '1;"open' and rows[122][2] and len(rows) == 62
