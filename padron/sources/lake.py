@@ -29,6 +29,8 @@ LINEAGE = ["category", "wave", "file_name", "file_path", "source_path"]
 # The last column is never read, which keeps the reader on its pruned path: cells by
 # position, no error for a row that is shorter or longer than the widest header.
 UNREAD = "_unread"
+#: Most files whose names and layouts are sent to the rows; beyond it, rows move to them.
+MAX_SENT_FILES = 20_000
 
 
 def below_raw(path: Column) -> Column:
@@ -307,16 +309,18 @@ def load_lake(
     about = readable.select("path", "header", "records", F.col("overlong").alias("bad_file")).join(
         by_header, "header"
     )
+    # A row per file goes to the rows, which would else be dealt out by their file.
+    sent = F.broadcast if readable.count() <= MAX_SENT_FILES else lambda rows: rows
     plain = raw.select(
         decoded_path(F.col("_metadata.file_path")).alias("path"), F.array(*whole).alias("_cells")
-    ).join(about.where("records IS NULL"), "path")
+    ).join(sent(about.where("records IS NULL")), "path")
     for folder in _record_folders(listed):
         rows = spark.read.parquet(folder).where("NOT is_header AND NOT open AND trim(record) <> ''")
         parsed = F.from_csv("record", ", ".join(f"{c} string" for c in whole), options)
         cells = rows.select("path", parsed.alias("_row")).select(
             "path", F.array(*[F.col(f"_row.{c}") for c in whole]).alias("_cells")
         )
-        plain = plain.unionByName(cells.join(about.where("records IS NOT NULL"), "path"))
+        plain = plain.unionByName(cells.join(sent(about.where("records IS NOT NULL")), "path"))
 
     def cell(name: str) -> Column:
         places = F.try_element_at("_places", F.lit(name.lower()))

@@ -188,3 +188,12 @@ def test_lines_are_written_once_and_move_for_order_only(spark, tmp_path, monkeyp
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     rows = {r.number: (r.record, r.lines, r.open) for r in found.collect()}
     assert rows[2] == ('0;"sol\nmar";1', 2, False) and rows[122][0] == '1;"open' and rows[122][2] and len(rows) == 62
+
+
+def test_a_load_moves_no_rows_to_their_file(spark, tmp_path):
+    root = write(tmp_path, "Empresa_Deporte/a.csv", 'Indicador;Total\n"sol\nmar";1\n')
+    write(tmp_path, "Empresa_Deporte/b.csv", "Indicador;Total\nmar;2\n")
+    facts = lake.load_lake(spark, root)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [path" in plan and "SortMergeJoin [path" not in plan
+    assert sorted((r.Indicador, r.Total) for r in facts.collect()) == [("mar", "2"), ("sol\nmar", "1")]
