@@ -4,9 +4,10 @@ The benchmark is the query set; it is searched for in blocks of ``BLOCK`` passag
 sent to the workers has a bound. For each block:
 
 1. Document frequencies of the block's words are counted over all documents.
-2. A randomised singular value decomposition of TF-IDF passages (the block's own, and a bounded
-   sample of the corpus that weighs as much) gives ``rank`` latent directions: each round is a
-   Spark job that sums A'(AQ) by word; only a words x rank matrix comes back.
+2. A randomised singular value decomposition of TF-IDF passages (the block's own, and all documents
+   cut into windows of 32 words, which together weigh as much) gives ``rank`` latent directions:
+   each round is a Spark job that sums A'(AQ) by word; only a words x rank matrix comes back. The
+   windows are numbered words, written once and removed when the space is there.
 3. Each document is cut into windows of 32 words, every 16 words. Windows and benchmark passages
    are compared in the latent space, in one matrix product. Candidates have a cosine and a
    projection on the passage over the thresholds. A space of fixed rank loses short passages among
@@ -31,21 +32,25 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from padron.session import saved
+from padron.llm.words import slices
+from padron.session import removed, saved, scratch_dir
 
 STEP, WINDOW = 16, 32
 PASSAGE = 64
-#: Benchmark passages searched for at a time, and corpus windows that the space is fitted on.
-BLOCK, SAMPLE_DOCS = 2048, 2000
+#: Benchmark passages searched for at a time.
+BLOCK = 2048
+#: Corpus windows in a row of the table that the space is fitted on; windows and places taken at once.
+PACKED, SLAB, GROUP = 16_384, 128, 16
 OVERSAMPLE, ROUNDS = 16, 2
 #: Words at the end of an item that count as its answer where no answer is given.
 ANSWER_WORDS = 8
@@ -94,26 +99,127 @@ def subsequence(x: list[int], y: list[int]) -> int:
 # Fitting
 
 
-def _document_frequency(docs: DataFrame, known: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(known))
+@dataclass
+class Corpus:
+    """All words of all documents, in windows side by side, as numbers in a block's vocabulary."""
+
+    path: str
+    packed: DataFrame  # (windows) of PACKED windows or fewer; a window's words are sorted
+    times: np.ndarray  # documents that hold a word
+    n_docs: int
+    n_windows: int
+
+    def squared(self, basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """A'A times the basis; the rows of A are the windows' TF-IDF rows, of length one."""
+        kind, names = _kind(len(idf)), [f"v{i}" for i in range(basis.shape[1])]
+        table = np.vstack([basis * idf[:, None], np.zeros(basis.shape[1])]).astype(np.float32)
+        sent = self.packed.sparkSession.sparkContext.broadcast((table, np.append(idf, 0.0) ** 2))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, weights = sent.value
+            out = np.zeros((len(table) - 1, table.shape[1]))
+            for batch in batches:
+                for packed in batch.column(0):
+                    windows = np.frombuffer(packed.as_buffer(), kind).reshape(-1, WINDOW)
+                    own, sums = _window_sums(windows, table, weights)
+                    out[own] += sums
+            ids = np.flatnonzero(out.any(axis=1))
+            columns = [pa.array(ids.astype(np.int32)), *(pa.array(c) for c in out[ids].T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *names])
+
+        return idf[:, None] * _summed(
+            self.packed.mapInArrow(part, "id int, " + ", ".join(f"{c} double" for c in names)), basis, names
+        )
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, times, n = sent.value, {}, 0
+def _kind(n_words: int) -> type:
+    return np.uint16 if n_words < 1 << 16 else np.uint32
+
+
+def _window_sums(windows: np.ndarray, table: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and for each the sum of its windows' rows times the table, each by its squared length.
+
+    Sums are taken of ``GROUP`` rows at a time: a matrix product with ones.
+    """
+    none, n = len(table) - 1, len(windows)
+    rows = np.zeros((n + 1, table.shape[1]), np.float32)  # the last one fills groups up
+    known = (windows != none).sum(axis=1)
+    begins = np.ones(windows.shape, bool)  # equal words of a window are neighbours
+    begins[:, 1:] = windows[:, 1:] != windows[:, :-1]
+    begin = np.flatnonzero(begins)
+    value = weights[windows.ravel()[begin]] * np.diff(begin, append=windows.size) ** 2
+    length = np.bincount(begin // WINDOW, value, n)[:, None]
+    for a in range(0, n, SLAB):
+        slab = windows[a : a + SLAB, : known[a : a + SLAB].max()]
+        total = np.matmul(np.ones((1, slab.shape[1]), np.float32), table[slab])[:, 0]
+        rows[:n][a : a + SLAB] = total / length[a : a + SLAB]
+    flat = windows.ravel()
+    order = np.argsort(flat, kind="stable")[: int(known.sum())]
+    flat = flat[order]
+    first = np.flatnonzero(np.diff(flat.astype(np.int64), prepend=-1))
+    count = np.diff(first, append=len(flat))
+    groups = -(-count // GROUP)
+    begin = np.cumsum(groups) - groups
+    places = np.full(int(groups.sum()) * GROUP, n)
+    places[np.repeat(begin * GROUP - first, count) + np.arange(len(flat))] = order // WINDOW
+    places, one = places.reshape(-1, GROUP), np.ones((1, GROUP), np.float32)
+    step = SLAB * WINDOW // GROUP
+    sums = [np.matmul(one, rows[places[a : a + step]])[:, 0] for a in range(0, len(places), step)]
+    return flat[first], np.add.reduceat(np.concatenate(sums), begin, axis=0, dtype=float)
+
+
+def _packed(windows: list[np.ndarray], none: int) -> Iterator[bytes]:
+    """Windows with a known word, their words sorted, by number of known words."""
+    found = np.concatenate(windows)
+    found.sort(axis=1)
+    for a in range(0, len(found), PACKED):
+        part = found[a : a + PACKED]
+        known = (part != none).sum(axis=1)
+        order = np.argsort(known, kind="stable")
+        if part := part[order[np.count_nonzero(known == 0) :]].tobytes():
+            yield part
+
+
+def _corpus(docs: DataFrame, known: dict[bytes, int]) -> Corpus:
+    """One pass over all documents, that counts and numbers their words."""
+    spark, none, kind = docs.sparkSession, len(known), _kind(len(known))
+    sent = spark.sparkContext.broadcast(known)
+    shape = pa.schema([("word", pa.int32()), ("n", pa.int64()), ("windows", pa.binary())])
+
+    def made(windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for part in _packed(windows, none):
+            n = len(part) // (WINDOW * np.dtype(kind).itemsize)
+            yield pa.RecordBatch.from_pydict({"word": [None], "n": [n], "windows": [part]}, shape)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, times, n = sent.value, np.zeros(none + 1, np.int64), 0
+        windows, held = [], 0
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column(0):
+                found = words(text.as_py())
                 n += 1
-                for word in vocabulary.intersection(words(text)):
-                    times[word] = times.get(word, 0) + 1
-        yield pd.DataFrame({"word": [*times, b" "], "n": [*times.values(), n]})
-
-    found = docs.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    times, n = np.zeros(len(known)), 0
-    for row in found:  # a row per word of the block
-        if bytes(row["word"]) == b" ":
-            n = row["n"]
-        else:
-            times[known[bytes(row["word"])]] = row["n"]
-    return times, n
+                ids = np.full(-(-len(found) // WINDOW) * WINDOW, none, kind)
+                ids[: len(found)] = np.fromiter(map(vocabulary.get, found, repeat(none)), kind, len(found))
+                times[np.unique(ids)] += 1
+                windows.append(ids.reshape(-1, WINDOW))
+                held += len(windows[-1])
+                if held >= PACKED:
+                    yield from made(windows)
+                    windows, held = [], 0
+        if windows:
+            yield from made(windows)
+        own = np.flatnonzero(times[:none])
+        counts = {"word": [*own, -1], "n": [*times[own], n], "windows": [None] * (len(own) + 1)}
+        yield pa.RecordBatch.from_pydict(counts, shape)
+
+    path = scratch_dir(spark, "windows")
+    docs.select("text").mapInArrow(count, "word int, n long, windows binary").write.parquet(path)
+    rows = spark.read.schema("word int, n long, windows binary").parquet(path)
+    times = np.zeros(none)
+    totals = {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per word
+    n_docs, n_windows = totals.pop(-1, 0), totals.pop(None, 0)
+    times[list(totals)] = list(totals.values())
+    return Corpus(path, rows.where("windows IS NOT NULL").select("windows"), times, n_docs, n_windows)
 
 
 def _weighted(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,32 +230,13 @@ def _weighted(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return own, value / norm if norm else value
 
 
-def _fit_rows(docs: DataFrame, known: dict[bytes, int], idf: np.ndarray, items: list[list[bytes]], n_docs: int) -> DataFrame:
-    """TF-IDF rows as a table: the block's passages and windows of sampled documents."""
-    spark = docs.sparkSession
-    own = [_weighted(np.array([known[w] for w in p]), idf) for p in items]
-    first = spark.createDataFrame(
+def _passage_rows(spark, idf: np.ndarray, parts: list[list[int]]) -> DataFrame:
+    """The block's passages as TF-IDF rows."""
+    own = [_weighted(np.array(p), idf) for p in parts]
+    rows = spark.createDataFrame(
         [(a.tolist(), b.tolist(), 1.0) for a, b in own], "ids array<int>, weights array<double>, scale double"
     )
-    share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
-    chosen = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) < int(share * (1 << 30))
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found = words(text)
-                at = len(found) // 3 // STEP * STEP  # one window of each document
-                ids = np.array([known[w] for w in found[at : at + WINDOW] if w in known], int)
-                if len(ids):
-                    rows.append(_weighted(ids, idf))
-            yield pd.DataFrame(
-                {"ids": [r[0] for r in rows], "weights": [r[1] for r in rows], "scale": scale}
-            )
-
-    scale = (len(items) / max(1.0, min(SAMPLE_DOCS, n_docs))) ** 0.5
-    rows = docs.where(chosen).limit(2 * SAMPLE_DOCS).mapInPandas(windows, first.schema)
-    return saved(first.union(rows).repartition(8), "fit-rows")
+    return saved(rows.repartition(8), "fit-rows")
 
 
 def _squared(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -171,24 +258,31 @@ def _squared(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         yield frame
 
     names = [f"v{i}" for i in range(width)]
-    summed = (
-        rows.mapInPandas(part, "id int, " + ", ".join(f"{c} double" for c in names))
-        .groupBy("id")
-        .agg(*[F.sum(c).alias(c) for c in names])
-        .toPandas()
-    )
+    return _summed(rows.mapInPandas(part, "id int, " + ", ".join(f"{c} double" for c in names)), basis, names)
+
+
+def _summed(parts: DataFrame, basis: np.ndarray, names: list[str]) -> np.ndarray:
+    """The tasks' parts, added up by word."""
+    summed = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
     out = np.zeros_like(basis)
     out[summed["id"].to_numpy()] = summed[names].to_numpy()
     return out
 
 
-def latent(rows: DataFrame, n_words: int, rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (words x rank) by randomised subspace iteration."""
+def latent(
+    rows: DataFrame, n_words: int, rank: int, seed: int = 7, more: Callable[[np.ndarray], np.ndarray] | None = None
+) -> np.ndarray:
+    """Right singular vectors (words x rank) by randomised subspace iteration; ``more`` is A'A of more rows."""
+
+    def squared(basis: np.ndarray) -> np.ndarray:
+        own = _squared(rows, basis)
+        return own if more is None else own + more(basis)
+
     width = min(rank + OVERSAMPLE, n_words)
     basis = np.random.default_rng(seed).standard_normal((n_words, width))
     for _ in range(ROUNDS):
-        basis = np.linalg.qr(_squared(rows, basis))[0]
-    _, vectors = np.linalg.eigh(basis.T @ _squared(rows, basis))
+        basis = np.linalg.qr(squared(basis))[0]
+    _, vectors = np.linalg.eigh(basis.T @ squared(basis))
     return basis @ vectors[:, ::-1][:, :rank]
 
 
@@ -251,10 +345,11 @@ class Queries:
         at = np.flatnonzero(ids != none)
         if not len(at):
             return []
-        steps = at // STEP
-        cuts = np.flatnonzero(np.diff(steps, prepend=-1))
-        sums = np.zeros((n // STEP + 2, self.space.shape[1]), np.float32)
-        sums[steps[cuts]] = np.add.reduceat(self.space[ids[at]], cuts, axis=0)
+        steps = np.full((n // STEP + 2, STEP), none)
+        steps.ravel()[:n] = ids
+        sums, one = np.zeros((len(steps), self.space.shape[1]), np.float32), np.ones((1, STEP), np.float32)
+        for a in range(0, len(steps), SLAB):
+            sums[a : a + SLAB] = np.matmul(one, self.space[steps[a : a + SLAB]])[:, 0]
         window = sums[:-1] + sums[1:]
         size = np.sqrt(np.einsum("ij,ij->i", window, window))
         far = np.flatnonzero(size >= self.limits.projection * self.lengths.min())
@@ -307,12 +402,13 @@ def _queries(docs: DataFrame, block: list, rank: int, limits: Limits) -> Queries
     if not parts:
         return None
     known = {w: i for i, w in enumerate(sorted({w for p in (*parts, *answers) for w in p}))}
-    times, n_docs = _document_frequency(docs, known)
-    idf = np.log((n_docs + 1) / (times + 1)) + 0.01
-    rows = _fit_rows(docs, known, idf, parts, n_docs)
-    space = latent(rows, len(known), min(rank, len(known)))
-    weighted = np.vstack([space * idf[:, None], np.zeros(space.shape[1])]).astype(np.float32)
     ids = [[known[w] for w in p] for p in parts]
+    corpus = _corpus(docs, known)
+    idf = np.log((corpus.n_docs + 1) / (corpus.times + 1)) + 0.01
+    rows, share = _passage_rows(docs.sparkSession, idf, ids), len(ids) / max(1, corpus.n_windows)
+    space = latent(rows, len(known), min(rank, len(known)), more=lambda b: share * corpus.squared(b, idf))
+    removed(docs.sparkSession, corpus.path)
+    weighted = np.vstack([space * idf[:, None], np.zeros(space.shape[1])]).astype(np.float32)
     vectors = np.array([weighted[p].sum(0) for p in ids])
     lengths = np.sqrt((vectors**2).sum(1))
     keep = lengths > 0
@@ -359,7 +455,7 @@ def matches(
         block = numbered.where(F.col("block") == number).orderBy("item", "body").collect()
         queries = _queries(rows, [(r["item"], r["body"], r["answer"]) for r in block], rank, limits)
         if queries is not None:
-            out.append(rows.mapInPandas(_search(spark, queries), shape))
+            out.append(rows.mapInArrow(_search(spark, queries), shape))
     found = out[0] if out else spark.createDataFrame([], shape)
     for more in out[1:]:
         found = found.union(more)
@@ -374,18 +470,20 @@ def matches(
 
 def _search(spark, queries: Queries):
     sent = spark.sparkContext.broadcast(queries)
-    names = ["doc_id", *(c.split()[0] for c in _MATCH.split(", "))]
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    shape = pa.schema([("doc_id", pa.string()), *((c.split()[0], kinds[c.split()[1]]) for c in _MATCH.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [
-                (doc_id, *m)
-                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                for m in queries.matches(words(text))
+                (doc_id.as_py(), *m)
+                for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True)
+                for m in queries.matches(words(text.as_py()))
             ]
             if found:
-                yield pd.DataFrame(found, columns=names)
+                columns = zip(zip(*found, strict=True), shape.types, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], schema=shape)
 
     return run
 

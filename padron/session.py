@@ -49,13 +49,17 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 _MADE: list[str] = []
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that this process has made by ``scratch_dir`` and reads no more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.remove(folder)
+
+
 def discard(spark: SparkSession) -> None:
     """Remove every folder that this process has made by ``scratch_dir``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _MADE:
-        path = hadoop(_MADE.pop())
-        path.getFileSystem(conf).delete(path, True)
+        removed(spark, _MADE[-1])
 
 
 @atexit.register

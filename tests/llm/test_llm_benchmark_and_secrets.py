@@ -118,6 +118,59 @@ def test_space_holds_the_passages(spark):
     assert np.allclose((full @ space) @ (full @ space).T, full @ full.T, atol=1e-6)
 
 
+def plain_square(texts, queries, n_parts):
+    """A'A of all documents' windows, counted one by one, and the words' weights."""
+    n = len(queries.known)
+    found = [[queries.known.get(w, n) for w in decontamination.words(t)] for t in texts]
+    times = np.bincount([w for f in found for w in set(f)], minlength=n + 1)[:n]
+    idf = np.log((len(texts) + 1) / (times + 1)) + 0.01
+    rows_ = [np.bincount(f[a : a + 32], minlength=n + 1)[:n] * idf for f in found for a in range(0, len(f), 32)]
+    rows_ = np.array([r / np.linalg.norm(r) for r in rows_ if r.any()])
+    return rows_.T @ rows_ * n_parts / len(rows_), idf
+
+
+def test_space_is_fitted_on_all_windows_of_all_documents(spark):
+    """What only some windows of a document hold counts, and so does each repetition in a window."""
+    items = [(i, prose(f"fit{i}", 40, 300)) for i in range(30)]
+    held = [" ".join(prose((i, k).__repr__(), 30 + i % 50, 60 + 20 * k) for k in range(9)) for i in range(60)]
+    texts = [*held, None, "", "nothing known", f"{items[0][1].split()[0]} " * 2000]
+    queries = decontamination._queries(docs(spark, texts), [(i, t, None) for i, t in items], 24, decontamination.Limits())
+    plain, idf = plain_square(texts, queries, len(queries.parts))
+    own = np.array([np.bincount(p, minlength=len(idf)) * idf for p in queries.parts])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    whole = plain + own.T @ own
+    space = queries.space[:-1] / idf[:, None]
+    assert np.allclose(queries.weights, idf**2)
+    best = np.linalg.eigvalsh(whole)[::-1][:24]
+    assert np.allclose(np.linalg.norm(space, axis=0), 1, atol=1e-4)
+    assert np.trace(space.T @ whole @ space) >= 0.98 * best.sum()
+    assert np.allclose(np.einsum("ij,ik,kj->j", space, whole, space)[:4], best[:4], rtol=0.01)
+
+
+@pytest.mark.parametrize("n_words", [50, 70_000])
+def test_squared_windows(spark, monkeypatch, n_words):
+    """The jobs' A'A times a basis is the plain one, for small and large vocabularies and cut rows."""
+    monkeypatch.setattr(decontamination, "PACKED", 7)
+    texts = [prose(f"sq{i}", 20 + 31 * i, 90) for i in range(12)] + [None]
+    words = sorted({w for t in texts[:6] for w in decontamination.words(t)})
+    known = {w: i for i, w in enumerate([*words, *(b"~%d" % i for i in range(n_words - len(words)))])}
+    corpus = decontamination._corpus(docs(spark, texts), known)
+    n = len(known)
+    basis = np.random.default_rng(1).standard_normal((n, 5))
+    found = [[known.get(w, n) for w in decontamination.words(t)] for t in texts]
+    windows = [np.array(f[a : a + 32]) for f in found for a in range(0, len(f), 32)]
+    idf = np.linspace(0.5, 3, n)
+    wanted = np.zeros_like(basis)
+    for window in windows:
+        own, times = np.unique(window[window < n], return_counts=True)
+        if len(own):
+            row = times * idf[own] / np.linalg.norm(times * idf[own])
+            wanted[own] += np.outer(row, row @ basis[own])
+    assert corpus.n_docs == len(texts) and corpus.n_windows == sum((w < n).any() for w in windows)
+    assert corpus.times.tolist() == np.bincount([w for f in found for w in set(f)], minlength=n + 1)[:n].tolist()
+    assert np.allclose(corpus.squared(basis, idf), wanted, atol=1e-4)
+
+
 def test_blocks_of_items(planted, monkeypatch):
     df, items, wanted, _, _ = planted
     monkeypatch.setattr(decontamination, "BLOCK", 25)
