@@ -489,12 +489,12 @@ def _search(spark, queries: Queries):
 
 
 def flagged(column: Column, spark, queries: list[Queries]) -> Column:
-    """True for texts that hold a passage of any block."""
+    """True for texts that hold a passage of any block; a text leaves Arrow's buffer for itself alone."""
     sent = [spark.sparkContext.broadcast(q) for q in queries]
 
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        return pd.Series([any(q.value.matches(words(t)) for q in sent) for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def holds(texts: pa.Array) -> pa.Array:
+        return pa.array([any(q.value.matches(words(t.as_py())) for q in sent) for t in texts], pa.bool_())
 
     return holds(column)
 
