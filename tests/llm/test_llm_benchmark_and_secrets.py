@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from helpers import ALL_IDS, docs, empty, ids, odd, prose, rows
 
+import corpus_pipeline
 from padron.llm import decontamination, secrets
 
 
@@ -171,6 +172,20 @@ def test_squared_windows(spark, monkeypatch, n_words):
     assert np.allclose(corpus.squared(basis, idf), wanted, atol=1e-4)
 
 
+def test_pipeline_stage_fits_on_all_documents(spark, planted, tmp_path, monkeypatch):
+    """The stage's space is fitted on each window of each document, also beyond 2,000 documents."""
+    texts = [prose(f"stage{i}", 40 + i % 60) for i in range(2500)]
+    planted[1].write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, fit = [], decontamination._corpus
+    monkeypatch.setattr(decontamination, "_corpus", lambda *a: seen.append(fit(*a)) or seen[-1])
+    kept = corpus_pipeline.benchmark_stage(spark, docs(spark, texts), str(tmp_path))
+    known = {w for b in planted[3].values() for w in decontamination.words(b)}
+    cut = [decontamination.words(t)[a : a + 32] for t in texts for a in (0, 32, 64, 96)]
+    assert [c.n_docs for c in seen] == [2500]
+    assert [c.n_windows for c in seen] == [sum(not known.isdisjoint(c) for c in cut)]
+    assert kept.count() == 2500 and kept.columns == docs(spark, []).columns
+
+
 def test_blocks_of_items(planted, monkeypatch):
     df, items, wanted, _, _ = planted
     monkeypatch.setattr(decontamination, "BLOCK", 25)
