@@ -233,9 +233,9 @@ def _weighted(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _passage_rows(spark, idf: np.ndarray, parts: list[list[int]]) -> DataFrame:
     """The block's passages as TF-IDF rows."""
     own = [_weighted(np.array(p), idf) for p in parts]
-    rows = spark.createDataFrame(
-        [(a.tolist(), b.tolist(), 1.0) for a, b in own], "ids array<int>, weights array<double>, scale double"
-    )
+    ids, weights = pa.array([a for a, _ in own], pa.list_(pa.int32())), [b for _, b in own]
+    columns = {"ids": ids, "weights": pa.array(weights, pa.list_(pa.float64())), "scale": np.ones(len(own))}
+    rows = spark.createDataFrame(pa.table(columns))  # a list of rows would start Python workers of another kind
     return saved(rows.repartition(8), "fit-rows")
 
 
