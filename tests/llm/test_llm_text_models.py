@@ -144,6 +144,49 @@ def test_classifier_odd_and_empty(spark):
     assert quality_classifier.kept(empty(spark)).collect() == [] and quality_classifier.report(empty(spark)).collect() == []
 
 
+def plain_classifier(texts, turns, parts):
+    """Every document in its turn, in one process."""
+    of = [quality_classifier.seen(t, quality_classifier.WordMemory(quality_classifier._code)) for t in texts]
+    votes = np.array([quality_classifier.votes(d) for d in of])
+    distinct, counts = np.unique(votes, axis=0, return_counts=True)
+    labels = quality_classifier.estimated(distinct, counts.astype(float))
+    p, size = labels.posterior(votes), 1 << quality_classifier.BITS
+    importance = (p / p.sum() + (1 - p) / (1 - p).sum()) / 2
+    made = [quality_classifier.features(d) for d in of]
+    weights, slow = np.zeros(size + 1), np.full(size + 1, 1e-6)
+
+    def scores(chosen):
+        z = np.array([weights[-1] + weights[made[i][0]] @ made[i][1] for i in chosen])
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+    for at in range(quality_classifier.ROUNDS):
+        chosen = np.flatnonzero(turns % parts == at % parts)
+        error = (p[chosen] - scores(chosen)) * importance[chosen] * parts
+        grad = -1e-5 * weights
+        grad[-1] = error.sum()
+        for i, e in zip(chosen, error, strict=True):
+            np.add.at(grad, made[i][0], e * made[i][1])
+        slow += grad * grad
+        weights += 0.3 * grad / np.sqrt(slow)
+    return scores(range(len(texts)))
+
+
+@pytest.mark.parametrize(("most", "parts"), [(1, 1), (3, 3)])
+def test_scorer_is_trained_on_all_documents(spark, monkeypatch, most, parts):
+    """Also beyond 4,000 documents; with and without turns."""
+    monkeypatch.setattr(quality_classifier, "PARTS", most)
+    monkeypatch.setattr(quality_classifier, "PART_DOCS", 1500)
+    monkeypatch.setattr(quality_classifier, "ROUNDS", 12)
+    texts = [prose(f"scored{i}", 21 + i % 9) if i % 5 else f"## {i} $$ || ** " * (3 + i % 7) for i in range(4700)]
+    df = docs(spark, [None, "", *texts], [None, None, *range(len(texts))])
+    turn = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(quality_classifier.TURNS)).alias("at"))
+    found = sorted(turn.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.text is not None))
+    wanted = plain_classifier([r.text for r in found], np.array([r.at for r in found]), parts)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.score) for r in quality_classifier.report(df).collect())
+    assert len(got) == len(texts) + 2
+    assert np.allclose([x for _, x in got], wanted, atol=1e-4)
+
+
 # Encoding
 
 
