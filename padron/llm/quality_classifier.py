@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padron.llm.quality_rules import COMMON, repeat_words
-from padron.llm.words import WordMemory, slices, word_hash
-from padron.session import saved
+from padron.llm.words import ROWS_AT_ONCE, WordMemory, slices, word_hash
+from padron.session import removed, saved, scratch_dir
 
 #: Parts of the documents that take turns in training, at most, and the documents of a part, at least.
 PARTS, PART_DOCS = 8, 8000
@@ -230,7 +230,7 @@ def _noted(df: DataFrame, keep: list[str], key: str, text: str) -> DataFrame:
             buckets, at = np.unique(buckets, return_inverse=True)
             values = np.bincount(at, values)
             code = sum(v * 3**i for i, v in enumerate(votes(doc)))
-            made.append((code, buckets.astype(np.uint16).tobytes(), values.astype(np.float32).tobytes()))
+            made.append((code, buckets.astype(np.uint16).tobytes(), values.tobytes()))
         return pd.DataFrame(made, columns=["code", "buckets", "values"])
 
     turn = F.pmod(F.xxhash64(key, text), F.lit(TURNS))
@@ -241,7 +241,7 @@ def _side_by_side(buckets: Iterable[bytes], values: Iterable[bytes]) -> tuple[np
     """Buckets and values of documents in a row, and how many each has: one or more."""
     buckets = list(buckets)
     lengths = np.array([len(b) for b in buckets], int) // 2
-    return np.frombuffer(b"".join(buckets), np.uint16), np.frombuffer(b"".join(values), np.float32), lengths
+    return np.frombuffer(b"".join(buckets), np.uint16), np.frombuffer(b"".join(values)), lengths
 
 
 def _margins(weights: np.ndarray, buckets: np.ndarray, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -269,6 +269,7 @@ def _gradient(rows: DataFrame, weights: np.ndarray, labels: Broadcast) -> np.nda
             code, *lists = (batch.column(c) for c in ("code", "buckets", "values"))
             code = code.to_numpy()
             buckets, values, lengths = _side_by_side(*(c.to_pylist() for c in lists))
+            values = values.astype(np.float32)
             error = (target[code] - _probability(_margins(weights, buckets, values, lengths))) * importance[code]
             out += np.bincount(buckets, np.repeat(error, lengths) * values, len(out))
             out[-1] += error.sum()
@@ -279,6 +280,17 @@ def _gradient(rows: DataFrame, weights: np.ndarray, labels: Broadcast) -> np.nda
     return sum((np.frombuffer(r["part"]) for r in parts), np.zeros(len(weights)))
 
 
+def _turns(noted: DataFrame, parts: int) -> tuple[str, list[DataFrame]]:
+    """What is learned from, in files by turn, so that a round reads its own part alone."""
+    spark = noted.sparkSession
+    path = scratch_dir(spark, "turns")
+    part = (F.col("_turn") % parts).cast("int").alias("part")
+    rows = noted.select("_seen.code", "_seen.buckets", "_seen.values", part)
+    rows.coalesce(4 * spark.sparkContext.defaultParallelism).write.partitionBy("part").parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    return path, [written.where(F.col("part") == at).drop("part") for at in range(parts)]
+
+
 def trained(noted: DataFrame) -> Classifier:
     """The label model and a logistic regression on its soft labels, in which both classes weigh the same."""
     counted = noted.groupBy(F.col("_seen.code").alias("code")).count().toPandas().sort_values("code")
@@ -289,8 +301,7 @@ def trained(noted: DataFrame) -> Classifier:
     target = labels.posterior(_decoded(np.arange(3 ** len(RULES))))
     sent = noted.sparkSession.sparkContext.broadcast((target, (target / good + (1 - target) / bad) / 2))
     parts = min(PARTS, max(1, int(counts.sum()) // PART_DOCS))
-    rows = noted.select("_turn", "_seen.code", "_seen.buckets", "_seen.values")
-    turns = [rows.where(F.col("_turn") % parts == at).drop("_turn") for at in range(parts)]
+    path, turns = _turns(noted, parts)
     size = 1 << BITS
     weights, slow = np.zeros(size + 1), np.full(size + 1, 1e-6)
     for at in range(ROUNDS if len(counted) else 0):
@@ -298,6 +309,7 @@ def trained(noted: DataFrame) -> Classifier:
         grad[:size] -= 1e-5 * weights[:size]
         slow += grad * grad
         weights += 0.3 * grad / np.sqrt(slow)
+    removed(noted.sparkSession, path)
     return Classifier(labels, weights)
 
 
@@ -308,8 +320,12 @@ def judged(noted: DataFrame, model: Classifier) -> Column:
     @F.pandas_udf("posterior double, score double")
     def judge(codes: pd.Series, buckets: pd.Series, values: pd.Series) -> pd.DataFrame:
         classifier = sent.value
-        score = _probability(_margins(classifier.weights, *_side_by_side(buckets, values)))
-        return pd.DataFrame({"posterior": classifier.labels.posterior(_decoded(codes.to_numpy(np.int64))), "score": score})
+        margins = np.zeros(len(codes))
+        for a in range(0, len(codes), ROWS_AT_ONCE):
+            b = a + ROWS_AT_ONCE
+            margins[a:b] = _margins(classifier.weights, *_side_by_side(buckets[a:b], values[a:b]))
+        posterior = classifier.labels.posterior(_decoded(codes.to_numpy(np.int64)))
+        return pd.DataFrame({"posterior": posterior, "score": _probability(margins)})
 
     return judge("_seen.code", "_seen.buckets", "_seen.values")
 
