@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from padron.llm.words import as_text, slices, with_key
+from padron.llm.words import as_text, remembered, slices, with_key
 
 #: Words and pieces of words whose encoding a worker remembers, twice over; some 330 bytes each.
 WORDS, PIECES = 100_000, 100_000
@@ -198,16 +198,9 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-_LOADED: dict[tuple[str, int], Vocabulary] = {}
-
-
 def _loaded(raw: bytes, words: int = WORDS) -> Vocabulary:
     """One vocabulary per worker process, whose memory of words outlives a task."""
-    key = hashlib.sha256(raw).hexdigest(), words
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Vocabulary(raw, words)
-    return _LOADED[key]
+    return remembered(("vocabulary", hashlib.sha256(raw).hexdigest(), words), lambda: Vocabulary(raw, words))
 
 
 def _broadcast(df: DataFrame, path: str):

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -39,12 +40,15 @@ from pyspark.sql import functions as F
 from padron.llm.components import components
 from padron.llm.words import (
     WordMemory,
+    counted,
     hashes,
     mixed,
     pack,
     pack_counts,
+    remembered,
     runs,
     shingle_hashes,
+    slices,
     summed,
     unpack,
     unpack_counts,
@@ -65,6 +69,8 @@ BLOCK = 4096
 CELL_BITS = 40
 #: Shingles that a task counts before it passes them on; shingles of one range of hashes.
 FLUSH, RANGE = 4_000_000, 4_000_000
+#: A range's counts are added in so many parts (a power of two), of which one is sorted at a time.
+ADDED_BITS = 4
 MAX_BITMAP_BITS = 1 << 15
 #: Bits of the map of shingles counted twice or more: 16 MB for any input.
 REPEATED_BITS = 27
@@ -92,7 +98,7 @@ def most_apart(total, percent: int):
 
 
 def _shingled(k: int):
-    memory = WordMemory(word_hash)
+    memory = remembered("hashes", lambda: WordMemory(word_hash))
     return lambda text: shingle_hashes(hashes(words(text), memory), k)
 
 
@@ -107,45 +113,56 @@ def _frequent(
     width = CELL_BITS - (ranges - 1).bit_length()
     slice_bits = (1 << REPEATED_BITS) // ranges
 
-    def flush(parts: list[np.ndarray]) -> pd.DataFrame:
-        cells, counts = summed(np.concatenate(parts) >> _SHIFT)
+    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.concatenate(parts)
+        parts.clear()
+        cells >>= _SHIFT
+        cells.sort()
         cuts = np.searchsorted(cells, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(width))
         rows = [
-            (i, pack(cells[a:b]), pack_counts(counts[a:b]))
+            (i, *(f(x) for f, x in zip((pack, pack_counts), counted(cells[a:b]), strict=True)))
             for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
             if b > a
         ]
-        return pd.DataFrame(rows, columns=["range", "cells", "counts"])
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["range", "cells", "counts"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled, parts, held = _shingled(k), [], 0
         for batch in batches:
-            for text in batch["text"]:
-                parts.append(shingled(text))
+            for text in batch.column(0):
+                parts.append(shingled(text.as_py()))
                 held += len(parts[-1])
                 if held >= FLUSH:
                     yield flush(parts)
-                    parts, held = [], 0
+                    held = 0
         if held:
             yield flush(parts)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        cells, counts = summed(
-            np.concatenate([unpack(x) for x in rows["cells"]]),
-            np.concatenate([unpack_counts(x) for x in rows["counts"]]),
-        )
         which = int(rows["range"].iat[0])
-        twice = (cells[counts > 1] >> np.uint64(CELL_BITS - REPEATED_BITS)).astype(np.int64)
-        bits = np.zeros(slice_bits, np.uint8)
-        bits[twice - which * slice_bits] = 1
-        often = counts >= RARE
-        found = pd.DataFrame({"cell": cells[often].astype(np.int64), "n": counts[often], "bits": None})
+        cells, counts = [unpack(x) for x in rows["cells"]], [unpack_counts(x) for x in rows["counts"]]
+        bits, found, n = np.zeros(slice_bits, np.uint8), [], []
+        step = 1 << max(0, width - ADDED_BITS)
+        for low in range(which << width, which + 1 << width, step):  # a part of the range at a time
+            cuts = [np.searchsorted(c, np.array([low, low + step], np.uint64)) for c in cells]
+            own, times = summed(
+                np.concatenate([c[a:b] for c, (a, b) in zip(cells, cuts, strict=True)]),
+                np.concatenate([c[a:b] for c, (a, b) in zip(counts, cuts, strict=True)]),
+            )
+            twice = (own[times > 1] >> np.uint64(CELL_BITS - REPEATED_BITS)).astype(np.int64)
+            bits[twice - which * slice_bits] = 1
+            often = times >= RARE
+            found.append(own[often].astype(np.int64))
+            n.append(times[often])
         packed = np.packbits(bits, bitorder="little").tobytes()
+        found = pd.DataFrame({"cell": np.concatenate(found), "n": np.concatenate(n), "bits": None})
         return pd.concat([found, pd.DataFrame({"cell": [which], "n": [0], "bits": [packed]})])
 
-    counted = docs.select("text").mapInPandas(count, "range int, cells binary, counts binary")
+    counts = docs.select("text").mapInArrow(count, "range int, cells binary, counts binary")
     made = saved(
-        counted.groupBy("range").applyInPandas(add, "cell long, n long, bits binary"), "frequent"
+        counts.groupBy("range").applyInPandas(add, "cell long, n long, bits binary"), "frequent"
     )
     least = RARE
     while made.where(F.col("n") >= least).count() > MAX_FREQUENT:
@@ -186,13 +203,13 @@ def _in(repeated: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 def _prefixes(docs: DataFrame, k: int, percent: int, sent: Broadcast) -> DataFrame:
     """``sent``: cells, counts and map of ``_frequent``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = _shingled(k)
         cells, counts, repeated = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = np.unique(shingled(text))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                own = np.unique(shingled(text.as_py()))
                 n = len(own)
                 if not n:
                     rows.append((doc_id, 0, 0, 0, 0, 0, 0, None, None, None))
@@ -216,13 +233,12 @@ def _prefixes(docs: DataFrame, k: int, percent: int, sent: Broadcast) -> DataFra
                     + (first[places].tobytes(), places.astype(np.int32).tobytes())
                     + (bitmap(own, 4 if n_frequent else 1),)
                 )
-            yield pd.DataFrame(
-                rows,
-                columns="doc_id n d1 d2 p1 p2 n_frequent tokens places bitmap".split(),
-            )
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=shape)
 
-    # Ids go through pandas as text: with nulls among them they would become floats.
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, _PREFIX)
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    shape = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _PREFIX.split(", "))])
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, _PREFIX)
     return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -507,30 +523,30 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int, repeated_id
     wanted = ids.select(F.col("a").alias("doc_id"))
     rows = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = _shingled(k)
-        for batch in batches:
-            own = [np.unique(shingled(t)).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "own": own})
+        for batch in slices(batches):
+            own = [np.unique(shingled(t.as_py())).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "own"])
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
             keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                both = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)])
                 both.sort()
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * shared >= percent * (len(both) - shared) and shared > 0)
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = rows.mapInPandas(sets, f"doc_id {kind}, own binary")
+    held = rows.mapInArrow(sets, f"doc_id {kind}, own binary")
     held = saved(held.dropDuplicates() if repeated_ids else held, "pair-sets")
     with_sets = pairs.join(held.withColumnsRenamed({"doc_id": "a", "own": "x"}), "a").join(
         held.withColumnsRenamed({"doc_id": "b", "own": "y"}), "b"
     )
     return saved(
-        with_sets.select("a", "b", "x", "y").mapInPandas(verify, f"a {kind}, b {kind}"), "verified"
+        with_sets.select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}"), "verified"
     )
 
 

@@ -22,15 +22,14 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padron.llm.quality_rules import COMMON, repeat_words
-from padron.llm.words import ROWS_AT_ONCE, WordMemory, slices, word_hash
-from padron.session import removed, saved, scratch_dir
+from padron.llm.words import ROWS_AT_ONCE, WordMemory, remembered, slices, word_hash
+from padron.session import removed, saved, scratch_dir, small_batches
 
 #: Parts of the documents that take turns in training, at most, and the documents of a part, at least.
 PARTS, PART_DOCS = 8, 8000
@@ -204,14 +203,9 @@ class Classifier:
     weights: np.ndarray
 
 
-_KEPT: list[WordMemory] = []
-
-
 def _memory() -> WordMemory:
     """One word memory per worker."""
-    if not _KEPT:
-        _KEPT.append(WordMemory(_code))
-    return _KEPT[0]
+    return remembered("codes", lambda: WordMemory(_code))
 
 
 def _decoded(codes: np.ndarray) -> np.ndarray:
@@ -221,17 +215,21 @@ def _decoded(codes: np.ndarray) -> np.ndarray:
 def _noted(df: DataFrame, keep: list[str], key: str, text: str) -> DataFrame:
     """The kept columns, a turn, and each text's votes and features; the one pass over the texts."""
 
-    @F.pandas_udf("code long, buckets binary, values binary")
-    def notes(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("code long, buckets binary, values binary")
+    def notes(texts: pa.Array) -> pa.Array:
         memory, made = _memory(), []
-        for text in texts:  # a document's words are held one document at a time
-            doc = seen(text, memory)
-            buckets, values = features(doc)
-            buckets, at = np.unique(buckets, return_inverse=True)
-            values = np.bincount(at, values)
-            code = sum(v * 3**i for i, v in enumerate(votes(doc)))
-            made.append((code, buckets.astype(np.uint16).tobytes(), values.tobytes()))
-        return pd.DataFrame(made, columns=["code", "buckets", "values"])
+        for a in range(0, max(1, len(texts)), ROWS_AT_ONCE):
+            codes, lists, shares = [], [], []
+            for text in texts[a : a + ROWS_AT_ONCE]:  # a document's words are held one document at a time
+                doc = seen(text.as_py(), memory)
+                buckets, values = features(doc)
+                buckets, at = np.unique(buckets, return_inverse=True)
+                codes.append(sum(v * 3**i for i, v in enumerate(votes(doc))))
+                lists.append(buckets.astype(np.uint16).tobytes())
+                shares.append(np.bincount(at, values).tobytes())
+            columns = [pa.array(codes, pa.int64()), pa.array(lists, pa.binary()), pa.array(shares, pa.binary())]
+            made.append(pa.StructArray.from_arrays(columns, ["code", "buckets", "values"]))
+        return pa.concat_arrays(made)
 
     turn = F.pmod(F.xxhash64(key, text), F.lit(TURNS))
     return saved(df.select(*keep, turn.alias("_turn"), notes(F.col(text)).alias("_seen")), "features")
@@ -275,7 +273,8 @@ def _gradient(rows: DataFrame, weights: np.ndarray, labels: Broadcast) -> np.nda
             out[-1] += error.sum()
         yield pa.RecordBatch.from_pydict({"part": [out.tobytes()]})
 
-    parts = rows.coalesce(4 * context.defaultParallelism).mapInArrow(run, "part binary").collect()
+    with small_batches(rows.sparkSession):
+        parts = rows.coalesce(4 * context.defaultParallelism).mapInArrow(run, "part binary").collect()
     sent.destroy()
     return sum((np.frombuffer(r["part"]) for r in parts), np.zeros(len(weights)))
 
@@ -317,15 +316,17 @@ def judged(noted: DataFrame, model: Classifier) -> Column:
     """Column of (posterior, score) per row."""
     sent = noted.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("posterior double, score double")
-    def judge(codes: pd.Series, buckets: pd.Series, values: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("posterior double, score double")
+    def judge(codes: pa.Array, buckets: pa.Array, values: pa.Array) -> pa.Array:
         classifier = sent.value
         margins = np.zeros(len(codes))
         for a in range(0, len(codes), ROWS_AT_ONCE):
             b = a + ROWS_AT_ONCE
-            margins[a:b] = _margins(classifier.weights, *_side_by_side(buckets[a:b], values[a:b]))
-        posterior = classifier.labels.posterior(_decoded(codes.to_numpy(np.int64)))
-        return pd.DataFrame({"posterior": posterior, "score": _probability(margins)})
+            lists = (c[a:b].to_pylist() for c in (buckets, values))
+            margins[a:b] = _margins(classifier.weights, *_side_by_side(*lists))
+        posterior = classifier.labels.posterior(_decoded(codes.to_numpy()))
+        columns = [pa.array(posterior), pa.array(_probability(margins))]
+        return pa.StructArray.from_arrays(columns, ["posterior", "score"])
 
     return judge("_seen.code", "_seen.buckets", "_seen.values")
 

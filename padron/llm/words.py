@@ -7,6 +7,7 @@ return; bytes.split and bytes.lower work by exactly these and by A-Z.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,22 @@ class WordMemory(dict):
         return found
 
 
+_REMEMBERED: dict[object, object] = {}
+
+
+def remembered(name: object, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task: one thing, so that stages after each other don't add up."""
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
+def forget() -> None:
+    """For tasks that keep nothing: what earlier stages have kept in this worker goes."""
+    _REMEMBERED.clear()
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -125,6 +142,11 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     else:
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
+    return counted(keys, counts)
+
+
+def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The same of rising keys."""
     if not len(keys):
         return keys, np.zeros(0, np.int64)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))

@@ -6,10 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch.
+BATCH_CONF, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def build_session(app: str = "padron", master: str | None = None, **conf: str) -> SparkSession:
@@ -69,9 +73,27 @@ def _discard_at_exit() -> None:
         discard(spark)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run here pass long texts to Python a few megabytes at a time, not ten thousand rows.
+
+    Rows of a batch are held by the executor and by its Python worker, twice over while they are written.
+    """
+    before = spark.conf.get(BATCH_CONF, None)
+    spark.conf.set(BATCH_CONF, BATCH)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_CONF)
+        else:
+            spark.conf.set(BATCH_CONF, before)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: made once, safe when executors go."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,15 +1,19 @@
 """Jaccard join and components."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ALL_IDS, docs, empty, ids, odd, prose, rows
+from pyspark.sql import functions as F
 
 from padron.llm import jaccard_join
 from padron.llm.components import components
+from padron.session import BATCH_CONF, saved
 
 
 def shingles(text, k):
@@ -153,3 +157,40 @@ def test_first_of_copies_keeps_one_of_each_group(spark):
     texts = corpus(3)
     kept = ids(jaccard_join.first_of_copies(docs(spark, list(texts.values()), list(texts)), words=5, percent=80))
     assert kept == sorted({c for _, c in plain_components(texts, 5, 80).values()})
+
+
+class Counting:
+    """Stands for documents; keeps the function that counts shingles in tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        self.count = function
+        raise KeyError
+
+    mapInPandas = mapInArrow
+
+
+def test_counting_holds_few_copies_of_a_tasks_shingles(monkeypatch):
+    n, made = 1_000_000, Counting()
+    with pytest.raises(KeyError):
+        jaccard_join._frequent(made, 5, 16)
+    monkeypatch.setattr(jaccard_join, "FLUSH", n)
+    numbers = np.random.default_rng(3).integers(0, 1 << 64, n, np.uint64, endpoint=False)
+    monkeypatch.setattr(jaccard_join, "_shingled", lambda k: lambda text: numbers.copy())
+    tracemalloc.start()
+    rows_ = sum(batch.num_rows for batch in made.count(iter([pa.RecordBatch.from_pydict({"text": ["a"]})])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows_ == 16 and most < 3.5 * numbers.nbytes
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path):
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [batch.num_rows]}) for batch in batches)
+
+    long = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+    before = spark.conf.get(BATCH_CONF, None)
+    assert max(r.n for r in saved(long.mapInArrow(sizes, "n long"), "batches").collect()) < 1000
+    assert spark.conf.get(BATCH_CONF, None) == before

@@ -1,9 +1,11 @@
 """Transcripts, weak labels, encoding, licences, language model."""
 
+import gc
 import hashlib
 import math
 import random
 import textwrap
+import weakref
 import zlib
 from collections import Counter
 
@@ -239,6 +241,17 @@ def test_memory_forgets_and_stays_right(monkeypatch):
     assert len(small._words) <= 50
 
 
+def test_a_worker_keeps_the_memory_of_one_stage():
+    codes = weakref.ref(quality_classifier._memory())
+    with open(WORD_BPE, "rb") as file:
+        vocabulary = weakref.ref(bpe._loaded(file.read()))
+    gc.collect()
+    assert codes() is None
+    quality_classifier._memory()
+    gc.collect()
+    assert vocabulary() is None
+
+
 def test_encoding_odd_and_empty(spark):
     got = rows(bpe.token_digest(odd(spark), WORD_BPE))
     assert ids(bpe.token_digest(odd(spark), WORD_BPE)) == ALL_IDS
