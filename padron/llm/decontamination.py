@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from padron.llm.words import slices
-from padron.session import removed, saved, scratch_dir
+from padron.llm.words import forget, slices
+from padron.session import removed, saved, scratch_dir, small_batches
 
 STEP, WINDOW = 16, 32
 PASSAGE = 64
@@ -192,6 +192,7 @@ def _corpus(docs: DataFrame, known: dict[bytes, int]) -> Corpus:
             yield pa.RecordBatch.from_pydict({"word": [None], "n": [n], "windows": [part]}, shape)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         vocabulary, times, n = sent.value, np.zeros(none + 1, np.int64), 0
         windows, held = [], 0
         for batch in batches:
@@ -213,7 +214,8 @@ def _corpus(docs: DataFrame, known: dict[bytes, int]) -> Corpus:
         yield pa.RecordBatch.from_pydict(counts, shape)
 
     path = scratch_dir(spark, "windows")
-    docs.select("text").mapInArrow(count, "word int, n long, windows binary").write.parquet(path)
+    with small_batches(spark):
+        docs.select("text").mapInArrow(count, "word int, n long, windows binary").write.parquet(path)
     rows = spark.read.schema("word int, n long, windows binary").parquet(path)
     times = np.zeros(none)
     totals = {r["word"]: r["n"] for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row per word
@@ -474,6 +476,7 @@ def _search(spark, queries: Queries):
     shape = pa.schema([("doc_id", pa.string()), *((c.split()[0], kinds[c.split()[1]]) for c in _MATCH.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         queries = sent.value
         for batch in slices(batches):
             found = [
@@ -494,6 +497,7 @@ def flagged(column: Column, spark, queries: list[Queries]) -> Column:
 
     @F.arrow_udf("boolean")
     def holds(texts: pa.Array) -> pa.Array:
+        forget()
         return pa.array([any(q.value.matches(words(t.as_py())) for q in sent) for t in texts], pa.bool_())
 
     return holds(column)
