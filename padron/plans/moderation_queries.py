@@ -11,6 +11,7 @@ from padron.lookups import BLOCKED_TERMS, TOXIC_THRESHOLD
 from padron.operators import epochs, labels, metrics, model, moderation, sampling, term_index
 from padron.plans.record_queries import TRIM
 from padron.plans.registry import register, table
+from padron.session import saved
 
 # The blocklist and words that the table's labelled texts use.
 TERMS = (*BLOCKED_TERMS, "idiot", "moron", "worthless", "clown")
@@ -90,17 +91,17 @@ terms AS (SELECT term, min(place) AS place FROM listed WHERE term <> '' GROUP BY
 
 
 def long_list(spark, sf):
-    """(term, place): three words of each text, the first place of each."""
-    body = F.array_join(term_index.plain_words(F.col("folded")), " ")
-    words = F.slice(F.split(body, " "), 4, 3)
-    listed = folded_texts(spark, sf).select(F.array_join(words, " ").alias("term"), "doc_id")
-    first = listed.where("term <> ''").groupBy("term").agg(F.min("doc_id").alias("place"))
-    return term_index.term_list(first, "term", keep=["place"])
+    """(term, place): three words of each text, the first place of each.
+
+    Places are written first: filters on terms would be pushed down and fold the texts once more.
+    """
+    listed = folded_texts(spark, sf).select(term_index.words_from(F.col("folded"), 4, 3).alias("term"), "doc_id")
+    first = saved(listed.groupBy("term").agg(F.min("doc_id").alias("place")), "first-places")
+    return term_index.term_list(first.where("term <> ''"), "term", keep=["place"])
 
 
 def normal_texts(spark, sf):
-    body = F.array_join(term_index.plain_words(F.col("folded")), " ")
-    return folded_texts(spark, sf).select("doc_id", body.alias("body"))
+    return folded_texts(spark, sf).select("doc_id", term_index.plain_text(F.col("folded")).alias("body"))
 
 
 @register(
@@ -109,7 +110,7 @@ def normal_texts(spark, sf):
 FROM texts JOIN terms ON contains(body, ' ' || term || ' ') GROUP BY doc_id""",
 )
 def long_term_list(spark, sf):
-    """Hits of a list of one term per document, through an index on the rarest word."""
+    """Hits of a list of one term per document, through an index on runs of words."""
     terms = long_list(spark, sf)
     hits = term_index.listed_hits(normal_texts(spark, sf), "doc_id", "body", terms)
     return (
