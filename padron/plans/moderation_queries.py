@@ -112,12 +112,8 @@ FROM texts JOIN terms ON contains(body, ' ' || term || ' ') GROUP BY doc_id""",
 def long_term_list(spark, sf):
     """Hits of a list of one term per document, through an index on runs of words."""
     terms = long_list(spark, sf)
-    hits = term_index.listed_hits(normal_texts(spark, sf), "doc_id", "body", terms)
-    return (
-        hits.join(terms, "term")
-        .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("hits"), F.min("place").alias("first_place"))
-    )
+    hits = term_index.listed_hits(normal_texts(spark, sf), "doc_id", "body", terms, keep=["place"])
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.min("place").alias("first_place"))
 
 
 @register(

@@ -136,3 +136,22 @@ def test_first_alias_is_found_without_sorting_the_hits(spark, normal):
         expected[i // 2] = min([*held, *([expected[i // 2]] if i // 2 in expected else [])], key=order)
     got = {r["id"]: (r["term"], r["official"]) for r in found.collect()}
     assert got == {k: a[:2] for k, a in expected.items()} and len(got) == 30
+
+
+def test_the_long_list_is_counted_where_texts_are_read(spark, tmp_path):
+    """The query's hits meet no second join, and are dealt out as one row of a text at most."""
+    from padron.plans import moderation_queries
+
+    rng = random.Random(6)
+    texts = [(i, made(rng, 20).title()) for i in range(80)] + [(80, None), (81, ""), (82, "sol mar")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = moderation_queries.long_term_list(spark, str(tmp_path))
+    assert "SortMergeJoin" not in plan(found) and plan(found).count("hashpartitioning") == 1
+    bodies = {i: (t or "").lower() for i, t in texts}
+    places = {}
+    for i, b in sorted(bodies.items()):
+        if term := " ".join(b.split()[3:6]):
+            places.setdefault(term, i)
+    expected = {i: [p for t, p in places.items() if f" {t} " in f" {b} "] for i, b in bodies.items()}
+    got = {r["doc_id"]: (r["hits"], r["first_place"]) for r in found.collect()}
+    assert got == {i: (len(p), min(p)) for i, p in expected.items() if p} and len(got) == 80
